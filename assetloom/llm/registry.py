@@ -3,7 +3,27 @@
 from __future__ import annotations
 
 from assetloom.llm.bpe import op2_byte_bpe
+from assetloom.llm.fingerprints import op5_document_fingerprints
+from assetloom.llm.jaccard import op8_jaccard_join
+from assetloom.llm.langid import op7_language_id
+from assetloom.llm.media import op4_media_columns
 from assetloom.llm.packing import op9_best_fit_packing
+from assetloom.llm.quality import op10_quality_classifier
+from assetloom.llm.secrets import op6_secret_scan
+from assetloom.llm.urls import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op9_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_byte_bpe,
+        op3_url_filters,
+        op4_media_columns,
+        op5_document_fingerprints,
+        op6_secret_scan,
+        op7_language_id,
+        op8_jaccard_join,
+        op9_best_fit_packing,
+        op10_quality_classifier,
+    )
+}
 SQL: dict[str, str] = {}
