@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from assetloom.llm.bpe import op2_byte_bpe
 from assetloom.llm.fingerprints import op5_document_fingerprints
 from assetloom.llm.jaccard import op8_jaccard_join
@@ -10,11 +11,13 @@ from assetloom.llm.media import op4_media_columns
 from assetloom.llm.packing import op9_best_fit_packing
 from assetloom.llm.quality import op10_quality_classifier
 from assetloom.llm.secrets import op6_secret_scan
+from assetloom.llm.toolcalls import op1_tool_calls
 from assetloom.llm.urls import op3_url_filters
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_tool_calls,
         op2_byte_bpe,
         op3_url_filters,
         op4_media_columns,
@@ -26,4 +29,5 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {}
