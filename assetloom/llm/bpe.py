@@ -25,38 +25,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import per_text, table
+from assetloom.llm.common import Recent, per_text, table
 
 #: White space as the split pattern's engine defines it.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Every boundary between these units is a boundary of the split pattern too: none of its
 #: alternatives goes on from other characters into white space.
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Entries kept by a worker's caches, each of which starts anew when full; units longer than this
-#: many characters are not kept.
-CACHE_UNITS, CACHE_PAIRS, CACHE_CHARS = 300_000, 1_000_000, 48
+#: Entries kept by a worker's caches; units longer than this many characters are not kept.
+CACHE_UNITS, CACHE_PAIRS, CACHE_CHARS = 150_000, 700_000, 48
 #: Bytes of a long piece that the automaton is given at once; more than twice the longest token.
 WINDOW = 512
 #: Above every rank.
 NEVER = 1 << 30
 
 
-class _Units(dict):
-    """Ids of units, computed when first asked for."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.encode(unit)
-        if len(unit) <= CACHE_CHARS:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
 class _Lazy(dict):
     """A value for each token, computed when first asked for."""
 
@@ -90,8 +73,8 @@ class ByteBpe:
         self.shorter = _Lazy(self._shorter)
         self.longest_token = max(self.size_of.values())
         self.whole = {token.decode("latin-1"): rank for token, rank in self.ranks.items()}
-        self.pieces = _Units(self._piece)
-        self.units = _Units(self._unit)
+        self.pieces = Recent(self._piece, CACHE_UNITS, CACHE_CHARS)
+        self.units = Recent(self._unit, CACHE_UNITS, CACHE_CHARS)
 
     def merged(self, data: bytes) -> list[bytes]:
         """Tokens by plain rank-ordered merging, for a token's last merge; quadratic."""

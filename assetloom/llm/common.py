@@ -42,3 +42,28 @@ def crc_mod(col: Column, m: int) -> Column:
 
 def crc_mod_py(value: int, m: int) -> int:
     return zlib.crc32(str(value).encode()) % m
+
+
+class Recent(dict):
+    """Values computed when first asked for, in bounded memory.
+
+    Two generations of ``size`` entries are kept: a full one becomes the old one, from which entries
+    that are asked for again move on. Keys longer than ``longest`` are not kept.
+    """
+
+    def __init__(self, compute: Callable, size: int, longest: int):
+        super().__init__()
+        self.compute, self.size, self.longest = compute, size, longest
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

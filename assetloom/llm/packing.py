@@ -25,18 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import table
+from assetloom.llm.common import Recent, table
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
-#: Words kept by a worker's cache, which starts anew when full, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Entries kept by a worker's caches, and the longest word kept.
+CACHE_WORDS, CACHE_CHARS = 250_000, 48
 #: Words stand between ASCII white space; of other white space the tokenizer takes care itself.
 WORD = re.compile(r"[^\t-\r ]+")
 #: Words of these characters are their own normal form but for case.
 PLAIN = re.compile(r"[!-~À-ÿ]+")
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words between white space, computed by the tokenizer when first asked for.
 
     The tokenizer drops white space and splits nothing across it, so the ids of a text are those
@@ -45,7 +45,6 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
         import json
 
         from tokenizers import Tokenizer, pre_tokenizers
@@ -61,31 +60,25 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chars = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xC0, 0x100)])}
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if PLAIN.fullmatch(word):
-            parts, out = self.parts, []
-            for p in self.split.findall(word.lower()):
-                ids = parts.get(p)
-                if ids is None:
-                    ids = tuple(t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, p))))
-                    if len(p) <= CACHE_CHARS:
-                        if len(parts) >= CACHE_WORDS:
-                            parts.clear()
-                        parts[p] = ids
-                out.append(ids)
-            ids = out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
-        else:
-            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.parts = Recent(self._part, CACHE_WORDS, CACHE_CHARS)
+        self.words = Recent(self._word, CACHE_WORDS, CACHE_CHARS)
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        """Ids of one piece of the split pattern."""
+        return tuple([t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(self.chars.__getitem__, part)))])
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        if not PLAIN.fullmatch(word):
+            return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        if low.isalpha():
+            return self.parts[low]
+        if low[:-1].isalpha() and not low[-1].isalnum():
+            return self.parts[low[:-1]] + self.parts[low[-1]]
+        return tuple(chain.from_iterable(map(self.parts.__getitem__, self.split.findall(low))))
 
     def text(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, WORD.findall(text))), dtype="<u4")
+        return np.array(list(chain.from_iterable(map(self.words.__getitem__, WORD.findall(text)))), dtype="<u4")
 
 
 @lru_cache(maxsize=2)

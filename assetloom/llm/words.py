@@ -9,22 +9,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+from assetloom.llm.common import Recent
 
+CACHE_WORDS, CACHE_BYTES = 200_000, 64
 
-class WordHashes(dict):
-    """64-bit hashes of words; starts anew when full."""
 
-    def __missing__(self, word: bytes) -> int:
-        out = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-
-HASHES = WordHashes()
+HASHES = Recent(xxhash.xxh3_64_intdigest, CACHE_WORDS, CACHE_BYTES)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
