@@ -39,8 +39,9 @@ from assetloom.llm.words import mix, shingle_hashes
 SHINGLE, PERCENT = 4, 85
 #: Members of a block that are joined at once; larger blocks are cut into tiles of this size.
 TILE = 1024
-#: Points of an R-tree's leaf, and children of a node.
-LEAF = 16
+#: Points of an R-tree's leaf, and children of a node; groups that its coordinates add up, which
+#: are told apart again for the pairs of points that it gives.
+LEAF, COARSE = 16, 8
 
 
 def size_class(n: int, percent: int) -> int:
@@ -101,14 +102,15 @@ def signature(h: np.ndarray) -> int:
 
 
 def count_vector(h: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by the top bits of their hashes; the number of groups is a power
-    of two, so vectors of different lengths are compared after adding up neighbours."""
-    bits = min(12, max(4, len(h).bit_length() - 2))
-    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
+    """Counts of a set's shingles by the top bits of their hashes, in two to four groups a shingle
+    up to 16384; the number of groups is a power of two, so vectors of different lengths are
+    compared after adding up neighbours."""
+    bits = min(14, max(6, len(h).bit_length() + 1))
+    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
 
 
 def _folded(v: np.ndarray, groups: int) -> np.ndarray:
-    return v.reshape(groups, -1).sum(axis=1)
+    return v.reshape(groups, -1).sum(axis=1, dtype=np.uint32)
 
 
 def needed(a, b, percent: int):
@@ -247,12 +249,19 @@ def _joined_blocks(percent: int) -> Callable:
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         if len({r[5] for r in rows}) < 2:
             return []
-        vectors = [np.frombuffer(r[7], "<u2") for r in rows]
+        vectors = [np.frombuffer(r[7], "<u4") for r in rows]
         groups = min(map(len, vectors))
-        points = np.array([_folded(v, groups) for v in vectors], np.int32)
+        points = np.array([_folded(v, groups) for v in vectors])
+        coarse = points.reshape(len(points), groups // COARSE, COARSE).sum(axis=2, dtype=np.uint32)
         sizes, labels, sigs = (np.array([r[i] for r in rows]) for i in (6, 5, 4))
         left, right = (np.array([r[3] == r[side] for r in rows]) for side in (1, 2))
-        return [(min(sigs[i], sigs[j]), max(sigs[i], sigs[j])) for i, j in rtree_pairs(points, sizes, labels, left, right, percent)]
+        near = np.array(rtree_pairs(coarse, sizes, labels, left, right, percent), np.int64).reshape(-1, 2)
+        step, out = max(1, (1 << 21) // groups), []
+        for at in range(0, len(near), step):
+            i, j = near[at : at + step].T
+            ok = np.minimum(points[i], points[j]).sum(axis=1) >= needed(sizes[i], sizes[j], percent)
+            out += zip(np.minimum(sigs[i], sigs[j])[ok].tolist(), np.maximum(sigs[i], sigs[j])[ok].tolist(), strict=True)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -275,7 +284,7 @@ def _passing(percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [overlap_bound(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) >= needed(n, m, percent) for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
+            ok = [overlap_bound(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= needed(n, m, percent) for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
     return run
