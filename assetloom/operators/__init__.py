@@ -1 +1 @@
-
+"""Operators on the catalog's tables."""
