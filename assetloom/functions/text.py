@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OUTER = " \t\n\r\x0b\x0c"
 FIRST_PATH = re.compile(r"/[A-Za-z0-9_]+(?:/[A-Za-z0-9_]+)+(?:\.[A-Za-z0-9_]+)?")
@@ -63,7 +64,7 @@ def _parsed(text: str | None):
         return None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _collect_refs(texts: pd.Series) -> pd.Series:
     def one(text):
         out: dict = {}
@@ -73,7 +74,7 @@ def _collect_refs(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _collect_tags(texts: pd.Series) -> pd.Series:
     def one(text):
         out: set = set()

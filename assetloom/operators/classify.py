@@ -27,7 +27,8 @@ def classify_asset(name: Column, classes: Column) -> Column:
     by_name = F.nullif(classify_by_name(name), F.lit("Unknown"))
     table = F.create_map(*[F.lit(x) for pair in CLASS_TYPES.items() for x in pair])
     exact = F.get(F.filter(F.transform(classes, lambda c: table[c]), lambda t: t.isNotNull()), 0)
-    marker = _first([(F.exists(classes, lambda c, m=m: c.startswith(m)), t) for m, t in STRUCTURE_MARKERS.items()], F.lit(None).cast("string"))
+    starts = lambda m: F.exists(classes, lambda c: c.startswith(m))
+    marker = _first([(starts(m), t) for m, t in STRUCTURE_MARKERS.items()], F.lit(None).cast("string"))
     generated = F.when(F.exists(classes, lambda c: c.endswith("GeneratedClass")), "Blueprint")
     return F.coalesce(by_name, exact, marker, generated, F.lit("Unknown"))
 

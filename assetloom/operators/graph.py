@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.config import STRUCTURAL_PREFIXES, STRUCTURAL_TYPES, VISUAL_TYPES
+from assetloom.sources.scratch import stored
 
 #: Seeds of one question table that may be broadcast.
 SMALL = 100_000
@@ -123,17 +124,17 @@ def build_tree(nodes: DataFrame, *, max_depth: int = 32) -> DataFrame:
 def contract_graph(nodes: DataFrame, links: DataFrame, *, max_hops: int = 16) -> DataFrame:
     """(source, target): links between nodes that aren't pass-through, through any that are; a
     pass-through node isn't entered twice by one link. ``nodes``: node, passes; ``links``: source, target."""
-    passes = nodes.filter("passes").select(F.col("node").alias("target"), F.lit(True).alias("_via"))
-    now = links.join(nodes.filter("not passes").select(F.col("node").alias("source")), "source", "left_semi").select("source", "target").distinct()
-    out, seen = None, now
+    real = nodes.filter("not passes").select(F.col("node").alias("source"))
+    through = stored(links.join(nodes.filter("passes").select(F.col("node").alias("source")), "source", "left_semi").select(F.col("source").alias("via"), "target").distinct())
+    via = nodes.filter("passes").select(F.col("node").alias("target"))
+    seen = now = stored(links.join(real, "source", "left_semi").select("source", "target").distinct())
     for _ in range(max_hops):
-        marked = now.join(passes, "target", "left")
-        done = marked.filter("_via is null").select("source", "target")
-        out = done if out is None else out.union(done)
-        onward = marked.filter("_via").select("source", F.col("target").alias("via"))
-        now = onward.join(links.select(F.col("source").alias("via"), "target"), "via").select("source", "target").distinct().join(seen, ["source", "target"], "left_anti")
+        onward = now.join(via, "target", "left_semi").select("source", F.col("target").alias("via"))
+        now = stored(onward.join(through, "via").select("source", "target").distinct().join(seen, ["source", "target"], "left_anti"))
+        if now.isEmpty():
+            break
         seen = seen.union(now)
-    return out.distinct()
+    return seen.join(via, "target", "left_anti").select("source", "target")
 
 
 def delegate_bindings(observations: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 """Registered queries and the SQL they are checked against."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from assetloom.plans import catalog, questions
+
+QUERIES: dict = catalog.QUERIES | questions.QUERIES
+SQL: dict[str, str] = catalog.SQL | questions.SQL
