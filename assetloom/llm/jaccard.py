@@ -2,12 +2,12 @@
 
 1. Each text gives its set of shingle hashes. Equal sets are one class from here on.
 2. Shingles are dealt into groups by hash. Two sets that link differ in few shingles, so at least
-   one group is the same in both (pigeonhole); a key stands for the whole content of a group. Sets
-   meet in a block if they share a key. A passage that many documents share makes no block, as the
-   group would have to be equal as a whole.
-3. In each block, the least set is the hub. Hubs are compared with the members of their blocks,
-   which is linear, and members linked with a hub take its label. So a group of copies costs no
-   pairs among the copies.
+   one group is the same in both (pigeonhole); a key stands for the whole content of a group. Of
+   the sets that share a key the least is the hub, and a hub and all sets that meet it at any key
+   are a block. A passage that many documents share makes no block, as the group would have to be
+   equal as a whole.
+3. Hubs are compared with the members of their blocks, which is linear, and members linked with a
+   hub take its label. So a group of copies costs no pairs among the copies.
 4. Blocks that still hold several labels are joined by an R-tree: the sets' counts by group are
    points, and the sum of coordinate minima bounds the overlap, of nodes as of points. Large blocks
    are cut into tiles. Only pairs of different labels that pass the bound come out.
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import table
-from assetloom.llm.tables import components, small_side, stored
+from assetloom.llm.tables import components, small_side
+from assetloom.sources.scratch import stored
 from assetloom.llm.words import mix, shingle_hashes
 
 #: Words of a shingle, and the threshold in hundredths.
@@ -106,7 +107,17 @@ def count_vector(h: np.ndarray) -> np.ndarray:
     up to 16384; the number of groups is a power of two, so vectors of different lengths are
     compared after adding up neighbours."""
     bits = min(14, max(6, len(h).bit_length() + 1))
-    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
+    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def packed(v: np.ndarray) -> bytes:
+    """A count vector in the fewest bytes a count, which the first byte names."""
+    width = 1 if v.max() < 1 << 8 else 2 if v.max() < 1 << 16 else 4
+    return bytes([width]) + v.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 def _folded(v: np.ndarray, groups: int) -> np.ndarray:
@@ -182,8 +193,8 @@ def _profiles(width: int, percent: int) -> Callable:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, sig) to (key, sig, hub), once each, of keys that several sigs have."""
-    schema = {"key": pa.int64(), "sig": pa.int64(), "hub": pa.int64()}
+    """Sorted (key, sig) to (hub, sig) of keys that several sigs have; the hub is the first of them."""
+    schema = {"hub": pa.int64(), "sig": pa.int64()}
     key = hub = last = None  # of the row before; hub: the first sig of its key
     alone = False  # whether that row is held back, as the first of its key
     for batch in batches:
@@ -206,40 +217,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[0] = False
         alone = len(starts) > 1 and length[-1] == 1 or len(starts) == 1 and len(k) == 1 and (key is None or alone)
         key, last, hub = int(k[-1]), int(s[-1]), int(hubs[-1])
-        yield _batch({"key": k[out], "sig": s[out], "hub": hubs[out]}, schema)
-
-
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, sig, label) to (block, sig, label) of keys with several labels.
-
-    Blocks of equal members get the same number, so that they are joined once. A block larger than
-    a tile isn't held but goes out as it comes, under its key.
-    """
-    schema = {"block": pa.int64(), "sig": pa.int64(), "label": pa.int64()}
-    key, held, large = None, [], False
-
-    def closed() -> list[tuple[int, int, int]]:
-        if large or len({x for _, x in held}) < 2:
-            return []
-        block = xxhash.xxh3_64_intdigest(np.array([s for s, _ in held]).tobytes()) - 2**63
-        return [(block, s, x) for s, x in held]
-
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for k, s, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != key:
-                out += closed()
-                key, held, large = k, [], False
-            if large:
-                out.append((k, s, x))
-            else:
-                held.append((s, x))
-                if len(held) > TILE:
-                    out += [(k, *y) for y in held]
-                    held, large = [], True
-        yield _batch(dict(zip(schema, zip(*out, strict=True) if out else [[], [], []], strict=True)), schema)
-    if out := closed():
-        yield _batch(dict(zip(schema, zip(*out, strict=True), strict=True)), schema)
+        out &= hubs != s
+        stars = np.unique(np.stack((hubs[out], s[out]), axis=1), axis=0)
+        yield _batch({"hub": stars[:, 0], "sig": stars[:, 1]}, schema)
 
 
 def _joined_blocks(percent: int) -> Callable:
@@ -249,7 +229,7 @@ def _joined_blocks(percent: int) -> Callable:
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         if len({r[5] for r in rows}) < 2:
             return []
-        vectors = [np.frombuffer(r[7], "<u4") for r in rows]
+        vectors = [unpacked(r[7]) for r in rows]
         groups = min(map(len, vectors))
         points = np.array([_folded(v, groups) for v in vectors])
         coarse = points.reshape(len(points), groups // COARSE, COARSE).sum(axis=2, dtype=np.uint32)
@@ -284,7 +264,7 @@ def _passing(percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [overlap_bound(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= needed(n, m, percent) for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
+            ok = [overlap_bound(unpacked(x), unpacked(y)) >= needed(n, m, percent) for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
     return run
@@ -314,7 +294,7 @@ def _sets(width: int) -> Callable:
         for batch in batches:
             rows = [(sig, shingle_set(text or "", width)) for sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             rows = [(sig, h) for sig, h in rows if signature(h) == sig]
-            yield _batch({"sig": [s for s, _ in rows], "n": [len(h) for _, h in rows], "counts": [count_vector(h).tobytes() for _, h in rows], "hashes": [h.tobytes() for _, h in rows]}, schema)
+            yield _batch({"sig": [s for s, _ in rows], "n": [len(h) for _, h in rows], "counts": [packed(count_vector(h)) for _, h in rows], "hashes": [h.tobytes() for _, h in rows]}, schema)
 
     return run
 
@@ -325,11 +305,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = stored(texts.mapInArrow(_profiles(shingle, percent), "doc_id long, n long, sig long, keys array<long>"))
     rows = profiles.select(F.explode("keys").alias("key"), "sig")
-    shared = stored(rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_shared, "key long, sig long, hub long"))
+    stars = stored(rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_shared, "hub long, sig long").distinct())
 
     # of each set: the least document that has it
     owners = stored(profiles.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("owner")))
-    met = stored(owners.join(shared.select("sig").distinct(), "sig"))
+    met = stored(owners.join(stars.select("sig").union(stars.select("hub")).distinct(), "sig"))
     side = met.select("sig", F.col("owner").alias("doc_id"))
     sets = stored(texts.join(small_side(side), "doc_id").select("sig", "text").mapInArrow(_sets(shingle), "sig long, n long, counts binary, hashes binary").dropDuplicates(["sig"]))
 
@@ -343,12 +323,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         wide = pairs.join(of.toDF("a", "hashes_a"), "a").join(of.toDF("b", "hashes_b"), "b")
         return stored(wide.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_linked(percent), "a long, b long"))
 
-    first = verified(stored(bounded(shared.filter("hub <> sig").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct())))
-    labels = first.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("label"))
+    first = verified(stored(bounded(stars.toDF("a", "b"))))
     # a hub that is itself linked with a lesser hub keeps its own label: both name the same component
-    labelled = shared.select("key", "sig").join(labels, "sig", "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
-    members = stored(labelled.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_mixed, "block long, sig long, label long").distinct())
-    tiles = members.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    labels = first.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("label"))
+    members = stars.select(F.col("hub").alias("block"), "sig").union(stars.select("hub", "hub").distinct())
+    members = stored(members.join(labels, "sig", "left").select("block", "sig", F.coalesce("label", "sig").alias("label")))
+    mixed = members.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x <> y")
+    tiles = mixed.select("block", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")
     tiled = members.join(tiles, "block").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "sig", "label")

@@ -1,31 +1,11 @@
-"""Tables written in between, and components of a graph, for the operators on pairs."""
+"""Sides to be broadcast, and components of a graph, for the operators on pairs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read back: what follows survives the loss of
-    executors and doesn't compute it again."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from assetloom.sources.scratch import stored
 
 
 #: Rows of a few numbers that may be broadcast: at most some 16 MB.
