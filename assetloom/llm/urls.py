@@ -7,7 +7,7 @@ words: a host with one strong or two weak seed words is to be blocked. What reac
 the tasks is the ``vocabulary`` most frequent words of each count, a documented bound.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule, and
-is judged by the class prior alone. Repeated rows are judged alike; an empty table gives no rows.
+is allowed. Repeated rows are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,23 +123,23 @@ LABELLED = T.StructType([T.StructField("label", T.BooleanType()), T.StructField(
 
 
 def fit_bayes(pages: DataFrame, unigrams: Unigrams, vocabulary: int = VOCABULARY) -> NaiveBayes:
-    """Learn from all pages; ``pages`` has host and path. Add-one smoothing."""
+    """Learn from all pages; ``pages`` has host and path. Add-one smoothing; both classes are equally
+    likely beforehand, so that a rare one is found as well."""
 
     def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
         out = []
         for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
             own, more = url_words(h, p, unigrams)
-            out.append({"label": seed_label(own), "words": ["", *own, *more]})
+            out.append({"label": seed_label(own), "words": own + more})
         return pa.array(out, type=pa.struct([("label", pa.bool_()), ("words", pa.list_(pa.string()))]))
 
     run.__annotations__ = {"hosts": pa.Array, "paths": pa.Array, "return": pa.Array}
     labelled = pages.select(F.arrow_udf(run, returnType=LABELLED)("host", "path").alias("x")).select("x.label", F.explode("x.words").alias("w"))
     counts = labelled.groupBy("w").agg(F.count_if("label").alias("block"), F.count_if(~F.col("label")).alias("allow"))
-    top = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "w").limit(vocabulary + 1).collect()
+    top = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "w").limit(vocabulary).collect()
     n = {r.w: (r.block, r.allow) for r in top}
-    pages_of = n.pop("", (0, 0))
     sums = [sum(x[c] for x in n.values()) + len(n) + 1 for c in (0, 1)]
-    return NaiveBayes(math.log((pages_of[0] + 1) / (pages_of[1] + 1)), {w: math.log((b + 1) / sums[0]) - math.log((a + 1) / sums[1]) for w, (b, a) in n.items()})
+    return NaiveBayes(0.0, {w: math.log((b + 1) / sums[0]) - math.log((a + 1) / sums[1]) for w, (b, a) in n.items()})
 
 
 SCORED = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("odds", T.DoubleType())])
