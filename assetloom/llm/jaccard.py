@@ -10,8 +10,9 @@
    hub take its label. So a group of copies costs no pairs among the copies.
 4. Blocks that still hold several labels are joined by an R-tree: the sets' counts by group are
    points, and the sum of coordinate minima bounds the overlap, of nodes as of points. Large blocks
-   are cut into tiles. Only pairs of different labels that pass the bound come out.
-5. Pairs are verified on the whole sets, and components of the links give the classes.
+   are cut into tiles. Pairs of different labels that pass the bound are verified on the whole sets,
+   as long as no link found before joins their labels.
+5. Components of the links give the classes.
 
 Every pair that links shares a block, and is compared, or is joined through a hub, or passes the
 bound: no link between different texts is lost, whatever the sizes of blocks.
@@ -39,7 +40,7 @@ from assetloom.llm.words import mix, shingle_hashes
 #: Words of a shingle, and the threshold in hundredths.
 SHINGLE, PERCENT = 4, 85
 #: Members of a block that are joined at once; larger blocks are cut into tiles of this size.
-TILE = 1024
+TILE = 512
 #: Points of an R-tree's leaf, and children of a node; groups that its coordinates add up, which
 #: are told apart again for the pairs of points that it gives.
 LEAF, COARSE = 16, 8
@@ -222,25 +223,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch({"hub": stars[:, 0], "sig": stars[:, 1]}, schema)
 
 
+def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _joined_blocks(percent: int) -> Callable:
-    """Sorted (block, low, high, tile, sig, label, n, counts) to pairs (a, b) that may link."""
+    """Sorted (block, low, high, tile, sig, label, hashes) to links (a, b) between labels.
+
+    Pairs that the R-tree gives are told apart by finer counts, then verified on the whole sets,
+    unless links found before join their labels already: what comes out is no more than the labels.
+    """
     schema = {"a": pa.int64(), "b": pa.int64()}
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+    def found(rows: list[tuple]) -> list[tuple[int, int]]:
         if len({r[5] for r in rows}) < 2:
             return []
-        vectors = [unpacked(r[7]) for r in rows]
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        vectors = [count_vector(h) for h in sets]
         groups = min(map(len, vectors))
         points = np.array([_folded(v, groups) for v in vectors])
         coarse = points.reshape(len(points), groups // COARSE, COARSE).sum(axis=2, dtype=np.uint32)
-        sizes, labels, sigs = (np.array([r[i] for r in rows]) for i in (6, 5, 4))
+        sizes, labels = np.array([len(h) for h in sets]), np.array([r[5] for r in rows])
         left, right = (np.array([r[3] == r[side] for r in rows]) for side in (1, 2))
         near = np.array(rtree_pairs(coarse, sizes, labels, left, right, percent), np.int64).reshape(-1, 2)
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
         step, out = max(1, (1 << 21) // groups), []
         for at in range(0, len(near), step):
             i, j = near[at : at + step].T
             ok = np.minimum(points[i], points[j]).sum(axis=1) >= needed(sizes[i], sizes[j], percent)
-            out += zip(np.minimum(sigs[i], sigs[j])[ok].tolist(), np.maximum(sigs[i], sigs[j])[ok].tolist(), strict=True)
+            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                p, q = find(rows[x][5]), find(rows[y][5])
+                if p != q and links(sets[x], sets[y], percent):
+                    up[p] = q
+                    out.append((rows[x][4], rows[y][4]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +273,11 @@ def _joined_blocks(percent: int) -> Callable:
             out: set[tuple[int, int]] = set()
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != group:
-                    out.update(pairs(held))
+                    out.update(found(held))
                     group, held = row[:3], []
                 held.append(row)
             yield _batch(dict(zip(schema, zip(*out, strict=True) if out else [[], []], strict=True)), schema)
-        if out := pairs(held):
+        if out := found(held):
             yield _batch(dict(zip(schema, zip(*out, strict=True), strict=True)), schema)
 
     return run
@@ -273,14 +297,9 @@ def _passing(percent: int) -> Callable:
 def _linked(percent: int) -> Callable:
     """(a, b, set_a, set_b) to the pairs that link."""
 
-    def links(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= percent * (len(a) + len(b) - both)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [links(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
     return run
@@ -333,8 +352,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")
     tiled = members.join(tiles, "block").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "sig", "label")
-    dealt = tiled.join(sets.select("sig", "n", "counts"), "sig").select("block", "low", "high", "tile", "sig", "label", "n", "counts")
-    second = verified(stored(dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "sig").mapInArrow(_joined_blocks(percent), "a long, b long").distinct()))
+    dealt = tiled.join(sets.select("sig", "hashes"), "sig").select("block", "low", "high", "tile", "sig", "label", "hashes")
+    second = stored(dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "sig").mapInArrow(_joined_blocks(percent), "a long, b long").distinct())
 
     owner = met.select("sig", "owner")
     links = first.union(second).join(owner.toDF("a", "x"), "a").join(owner.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
