@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,8 +80,9 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             more += [(kind, at + m.start() + a, at + m.start() + b) for m in find.finditer(run) for a, b in window_spans(m.group(), width, least, PLOGS)]
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base.sort(key=order)
-    covered = [(a, b) for _, a, b in base]
-    new = [s for s in more if not any(a <= s[1] and s[2] <= b for a, b in covered)]
+    starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+    inside = lambda s: (k := bisect_right(starts, s[1])) > 0 and reach[k - 1] >= s[2]  # noqa: E731  of a base span
+    new = [s for s in more if not inside(s)]
     return base, sorted(base + new, key=order)
 
 
