@@ -11,7 +11,13 @@ from assetloom.operators.upsert import replace_edges, upsert_docs
 from assetloom.sources.files import read_index, write_index
 
 #: Documents as records: what a parser's later steps hand over, one JSON line each.
-RECORD = T.StructType.fromDDL("doc_id string, type string, path string, text string, references_out array<string>, typed_references_out map<string,string>")
+RECORD = T.StructType(
+    [
+        *[T.StructField(c, T.StringType()) for c in ("doc_id", "type", "path", "text")],
+        T.StructField("references_out", T.ArrayType(T.StringType())),
+        T.StructField("typed_references_out", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
 COLUMNS = RECORD.names
 
 
