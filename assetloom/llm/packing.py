@@ -29,7 +29,7 @@ from assetloom.llm.common import Recent, table
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
 #: Entries kept by a worker's caches, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+CACHE_WORDS, CACHE_CHARS = 330_000, 48
 #: Words stand between ASCII white space; of other white space the tokenizer takes care itself.
 WORD = re.compile(r"[^\t-\r ]+")
 #: Words of these characters are their own normal form but for case.
@@ -58,6 +58,7 @@ class WordIds:
             raise ValueError(f"not a tokenizer that splits at white space: {kinds}")
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.model = self.tokenizer.model
+        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # so that cached ids share their objects
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chars = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xC0, 0x100)])}
         self.parts = Recent(self._part, CACHE_WORDS, CACHE_CHARS)
@@ -65,9 +66,12 @@ class WordIds:
 
     def _part(self, part: str) -> tuple[int, ...]:
         """Ids of one piece of the split pattern."""
-        return tuple([t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(self.chars.__getitem__, part)))])
+        numbers = self.numbers
+        return tuple([numbers[t.id] for t in self.model.tokenize(part if part.isascii() else "".join(map(self.chars.__getitem__, part)))])
 
     def _word(self, word: str) -> tuple[int, ...]:
+        if word.isascii() and word.isalpha():
+            return self.parts[word.lower()]
         if not PLAIN.fullmatch(word):
             return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
         low = word.lower()
