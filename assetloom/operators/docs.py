@@ -58,7 +58,7 @@ def summary_text(name: Column, kind: Column, parent: Column, widgets: Column) ->
 def asset_summary_docs(records: DataFrame) -> DataFrame:
     """``records``: path, name, asset_type, parent, interfaces, components, events, function_names,
     variables, widget_count, refs, parent_ref. The parent, if known, is a typed reference."""
-    head = lambda c: F.slice(_list(c), 1, IN_METADATA).alias(c)
+    head = lambda c: F.slice(_list(c), 1, IN_METADATA).alias(c.replace("function_names", "functions"))
     meta = F.struct(F.col("widget_count"), F.size(_list("function_names")).alias("function_count"), F.coalesce("parent", F.lit("")).alias("parent_class"), head("events"), head("function_names"), head("components"), head("variables"), F.slice(_list("interfaces"), 1, 10).alias("interfaces"))
     up = F.col("parent_ref")
     refs = F.when(up.isNull(), _list("refs")).otherwise(F.array_union(_list("refs"), F.array(up)))
@@ -218,3 +218,25 @@ def effect_docs(records: DataFrame) -> DataFrame:
     refs = F.when(parent.isNotNull(), F.array(parent)).otherwise(F.array().cast(STRINGS))
     typed = F.when(parent.isNotNull(), F.create_map(parent, F.lit("inherits_from"))).otherwise(F.map_from_arrays(F.array().cast(STRINGS), F.array().cast(STRINGS)))
     return _document(records, F.concat(F.lit("asset:"), "path"), "asset_summary", F.col("name"), F.lit("GameplayEffect"), text, F.struct("duration_policy", "modifiers", "asset_tags", "granted_tags"), refs, typed)
+
+
+def export_tags(records: DataFrame, collect) -> DataFrame:
+    """(path, tag), once each: the tags in the properties of all exports of ``records``, as ``collect`` finds them."""
+    values = records.select("path", F.explode("exports").alias("e")).select("path", F.explode("e.properties").alias("p"))
+    return values.select("path", F.explode(collect(F.col("p.value"))).alias("tag")).distinct()
+
+
+METADATA = "parent_class string, flags array<string>, calls array<string>, functions array<string>, events array<string>, variables array<string>, control_flow struct<has_branches: boolean>"
+
+
+def semantic_snippet(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``snippet``: of functions their flags, calls and branches, of blueprints and widgets
+    their parent and members, both cut at 260 characters; of others the first 200 of the text."""
+    m = F.from_json("metadata", METADATA)
+    items = lambda label, c, n: listed(label, F.coalesce(F.col(f"_m.{c}"), F.array().cast(STRINGS)), n)
+    function = F.concat_ws(". ", F.concat(F.lit("Blueprint function "), "name", F.lit(" in "), "path"), items("Flags: ", "flags", 4), items("Calls: ", "calls", 6), F.when(F.col("_m.control_flow.has_branches"), "Has conditional branches"))
+    parent = F.when(F.coalesce("_m.parent_class", F.lit("")) != "", F.concat(F.lit("Parent: "), "_m.parent_class"))
+    summary = F.concat_ws(". ", F.concat("asset_type", F.lit(" "), "name"), parent, items("Functions: ", "functions", 5), items("Events: ", "events", 5), items("Variables: ", "variables", 5))
+    of_blueprint = (F.col("type") == "asset_summary") & F.lower("asset_type").isin("blueprint", "widgetblueprint")
+    out = F.when(F.col("type") == "bp_graph_summary", F.substring(function, 1, 260)).when(of_blueprint, F.substring(summary, 1, 260)).otherwise(F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    return docs.withColumn("_m", m).withColumn("snippet", out).drop("_m")

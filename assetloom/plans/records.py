@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetloom.functions.text import collect_refs
+from assetloom.functions.text import collect_refs, collect_tags
 from assetloom.operators import docs as D
 from assetloom.plans.views import view, with_views
 
@@ -48,10 +48,23 @@ def _summary(spark, d):
 @query("blueprint_docs", f""" SELECT 'asset:' || path AS doc_id, name || ' is a Blueprint. inheriting from Actor. Components: ' || {listed('C')} || '. Functions: Fire.' AS text, '/Game/X/A,class:Actor inherits_from' AS refs FROM v_assets
   UNION ALL SELECT 'bp_func:' || path || '::Fire', 'Function Fire in ' || name || '. Flags: Public, Native. Parameters: out Hit: bool, Range: float. Calls: Trace. Contains conditional logic (low complexity).', '/Game/X/A' FROM v_assets""")
 def _blueprint(spark, d):
+    return D.blueprint_docs(_records_of_blueprints(spark, d))
+
+
+def _records_of_blueprints(spark, d):
     param = lambda n, t, w: F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(w).alias("direction"))
     flow = F.struct(F.lit(True).alias("has_branches"), F.lit("low").alias("complexity"))
     f = F.struct(F.lit("Fire").alias("name"), F.lit("Public, Native").alias("flags"), F.array(F.lit("Trace")).alias("calls"), flow.alias("control_flow"), F.array(param("Hit", "bool", "out"), param("Range", "float", "in")).alias("params"))
-    return D.blueprint_docs(assets(spark, d).withColumn("functions", F.array(f)))
+    return assets(spark, d).withColumn("functions", F.array(f))
+
+
+def _snippets(spark, d):
+    return D.semantic_snippet(D.blueprint_docs(_records_of_blueprints(spark, d))).select("doc_id", "snippet")
+
+
+QUERIES["semantic_snippet"] = _snippets
+SQL["semantic_snippet"] = with_views("v_assets") + """ SELECT 'asset:' || path AS doc_id, 'Blueprint ' || name || '. Parent: Actor. Functions: Fire' AS snippet FROM v_assets
+  UNION ALL SELECT 'bp_func:' || path || '::Fire', substr('Blueprint function Fire in ' || path || '. Flags: Public, Native. Calls: Trace. Has conditional branches', 1, 260) FROM v_assets"""
 
 
 @query("widget_docs", f""" SELECT 'asset:' || path AS doc_id, name || ' is a WidgetBlueprint. inheriting from Actor. Components: ' || {listed('C')} || '.' AS text, '/Game/X/A,class:Actor inherits_from' AS refs FROM v_assets
@@ -108,3 +121,14 @@ def _effect(spark, d):
     mod = F.struct(F.lit("Health").alias("attribute"), F.lit("EGameplayModOp::Additive").alias("op"), F.concat(F.lit("-"), F.col("size").cast("string")).alias("magnitude"))
     r = assets(spark, d).select("path", "name", F.lit("(, /Game/GE/Base, )").alias("parent"), F.lit("EDuration::Instant").alias("duration_policy"), F.lit(0.0).alias("period"), F.lit(None).cast("string").alias("stacking"), F.array(mod).alias("modifiers"), F.array(F.lit("A.B")).alias("asset_tags"), F.array().cast("array<string>").alias("granted_tags"))
     return D.effect_docs(r)
+
+
+def _tags(spark, d):
+    value = F.concat(F.lit('{"_type":"GameplayTag","TagName":"Size.S'), F.col("size").cast("string"), F.lit('"}'))
+    prop = F.struct(F.lit("Tag").alias("name"), value.alias("value"))
+    records = view(spark, d, "v_assets").select("path", F.array(F.struct(F.lit("A").alias("class"), F.array(prop, prop).alias("properties"))).alias("exports"))
+    return D.export_tags(records, collect_tags)
+
+
+QUERIES["export_tags"] = _tags
+SQL["export_tags"] = with_views("v_assets") + " SELECT path, 'Size.S' || size AS tag FROM v_assets"
