@@ -73,8 +73,8 @@ class ByteBpe:
         self.shorter = _Lazy(self._shorter)
         self.longest_token = max(self.size_of.values())
         self.whole = {token.decode("latin-1"): rank for token, rank in self.ranks.items()}
-        self.pieces = Recent(self._piece, CACHE_UNITS, CACHE_CHARS)
-        self.units = Recent(self._unit, CACHE_UNITS, CACHE_CHARS)
+        self.pieces = Recent(self._piece, CACHE_UNITS, CACHE_CHARS, __name__)
+        self.units = Recent(self._unit, CACHE_UNITS, CACHE_CHARS, __name__)
 
     def merged(self, data: bytes) -> list[bytes]:
         """Tokens by plain rank-ordered merging, for a token's last merge; quadratic."""

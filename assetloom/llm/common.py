@@ -27,7 +27,10 @@ def per_text(make: Callable[..., Callable[[str], object]], returns: T.DataType,
     made = lru_cache(make) if not hasattr(make, "cache_info") else make
     arrow = to_arrow_type(returns)
 
+    owner = make.__module__
+
     def run(texts: pa.Array) -> pa.Array:
+        release(owner)
         f = made(*args)
         return pa.array([f(x.as_py() or "") for x in texts], type=arrow)
 
@@ -44,6 +47,18 @@ def crc_mod_py(value: int, m: int) -> int:
     return zlib.crc32(str(value).encode()) % m
 
 
+#: (owner, cache) of a worker.
+CACHES: list = []
+
+
+def release(owner: str) -> None:
+    """Empty the caches of all other operators, whose tasks this worker ran before."""
+    for other, cache in CACHES:
+        if other != owner:
+            cache.clear()
+            cache.old = {}
+
+
 class Recent(dict):
     """Values computed when first asked for, in bounded memory.
 
@@ -51,10 +66,11 @@ class Recent(dict):
     that are asked for again move on. Keys longer than ``longest`` are not kept.
     """
 
-    def __init__(self, compute: Callable, size: int, longest: int):
+    def __init__(self, compute: Callable, size: int, longest: int, owner: str):
         super().__init__()
         self.compute, self.size, self.longest = compute, size, longest
         self.old: dict = {}
+        CACHES.append((owner, self))
 
     def __missing__(self, key):
         value = self.old.get(key)

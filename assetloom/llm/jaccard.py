@@ -41,6 +41,8 @@ from assetloom.llm.words import mix, shingle_hashes
 SHINGLE, PERCENT = 4, 85
 #: Members of a block that are joined at once; larger blocks are cut into tiles of this size.
 TILE = 512
+#: Texts that are worked on at once.
+SLICE = 512
 #: Points of an R-tree's leaf, and children of a node; groups that its coordinates add up, which
 #: are told apart again for the pairs of points that it gives.
 LEAF, COARSE = 16, 8
@@ -173,12 +175,19 @@ def _batch(columns: dict[str, object], schema: dict[str, pa.DataType]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(columns[k], type=t) for k, t in schema.items()], names=list(schema))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few texts, as what is made of them is larger than the texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _profiles(width: int, percent: int) -> Callable:
     """(doc_id, text) to (doc_id, n, sig, keys)."""
     schema = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "keys": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             sizes, sigs, keys, ends = [], [], [], [0]
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 h = shingle_set(text.as_py() or "", width)
@@ -310,7 +319,7 @@ def _sets(width: int) -> Callable:
     schema = {"sig": pa.int64(), "n": pa.int64(), "counts": pa.binary(), "hashes": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = [(sig, shingle_set(text or "", width)) for sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             rows = [(sig, h) for sig, h in rows if signature(h) == sig]
             yield _batch({"sig": [s for s, _ in rows], "n": [len(h) for _, h in rows], "counts": [packed(count_vector(h)) for _, h in rows], "hashes": [h.tobytes() for _, h in rows]}, schema)

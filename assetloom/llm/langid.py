@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import crc_mod, table
+from assetloom.llm.common import crc_mod, release, table
 
 #: Cells of hashed n-grams, longest n-gram, and the sample sizes of a fit.
 CELLS, LONGEST, PER_LANGUAGE, LANDMARKS, RIDGE = 1 << 14, 3, 400, 24, 1e-3
@@ -129,7 +129,13 @@ def predict_language(text: Column, model: LanguageModel) -> Column:
     """struct(lang, score)."""
 
     def run(texts: pa.Array) -> pa.Array:
-        names, scores = model.predict(texts.to_pylist())
+        release(__name__)
+        names: list[str] = []
+        scores: list[float] = []
+        for at in range(0, len(texts), BLOCK):  # so that few texts stand in memory twice
+            n, s = model.predict(texts.slice(at, BLOCK).to_pylist())
+            names += n
+            scores += s
         return pa.StructArray.from_arrays([pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=["lang", "score"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import Recent, table
+from assetloom.llm.common import Recent, release, table
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 512, 1
 #: Entries kept by a worker's caches, and the longest word kept.
@@ -61,8 +61,8 @@ class WordIds:
         self.numbers = list(range(self.tokenizer.get_vocab_size()))  # so that cached ids share their objects
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chars = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xC0, 0x100)])}
-        self.parts = Recent(self._part, CACHE_WORDS, CACHE_CHARS)
-        self.words = Recent(self._word, CACHE_WORDS, CACHE_CHARS)
+        self.parts = Recent(self._part, CACHE_WORDS, CACHE_CHARS, __name__)
+        self.words = Recent(self._word, CACHE_WORDS, CACHE_CHARS, __name__)
 
     def _part(self, part: str) -> tuple[int, ...]:
         """Ids of one piece of the split pattern."""
@@ -150,6 +150,7 @@ def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release(__name__)
         encode, fit, base = word_ids(path).text, BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4")
         for batch in batches:

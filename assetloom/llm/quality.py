@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import crc_mod, table
+from assetloom.llm.common import crc_mod, release, table
 
 SAMPLE, THRESHOLD = 20_000, 0.3
 #: Shrinkage towards the joint covariance, then towards the own diagonal.
@@ -147,6 +147,7 @@ def quality_score(text: Column, model: QualityModel) -> Column:
     """The probability that a text is of class 1."""
 
     def run(texts: pa.Array) -> pa.Array:
+        release(__name__)
         stats = np.array([statistics(t.as_py() or "") for t in texts]).reshape(len(texts), len(STATS))
         return pa.array(model.scores(stats), type=pa.float64())
 

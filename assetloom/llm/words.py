@@ -9,12 +9,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from assetloom.llm.common import Recent
+from assetloom.llm.common import Recent, release
 
 CACHE_WORDS, CACHE_BYTES = 200_000, 64
 
 
-HASHES = Recent(xxhash.xxh3_64_intdigest, CACHE_WORDS, CACHE_BYTES)
+HASHES = Recent(xxhash.xxh3_64_intdigest, CACHE_WORDS, CACHE_BYTES, __name__)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,6 +26,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
     """Hashes of all word shingles of a text in turn, repeated ones too; none without words."""
+    release(__name__)
     words = text.encode().lower().split()
     h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     n = len(h) - width + 1
