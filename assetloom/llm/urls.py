@@ -2,8 +2,9 @@
 
 Names in a host are often words written together. A unigram model, counted over the text of all
 pages, splits each run of letters into its likeliest words (Viterbi). Multinomial naive Bayes then
-weighs the words of host and path. It learns from all pages, labelled by a small list of seed
-words: a host with one strong or two weak seed words is to be blocked. What reaches the driver and
+weighs the words of host and path. It learns from all pages, labelled by a list of seed words: a
+page with one strong or two weak seed words in host or path, the last label of the host included,
+is to be blocked. What reaches the driver and
 the tasks is the ``vocabulary`` most frequent words of each count, a documented bound.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule, and
@@ -27,9 +28,12 @@ from assetloom.llm.common import table
 
 #: (verdict, rule); a rule is a host and a path from its first slash on.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Seed words, by which hosts are labelled for the fit.
-STRONG = frozenset("bet bets betting casino casinos gamble jackpot lottery malware nude pharma pills poker porn replica sex slots viagra warez xxx".split())
-WEAK = frozenset("ad ads adserver banner bonus buy cheap click deals discount download free loan loans money offer popup prize promo spam track tracker tracking win winner".split())
+#: Seed words, by which pages are labelled for the fit: one strong word says enough.
+STRONG = frozenset(
+    """adult adults bet bets betting blackjack casino casinos cialis erotic escort escorts fetish gamble gambling hentai jackpot lottery malware milf
+    nsfw nude nudes pharma phish phishing pills poker porn porno pornos replica roulette scam scams sex sexy slots spam spammer spyware viagra warez xxx""".split()
+)
+WEAK = frozenset("ad ads adserver banner bonus buy cheap click deals discount download free loan loans money offer popup prize promo track tracker tracking win winner".split())
 VOCABULARY, LONGEST_WORD = 50_000, 24
 #: Counted for each seed word, so that it can be split off.
 SEED_COUNT = 50
@@ -98,14 +102,18 @@ def count_unigrams(pages: DataFrame, html_col: str = "html", vocabulary: int = V
 
 
 def url_words(host: str, path: str, unigrams: Unigrams) -> tuple[list[str], list[str]]:
-    """The words of a host without its last label, and of a path; runs of digits are ``0``."""
-    own = [w for p in PIECE.findall(host.rpartition(".")[0]) for w in (unigrams.split(p) if p[0] > "9" else ["0"])]
+    """The words of a host, of its last label only seed words, and of a path; runs of digits are
+    ``0``. A host of one label has no last label besides."""
+    head, dot, last = host.rpartition(".")
+    own = [w for p in PIECE.findall(head if dot else last) for w in (unigrams.split(p) if p[0] > "9" else ["0"])]
+    own += [p for p in PIECE.findall(last) if dot and p in STRONG | WEAK]
     return own, [("/" + w if w[0] > "9" else "/0") for w in PIECE.findall(path.lower())]
 
 
-def seed_label(host_words: list[str]) -> bool:
-    """Whether a host is to be blocked by its seed words."""
-    return bool(STRONG & set(host_words)) or len(WEAK & set(host_words)) > 1
+def seed_label(host_words: list[str], path_words: list[str]) -> bool:
+    """Whether a page is to be blocked by the seed words of its host and path."""
+    words = {*host_words, *(w[1:] for w in path_words)}
+    return bool(STRONG & words) or len(WEAK & words) > 1
 
 
 @dataclass
@@ -130,7 +138,7 @@ def fit_bayes(pages: DataFrame, unigrams: Unigrams, vocabulary: int = VOCABULARY
         out = []
         for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
             own, more = url_words(h, p, unigrams)
-            out.append({"label": seed_label(own), "words": own + more})
+            out.append({"label": seed_label(own, more), "words": own + more})
         return pa.array(out, type=pa.struct([("label", pa.bool_()), ("words", pa.list_(pa.string()))]))
 
     run.__annotations__ = {"hosts": pa.Array, "paths": pa.Array, "return": pa.Array}

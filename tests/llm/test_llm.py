@@ -128,6 +128,23 @@ def test_spam_hosts_blocked_and_clean_ones_not(spark):
     assert (free.verdict[spam] == "block").all() and (free.verdict[~spam] == "allow").all()
 
 
+def test_adult_and_spam_hosts_blocked(spark):
+    got = registry.QUERIES["op3_url_filters"](spark, "/root/testdata/sf0.1").toPandas()
+    free = got[got.rule.isna()]
+    spam = free.host.str.contains("adult-x|spam-farm|casino|bets|pills|ads-track")
+    assert {"adult", "spam"} <= set(" ".join(free.host_words[spam]).split())
+    assert (free.verdict[spam] == "block").all() and (free.verdict[~spam] == "allow").all()
+
+
+def test_last_label_single_label_and_path_give_labels(spark, tmp_path):
+    pages = [(i, f"http://shop{i}.example.net/en/{i}", "<p>the shop has a royal example</p>") for i in range(20)]
+    pages += [(100, "http://royal.casino/en/1", ""), (101, "http://xxx/en/1", ""), (102, "http://royal.example.net/porn/1", ""), (103, "http://royal.example.net/en/1", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["op3_url_filters"](spark, str(tmp_path)).toPandas().set_index("page_id")
+    assert (got.verdict[[100, 101, 102]] == "block").all() and (got.verdict[range(20)] == "allow").all()
+    assert got.host_words[100] == "royal casino" and got.host_words[101] == "xxx"
+
+
 # 4
 
 
