@@ -4,8 +4,9 @@ Names in a host are often words written together. A unigram model, counted over
 pages, splits each run of letters into its likeliest words (Viterbi). Multinomial naive Bayes then
 weighs the words of host and path. It learns from all pages, labelled by a list of seed words: a
 page with one strong or two weak seed words in host or path, the last label of the host included,
-is to be blocked. What reaches the driver and
-the tasks is the ``vocabulary`` most frequent words of each count, a documented bound.
+is to be blocked. Both counts hold every word and stay in Spark: substrings of the distinct hosts,
+and the words of the distinct kinds of pages, are joined with them. Pages are of one kind if their
+hosts are the same and their paths have the same words.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule, and
 is allowed. Repeated rows are judged alike; an empty table gives no rows.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetloom.llm.common import table
+from assetloom.llm.tables import small_side
+from assetloom.sources.scratch import stored
 
 #: (verdict, rule); a rule is a host and a path from its first slash on.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -34,9 +37,11 @@ STRONG = frozenset(
     nsfw nude nudes pharma phish phishing pills poker porn porno pornos replica roulette scam scams sex sexy slots spam spammer spyware viagra warez xxx""".split()
 )
 WEAK = frozenset("ad ads adserver banner bonus buy cheap click deals discount download free loan loans money offer popup prize promo track tracker tracking win winner".split())
-VOCABULARY, LONGEST_WORD = 50_000, 24
-#: Counted for each seed word, so that it can be split off.
-SEED_COUNT = 50
+LONGEST_WORD = 24
+#: Of all words counted, the share that each seed word has besides, so that it can be split off.
+SEED_SHARE = 5e-5
+#: Rows of substrings that leave a task at once.
+ROWS = 20_000
 PIECE = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -80,8 +85,6 @@ class Unigrams:
             start = -best[end][1]
             out.append(name[start:end])
             end = start
-        if len(self.known) >= VOCABULARY:
-            self.known.clear()
         self.known[name] = out = out[::-1]
         return out
 
@@ -89,90 +92,109 @@ class Unigrams:
         return self.logs.get(word, -math.log(self.total) - len(word) * math.log(10))
 
 
-def count_unigrams(pages: DataFrame, html_col: str = "html", vocabulary: int = VOCABULARY) -> Unigrams:
-    """Counts over the text of all pages; the most frequent words stay."""
+def count_unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(w, n): how often each word stands in the text of all pages."""
     text = F.lower(F.regexp_replace(F.col(html_col), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, r"[^a-z]+")).alias("w")).filter((F.length("w") > 1) & (F.length("w") <= LONGEST_WORD))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary).collect()
-    counts = Counter({r.w: r["count"] for r in top})
-    for w in STRONG | WEAK:
-        counts[w] += SEED_COUNT
-    total = float(sum(counts.values()))
-    return Unigrams({w: math.log(n / total) for w, n in counts.items()}, total)
+    return stored(words.groupBy("w").agg(F.count("*").alias("n")))
 
 
-def url_words(host: str, path: str, unigrams: Unigrams) -> tuple[list[str], list[str]]:
-    """The words of a host, of its last label only seed words, and of a path; runs of digits are
-    ``0``. A host of one label has no last label besides."""
+def own_part(host: str) -> tuple[str, str]:
+    """A host without its last label, and that label; a host of one label has no last one besides."""
     head, dot, last = host.rpartition(".")
-    own = [w for p in PIECE.findall(head if dot else last) for w in (unigrams.split(p) if p[0] > "9" else ["0"])]
-    own += [p for p in PIECE.findall(last) if dot and p in STRONG | WEAK]
-    return own, [("/" + w if w[0] > "9" else "/0") for w in PIECE.findall(path.lower())]
-
-
-def seed_label(host_words: list[str], path_words: list[str]) -> bool:
-    """Whether a page is to be blocked by the seed words of its host and path."""
-    words = {*host_words, *(w[1:] for w in path_words)}
-    return bool(STRONG & words) or len(WEAK & words) > 1
-
-
-@dataclass
-class NaiveBayes:
-    """Log odds of blocking: of the prior, and of each word; unknown words weigh nothing."""
-
-    prior: float
-    words: dict[str, float]
-
-    def odds(self, words: list[str]) -> float:
-        return self.prior + sum(self.words.get(w, 0.0) for w in words)
+    return (head, last) if dot else (last, "")
+
+
+def host_words(host: str, unigrams: Unigrams) -> list[str]:
+    """The words of a host, of its last label only seed words; runs of digits are ``0``."""
+    own, last = own_part(host)
+    words = [w for p in PIECE.findall(own) for w in (unigrams.split(p) if p[0] > "9" else ["0"])]
+    return words + [p for p in PIECE.findall(last) if p in STRONG | WEAK]
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, host) to (id, w): what may be a word in a host, once each."""
+    for batch in batches:
+        ids, words = [], []
+        for i, host in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            runs = [p for p in PIECE.findall(own_part(host)[0]) if p[0] > "9"]
+            for w in {r[a:b] for r in runs for a in range(len(r)) for b in range(a + 2, min(a + LONGEST_WORD, len(r)) + 1)}:
+                ids.append(i)
+                words.append(w)
+                if len(ids) == ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "w"])
+                    ids, words = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "w"])
+
+
+def split_hosts(hosts: DataFrame, unigrams: DataFrame) -> DataFrame:
+    """(host, words) of each host, once; ``unigrams``: w, n."""
+    total = float(unigrams.agg(F.sum("n")).first()[0] or 1)
+    seeds = {w: total * SEED_SHARE for w in STRONG | WEAK}
+    total += sum(seeds.values())
+
+    def run(hosts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for host, known in zip(hosts.to_pylist(), found.to_pylist(), strict=True):
+            counts = dict(seeds)
+            for k in known or []:
+                counts[k["w"]] = counts.get(k["w"], 0.0) + k["n"]
+            out.append(host_words(host, Unigrams({w: math.log(n / total) for w, n in counts.items()}, total)))
+        return pa.array(out, type=pa.list_(pa.string()))
 
+    run.__annotations__ = {"hosts": pa.Array, "found": pa.Array, "return": pa.Array}
+    ids = stored(hosts.select("host").distinct().withColumn("id", F.monotonically_increasing_id()))
+    parts = ids.select("id", "host").mapInArrow(_substrings, "id long, w string")
+    found = parts.join(unigrams, "w").groupBy("id").agg(F.collect_list(F.struct("w", "n")).alias("found"))
+    return stored(ids.join(found, "id", "left").select("host", F.arrow_udf(run, returnType=T.ArrayType(T.StringType()))("host", "found").alias("words")))
 
-LABELLED = T.StructType([T.StructField("label", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
+def path_words(path: Column) -> Column:
+    """The words of a path, each after a slash; runs of digits are ``/0``."""
+    return F.transform(F.regexp_extract_all(F.lower(path), F.lit("([a-z]+|[0-9]+)"), F.lit(1)), lambda w: F.when(w >= "a", F.concat(F.lit("/"), w)).otherwise("/0"))
 
-def fit_bayes(pages: DataFrame, unigrams: Unigrams, vocabulary: int = VOCABULARY) -> NaiveBayes:
-    """Learn from all pages; ``pages`` has host and path. Add-one smoothing; both classes are equally
-    likely beforehand, so that a rare one is found as well."""
 
-    def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        out = []
-        for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
-            own, more = url_words(h, p, unigrams)
-            out.append({"label": seed_label(own, more), "words": own + more})
-        return pa.array(out, type=pa.struct([("label", pa.bool_()), ("words", pa.list_(pa.string()))]))
+def seed_label(host: Column, path: Column) -> Column:
+    """Whether a page is to be blocked by the seed words among those of its host and path."""
+    words = F.array_union(host, F.transform(path, lambda w: F.substring(w, 2, LONGEST_WORD)))
+    strong, weak = (F.array(*map(F.lit, sorted(x))) for x in (STRONG, WEAK))
+    return F.arrays_overlap(words, strong) | (F.size(F.array_intersect(words, weak)) > 1)
 
-    run.__annotations__ = {"hosts": pa.Array, "paths": pa.Array, "return": pa.Array}
-    labelled = pages.select(F.arrow_udf(run, returnType=LABELLED)("host", "path").alias("x")).select("x.label", F.explode("x.words").alias("w"))
-    counts = labelled.groupBy("w").agg(F.count_if("label").alias("block"), F.count_if(~F.col("label")).alias("allow"))
-    top = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "w").limit(vocabulary).collect()
-    n = {r.w: (r.block, r.allow) for r in top}
-    sums = [sum(x[c] for x in n.values()) + len(n) + 1 for c in (0, 1)]
-    return NaiveBayes(0.0, {w: math.log((b + 1) / sums[0]) - math.log((a + 1) / sums[1]) for w, (b, a) in n.items()})
 
+def page_kinds(urls: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(kind, host, path_words, n, words, label): the kinds of pages, how many there are, all words
+    of host and path, and the seeds' label. ``urls``: host, path_words; ``hosts``: host, words."""
+    kinds = stored(urls.groupBy("host", "path_words").agg(F.count("*").alias("n")))
+    known = kinds.join(small_side(hosts), "host").withColumn("label", seed_label(F.col("words"), F.col("path_words")))
+    return stored(known.withColumn("kind", F.monotonically_increasing_id()).select("kind", "host", "path_words", "n", F.col("words").alias("host_words"), F.concat("words", "path_words").alias("words"), "label"))
 
-SCORED = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("odds", T.DoubleType())])
 
+def fit_bayes(kinds: DataFrame) -> DataFrame:
+    """(w, weight): log odds of blocking of every word, learned from all pages. Add-one smoothing;
+    both classes are equally likely beforehand, so that a rare one is found as well."""
+    n = lambda label: F.sum(F.when(label, F.col("n")).otherwise(0))
+    counts = stored(kinds.select("label", "n", F.explode("words").alias("w")).groupBy("w").agg(n(F.col("label")).alias("block"), n(~F.col("label")).alias("allow")))
+    sums = counts.agg(*[(F.coalesce(F.sum(c), F.lit(0)) + F.count("*") + 1).alias(c) for c in ("block", "allow")]).first()
+    part = lambda c: F.log((F.col(c) + 1) / F.lit(float(sums[c])))
+    return stored(counts.select("w", (part("block") - part("allow")).alias("weight")))
 
-def score_urls(host: Column, path: Column, unigrams: Unigrams, bayes: NaiveBayes) -> Column:
-    """struct(words of the host, log odds of blocking)."""
-
-    def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        out = []
-        for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
-            own, more = url_words(h, p, unigrams)
-            out.append({"words": own, "odds": bayes.odds(own + more)})
-        return pa.array(out, type=pa.struct([("words", pa.list_(pa.string())), ("odds", pa.float64())]))
 
-    run.__annotations__ = {"hosts": pa.Array, "paths": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, returnType=SCORED)(host, path)
+def score_kinds(kinds: DataFrame, weights: DataFrame) -> DataFrame:
+    """(host, path_words, host_words, odds): the log odds of blocking of each kind of page."""
+    each = kinds.select("kind", F.posexplode("words").alias("at", "w")).join(small_side(weights), "w")
+    # summed in the order of the words, so that runs agree to the last bit
+    ordered = F.array_sort(F.collect_list(F.struct("at", "weight")))
+    odds = each.groupBy("kind").agg(F.aggregate(ordered, F.lit(0.0), lambda sum_, x: sum_ + x["weight"]).alias("odds"))
+    return stored(kinds.join(odds, "kind", "left").select("host", "path_words", "host_words", F.coalesce("odds", F.lit(0.0)).alias("odds")))
 
 
 def op3_url_filters(spark, sf_dir):
     """Host, path, rule and verdict of every page."""
     pages = table(spark, sf_dir, "pages")
-    unigrams = count_unigrams(pages)
-    urls = split_url(pages.select("page_id", "url"))
-    bayes = fit_bayes(urls, unigrams)
-    judged = urls.withColumn("r", longest_rule(F.col("host"), F.col("path"), RULES)).withColumn("s", score_urls(F.col("host"), F.col("path"), unigrams, bayes))
-    own = F.when(F.col("s.odds") > 0, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), F.array_join("s.words", " ").alias("host_words"), F.col("s.odds").alias("block_odds"))
+    urls = split_url(pages.select("page_id", "url")).withColumn("path_words", path_words(F.col("path")))
+    hosts = split_hosts(urls, count_unigrams(pages))
+    kinds = page_kinds(urls, hosts)
+    scored = score_kinds(kinds, fit_bayes(kinds))
+    judged = urls.join(small_side(scored), ["host", "path_words"]).withColumn("r", longest_rule(F.col("host"), F.col("path"), RULES))
+    own = F.when(F.col("odds") > 0, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), F.array_join("host_words", " ").alias("host_words"), F.col("odds").alias("block_odds"))

@@ -145,6 +145,24 @@ def test_last_label_single_label_and_path_give_labels(spark, tmp_path):
     assert got.host_words[100] == "royal casino" and got.host_words[101] == "xxx"
 
 
+def test_every_word_of_the_corpus_is_known(spark):
+    common = "".join(f" w{a}{b}{c}{d}" for a, b, c, d in itertools.product("abcdefghijklmnop", repeat=4)).replace(" w", " q")
+    pages = spark.createDataFrame([(1, common * 2 + " zebra quilt")], "page_id long, html string")
+    counts = urls.count_unigrams(pages)
+    assert counts.count() == 16**4 + 2
+    hosts = spark.createDataFrame([("zebraquilt.example.net",), ("zebraquilt.example.net",), ("freebets-7.casino",)], "host string")
+    got = {r.host: r.words for r in urls.split_hosts(hosts, counts).collect()}
+    assert got == {"zebraquilt.example.net": ["zebra", "quilt", "example"], "freebets-7.casino": ["free", "bets", "0", "casino"]}
+
+
+def test_bayes_weighs_every_word_of_path(spark):
+    rows = [("a.net", [f"/{w}"], 1, [], [f"/{w}"], w == "casino") for w in ("casino", *(f"p{i}" for i in range(60_000)))]
+    kinds = spark.createDataFrame(pd.DataFrame(rows, columns=["host", "path_words", "n", "host_words", "words", "label"]), "host string, path_words array<string>, n long, host_words array<string>, words array<string>, label boolean")
+    got = {r.w: r.weight for r in urls.fit_bayes(kinds).collect()}
+    assert len(got) == 60_001
+    assert got["/casino"] == pytest.approx(math.log(2 / 60_003) - math.log(1 / 120_002)) and got["/p59999"] == pytest.approx(math.log(1 / 60_003) - math.log(2 / 120_002))
+
+
 # 4
 
 
