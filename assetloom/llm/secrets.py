@@ -3,8 +3,10 @@
 Candidates are maximal runs of token characters. A window slides over each candidate; the counts of
 its characters are kept by adding the one that enters and taking away the one that leaves, so each
 step costs the same whatever the window's length. Windows whose Shannon entropy reaches the limit
-of the candidate's character class are joined into one span. Candidates on the allow list are
-suppressed. Spans found by the fixed patterns always stay.
+of a character class are joined into one span; each limit is what 995 of 1000 random windows of the
+class's own alphabet reach. Long words reach them too, so spans whose letters mostly follow each
+other as in words are left out. The allow list holds for the parts of a candidate between its
+joiners, not for all of it. Spans found by the fixed patterns always stay.
 
 Defined results: a null or empty text has no spans; places count code points, ends are exclusive;
 of equal starts the kinds come in the order of ``KINDS``.
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from assetloom.llm.common import per_text, table
 
-KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper", "entropy_letters"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST = 6
@@ -32,11 +34,53 @@ ASSIGN_LEAST = 6
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Of each character class: its runs, the window, and the least entropy in bits a character.
-CLASSES = {"entropy_hex": (re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.0), "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9)}
-#: Candidates that look random but are no secrets: identifiers in UUID form, words joined by
-#: hyphens or slashes, plain numbers, plain letters, placeholders.
-ALLOWED = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9=_/+-]+|[A-Za-z=_/+-]+|.*(?:example|placeholder|xxxx|0123456789|abcdefgh).*", re.IGNORECASE | re.ASCII)
+#: Of each character class: its runs, the window, the least entropy in bits a character, and the
+#: entropy from which a span needs no test for words.
+CLASSES = {
+    "entropy_hex": (re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.0, 3.0),
+    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.62, 3.9),
+    "entropy_lower": (re.compile(r"[a-z0-9]{20,}"), 20, 3.34, 5.0),
+    "entropy_upper": (re.compile(r"[A-Z0-9]{20,}"), 20, 3.28, 5.0),
+    "entropy_letters": (re.compile(r"[A-Za-z]{20,}"), 20, 3.14, 5.0),
+}
+#: Parts of a candidate that look random but are no secrets: identifiers in UUID form, and what
+#: stands between joiners and holds a placeholder.
+ALLOWED = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]*(?:example|placeholder|xxxx|0123456789|abcdefgh)[A-Za-z0-9]*", re.IGNORECASE | re.ASCII)
+#: Words that ALLOWED needs.
+PLACEHOLDERS = ("example", "placeholder", "xxxx", "0123456789", "abcdefgh")
+LETTER, PAIR = re.compile(r"[A-Za-z]"), re.compile(r"(?=([A-Za-z]{2}))")
+#: Pairs of letters that are frequent in English, German, French or Spanish, by the first letter.
+FREQUENT = frozenset(
+    first + second
+    for first, _, more in (x.partition(":") for x in """a:abcdeilmnprstu b:ejloy c:aehiklot d:aeiou e:abcdefilmnopqrstuvxz f:aioru g:aeu h:abehinost i:acdefglmnorstv j:ae k:e l:aefilostuy m:aeiop
+    n:abcdeghilmnorstuv o:abcdefilmnprstuw p:aeflort q:u r:abeghimnorstu s:acehimoprstu t:aehilorstuyz u:aeilmnoprstx v:aeio w:hi x:aeot z:u""".split())
+    for second in more
+)
+#: The share of frequent pairs from which letters make words; some 3 in 10 are frequent by chance.
+WORDLIKE = 0.6
+
+
+def no_secret(span: str, sure: bool) -> bool:
+    """Whether a span has no letters, or its letters make words; ``sure`` leaves out the latter,
+    except for a span of letters and joiners only."""
+    if not LETTER.search(span):
+        return True
+    if sure and any("0" <= c <= "9" for c in span):
+        return False
+    pairs = [p.lower() in FREQUENT for p in PAIR.findall(span)]
+    return sum(pairs) > WORDLIKE * len(pairs)
+
+
+def candidates(run: str) -> list[tuple[int, str]]:
+    """What the allow list leaves of a run, with the places."""
+    low = run.lower()
+    if run.count("-") < 4 and not any(w in low for w in PLACEHOLDERS):
+        return [(0, run)]
+    out, at = [], 0
+    for m in ALLOWED.finditer(run):
+        out.append((at, run[at : m.start()]))
+        at = m.end()
+    return [*out, (at, run[at:])]
 
 
 def window_spans(run: str, width: int, least: float, plogs: list[float]) -> list[tuple[int, int]]:
@@ -74,10 +118,13 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     for r in RUN.finditer(text):
         run, at = r.group(), r.start()
         base += [(kind, at + m.start(), at + m.end()) for kind, find in (("access", ACCESS), ("hex", HEX)) for m in find.finditer(run)]
-        if ALLOWED.fullmatch(run):
-            continue
-        for kind, (find, width, least) in CLASSES.items():
-            more += [(kind, at + m.start() + a, at + m.start() + b) for m in find.finditer(run) for a, b in window_spans(m.group(), width, least, PLOGS)]
+        for offset, part in candidates(run):
+            for kind, (find, width, least, sure) in CLASSES.items():
+                for m in find.finditer(part):
+                    for a, b in window_spans(m.group(), width, least, PLOGS):
+                        span = m.group()[a:b]
+                        if not no_secret(span, bool(window_spans(span, width, sure, PLOGS))):
+                            more.append((kind, at + offset + m.start() + a, at + offset + m.start() + b))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base.sort(key=order)
     starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))

@@ -260,6 +260,23 @@ def test_secrets_masked_and_words_left_alone():
         assert run(t) == t
 
 
+def test_random_tokens_of_each_alphabet_are_found():
+    r = random.Random(11)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (low + digits, up + digits, up + "234567", low + up + digits, low + up + digits + "+/", low, up, low + up):
+        for n in (20, 32, 40):
+            tokens = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(400)]
+            assert sum(bool(secrets.scan(f"see {t} now")[1]) for t in tokens) >= 0.97 * 400, (alphabet, n)
+
+
+def test_allow_list_holds_for_parts_only():
+    key = "aB3dE5fG7hJ9kL1mN2pQ4rS6"
+    for joined in (f"example/{key}", f"{key}_xxxx", f"my-placeholder={key}", f"{key}-0123456789"):
+        assert any(a <= joined.index(key) and b >= joined.index(key) + len(key) for _, a, b in secrets.scan(joined)[1]), joined
+    for t in (f"example{key}", "id=123e4567-e89b-12d3-a456-426614174000", "AbstractSingletonProxyFactoryBean", "path/to/some-long-file-name", "Donaudampfschifffahrtsgesellschaft"):
+        assert not secrets.scan(t)[1], t
+
+
 # 7, 10
 
 
