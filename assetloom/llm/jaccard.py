@@ -15,7 +15,8 @@
 5. Components of the links give the classes.
 
 Every pair that links shares a block, and is compared, or is joined through a hub, or passes the
-bound: no link between different texts is lost, whatever the sizes of blocks.
+bound, so the classes are whole, whatever the sizes of blocks. The links are not: of pairs whose
+labels are joined already none is verified, so links inside a class are neither listed nor counted.
 
 Defined results: a text without words is empty and links with nothing; fewer words than a shingle
 are one shingle; a document without id has no component; repeated rows get equal results.
