@@ -107,32 +107,32 @@ def system_trace(targets: DataFrame, edges: DataFrame, docs: DataFrame, refs: Da
     return rows.withColumn("rank", rank).filter(F.col("rank") <= max(4, min(limit, 12)))
 
 
-def build_tree(nodes: DataFrame, *, max_depth: int = 32) -> DataFrame:
-    """(tree, node, depth, root, text) of ``nodes`` (tree, node, parent, label); text is the label
-    indented by depth; ``position`` sorts a tree as it is read."""
+def build_tree(nodes: DataFrame) -> DataFrame:
+    """(tree, node, depth, root, text) of ``nodes`` (tree, node, parent, label), to any depth; text is
+    the label indented by depth; ``position`` sorts a tree as it is read. A node isn't entered again
+    below itself."""
     sort_key = F.lpad(F.col("node").cast("string"), 20, "0")
-    level = nodes.filter("parent is null").select("tree", "node", F.col("node").alias("root"), "label", F.lit(0).alias("depth"), sort_key.alias("position"))
+    level = stored(nodes.filter("parent is null").select("tree", "node", F.col("node").alias("root"), "label", F.lit(0).alias("depth"), sort_key.alias("position"), F.array("node").alias("_seen")))
     out, d = level, 0
-    while d < max_depth:
+    while not level.isEmpty():
         d += 1
-        above = level.select("tree", F.col("node").alias("parent"), "root", F.col("position").alias("_p"))
-        level = nodes.join(above, ["tree", "parent"]).select("tree", "node", "root", "label", F.lit(d).alias("depth"), F.concat("_p", F.lit("/"), sort_key).alias("position"))
+        above = level.select("tree", F.col("node").alias("parent"), "root", F.col("position").alias("_p"), "_seen")
+        below = nodes.join(above, ["tree", "parent"]).filter(~F.array_contains("_seen", F.col("node")))
+        level = stored(below.select("tree", "node", "root", "label", F.lit(d).alias("depth"), F.concat("_p", F.lit("/"), sort_key).alias("position"), F.array_append("_seen", F.col("node")).alias("_seen")))
         out = out.union(level)
-    return out.withColumn("text", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("label")))
+    return out.drop("_seen").withColumn("text", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("label")))
 
 
-def contract_graph(nodes: DataFrame, links: DataFrame, *, max_hops: int = 16) -> DataFrame:
+def contract_graph(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(source, target): links between nodes that aren't pass-through, through any that are; a
     pass-through node isn't entered twice by one link. ``nodes``: node, passes; ``links``: source, target."""
     real = nodes.filter("not passes").select(F.col("node").alias("source"))
     through = stored(links.join(nodes.filter("passes").select(F.col("node").alias("source")), "source", "left_semi").select(F.col("source").alias("via"), "target").distinct())
     via = nodes.filter("passes").select(F.col("node").alias("target"))
     seen = now = stored(links.join(real, "source", "left_semi").select("source", "target").distinct())
-    for _ in range(max_hops):
+    while not now.isEmpty():
         onward = now.join(via, "target", "left_semi").select("source", F.col("target").alias("via"))
         now = stored(onward.join(through, "via").select("source", "target").distinct().join(seen, ["source", "target"], "left_anti"))
-        if now.isEmpty():
-            break
         seen = seen.union(now)
     return seen.join(via, "target", "left_anti").select("source", "target")
 

@@ -130,7 +130,7 @@ TREE = "SELECT CAST(0 AS BIGINT) AS tree, id AS node, CASE WHEN id < 8 THEN NULL
   SELECT tree, node, root, label, depth, position, repeat('  ', depth) || label AS text FROM r""")
 def _build_tree(spark, d):
     view(spark, d, "v_assets").createOrReplaceTempView("v_assets")
-    return G.build_tree(spark.sql(TREE), max_depth=12)
+    return G.build_tree(spark.sql(TREE))
 
 
 @query("contract_graph", "WITH RECURSIVE " + with_views("v_inherits", "v_assets")[5:] + """, l AS (SELECT p.id AS source, c.id AS target FROM v_inherits e JOIN v_assets c ON e.from_id = 'asset:' || c.path JOIN v_assets p ON e.to_id = 'asset:' || p.path),

@@ -94,6 +94,19 @@ def test_contract_graph_with_cycle_of_knots(spark):
     assert [tuple(r) for r in G.contract_graph(nodes, links).collect()] == [("a", "b")]
 
 
+def test_contract_graph_through_many_knots(spark):
+    nodes = spark.createDataFrame([("a", False), ("b", False), *((f"k{i}", True) for i in range(20))], "node string, passes boolean")
+    links = spark.createDataFrame([("a", "k0"), *((f"k{i}", f"k{i + 1}") for i in range(19)), ("k19", "b")], "source string, target string")
+    assert [tuple(r) for r in G.contract_graph(nodes, links).collect()] == [("a", "b")]
+
+
+def test_build_tree_to_any_depth_and_past_a_cycle(spark):
+    rows = [(0, i, i - 1 if i else None, f"n{i}") for i in range(36)] + [(0, 3, 5, "n3")]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, label string")
+    got = {r.node: r.depth for r in G.build_tree(nodes).collect()}
+    assert got == {i: i for i in range(36)}
+
+
 def test_routes(spark):
     asked = ["what inherits from the Base?", "how does Gun work?", "/Game/A/B", "WBP_", "where is X placed", "Input.Ability.*", "fire damage", "what system does Gun talk to", "BP_Hero"]
     q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
