@@ -12,13 +12,22 @@ from assetloom.sources.scratch import stored
 
 #: Seeds of one question table that may be broadcast.
 SMALL = 100_000
+#: Before the names of targets that aren't assets; a target may also be given with its own.
+NAMESPACES = ("script:", "class:", "material:", "")
 
 
 def where_used(targets: DataFrame, refs: DataFrame, edges: DataFrame, docs: DataFrame, *, limit: int = 50) -> DataFrame:
     """Users of each target (query_id, path): light references first, then documents by edges;
-    once by path, first ``limit`` by (source, path): query_id, user_path, source, rank, total."""
+    once by path, first ``limit`` by (source, path): query_id, user_path, source, rank, total. A target
+    outside /Game/ is met in every namespace, or, if no edge has it, in any id that contains it."""
     by_ref = targets.join(refs, targets["path"] == refs["ref_path"]).select("query_id", F.col("asset_path").alias("user_path"), F.lit(0).alias("source"))
-    ids = targets.select("query_id", F.concat(F.lit("asset:"), F.col("path")).alias("to_id"))
+    other = ~F.col("path").startswith("/Game/") & (F.col("path") != "")
+    names = F.array(*[F.concat(F.lit(p), F.col("path")) for p in ("asset:", *NAMESPACES)])
+    ids = targets.select("query_id", F.explode(F.when(other, names).otherwise(F.slice(names, 1, 1))).alias("to_id"))
+    asked, known = targets.filter(other).select("query_id", "path").distinct(), edges.select("to_id").distinct()
+    answered = asked.select("query_id", "path", F.explode(names).alias("to_id")).join(known, "to_id", "left_semi")
+    rest = asked.join(answered, ["query_id", "path"], "left_anti")
+    ids = ids.union(known.join(rest, F.col("to_id").contains(F.col("path"))).select("query_id", "to_id"))
     by_edge = ids.join(edges, "to_id").join(docs.select(F.col("doc_id").alias("from_id"), "path"), "from_id").select("query_id", F.col("path").alias("user_path"), F.lit(1).alias("source"))
     once = by_ref.union(by_edge).groupBy("query_id", "user_path").agg(F.min("source").alias("source"))
     total = once.groupBy("query_id").agg(F.count("*").alias("total"))

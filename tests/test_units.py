@@ -94,6 +94,15 @@ def test_contract_graph_with_cycle_of_knots(spark):
     assert [tuple(r) for r in G.contract_graph(nodes, links).collect()] == [("a", "b")]
 
 
+def test_where_used_outside_game(spark):
+    edges = spark.createDataFrame([("x", "script:/Script/Engine.Actor"), ("y", "script:/Script/Engine.ActorComponent"), ("y", "class:Gun"), ("x", "asset:/Game/A")], "from_id string, to_id string")
+    docs = spark.createDataFrame([("x", "/Game/X"), ("y", "/Game/Y")], "doc_id string, path string")
+    refs = spark.createDataFrame([], "asset_path string, ref_path string")
+    targets = spark.createDataFrame([(1, "/Script/Engine.Actor"), (2, "Gun"), (3, "Engine.Actor"), (4, "script:/Script/Engine.Actor"), (5, "/Game/"), (6, "/Game/A"), (7, "")], "query_id int, path string")
+    got = sorted((r.query_id, r.user_path) for r in G.where_used(targets, refs, edges, docs).collect())
+    assert got == [(1, "/Game/X"), (2, "/Game/Y"), (3, "/Game/X"), (3, "/Game/Y"), (4, "/Game/X"), (6, "/Game/X")]
+
+
 def test_contract_graph_through_many_knots(spark):
     nodes = spark.createDataFrame([("a", False), ("b", False), *((f"k{i}", True) for i in range(20))], "node string, passes boolean")
     links = spark.createDataFrame([("a", "k0"), *((f"k{i}", f"k{i + 1}") for i in range(19)), ("k19", "b")], "source string, target string")
