@@ -1,100 +1,53 @@
-"""N-gram Jaccard join: exact links between word-shingle sets, by an R-tree of count vectors.
-
-1. Each text gives its set of shingle hashes. Equal sets are one class from here on.
-2. Shingles are dealt into groups by hash. Two sets that link differ in few shingles, so at least
-   one group is the same in both (pigeonhole); a key stands for the whole content of a group. Of
-   the sets that share a key the least is the hub, and a hub and all sets that meet it at any key
-   are a block. A passage that many documents share makes no block, as the group would have to be
-   equal as a whole.
-3. Hubs are compared with the members of their blocks, which is linear, and members linked with a
-   hub take its label. So a group of copies costs no pairs among the copies.
-4. Blocks that still hold several labels are joined by an R-tree: the sets' counts by group are
-   points, and the sum of coordinate minima bounds the overlap, of nodes as of points. Large blocks
-   are cut into tiles. Pairs of different labels that pass the bound are verified on the whole sets,
-   as long as no link found before joins their labels.
-5. Components of the links give the classes.
-
-Every pair that links shares a block, and is compared, or is joined through a hub, or passes the
-bound, so the classes are whole, whatever the sizes of blocks. The links are not: of pairs whose
-labels are joined already none is verified, so links inside a class are neither listed nor counted.
+"""N-gram Jaccard join: exact links between word-shingle sets, by R-trees of count vectors.
+
+1. Tokens, the hashes of a text's shingles, are dealt into groups by hash, and the groups are ranked
+   by how often their tokens stand in all texts. Each set is ordered by these ranks, rare groups first.
+2. Of two sets that link, the first token that both have is among the first of either, as no more
+   can be missing than the threshold allows. So sets meet at these tokens, and no pair that links is
+   missed. Equal sets are one from here on. The least set of a token is the hub of all that meet
+   there; a hub and the sets that meet it are a block. A passage that many documents share makes no
+   large blocks: its tokens are frequent and stand at the end.
+3. The sets of a block are points, their counts by group, in an R-tree. Nodes keep the greatest count
+   of each group; the sum of coordinate minima bounds the overlap of nodes as of points. Pairs of
+   points that the bound lets pass are verified on the whole sets, in batches. Large blocks are cut
+   into tiles, and pairs of tiles are joined by as many tasks.
+4. Components of the links give the classes.
+
+With ``count_links`` every pair that passes is verified, and each document has the number of its
+links. A pair that meets in several blocks counts in the block of its least hub. Without, a pair
+whose sets are joined already is not verified: the tiles of a block are joined in themselves first,
+and then only the sets outside a block's largest class with all others, so that a large group of near
+copies costs about as much as it has members.
 
 Defined results: a text without words is empty and links with nothing; fewer words than a shingle
-are one shingle; a document without id has no component; repeated rows get equal results.
+are one shingle; a document without id has no component and no links; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import table
 from assetloom.llm.tables import components, small_side
-from assetloom.sources.scratch import stored
-from assetloom.llm.words import mix, shingle_hashes
+from assetloom.llm.words import shingle_hashes
+from assetloom.sources.scratch import dropped, stored
 
 #: Words of a shingle, and the threshold in hundredths.
 SHINGLE, PERCENT = 4, 85
-#: Members of a block that are joined at once; larger blocks are cut into tiles of this size.
-TILE = 512
-#: Texts that are worked on at once.
-SLICE = 512
-#: Points of an R-tree's leaf, and children of a node; groups that its coordinates add up, which
-#: are told apart again for the pairs of points that it gives.
-LEAF, COARSE = 16, 8
-
-
-def size_class(n: int, percent: int) -> int:
-    """Two sets that link stand in the same class of sizes or in neighbouring ones."""
-    return int(math.floor(math.log(n) / math.log(100 / percent) + 1e-9))
-
-
-_GROUPS: dict[tuple[int, int], tuple[int, int]] = {}
-
-
-def groups_of(k: int, percent: int) -> tuple[int, int]:
-    """Of pairs that meet in class k (both in it, or the smaller in the class below): into how many
-    groups shingles are dealt, and how many of these may be empty; (0, 0) if only equal sets link."""
-    if (k, percent) not in _GROUPS:
-        ratio = 100 / percent
-        differ = math.floor(2 * ratio ** (k + 1) * (100 - percent) / (100 + percent) + 1e-6)
-        spare = 1
-        while True:
-            groups = differ + 1 + spare
-            expected = groups * math.exp(-(ratio ** (k - 1)) / groups)
-            if spare >= expected + 2 * math.sqrt(expected) or spare >= differ + 2:
-                break
-            spare += 1
-        _GROUPS[k, percent] = (groups, spare) if differ else (0, 0)
-    return _GROUPS[k, percent]
-
-
-def meeting_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a sorted set of hashes, such that two different sets that link share one at least.
-
-    Sets that link differ in fewer shingles than there are groups less those that may be empty. If
-    more are empty, keys of the empty ones are given too: then both sets give them.
-    """
-    out = []
-    own = size_class(len(h), percent)
-    for k in (own, own + 1):
-        groups, spare = groups_of(k, percent)
-        if not groups:
-            continue
-        which = ((h >> np.uint64(40)) * np.uint64(groups)) >> np.uint64(24)  # ascending, as the hashes are
-        starts = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
-        full = which[starts]
-        salt = np.uint64(k * 0x632BE59BD9B4E019 % 2**64)
-        out.append(mix(np.add.reduceat(mix(h), starts) ^ mix(full + salt)))
-        if groups - len(full) > spare:
-            empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), full)
-            out.append(mix(mix(empty + salt) + np.uint64(1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+#: Groups of tokens whose corpus counts are kept, by the top bits of the hash: the same at any size.
+GROUP_BITS, CHUNK_BITS = 18, 13
+#: Most sets, and about the most tokens, of a tile.
+TILE, TILE_TOKENS = 1024, 1_500_000
+#: Texts that are worked on at once, points of a leaf and children of a node, pairs bounded at once.
+SLICE, LEAF, STEP = 512, 16, 1 << 21
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -106,70 +59,22 @@ def signature(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63
 
 
-def count_vector(h: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by the top bits of their hashes, in two to four groups a shingle
-    up to 16384; the number of groups is a power of two, so vectors of different lengths are
-    compared after adding up neighbours."""
-    bits = min(14, max(6, len(h).bit_length() + 1))
-    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-
-
-def packed(v: np.ndarray) -> bytes:
-    """A count vector in the fewest bytes a count, which the first byte names."""
-    width = 1 if v.max() < 1 << 8 else 2 if v.max() < 1 << 16 else 4
-    return bytes([width]) + v.astype(f"<u{width}").tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1)
-
-
-def _folded(v: np.ndarray, groups: int) -> np.ndarray:
-    return v.reshape(groups, -1).sum(axis=1, dtype=np.uint32)
-
-
 def needed(a, b, percent: int):
     """The least overlap of sets of sizes a and b that link."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
-    groups = min(len(x), len(y))
-    return int(np.minimum(_folded(x, groups), _folded(y, groups)).sum())
-
+def meeting_keys(h: np.ndarray, percent: int, ranks: np.ndarray | None = None) -> np.ndarray:
+    """The first tokens of a set by the rank of their group: two sets that link share one at least.
 
-def rtree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a row of ``left`` and one of ``right`` (masks) of different labels that may link.
-
-    The points are sorted by size and then by their heaviest differences, and packed into leaves;
-    a node keeps the greatest count of each group and the least size below it. Pairs of nodes go
-    down together, as long as the sum of their coordinate minima reaches the overlap needed.
+    Any partner has percent / 100 of the set's tokens at least, so at most the rest is missing, and
+    the first token in common has no more before it.
     """
-    spread = np.argsort(-points.astype(np.float64).var(axis=0), kind="stable")[:3]
-    order = np.lexsort((*(points[:, g] for g in spread[::-1]), sizes))
-    levels = [(points[order], sizes[order])]
-    while len(levels[-1][1]) > 1:
-        tops, least = levels[-1]
-        starts = np.arange(0, len(least), LEAF)
-        levels.append((np.maximum.reduceat(tops, starts, axis=0), np.minimum.reduceat(least, starts)))
-    pairs = np.array([[0, 0]])
-    for depth in range(len(levels) - 1, 0, -1):
-        n = len(levels[depth - 1][1])
-        a, b = (np.minimum(p[:, None] * LEAF + np.arange(LEAF), n) for p in pairs.T)  # n stands for none
-        down = np.stack((np.repeat(a, LEAF, axis=1).ravel(), np.tile(b, LEAF).ravel()), axis=1)
-        down = np.unique(down[(down[:, 0] <= down[:, 1]) & (down[:, 1] < n)], axis=0)
-        tops, least = levels[depth - 1]
-        if depth == 1:  # points: different labels, one of each side
-            i, j = order[down[:, 0]], order[down[:, 1]]
-            down = down[(labels[i] != labels[j]) & ((left[i] & right[j]) | (left[j] & right[i]))]
-        kept, step = [], max(1, (1 << 21) // points.shape[1])
-        for at in range(0, len(down), step):
-            i, j = down[at : at + step].T
-            kept.append(np.minimum(tops[i], tops[j]).sum(axis=1, dtype=np.int64) >= needed(least[i], least[j], percent))
-        pairs = down[np.concatenate(kept)] if kept else down
-        if not len(pairs):
-            return []
-    return [(int(order[i]), int(order[j])) for i, j in pairs if i != j]
+    k = len(h) - -(-percent * len(h) // 100) + 1
+    if k >= len(h) or ranks is None:
+        return h[:k]
+    rank = ranks[h >> np.uint64(64 - GROUP_BITS)]
+    return h[np.lexsort((h, rank))[:k]]
 
 
 def _batch(columns: dict[str, object], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -183,196 +88,353 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def _profiles(width: int, percent: int) -> Callable:
-    """(doc_id, text) to (doc_id, n, sig, keys)."""
+def _count_groups(width: int) -> Callable:
+    """(text) to (chunk, counts): how many tokens of a partition are in each group of a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << GROUP_BITS, np.int64)
+        for batch in _sliced(batches):
+            found = [shingle_hashes(t.as_py() or "", width) for t in batch.column(0)]
+            if found:
+                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=len(counts))
+        chunks = counts.astype("<u4" if counts.max() < 1 << 32 else "<u8").reshape(-1, 1 << CHUNK_BITS)
+        if counts.any():
+            yield _batch({"chunk": range(len(chunks)), "counts": [c.tobytes() for c in chunks]}, {"chunk": pa.int32(), "counts": pa.binary()})
+
+    return run
+
+
+def _chunk(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8" if len(data) == 8 << CHUNK_BITS else "<u4").astype(np.int64)
+
+
+def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, counts) to their sums, one row a chunk."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sums[chunk] = sums.get(chunk, 0) + _chunk(counts.as_py())
+    yield _batch({"chunk": list(sums), "counts": [v.astype("<u8").tobytes() for v in sums.values()]}, {"chunk": pa.int32(), "counts": pa.binary()})
+
+
+def group_ranks(texts: DataFrame, width: int) -> np.ndarray:
+    """The rank of each group of tokens by its count over all texts; 2 MB at most reach the driver."""
+    parts = texts.select("text").mapInArrow(_count_groups(width), "chunk int, counts binary")
+    sums = parts.repartition("chunk").mapInArrow(_add_chunks, "chunk int, counts binary").collect()
+    counts = np.zeros((1 << GROUP_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.int64)
+    for r in sums:
+        counts[r.chunk] = _chunk(r.counts)
+    ranks = np.empty(1 << GROUP_BITS, np.uint16)
+    ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(1 << GROUP_BITS) >> max(0, GROUP_BITS - 16)
+    return ranks
+
+
+def _profiles(width: int, percent: int, ranks: np.ndarray) -> Callable:
+    """(doc_id, text) to (doc_id, n, sig, keys); of equal sets of a partition the first gives keys."""
     schema = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "keys": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in _sliced(batches):
             sizes, sigs, keys, ends = [], [], [], [0]
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 h = shingle_set(text.as_py() or "", width)
-                k = meeting_keys(h, percent) if len(h) and doc.is_valid else h[:0]
+                sig = signature(h)
+                new = len(h) and doc.is_valid and sig not in seen
+                if new:
+                    seen.add(sig)
+                    keys.append(meeting_keys(h, percent, ranks))
                 sizes.append(len(h))
-                sigs.append(signature(h))
-                keys.append(k)
-                ends.append(ends[-1] + len(k))
+                sigs.append(sig)
+                ends.append(ends[-1] + (len(keys[-1]) if new else 0))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             yield _batch({"doc_id": batch.column(0), "n": sizes, "sig": sigs, "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}, schema)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, sig) to (hub, sig) of keys that several sigs have; the hub is the first of them."""
-    schema = {"hub": pa.int64(), "sig": pa.int64()}
-    key = hub = last = None  # of the row before; hub: the first sig of its key
-    alone = False  # whether that row is held back, as the first of its key
-    for batch in batches:
-        k, s = (c.to_numpy() for c in batch.columns)
-        if not len(k):
-            continue
-        if key is not None:
-            k, s = np.concatenate(([key], k)), np.concatenate(([last], s))
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
-        k, s = k[new], s[new]
-        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(k))))
-        hubs = s[starts][run]
-        length = np.bincount(run)
-        out = length[run] > 1
-        if key is not None:
-            hubs[run == 0] = hub
-            if not alone:  # the row carried over is out already, and what follows it has company
-                out[run == 0] = True
-                out[0] = False
-        alone = len(starts) > 1 and length[-1] == 1 or len(starts) == 1 and len(k) == 1 and (key is None or alone)
-        key, last, hub = int(k[-1]), int(s[-1]), int(hubs[-1])
-        out &= hubs != s
-        stars = np.unique(np.stack((hubs[out], s[out]), axis=1), axis=0)
-        yield _batch({"hub": stars[:, 0], "sig": stars[:, 1]}, schema)
-
-
-def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets link."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _joined_blocks(percent: int) -> Callable:
-    """Sorted (block, low, high, tile, sig, label, hashes) to links (a, b) between labels.
-
-    Pairs that the R-tree gives are told apart by finer counts, then verified on the whole sets,
-    unless links found before join their labels already: what comes out is no more than the labels.
-    """
-    schema = {"a": pa.int64(), "b": pa.int64()}
-
-    def found(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len({r[5] for r in rows}) < 2:
-            return []
-        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
-        vectors = [count_vector(h) for h in sets]
-        groups = min(map(len, vectors))
-        points = np.array([_folded(v, groups) for v in vectors])
-        coarse = points.reshape(len(points), groups // COARSE, COARSE).sum(axis=2, dtype=np.uint32)
-        sizes, labels = np.array([len(h) for h in sets]), np.array([r[5] for r in rows])
-        left, right = (np.array([r[3] == r[side] for r in rows]) for side in (1, 2))
-        near = np.array(rtree_pairs(coarse, sizes, labels, left, right, percent), np.int64).reshape(-1, 2)
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
-
-        step, out = max(1, (1 << 21) // groups), []
-        for at in range(0, len(near), step):
-            i, j = near[at : at + step].T
-            ok = np.minimum(points[i], points[j]).sum(axis=1) >= needed(sizes[i], sizes[j], percent)
-            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                p, q = find(rows[x][5]), find(rows[y][5])
-                if p != q and links(sets[x], sets[y], percent):
-                    up[p] = q
-                    out.append((rows[x][4], rows[y][4]))
-        return out
+def _sets(width: int) -> Callable:
+    """(sig, text) to (sig, hashes), of the texts that have this sig."""
+    schema = {"sig": pa.int64(), "hashes": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        for batch in batches:
-            out: set[tuple[int, int]] = set()
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != group:
-                    out.update(found(held))
-                    group, held = row[:3], []
-                held.append(row)
-            yield _batch(dict(zip(schema, zip(*out, strict=True) if out else [[], []], strict=True)), schema)
-        if out := found(held):
-            yield _batch(dict(zip(schema, zip(*out, strict=True), strict=True)), schema)
+        for batch in _sliced(batches):
+            rows = [(sig, h.tobytes()) for sig, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if signature(h := shingle_set(text.as_py() or "", width)) == sig]
+            yield _batch({"sig": [s for s, _ in rows], "hashes": [h for _, h in rows]}, schema)
 
     return run
 
 
-def _passing(percent: int) -> Callable:
-    """(a, b, n_a, n_b, counts_a, counts_b) to the pairs that the bound lets pass."""
+class Ragged:
+    """Lists of numbers, to be intersected one with many."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.lengths = np.array([len(x) for x in lists], np.int64)
+        self.ends = np.cumsum(self.lengths)
+        flat = np.concatenate([*lists, np.zeros(0, np.uint64)])
+        self.n_values, self.flat = 0, np.zeros(0, np.int64)
+        if len(flat):
+            values, self.flat = np.unique(flat, return_inverse=True)
+            self.n_values = len(values)
+        self.marked = np.zeros(self.n_values, np.int32)
+
+    def overlaps(self, i: int, js: np.ndarray) -> np.ndarray:
+        """How many numbers list i has in common with each of the lists js."""
+        own = self.flat[self.ends[i] - self.lengths[i] : self.ends[i]]
+        self.marked[own] = 1
+        lengths = self.lengths[js]
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1]) + np.repeat(self.ends[js] - ends, lengths)
+        sums = np.concatenate(([0], np.cumsum(self.marked[self.flat[places]])))
+        self.marked[own] = 0
+        return sums[ends] - sums[ends - lengths]
+
+
+def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
+    """A row for each set: its tokens by group, in one to two groups a token of the least set."""
+    bits = min(9, max(4, min(map(len, sets)).bit_length()))
+    out = np.zeros((len(sets), 1 << bits), np.uint32)
+    for row, h in zip(out, sets, strict=True):
+        row[:] = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return out
+
+
+class RTree:
+    """Points packed into leaves, leaves into nodes; a node keeps the greatest coordinates and the
+    least size below it. Sets with the same least token, mostly near copies, stand together."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, firsts: np.ndarray):
+        self.order = np.lexsort((sizes, firsts))
+        self.levels = [(points[self.order], sizes[self.order])]
+        while len(self.levels[-1][1]) > 1:
+            tops, least = self.levels[-1]
+            starts = np.arange(0, len(least), LEAF)
+            self.levels.append((np.maximum.reduceat(tops, starts, axis=0), np.minimum.reduceat(least, starts)))
+
+    def level(self, height: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of a height; above the root stands the root."""
+        return self.levels[min(height, len(self.levels) - 1)]
+
+
+def rtree_pairs(a: RTree, b: RTree, percent: int) -> np.ndarray:
+    """Pairs of points of two trees that may link, as rows (i, j); of a tree with itself, each once.
+
+    Pairs of nodes go down together, as long as the sum of their coordinate minima reaches the
+    overlap needed.
+    """
+    top = max(len(a.levels), len(b.levels)) - 1
+    pairs = np.zeros((1, 2), np.int64)
+    for height in range(top, -1, -1):
+        (x, n), (y, m) = a.level(height), b.level(height)
+        if height < top:
+            i, j = (np.minimum(p[:, None] * LEAF + np.arange(LEAF), len(s)) for p, s in zip(pairs.T, (n, m), strict=True))  # the length stands for none
+            pairs = np.stack((np.repeat(i, LEAF, axis=1).ravel(), np.tile(j, LEAF).ravel()), axis=1)
+            pairs = pairs[(pairs[:, 0] < len(n)) & (pairs[:, 1] < len(m))]
+        if a is b:
+            pairs = pairs[pairs[:, 0] <= pairs[:, 1] if height else pairs[:, 0] < pairs[:, 1]]
+        step = max(1, STEP // x.shape[1])
+        kept = [np.minimum(x[i], y[j]).sum(axis=1, dtype=np.int64) >= needed(n[i], m[j], percent) for i, j in (pairs[at : at + step].T for at in range(0, len(pairs), step))]
+        if not kept:
+            return pairs
+        pairs = pairs[np.concatenate(kept)]
+    return np.stack((a.order[pairs[:, 0]], b.order[pairs[:, 1]]), axis=1)
+
+
+def join_tile(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, hubs: list[np.ndarray], weights: np.ndarray, percent: int, count_links: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of a tile (side 0), or of a pair of tiles (sides 1 and 2): the label of its class
+    here, and the weights of those that it links with, as far as they have no hub in common."""
+    sizes = np.array([len(h) for h in sets])
+    points, firsts = count_vectors(sets), np.array([h[0] for h in sets])
+    if sides[0]:
+        own = [np.flatnonzero(sides == s) for s in (1, 2)]
+        trees = [RTree(points[k], sizes[k], firsts[k]) for k in own] if all(map(len, own)) else []
+        pairs = rtree_pairs(*trees, percent) if trees else np.zeros((0, 2), np.int64)
+        pairs = np.stack((own[0][pairs[:, 0]], own[1][pairs[:, 1]]), axis=1)
+    else:
+        tree = RTree(points, sizes, firsts)
+        pairs = rtree_pairs(tree, tree, percent)
+    root, links = labels.copy(), np.zeros(len(sets), np.int64)
+    if not len(pairs):
+        return root, links
+    tokens, earlier = Ragged(sets), Ragged(hubs)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    starts = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0])))
+    for i, js in zip(pairs[starts, 0].tolist(), np.split(pairs[:, 1], starts[1:]), strict=True):
+        if not count_links:
+            js = js[root[js] != root[i]]
+            if not len(js):
+                continue
+        js = js[tokens.overlaps(i, js) >= needed(sizes[i], sizes[js], percent)]
+        if not len(js):
+            continue
+        joined = np.unique(root[js])
+        root[np.isin(root, joined)] = root[i]
+        if count_links:
+            once = js[earlier.overlaps(i, js) == 0]
+            links[i] += weights[once].sum()
+            links[once] += weights[i]
+    return root, links
+
+
+def _joined(percent: int, count_links: bool) -> Callable:
+    """Sorted (block, low, high, side, sig, label, weight, earlier, hashes) to (sig, other, links):
+    each set that is joined with another, one such, and the weights of its links here."""
+    schema = {"sig": pa.int64(), "other": pa.int64(), "links": pa.int64()}
+
+    def found(rows: list[tuple]) -> list[tuple[int, int, int]]:
+        rows = [next(g) for _, g in groupby(rows, key=itemgetter(3, 4))]  # a set comes once, its document may not
+        if len(rows) < 2:
+            return []
+        _, _, _, sides, sigs, labels, weights, hubs, hashes = zip(*rows, strict=True)
+        labels = np.array(labels, np.int64)
+        root, links = join_tile([np.frombuffer(h, np.uint64) for h in hashes], labels, np.array(sides), [np.array(x, np.int64).view(np.uint64) for x in hubs], np.array(weights, np.int64), percent, count_links)
+        first = dict(zip(root[::-1].tolist(), sigs[::-1], strict=True))  # of each class
+        changed = set(root[root != labels].tolist())
+        return [(s, first[r], n) for s, r, n in zip(sigs, root.tolist(), links.tolist(), strict=True) if r in changed or n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [overlap_bound(unpacked(x), unpacked(y)) >= needed(n, m, percent) for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
+        each = (row for batch in batches for at in range(0, batch.num_rows, SLICE) for row in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True))
+        out: list[tuple[int, int, int]] = []
+        for _, rows in groupby(each, key=itemgetter(0, 1, 2)):
+            out += found(list(rows))
+            if len(out) >= 10_000:
+                yield _batch(dict(zip(schema, zip(*out, strict=True), strict=True)), schema)
+                out = []
+        if out:
+            yield _batch(dict(zip(schema, zip(*out, strict=True), strict=True)), schema)
 
     return run
 
 
-def _linked(percent: int) -> Callable:
-    """(a, b, set_a, set_b) to the pairs that link."""
+WIDE = ["block", "low", "high", "side", "sig", "label", "weight", "earlier", "hashes"]
+
+
+def _join_placed(placed: DataFrame, sets: DataFrame, percent: int, count_links: bool) -> DataFrame:
+    """(sig, other, links), stored; ``placed``: the sets' places in tiles, without their hashes."""
+    wide = placed.join(sets, "sig").select(WIDE).repartition("block", "low", "high").sortWithinPartitions(*WIDE[:5])
+    return stored(wide.mapInArrow(_joined(percent, count_links), "sig long, other long, links long"))
+
+
+def _in_tiles(members: DataFrame, tiles: Column) -> DataFrame:
+    """Members with their tile, by a hash of the set."""
+    return members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")))
+
+
+def _tiles_for(size: Column, tokens: Column) -> Column:
+    return F.greatest(F.ceil(size / TILE), F.ceil(tokens / TILE_TOKENS))
+
+
+def set_links(texts: DataFrame, profiles: DataFrame, shingle: int, percent: int, count_links: bool) -> DataFrame:
+    """(sig, other, links): pairs of sets that join all classes, and the weights of links."""
+    keys = profiles.select(F.explode("keys").alias("key"), "sig")
+    hubs = keys.groupBy("key").agg(F.min("sig").alias("block"), F.max("sig").alias("_last")).filter("block <> _last").select("key", "block")
+    stars = stored(keys.join(hubs, "key").select("block", "sig").distinct())
+    info = profiles.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("n").alias("n"))
+    met = stored(info.join(stars.select("sig").distinct(), "sig"))
+    sets = stored(texts.join(small_side(met.select("sig", "doc_id")), "doc_id").select("sig", "text").mapInArrow(_sets(shingle), "sig long, hashes binary"))
+
+    members = stars.join(met.select("sig", "n", "weight"), "sig")
+    if count_links:
+        members = members.join(stars.groupBy("sig").agg(F.collect_list("block").alias("_all")), "sig").withColumn("earlier", F.filter("_all", lambda b: b < F.col("block"))).drop("_all")
+    else:
+        members = members.withColumn("earlier", F.array().cast("array<long>"))
+    sizes = members.groupBy("block").agg(F.count("*").alias("_size"), F.sum("n").alias("_tokens"))
+    large = stored(sizes.select("block", _tiles_for(F.col("_size"), F.col("_tokens")).alias("_tiles")).filter("_tiles > 1"))
+    members = members.withColumn("label", F.col("sig")).join(small_side(large), "block", "left")
+    members = stored(_in_tiles(members, F.coalesce("_tiles", F.lit(1))).drop("_tiles"))
+
+    inside = members.withColumns({"low": F.col("tile"), "high": F.col("tile"), "side": F.lit(0)})
+    if count_links:
+        other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("tile")))
+        across = members.filter("tiles > 1").withColumn("other", other)
+        across = across.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other"), "side": F.when(F.col("tile") < F.col("other"), 1).otherwise(2)})
+        out = _join_placed(inside.unionByName(across, allowMissingColumns=True), sets, percent, True)
+    else:
+        out = _join_placed(inside, sets, percent, False)
+        if large.limit(1).count():
+            out = out.union(_rest(members.filter("tiles > 1"), out, sets, percent))
+    dropped(stars, met, sets, large, members)
+    return out
+
+
+def _rest(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the sets outside the largest class of each block of several tiles and all others."""
+    known = components(links.select(F.col("sig").alias("a"), F.col("other").alias("b")))
+    members = stored(members.drop("label", "tile").join(known.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+    classes = members.groupBy("block", "label").agg(F.count("*").alias("_size"), F.sum("n").alias("_tokens"))
+    whole = classes.groupBy("block").agg(F.max(F.struct("_size", "label")).alias("top"), F.sum("_size").alias("s"), F.sum("_tokens").alias("t"))
+    mixed = classes.join(whole, "block").filter("label <> top.label").groupBy("block").agg(F.first("top.label").alias("top"), _tiles_for(F.sum("_size"), F.sum("_tokens")).alias("lows"))
+    members = members.join(small_side(stored(mixed)), "block")
+    tile = F.pmod(F.xxhash64("sig"), F.col("lows"))
+    low = members.filter("label <> top").withColumns({"low": tile, "high": F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)), "side": F.lit(1)})
+    high = members.withColumns({"low": F.explode(F.sequence(F.lit(0).cast("long"), F.col("lows") - 1)), "high": F.pmod(F.xxhash64("sig"), F.col("tiles")), "side": F.lit(2)})
+    return _join_placed(low.unionByName(high), sets, percent, False)
+
+
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, sig, component_id, first_sig, n_links), a row for each row of ``docs``.
+
+    component_id: the least id that the document reaches by links; first_sig: the set of the document
+    that stands for the class, the least set of that id; n_links: the rows that it links with, those
+    of equal texts too, null without ``count_links``. Only the two named columns are read.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ranks = group_ranks(texts, shingle)
+    profiles = stored(texts.mapInArrow(_profiles(shingle, percent, ranks), "doc_id long, n long, sig long, keys array<long>"))
+    joined = set_links(texts, profiles, shingle, percent, count_links)
+    root = components(joined.select(F.col("sig").alias("a"), F.col("other").alias("b"))).toDF("sig", "root")
+    counts = joined.groupBy("sig").agg(F.sum("links").alias("links"))
+
+    sets = profiles.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies"))
+    sets = sets.join(root, "sig", "left").join(counts, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    heads = sets.groupBy("root").agg(F.min(F.struct("owner", "sig")).alias("head"))
+    of_set = sets.join(heads, "root").select("sig", "head", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    known = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return profiles.join(of_set, "sig", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        "sig",
+        F.when(known, F.col("head.owner")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(known, F.col("head.sig")).otherwise(F.col("sig")).alias("first_sig"),
+        F.when(F.lit(count_links), F.when(known, F.col("links")).otherwise(0)).cast("long").alias("n_links"),
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
-    return run
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the size of each document's set, and the least id that
+    it reaches by links."""
+    return jaccard_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).select("doc_id", "n_shingles", "component_id")
 
 
-def _sets(width: int) -> Callable:
-    """(sig, text) to (sig, n, counts, hashes), of the texts that have this sig."""
-    schema = {"sig": pa.int64(), "n": pa.int64(), "counts": pa.binary(), "hashes": pa.binary()}
+def set_signature(text: Column, shingle: int) -> Column:
+    """The number of each text's shingle set, as ``sig`` of ``jaccard_classes``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            rows = [(sig, shingle_set(text or "", width)) for sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            rows = [(sig, h) for sig, h in rows if signature(h) == sig]
-            yield _batch({"sig": [s for s, _ in rows], "n": [len(h) for _, h in rows], "counts": [packed(count_vector(h)) for _, h in rows], "hashes": [h.tobytes() for _, h in rows]}, schema)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([signature(shingle_set(t.as_py() or "", shingle)) for t in texts], type=pa.int64())
 
-    return run
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, returnType="long")(text)
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the size of each document's set, and the least id that
-    it reaches by links. Only the two named columns are read."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profiles = stored(texts.mapInArrow(_profiles(shingle, percent), "doc_id long, n long, sig long, keys array<long>"))
-    rows = profiles.select(F.explode("keys").alias("key"), "sig")
-    stars = stored(rows.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_shared, "hub long, sig long").distinct())
-
-    # of each set: the least document that has it
-    owners = stored(profiles.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("owner")))
-    met = stored(owners.join(stars.select("sig").union(stars.select("hub")).distinct(), "sig"))
-    side = met.select("sig", F.col("owner").alias("doc_id"))
-    sets = stored(texts.join(small_side(side), "doc_id").select("sig", "text").mapInArrow(_sets(shingle), "sig long, n long, counts binary, hashes binary").dropDuplicates(["sig"]))
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        of = sets.select("sig", "n", "counts")
-        wide = pairs.join(of.toDF("a", "n_a", "counts_a"), "a").join(of.toDF("b", "n_b", "counts_b"), "b")
-        return wide.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(_passing(percent), "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        of = sets.select("sig", "hashes")
-        wide = pairs.join(of.toDF("a", "hashes_a"), "a").join(of.toDF("b", "hashes_b"), "b")
-        return stored(wide.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_linked(percent), "a long, b long"))
-
-    first = verified(stored(bounded(stars.toDF("a", "b"))))
-    # a hub that is itself linked with a lesser hub keeps its own label: both name the same component
-    labels = first.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("label"))
-    members = stars.select(F.col("hub").alias("block"), "sig").union(stars.select("hub", "hub").distinct())
-    members = stored(members.join(labels, "sig", "left").select("block", "sig", F.coalesce("label", "sig").alias("label")))
-    mixed = members.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x <> y")
-    tiles = mixed.select("block", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")
-    tiled = members.join(tiles, "block").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "sig", "label")
-    dealt = tiled.join(sets.select("sig", "hashes"), "sig").select("block", "low", "high", "tile", "sig", "label", "hashes")
-    second = stored(dealt.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "sig").mapInArrow(_joined_blocks(percent), "a long, b long").distinct())
-
-    owner = met.select("sig", "owner")
-    links = first.union(second).join(owner.toDF("a", "x"), "a").join(owner.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = components(links)
-    of_sig = owners.join(found, owners["owner"] == found["node"], "left").select("sig", F.coalesce("component", "owner").alias("component_id"))
-    out = profiles.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(of_sig, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+def first_of_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay if of each class of near duplicates one document does: that of
+    the least id, then of the least set. Of rows with this id and set one stays. Texts without words,
+    and rows without id, are in no class and all stay."""
+    classes = stored(jaccard_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).filter("doc_id is not null"))
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("sig") == F.col("first_sig"))
+    ids = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(first).alias("stays"))
+    gone = stored(ids.filter("n = 1 and not stays").select(F.col("doc_id").alias("_id")))
+    again = stored(ids.filter("n > 1").select(F.col("doc_id").alias("_id")))
+    own = F.col(id_col).cast("long") == F.col("_id")
+    plain = docs.join(small_side(gone), own, "left_anti").join(small_side(again), own, "left_anti")
+    repeated = docs.join(small_side(again), own, "left_semi").withColumn("_sig", set_signature(F.col(text_col), shingle))
+    firsts = classes.filter(first & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_first")).distinct()
+    empty = shingle_set("", shingle)
+    alone = F.row_number().over(Window.partitionBy(id_col, "_sig").orderBy(text_col)) == 1
+    kept = repeated.join(firsts, own & (F.col("_sig") == F.col("_first")), "left_semi").withColumn("_alone", alone).filter("_alone")
+    return plain.unionByName(kept.drop("_sig", "_alone")).unionByName(repeated.filter(F.col("_sig") == signature(empty)).drop("_sig"))
 
 
 def op8_jaccard_join(spark, sf_dir):
-    """The near-duplicate class of every document, by 4-word shingles at 85 hundredths."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    """The near-duplicate class of every document and its links, by 4-word shingles at 85 hundredths."""
+    return jaccard_classes(table(spark, sf_dir, "documents"), count_links=True).select("doc_id", "n_shingles", "component_id", "n_links")
