@@ -41,7 +41,8 @@ class WordIds:
 
     The tokenizer drops white space and splits nothing across it, so the ids of a text are those
     of its words in turn. A plain word skips the tokenizer's normaliser: it is lower-cased, split by
-    the tokenizer's own pattern and handed to its model; any other goes through the whole of it.
+    the tokenizer's own pattern and handed to its model; any other goes through the whole of it, as does
+    a word that holds one of the tokenizer's added tokens, which it takes out before anything else.
     """
 
     def __init__(self, path: str):
@@ -50,12 +51,14 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError(f"not a tokenizer that splits at white space: {kinds}")
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or WORD.fullmatch(x["content"]) is None for x in spec["added_tokens"]):
+            raise ValueError("not added tokens that stand for themselves within words")
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.model = self.tokenizer.model
         self.numbers = list(range(self.tokenizer.get_vocab_size()))  # so that cached ids share their objects
@@ -72,7 +75,7 @@ class WordIds:
     def _word(self, word: str) -> tuple[int, ...]:
         if word.isascii() and word.isalpha():
             return self.parts[word.lower()]
-        if not PLAIN.fullmatch(word):
+        if not PLAIN.fullmatch(word) or self.added.search(word):
             return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
         low = word.lower()
         if low.isalpha():
