@@ -8,15 +8,17 @@ scores are K(x, landmarks) @ K(landmarks)^-1/2 @ weights. A batch of texts is sc
 products: presence times landmarks, then the kernel block times the folded weights.
 
 The model is fitted on at most ``per_language`` documents of each language, those of the least
-hash of their id, so what reaches the driver is bounded by that and the number of languages.
+hash of their id, so what reaches the driver is bounded by that and the number of languages. Ids of
+hashes above a share of all, which follows from the language's count, are left out before the ids are
+ranked, so the ranking sees a few times ``per_language`` rows of a language at any size.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a tie goes to the
-language that sorts first; fitting without any labelled row raises ValueError.
+language that sorts first; of labelled rows with one id and language one counts; without any labelled
+row no language is known, and all texts are ``und`` with score 0.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +32,11 @@ from assetloom.llm.common import crc_mod, release, table
 
 #: Cells of hashed n-grams, longest n-gram, and the sample sizes of a fit.
 CELLS, LONGEST, PER_LANGUAGE, LANDMARKS, RIDGE = 1 << 14, 3, 400, 24, 1e-3
+#: Ids that are ranked for each that is chosen.
+SPARE = 4
 #: Texts scored at once.
 BLOCK = 64
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -76,7 +79,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores from 0 to 1."""
         names, marks = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))] if self.languages else []
         for at in range(0, len(known), BLOCK):
             rows = known[at : at + BLOCK]
             s = self.scores([texts[i] for i in rows]) * self.scale
@@ -91,7 +94,7 @@ def fit_kernel(presences: np.ndarray, langs: list[str], per_class_landmarks: int
     """Fit on rows of ``presence``; the first rows of each language are its landmarks."""
     languages = sorted(set(langs))
     if not languages:
-        raise ValueError("no labelled document to learn from")
+        return LanguageModel([], np.zeros((CELLS, 0), np.float32), np.zeros((0, 0), np.float32), 1.0)
     of = np.array([languages.index(x) for x in langs])
     marks = np.concatenate([np.flatnonzero(of == c)[:per_class_landmarks] for c in range(len(languages))])
     landmarks = presences[marks].T
@@ -108,16 +111,21 @@ def fit_kernel(presences: np.ndarray, langs: list[str], per_class_landmarks: int
 
 def fit_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learn from the rows where ``learn`` holds and language and text are known."""
-    ids = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"))
-    chosen = ids.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("k") <= per_language)
-    rows = docs.filter(learn).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(F.broadcast(chosen.select("i", "l", "h").distinct()), ["i", "l"])
+    known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"))
+    counts = known.groupBy("l").agg(F.count("*").alias("n"))
+    # of hashes spread over 64 bits, this share holds some SPARE times as many as are wanted
+    place = F.col("h").cast("double") / 2.0**64 + 0.5
+    few = known.select("i", "l", "h").join(F.broadcast(counts), "l").filter(place <= SPARE * per_language / F.col("n")).select("l", "h", "i").distinct()
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("k") <= per_language)
+    rows = known.select("i", "l", "t").join(F.broadcast(chosen.select("i", "l", "h")), ["i", "l"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [np.packbits(np.bincount(cells(t.as_py()), minlength=CELLS).astype(bool)).tobytes() for t in b.column("t")]
             yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), pa.array(own, type=pa.binary())], names=["l", "h", "c"])
 
-    found = sorted(rows.mapInArrow(run, "l string, h long, c binary").collect(), key=lambda r: (r.l, r.h, r.c))
+    cells_of = rows.select("l", "h", "t").mapInArrow(run, "l string, h long, c binary").groupBy("l", "h").agg(F.min("c").alias("c"))
+    found = sorted(cells_of.collect(), key=lambda r: (r.l, r.h))
     bits = np.array([np.unpackbits(np.frombuffer(r.c, np.uint8)) for r in found], np.float32).reshape(len(found), CELLS)
     return fit_kernel(bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1)), [r.l for r in found])
 
