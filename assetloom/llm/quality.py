@@ -2,14 +2,18 @@
 
 Each whole text gives a vector of counts and ratios, transformed towards normal shape (logarithms
 of counts, logits of shares). Each class has a mean and a covariance, shrunk towards its own
-diagonal and towards the covariance of both classes; the covariances' Cholesky factors are kept, so
-a score is the difference of two Mahalanobis distances, by triangular solves, plus a constant.
+diagonal and towards the covariance of both classes; the inverses of the covariances' Cholesky factors
+are kept, so a score is the difference of two Mahalanobis distances, by matrix products, plus a
+constant. The log odds are then drawn in (tanh), and weighed by the number of words, as the statistics
+of few words say little.
 
 The fit takes at most ``sample`` labelled documents, those of the least hash of their id, so what
 is broadcast and what reaches the driver is bounded by that.
 
 Defined results: a null or empty text has the statistics of a text without words and gets a score
-like any other; scores are between 0 and 1. Fitting needs two rows of each class, else ValueError.
+like any other; scores are between 0 and 1. An id with labels of both classes is left out of the fit;
+of documents with one id the one of the least statistics counts. With fewer than two documents of
+either class nothing can be told apart, and every text scores 0.5.
 """
 
 from __future__ import annotations
@@ -113,7 +117,8 @@ class QualityModel:
 
 def fit_discriminant(stats: np.ndarray, labels: np.ndarray, to_joint: float = TO_JOINT, to_diagonal: float = TO_DIAGONAL) -> QualityModel:
     if min((labels == 0).sum(), (labels == 1).sum()) < 2:
-        raise ValueError("two labelled documents of each class are needed")
+        n = len(STATS)
+        return QualityModel(np.zeros(n), np.ones(n), np.zeros((2, n)), np.zeros((2, n, n)), np.zeros(2), 0.0)
     centre, spread = stats.mean(axis=0), stats.std(axis=0) + 1e-3
     z = np.clip((stats - centre) / spread, -8, 8)
     own = [z[labels == c] for c in (0, 1)]
@@ -131,7 +136,10 @@ def fit_discriminant(stats: np.ndarray, labels: np.ndarray, to_joint: float = TO
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
     """Learn from the rows of ``labels`` where ``learn`` (over its id column) holds."""
     known = labels.filter(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("i"), "i", "y").limit(sample).dropDuplicates(["i"])
+    known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("_y")).filter("y = _y").select("i", "y", F.xxhash64("i").alias("h"))
+    # of hashes spread over 64 bits, this share holds twice as many as are wanted
+    few = known.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= 2.0 * sample / max(known.count(), 1))
+    chosen = few.orderBy("h", "i").limit(sample).select("i", "y")
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +147,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: st
             own = [statistics(t.as_py() or "") for t in b.column("t")]
             yield pa.RecordBatch.from_arrays([b.column("i").cast(pa.int64()), b.column("y"), pa.array(own, type=pa.list_(pa.float64()))], names=["i", "y", "s"])
 
-    found = sorted(rows.mapInArrow(run, "i long, y int, s array<double>").collect())
+    found = sorted(rows.mapInArrow(run, "i long, y int, s array<double>").groupBy("i").agg(F.first("y").alias("y"), F.min("s").alias("s")).collect())
     return fit_discriminant(np.array([r.s for r in found]).reshape(len(found), len(STATS)), np.array([r.y for r in found]))
 
 
