@@ -31,6 +31,17 @@ QUERIES = {
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {
+    "op1_tool_calls": r"""WITH u AS (SELECT *, conv_id || ':' || turn AS call_id, coalesce(text, '') AS q, len(regexp_split_to_array(trim(coalesce(text, '')), '\s+')) AS words FROM conversations WHERE role = 'user'),
+      ids AS (SELECT DISTINCT conv_id, turn, call_id FROM u WHERE call_id IS NOT NULL),
+      runs AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM ids),
+      levels AS (SELECT call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM runs),
+      a AS (SELECT call_id, arg_min(content, k) AS content FROM (SELECT conv_id || ':' || (turn - 1) AS call_id, struct_pack(a := turn, b := coalesce(text, '')) AS k, struct_pack(t := text) AS content FROM conversations WHERE role = 'assistant') WHERE call_id IS NOT NULL GROUP BY 1),
+      c AS (SELECT u.*, l.level, a.content, CASE WHEN u.turn >= 2 AND p.call_id IS NULL THEN 1 ELSE 0 END AS needs_missing,
+          concat_ws('; ', CASE WHEN q = '' THEN '$.question: too short' END, CASE WHEN u.turn < 0 THEN '$.turn: too small' END, CASE WHEN words < 3 THEN '$.words: too small' END) AS errors
+        FROM u LEFT JOIN levels l ON l.call_id = u.call_id LEFT JOIN a ON a.call_id = u.call_id LEFT JOIN ids p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+      SELECT conv_id, turn, call_id, 'reply' AS name, CAST(level AS BIGINT) AS level, CAST(needs_missing AS BIGINT) AS needs_missing, content IS NOT NULL AS linked, errors = '' AS valid, errors,
+        '{"arguments":{"question":' || to_json(q) || ',"turn":' || turn || ',"words":' || words || '},"id":' || to_json(call_id) || ',"name":"reply","result":' || coalesce(CAST(to_json(content.t) AS VARCHAR), 'null') || '}' AS json
+      FROM c""",
     "op8_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
       s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
       n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
