@@ -8,6 +8,8 @@ is to be blocked. Both counts hold every word and stay in Spark: substrings of t
 and the words of the distinct kinds of pages, are joined with them. Pages are of one kind if their
 hosts are the same and their paths have the same words.
 
+A label of a host has at most 63 characters, so no longer words are looked for in one.
+
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule, and
 is allowed. Repeated rows are judged alike; an empty table gives no rows.
 """
@@ -37,7 +39,8 @@ STRONG = frozenset(
     nsfw nude nudes pharma phish phishing pills poker porn porno pornos replica roulette scam scams sex sexy slots spam spammer spyware viagra warez xxx""".split()
 )
 WEAK = frozenset("ad ads adserver banner bonus buy cheap click deals discount download free loan loans money offer popup prize promo track tracker tracking win winner".split())
-LONGEST_WORD = 24
+#: No label of a host is longer.
+LONGEST_WORD = 63
 #: Of all words counted, the share that each seed word has besides, so that it can be split off.
 SEED_SHARE = 5e-5
 #: Rows of substrings that leave a task at once.
@@ -95,7 +98,7 @@ class Unigrams:
 def count_unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(w, n): how often each word stands in the text of all pages."""
     text = F.lower(F.regexp_replace(F.col(html_col), r"<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, r"[^a-z]+")).alias("w")).filter((F.length("w") > 1) & (F.length("w") <= LONGEST_WORD))
+    words = pages.select(F.explode(F.split(text, r"[^a-z]+")).alias("w")).filter(F.length("w") > 1)
     return stored(words.groupBy("w").agg(F.count("*").alias("n")))
 
 
@@ -156,7 +159,7 @@ def path_words(path: Column) -> Column:
 
 def seed_label(host: Column, path: Column) -> Column:
     """Whether a page is to be blocked by the seed words among those of its host and path."""
-    words = F.array_union(host, F.transform(path, lambda w: F.substring(w, 2, LONGEST_WORD)))
+    words = F.array_union(host, F.transform(path, lambda w: F.substr(w, F.lit(2))))
     strong, weak = (F.array(*map(F.lit, sorted(x))) for x in (STRONG, WEAK))
     return F.arrays_overlap(words, strong) | (F.size(F.array_intersect(words, weak)) > 1)
 
