@@ -69,15 +69,23 @@ def decode_image(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8, h * w * channels, m.end()).reshape(h, w, channels)
 
 
-def area_resize(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
+def integral_image(pixels: np.ndarray) -> np.ndarray:
+    """(height + 1, width + 1, channels): the sums of all pixels above and left of each corner."""
+    h, w, channels = pixels.shape
+    total = np.zeros((h + 1, w + 1, channels), np.int64)
+    inner = total[1:, 1:]
+    np.cumsum(pixels, axis=0, dtype=np.int64, out=inner)
+    np.cumsum(inner, axis=1, out=inner)
+    return total
+
+
+def cell_means(total: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Area averages on a grid of rows x columns, as float64 (rows, columns, channels).
 
     The integral image is read between its points by linear interpolation, which is exact for
     pixels of constant colour, so cells need not end at pixel borders.
     """
-    h, w, channels = pixels.shape
-    total = np.zeros((h + 1, w + 1, channels))
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.int64), axis=1, out=total[1:, 1:])
+    h, w = total.shape[0] - 1, total.shape[1] - 1
 
     def at(edges: np.ndarray, values: np.ndarray) -> np.ndarray:
         low = np.minimum(edges.astype(np.int64), len(values) - 2)
@@ -89,16 +97,22 @@ def area_resize(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
     return np.diff(np.diff(corners, axis=0), axis=1) / (h / rows * w / columns)
 
 
-def difference_hash(pixels: np.ndarray) -> str:
-    """64 bits in hex: whether each cell of the grey grid is brighter than the one to its left."""
-    grey = area_resize(pixels, *HASH_GRID).mean(axis=2)
+def area_resize(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """An image shrunk or stretched to rows x columns by area averages, as float64."""
+    return cell_means(integral_image(pixels), rows, columns)
+
+
+def difference_hash(total: np.ndarray) -> str:
+    """64 bits in hex, of an integral image: whether each cell of the grey grid is brighter than the
+    one to its left."""
+    grey = cell_means(total, *HASH_GRID).mean(axis=2)
     return np.packbits(np.diff(grey, axis=1) > 1e-6).tobytes().hex()
 
 
-def npy_tile(pixels: np.ndarray, side: int = TILE) -> bytes:
-    """The image, shrunk or stretched to side x side, as the bytes of an NPY file."""
+def npy_tile(total: np.ndarray, side: int = TILE) -> bytes:
+    """The image of an integral image, shrunk or stretched to side x side, as the bytes of an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.rint(area_resize(pixels, side, side)).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.rint(cell_means(total, side, side)).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -118,7 +132,8 @@ READ = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("ti
 def _load():
     def run(media: bytes) -> dict:
         pixels = decode_image(media)
-        return {"payload": pixels.tobytes(), "tile": npy_tile(pixels), "dhash": difference_hash(pixels)}
+        total = integral_image(pixels)
+        return {"payload": pixels.tobytes(), "tile": npy_tile(total), "dhash": difference_hash(total)}
 
     return run
 
