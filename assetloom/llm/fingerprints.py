@@ -108,12 +108,11 @@ def _ranged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bucket.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     rows = rows.withColumn("bucket", F.arrow_udf(bucket, returnType=T.LongType())(F.col("doc_id")))
     firsts = sorted(rows.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect())
-    before = {first: firsts[k - 1].bucket for k, (_, first) in enumerate(firsts)}  # the first range's goes to the last
-    if not before:
+    if not firsts:
         return rows.withColumn("carried", F.lit(False))
-    is_first = F.col("doc_id").isin([int(x) for x in before])
-    to = F.create_map(*[F.lit(v) for first, b in before.items() for v in (int(first), int(b))])
-    again = rows.filter(is_first).withColumn("bucket", to[F.col("doc_id")]).withColumn("carried", F.lit(True))
+    # the first document of each range also ends the range before; the first range's ends the last
+    ends = spark.createDataFrame([(f.first, firsts[k - 1].bucket) for k, f in enumerate(firsts)], "doc_id long, bucket long")
+    again = rows.drop("bucket").join(F.broadcast(ends), "doc_id").select("doc_id", "text", "bucket").withColumn("carried", F.lit(True))
     both = rows.withColumn("carried", F.lit(False)).unionByName(again)
     return both.repartition("bucket").sortWithinPartitions("bucket", "carried", F.desc("doc_id"), "text")
 
