@@ -57,9 +57,78 @@ def test_empty_tables(spark, tmp_path, name):
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_url_filters", "op7_language_id", "op10_quality_classifier", "pipeline"])
+def test_empty_tables_of_the_others(spark, tmp_path, name):
+    for t, ddl in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string"}.items():
+        spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs, F.lit(True))
+    assert model.languages == [] and model.predict(["some text", None]) == (["und", "und"], [0.0, 0.0])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, quality int")
+    assert (quality.fit_quality(docs, labels, F.lit(True)).scores(np.array([quality.statistics("some text")])) == 0.5).all()
+
+
+@pytest.mark.parametrize("name", [n for n in registry.SQL if n != "op8_jaccard_join"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "conversations", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    rows = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).values.tolist()))
+    assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(c.execute(registry.SQL[name]).df())
+
+
 # 1
 
 
+def test_levels_by_brute_force(spark):
+    """Chains, joints and cycles, against the longest chain by plain recursion."""
+    r = random.Random(4)
+    needs = {f"c{i}": [f"c{i - 1}"] for i in range(1, 70)} | {"c0": [], "x": ["y"], "y": ["z"], "z": ["x"], "w": ["x"], "self": ["self"], "ends": ["w", "c3"]}
+    needs |= {f"d{i}": [f"d{j}" for j in {r.randrange(max(0, i - 6), i) for _ in range(r.randrange(0, 4))}] if i else [] for i in range(60)}
+    calls = spark.createDataFrame([(k, v) for k, v in needs.items()], "call_id string, after array<string>")
+
+    def level(k, above=()):
+        below = [None if n in (*above, k) else level(n, (*above, k)) for n in needs[k]]
+        return None if None in below else max([x + 1 for x in below], default=0)
+
+    # repeated work is kept small: the d-graph is narrow
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def of_d(k):
+        return max([of_d(n) + 1 for n in needs[k]], default=0)
+
+    want = {k: of_d(k) if k[0] == "d" else level(k) for k in needs}
+    got = {x.call_id: x.level for x in toolcalls.levels(calls).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None}
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    chain = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(1, 400)], "call_id string, to string")
+    n, real = [], toolcalls.stored
+    monkeypatch.setattr(toolcalls, "stored", lambda df: n.append(1) or real(df))
+    got = {x.call_id: (x.to, x.far) for x in toolcalls.chain_ends(chain).collect()}
+    assert got == {f"c{i}": ("c0", i) for i in range(1, 400)} and len(n) < 3 * 12
+
+
+def test_arguments_that_are_hard_to_parse(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    texts = [deep, '{"a":' * 5_000 + "1" + "}" * 5_000, '{"x":"\\ud800"}', '{"x":NaN}', '{"x":1}', '{"x":true}', '{"x":null}', None]
+    calls = spark.createDataFrame([(1, i, str(i), "f", t, []) for i, t in enumerate(texts)], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "call_id string, turn long, content string")
+    schema = {"f": {"type": "object", "properties": {"x": {"type": ["string", "null", "integer", "boolean"], "enum": ["\ud800", 1, None]}}}}
+    got = {r.turn: r for r in toolcalls.link_tool_calls(calls, results, schema).collect()}
+    assert [got[i].errors for i in (0, 3, 7)] == ["$: not an object"] * 3
+    assert [got[i].valid for i in (2, 4, 5, 6)] == [True, True, False, True]
+    assert got[5].errors == "$.x: not one of enum" and '"x":"\\ud800"' in got[2].json and json.loads(got[2].json)
+
+
 def test_tool_calls_levels_links_and_schemas(spark):
     calls = spark.createDataFrame([(1, 0, "a", "f", '{"y":1,"x":"é"}', []), (1, 1, "b", "f", "{}", ["a", "zz"]), (1, 2, "c", "f", "[1", ["b", "a"]), (1, 3, "d", "g", "{}", ["e"]), (1, 4, "e", "g", "{}", ["d"]), (1, 5, None, "g", "{}", [])], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
     results = spark.createDataFrame([("a", 2, "late"), ("a", 1, "now")], "call_id string, turn long, content string")
@@ -124,7 +193,7 @@ def test_words_written_together():
 def test_spam_hosts_blocked_and_clean_ones_not(spark):
     got = registry.QUERIES["op3_url_filters"](spark, SF).toPandas()
     free = got[got.rule.isna()]
-    spam = free.host.str.contains("casino|bets|pills|ads-track")
+    spam = free.host.str.contains("adult-x|spam-farm|casino|bets|pills|ads-track")
     assert (free.verdict[spam] == "block").all() and (free.verdict[~spam] == "allow").all()
 
 
@@ -163,6 +232,43 @@ def test_bayes_weighs_every_word_of_path(spark):
     assert got["/casino"] == pytest.approx(math.log(2 / 60_003) - math.log(1 / 120_002)) and got["/p59999"] == pytest.approx(math.log(1 / 60_003) - math.log(2 / 120_002))
 
 
+def test_split_bayes_and_verdict_by_brute_force(spark):
+    """Counts, splits, weights and verdicts of all pages in plain Python."""
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    counts: dict = {}
+    for h in pages.html:
+        for w in re.split(r"[^a-z]+", re.sub(r"<[^>]*>", " ", h or "").lower()):
+            if len(w) > 1:
+                counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    seeds = urls.STRONG | urls.WEAK
+    for w in seeds:
+        counts[w] = counts.get(w, 0) + total * urls.SEED_SHARE
+    total += len(seeds) * total * urls.SEED_SHARE
+    known = urls.Unigrams({w: math.log(n / total) for w, n in counts.items()}, total)
+    kinds, of = {}, {}
+    for i, u in zip(pages.page_id, pages.url, strict=True):
+        rest = u.split("://", 1)[1] if "://" in (u or "") else ""
+        host, path = re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        words = tuple("/" + (p if p[0] > "9" else "0") for p in re.findall(r"[a-z]+|[0-9]+", path.lower()))
+        of[i] = (host, words)
+        kinds[of[i]] = kinds.get(of[i], 0) + 1
+    words = {k: [*urls.host_words(k[0], known), *k[1]] for k in kinds}
+    spam = lambda k: bool({w.strip("/") for w in words[k]} & urls.STRONG) or len({w.strip("/") for w in words[k]} & urls.WEAK) > 1
+    per = [{}, {}]
+    for k, n in kinds.items():
+        for w in words[k]:
+            per[spam(k)][w] = per[spam(k)].get(w, 0) + n
+    vocabulary = {w for x in words.values() for w in x}
+    sums = [sum(p.values()) + len(vocabulary) + 1 for p in per]
+    odds = {k: sum(math.log((per[1].get(w, 0) + 1) / sums[1]) - math.log((per[0].get(w, 0) + 1) / sums[0]) for w in x) for k, x in words.items()}
+    got = registry.QUERIES["op3_url_filters"](spark, SF).toPandas().set_index("page_id")
+    for i, k in of.items():
+        assert got.block_odds[i] == pytest.approx(odds[k], abs=1e-9) and got.host_words[i] == " ".join(urls.host_words(k[0], known))
+        if got.rule[i] is None:
+            assert got.verdict[i] == ("block" if odds[k] > 0 else "allow")
+
+
 # 4
 
 
@@ -295,6 +401,29 @@ def test_kernel_is_the_presence_kernel():
     assert len(langid.cells("")) == 0 and langid.LanguageModel(["en"], np.zeros((langid.CELLS, 1), np.float32), np.zeros((1, 1), np.float32), 1.0).predict([None, "12", ""]) == (["und"] * 3, [0.0] * 3)
 
 
+def test_letters_are_letters():
+    assert not any(any(map(str.isalpha, t)) for t in ("½", "²", "12 ٣"))
+    model = langid.LanguageModel(["en"], np.zeros((langid.CELLS, 1), np.float32), np.zeros((1, 1), np.float32), 1.0)
+    assert model.predict(["½²", "_1", "é", "漢"])[0] == ["und", "und", "en", "en"]
+
+
+def test_statistics_by_hand():
+    got = dict(zip(quality.STATS, quality.statistics("Ab cd. Ab cd.\nx1|"), strict=True))
+    logit = lambda p, n: math.log((p * n + 0.5) / (n + 1) / (1 - (p * n + 0.5) / (n + 1)))
+    want = {"log_chars": math.log(18), "log_words": math.log(6), "word_length": math.log(14 / 6), "upper": logit(2 / 9, 9), "digit": logit(1 / 17, 17), "symbol": logit(0, 17), "pipe": logit(1 / 17, 17), "stop": logit(2 / 17, 17)}
+    want |= {"space": logit(4 / 17, 17), "distinct_words": math.log(4 / 6**0.8), "repeated_neighbours": logit(0, 4), "distinct_lines": logit(1, 2), "top_word": logit(2 / 5, 5), "letters_in_words": logit(9 / 17, 17), "sentence_ends": logit(2 / 5, 5), "plain_word_ends": logit(4 / 5, 5)}
+    assert got == pytest.approx(want)
+
+
+def test_repeated_and_contradicting_labels(spark):
+    good = pd.read_parquet(f"{SF}/documents.parquet").head(40)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good.text)] * 3, "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(40)]
+    once = quality.fit_quality(docs.distinct(), spark.createDataFrame(labels[2:], "doc_id long, quality int"), F.lit(True))
+    more = quality.fit_quality(docs, spark.createDataFrame(labels + labels + [(0, 1), (1, 0)], "doc_id long, quality int"), F.lit(True))
+    assert np.allclose(once.centre, more.centre) and np.allclose(once.means, more.means)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = registry.QUERIES["op10_quality_classifier"](spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
@@ -355,6 +484,62 @@ def test_components_by_brute_force(spark, monkeypatch, width, percent, tile):
     assert got == brute_components(docs, width, percent)
 
 
+@pytest.mark.parametrize(("width", "percent", "tile"), [(4, 85, 1024), (4, 60, 6)])
+def test_links_by_brute_force(spark, monkeypatch, width, percent, tile):
+    """Every link between rows is counted once, whatever the blocks and tiles in which sets meet."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    r, docs = random.Random(percent), [(900, None), (901, ""), (None, "one two three four")]
+    for family in range(8):
+        words = [f"w{r.randrange(90)}" for _ in range(r.choice([5, 12, 40, 90]))]
+        for copy in range(r.choice([2, 5, 30])):
+            docs += [(family * 50 + copy, " ".join(words))] * r.choice([1, 1, 2])
+            for _ in range(r.randrange(0, 3)):
+                words[r.randrange(len(words))] = f"x{r.randrange(90)}"
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard.jaccard_classes(df, shingle=width, percent=percent, count_links=True).collect()
+    sets = [(i, word_set(t, width)) for i, t in docs]
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= percent * len(a | b)
+    want = sorted((-1 if i is None else i, len(s), 0 if i is None else sum(j is not None and linked(s, t) for j, t in sets) - bool(s)) for i, s in sets)
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_shingles, x.n_links) for x in got) == want
+
+
+def test_a_large_group_is_joined_in_tiles(spark, monkeypatch):
+    """Near copies of one text that are cut into many tiles, a shared passage and a far branch."""
+    monkeypatch.setattr(jaccard, "TILE", 5)
+    r, base = random.Random(1), [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randrange(0, 3)):
+            words[r.randrange(120)] = f"x{r.randrange(10_000)}"
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, " ".join(base[:60] + [f"y{i}_{k}" for k in range(60)])) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, shingle=5, percent=80).collect()}
+    assert got == brute_components(docs, 5, 80)
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    t, u, v = ("a b c d e f g h i j", "q r s t u v w x y z", "k l m n o p q r s t")
+    docs = [(1, t, "p"), (5, t, "q"), (5, u, "r"), (7, v, "s"), (7, v, "s"), (7, "", "t"), (8, v.upper(), "u"), (None, t, "v"), (None, None, "w"), (9, "", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = sorted(map(repr, jaccard.first_of_classes(df, shingle=5, percent=80).collect()))
+    want = spark.createDataFrame([docs[i] for i in (0, 2, 3, 5, 7, 8, 9)], df.schema).collect()
+    assert got == sorted(map(repr, want))
+
+
+def test_rtree_gives_what_all_pairs_give():
+    r = np.random.default_rng(2)
+    for n, m in ((1, 1), (5, 40), (300, 1), (120, 90)):
+        base = r.integers(0, 2**64, 80, dtype=np.uint64)
+        sets = [np.unique(np.where(r.random(80) < 0.08, r.integers(0, 2**64, 80, dtype=np.uint64), base)) for _ in range(n + m)]
+        points, sizes, firsts = jaccard.count_vectors(sets), np.array([len(h) for h in sets]), np.array([h[0] for h in sets])
+        ok = lambda i, j: np.minimum(points[i], points[j]).sum() >= jaccard.needed(sizes[i], sizes[j], 85)
+        a, b = (jaccard.RTree(points[k], sizes[k], firsts[k]) for k in (slice(0, n), slice(n, None)))
+        assert sorted(map(tuple, jaccard.rtree_pairs(a, b, 85).tolist())) == [(i, j) for i in range(n) for j in range(m) if ok(i, n + j)]
+        assert sorted(tuple(sorted(p)) for p in jaccard.rtree_pairs(a, a, 85).tolist()) == [(i, j) for i in range(n) for j in range(i + 1, n) if ok(i, j)]
+
+
 def test_sets_that_link_share_a_key():
     r = np.random.default_rng(0)
     for percent in (80, 85, 95):
@@ -404,6 +589,15 @@ def test_words_as_the_tokenizer():
         assert w.text(s).tolist() == w.tokenizer.encode(s, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_the_library():
+    from tokenizers import Tokenizer
+
+    plain, w = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for s in ("a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|ENDOFTEXT|>", "é<|endoftext|>É", "<|endoftext|", "<|endof text|>"):
+        assert w.text(s).tolist() == plain.encode(s, add_special_tokens=False).ids
+    assert w.text("a <|endoftext|> b").tolist() == [320, 49407, 321]
+
+
 def test_best_fit_keeps_few_bins_open():
     fit, r = packing.BestFit(100, 4), random.Random(1)
     used: dict = {}
