@@ -8,9 +8,10 @@
    there; a hub and the sets that meet it are a block. A passage that many documents share makes no
    large blocks: its tokens are frequent and stand at the end.
 3. The sets of a block are points, their counts by group, in an R-tree. Nodes keep the greatest count
-   of each group; the sum of coordinate minima bounds the overlap of nodes as of points. Pairs of
-   points that the bound lets pass are verified on the whole sets, in batches. Large blocks are cut
-   into tiles, and pairs of tiles are joined by as many tasks.
+   of each group; the sum of coordinate minima bounds the overlap of nodes as of points. The trees of
+   all blocks are joined on the counts alone, which are some twentieth of a text; only the sets that
+   the bound leaves with a partner are fetched, and pairs that pass are verified on them, in batches.
+   Large blocks are cut into tiles, and pairs of tiles are joined by as many tasks.
 4. Components of the links give the classes.
 
 With ``count_links`` every pair that passes is verified, and each document has the number of its
@@ -130,13 +131,13 @@ def group_ranks(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _profiles(width: int, percent: int, ranks: np.ndarray) -> Callable:
-    """(doc_id, text) to (doc_id, n, sig, keys); of equal sets of a partition the first gives keys."""
-    schema = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "keys": pa.list_(pa.int64())}
+    """(doc_id, text) to (doc_id, n, sig, counts, keys); of equal sets of a partition the first has keys."""
+    schema = {"doc_id": pa.int64(), "n": pa.int64(), "sig": pa.int64(), "counts": pa.binary(), "keys": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _sliced(batches):
-            sizes, sigs, keys, ends = [], [], [], [0]
+            sizes, sigs, counts, keys, ends = [], [], [], [], [0]
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 h = shingle_set(text.as_py() or "", width)
                 sig = signature(h)
@@ -146,9 +147,10 @@ def _profiles(width: int, percent: int, ranks: np.ndarray) -> Callable:
                     keys.append(meeting_keys(h, percent, ranks))
                 sizes.append(len(h))
                 sigs.append(sig)
+                counts.append(packed(h) if len(h) and doc.is_valid else None)
                 ends.append(ends[-1] + (len(keys[-1]) if new else 0))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield _batch({"doc_id": batch.column(0), "n": sizes, "sig": sigs, "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}, schema)
+            yield _batch({"doc_id": batch.column(0), "n": sizes, "sig": sigs, "counts": counts, "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}, schema)
 
     return run
 
@@ -190,13 +192,21 @@ class Ragged:
         return sums[ends] - sums[ends - lengths]
 
 
-def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
-    """A row for each set: its tokens by group, in one to two groups a token of the least set."""
-    bits = min(9, max(4, min(map(len, sets)).bit_length()))
-    out = np.zeros((len(sets), 1 << bits), np.uint32)
-    for row, h in zip(out, sets, strict=True):
-        row[:] = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return out
+def count_vector(h: np.ndarray) -> np.ndarray:
+    """The tokens of a set by group: two to four tokens a group on average, from 16 to 4096 groups."""
+    bits = min(12, max(4, len(h).bit_length() - 2))
+    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def packed(h: np.ndarray) -> bytes:
+    """The least token of a set and its count vector, in the fewest bytes a count."""
+    v = count_vector(h)
+    width = 1 if v.max() < 1 << 8 else 2 if v.max() < 1 << 16 else 4
+    return h[:1].tobytes() + bytes([width]) + v.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[int, np.ndarray]:
+    return int.from_bytes(data[:8], "little"), np.frombuffer(data, f"<u{data[8]}", offset=9)
 
 
 class RTree:
@@ -240,19 +250,34 @@ def rtree_pairs(a: RTree, b: RTree, percent: int) -> np.ndarray:
     return np.stack((a.order[pairs[:, 0]], b.order[pairs[:, 1]]), axis=1)
 
 
+def tile_pairs(vectors: list[np.ndarray], sizes: np.ndarray, firsts: np.ndarray, sides: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of sets of a tile (side 0), or of two tiles (sides 1 and 2), that may link, as rows (i, j).
+
+    Sets with equally long vectors make a tree. Trees whose sizes are near enough are joined, the
+    longer vectors being added up to the length of the shorter.
+    """
+    lengths, out = np.array([len(v) for v in vectors]), [np.zeros((0, 2), np.int64)]
+    kinds = [(g, s, np.flatnonzero((lengths == g) & (sides == s))) for g in np.unique(lengths) for s in np.unique(sides)]
+
+    def tree(own: np.ndarray, groups: int) -> RTree:
+        return RTree(np.array([vectors[k].reshape(groups, -1).sum(axis=1, dtype=np.uint32) for k in own]), sizes[own], firsts[own])
+
+    for at, (g, s, x) in enumerate(kinds):
+        for h, t, y in kinds[at:]:
+            same = (g, s) == (h, t)
+            if not len(x) or not len(y) or (s == t) == bool(s) or sizes[x].max() * 100 < percent * sizes[y].min() or sizes[y].max() * 100 < percent * sizes[x].min():
+                continue
+            a = tree(x, min(g, h))
+            pairs = rtree_pairs(a, a if same else tree(y, min(g, h)), percent)
+            out.append(np.stack((x[pairs[:, 0]], y[pairs[:, 1]]), axis=1))
+    return np.concatenate(out)
+
+
 def join_tile(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, hubs: list[np.ndarray], weights: np.ndarray, percent: int, count_links: bool) -> tuple[np.ndarray, np.ndarray]:
     """For each set of a tile (side 0), or of a pair of tiles (sides 1 and 2): the label of its class
     here, and the weights of those that it links with, as far as they have no hub in common."""
     sizes = np.array([len(h) for h in sets])
-    points, firsts = count_vectors(sets), np.array([h[0] for h in sets])
-    if sides[0]:
-        own = [np.flatnonzero(sides == s) for s in (1, 2)]
-        trees = [RTree(points[k], sizes[k], firsts[k]) for k in own] if all(map(len, own)) else []
-        pairs = rtree_pairs(*trees, percent) if trees else np.zeros((0, 2), np.int64)
-        pairs = np.stack((own[0][pairs[:, 0]], own[1][pairs[:, 1]]), axis=1)
-    else:
-        tree = RTree(points, sizes, firsts)
-        pairs = rtree_pairs(tree, tree, percent)
+    pairs = tile_pairs([count_vector(h) for h in sets], sizes, np.array([h[0] for h in sets]), sides, percent)
     root, links = labels.copy(), np.zeros(len(sets), np.int64)
     if not len(pairs):
         return root, links
@@ -293,10 +318,9 @@ def _joined(percent: int, count_links: bool) -> Callable:
         return [(s, first[r], n) for s, r, n in zip(sigs, root.tolist(), links.tolist(), strict=True) if r in changed or n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (row for batch in batches for at in range(0, batch.num_rows, SLICE) for row in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True))
         out: list[tuple[int, int, int]] = []
-        for _, rows in groupby(each, key=itemgetter(0, 1, 2)):
-            out += found(list(rows))
+        for _, rows in _by_tile(batches):
+            out += found(rows)
             if len(out) >= 10_000:
                 yield _batch(dict(zip(schema, zip(*out, strict=True), strict=True)), schema)
                 out = []
@@ -306,13 +330,53 @@ def _joined(percent: int, count_links: bool) -> Callable:
     return run
 
 
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of each (block, low, high), the first three columns, by which the batches are sorted."""
+    each = (row for batch in batches for at in range(0, batch.num_rows, SLICE) for row in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True))
+    return ((key, list(rows)) for key, rows in groupby(each, key=itemgetter(0, 1, 2)))
+
+
+PLACE = {"block": pa.int64(), "low": pa.int64(), "high": pa.int64(), "side": pa.int32(), "sig": pa.int64(), "label": pa.int64(), "weight": pa.int64(), "doc_id": pa.int64(), "earlier": pa.list_(pa.int64())}
+
+
+def _partnered(percent: int) -> Callable:
+    """Sorted places and counts to the places of the sets that may link with another of other label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, rows in _by_tile(batches):
+            if len(rows) < 2:
+                continue
+            firsts, vectors = zip(*(unpacked(r[9]) for r in rows), strict=True)
+            pairs = tile_pairs(vectors, np.array([int(v.sum()) for v in vectors]), np.array(firsts, np.uint64), np.array([r[3] for r in rows]), percent)
+            labels = np.array([r[5] for r in rows])
+            pairs = pairs[labels[pairs[:, 0]] != labels[pairs[:, 1]]]
+            out += [rows[k][:9] for k in np.unique(pairs).tolist()]
+            if len(out) >= 10_000:
+                yield _batch(dict(zip(PLACE, zip(*out, strict=True), strict=True)), PLACE)
+                out = []
+        if out:
+            yield _batch(dict(zip(PLACE, zip(*out, strict=True), strict=True)), PLACE)
+
+    return run
+
+
 WIDE = ["block", "low", "high", "side", "sig", "label", "weight", "earlier", "hashes"]
 
 
-def _join_placed(placed: DataFrame, sets: DataFrame, percent: int, count_links: bool) -> DataFrame:
-    """(sig, other, links), stored; ``placed``: the sets' places in tiles, without their hashes."""
-    wide = placed.join(sets, "sig").select(WIDE).repartition("block", "low", "high").sortWithinPartitions(*WIDE[:5])
-    return stored(wide.mapInArrow(_joined(percent, count_links), "sig long, other long, links long"))
+def _join_placed(placed: DataFrame, met: DataFrame, texts: DataFrame, shingle: int, percent: int, count_links: bool) -> DataFrame:
+    """(sig, other, links), stored; ``placed``: the sets' places in tiles; ``met``: their counts."""
+
+    def tiled(df: DataFrame) -> DataFrame:
+        return df.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "side", "sig")
+
+    dealt = tiled(placed.join(met.select("sig", "counts"), "sig").select(*PLACE, "counts"))
+    near = stored(dealt.mapInArrow(_partnered(percent), "block long, low long, high long, side int, sig long, label long, weight long, doc_id long, earlier array<long>"))
+    wanted = small_side(stored(near.select("sig", "doc_id").distinct()))
+    sets = stored(texts.join(wanted, "doc_id").select("sig", "text").mapInArrow(_sets(shingle), "sig long, hashes binary"))
+    out = stored(tiled(near.join(sets, "sig").select(WIDE)).mapInArrow(_joined(percent, count_links), "sig long, other long, links long"))
+    dropped(near, sets)
+    return out
 
 
 def _in_tiles(members: DataFrame, tiles: Column) -> DataFrame:
@@ -329,11 +393,10 @@ def set_links(texts: DataFrame, profiles: DataFrame, shingle: int, percent: int,
     keys = profiles.select(F.explode("keys").alias("key"), "sig")
     hubs = keys.groupBy("key").agg(F.min("sig").alias("block"), F.max("sig").alias("_last")).filter("block <> _last").select("key", "block")
     stars = stored(keys.join(hubs, "key").select("block", "sig").distinct())
-    info = profiles.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("n").alias("n"))
+    info = profiles.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("counts").alias("counts"))
     met = stored(info.join(stars.select("sig").distinct(), "sig"))
-    sets = stored(texts.join(small_side(met.select("sig", "doc_id")), "doc_id").select("sig", "text").mapInArrow(_sets(shingle), "sig long, hashes binary"))
 
-    members = stars.join(met.select("sig", "n", "weight"), "sig")
+    members = stars.join(met.select("sig", "doc_id", "n", "weight"), "sig")
     if count_links:
         members = members.join(stars.groupBy("sig").agg(F.collect_list("block").alias("_all")), "sig").withColumn("earlier", F.filter("_all", lambda b: b < F.col("block"))).drop("_all")
     else:
@@ -348,17 +411,18 @@ def set_links(texts: DataFrame, profiles: DataFrame, shingle: int, percent: int,
         other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != F.col("tile")))
         across = members.filter("tiles > 1").withColumn("other", other)
         across = across.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other"), "side": F.when(F.col("tile") < F.col("other"), 1).otherwise(2)})
-        out = _join_placed(inside.unionByName(across, allowMissingColumns=True), sets, percent, True)
+        out = _join_placed(inside.unionByName(across, allowMissingColumns=True), met, texts, shingle, percent, True)
     else:
-        out = _join_placed(inside, sets, percent, False)
-        if large.limit(1).count():
-            out = out.union(_rest(members.filter("tiles > 1"), out, sets, percent))
-    dropped(stars, met, sets, large, members)
+        out = _join_placed(inside, met, texts, shingle, percent, False)
+        if not large.isEmpty():
+            mixed = _rest(members.filter("tiles > 1"), out)
+            out = out.union(_join_placed(mixed, met, texts, shingle, percent, False))
+    dropped(stars, met, large, members)
     return out
 
 
-def _rest(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the sets outside the largest class of each block of several tiles and all others."""
+def _rest(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Places, to join the sets outside the largest class of each block of several tiles with all others."""
     known = components(links.select(F.col("sig").alias("a"), F.col("other").alias("b")))
     members = stored(members.drop("label", "tile").join(known.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
     classes = members.groupBy("block", "label").agg(F.count("*").alias("_size"), F.sum("n").alias("_tokens"))
@@ -368,7 +432,7 @@ def _rest(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -
     tile = F.pmod(F.xxhash64("sig"), F.col("lows"))
     low = members.filter("label <> top").withColumns({"low": tile, "high": F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)), "side": F.lit(1)})
     high = members.withColumns({"low": F.explode(F.sequence(F.lit(0).cast("long"), F.col("lows") - 1)), "high": F.pmod(F.xxhash64("sig"), F.col("tiles")), "side": F.lit(2)})
-    return _join_placed(low.unionByName(high), sets, percent, False)
+    return low.unionByName(high)
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
@@ -380,7 +444,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranks = group_ranks(texts, shingle)
-    profiles = stored(texts.mapInArrow(_profiles(shingle, percent, ranks), "doc_id long, n long, sig long, keys array<long>"))
+    profiles = stored(texts.mapInArrow(_profiles(shingle, percent, ranks), "doc_id long, n long, sig long, counts binary, keys array<long>"))
     joined = set_links(texts, profiles, shingle, percent, count_links)
     root = components(joined.select(F.col("sig").alias("a"), F.col("other").alias("b"))).toDF("sig", "root")
     counts = joined.groupBy("sig").agg(F.sum("links").alias("links"))

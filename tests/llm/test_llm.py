@@ -533,11 +533,24 @@ def test_rtree_gives_what_all_pairs_give():
     for n, m in ((1, 1), (5, 40), (300, 1), (120, 90)):
         base = r.integers(0, 2**64, 80, dtype=np.uint64)
         sets = [np.unique(np.where(r.random(80) < 0.08, r.integers(0, 2**64, 80, dtype=np.uint64), base)) for _ in range(n + m)]
-        points, sizes, firsts = jaccard.count_vectors(sets), np.array([len(h) for h in sets]), np.array([h[0] for h in sets])
-        ok = lambda i, j: np.minimum(points[i], points[j]).sum() >= jaccard.needed(sizes[i], sizes[j], 85)
-        a, b = (jaccard.RTree(points[k], sizes[k], firsts[k]) for k in (slice(0, n), slice(n, None)))
-        assert sorted(map(tuple, jaccard.rtree_pairs(a, b, 85).tolist())) == [(i, j) for i in range(n) for j in range(m) if ok(i, n + j)]
-        assert sorted(tuple(sorted(p)) for p in jaccard.rtree_pairs(a, a, 85).tolist()) == [(i, j) for i in range(n) for j in range(i + 1, n) if ok(i, j)]
+        vectors, sizes, firsts = [jaccard.count_vector(h) for h in sets], np.array([len(h) for h in sets]), np.array([h[0] for h in sets])
+        ok = lambda i, j: np.minimum(vectors[i], vectors[j]).sum() >= jaccard.needed(sizes[i], sizes[j], 85)
+        sides = np.repeat([1, 2], [n, m])
+        assert sorted(map(tuple, jaccard.tile_pairs(vectors, sizes, firsts, sides, 85).tolist())) == [(i, n + j) for i in range(n) for j in range(m) if ok(i, n + j)]
+        got = jaccard.tile_pairs(vectors[:n], sizes[:n], firsts[:n], sides[:n] * 0, 85)
+        assert sorted(tuple(sorted(p)) for p in got.tolist()) == [(i, j) for i in range(n) for j in range(i + 1, n) if ok(i, j)]
+
+
+def test_vectors_of_all_lengths_miss_no_pair():
+    r, sets = np.random.default_rng(6), []
+    for n in (1, 3, 30, 62, 63, 64, 66, 255, 256, 300, 2000, 60_000):
+        base = r.integers(0, 2**64, n, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(base[: n - n // 12]), np.unique(np.concatenate((base, r.integers(0, 2**64, n // 14, dtype=np.uint64))))]
+    sets = [h for h in sets if len(h)]
+    links = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)}
+    first, vectors = zip(*(jaccard.unpacked(jaccard.packed(h)) for h in sets), strict=True)
+    got = jaccard.tile_pairs(vectors, np.array([len(h) for h in sets]), np.array(first, np.uint64), np.zeros(len(sets), np.int64), 80)
+    assert len(links) > 30 and links <= {tuple(sorted(p)) for p in got.tolist()}
 
 
 def test_sets_that_link_share_a_key():
