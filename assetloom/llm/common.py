@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
@@ -52,11 +54,17 @@ CACHES: list = []
 
 
 def release(owner: str) -> None:
-    """Empty the caches of all other operators, whose tasks this worker ran before."""
-    for other, cache in CACHES:
-        if other != owner:
-            cache.clear()
-            cache.old = {}
+    """Empty the caches of all other operators, whose tasks this worker ran before, and give their
+    memory back to the machine."""
+    full = [cache for other, cache in CACHES if other != owner and (cache or cache.old)]
+    for cache in full:
+        cache.clear()
+        cache.old = {}
+    if full:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
 
 
 class Recent(dict):

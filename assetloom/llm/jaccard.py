@@ -4,8 +4,8 @@
    by how often their tokens stand in all texts. Each set is ordered by these ranks, rare groups first.
 2. Of two sets that link, the first token that both have is among the first of either, as no more
    can be missing than the threshold allows. So sets meet at these tokens, and no pair that links is
-   missed. Equal sets are one from here on. The least set of a token is the hub of all that meet
-   there; a hub and the sets that meet it are a block. A passage that many documents share makes no
+   missed. Equal sets are one from here on. Of the sets that meet at a token and are near enough in
+   size, the smallest is the hub; a hub and the sets that meet it are a block. A passage that many documents share makes no
    large blocks: its tokens are frequent and stand at the end.
 3. The sets of a block are points, their counts by group, in an R-tree. Nodes keep the greatest count
    of each group; the sum of coordinate minima bounds the overlap of nodes as of points. The trees of
@@ -155,6 +155,40 @@ def _profiles(width: int, percent: int, ranks: np.ndarray) -> Callable:
     return run
 
 
+def _meetings(percent: int) -> Callable:
+    """Sorted (key, n, sig) to (block, sig): of the sets of a key, runs whose sizes are near enough for
+    each to link with the one before; the first set names the block. Runs of one set are left out.
+
+    Rows are three numbers and none is kept but the last, so a frequent key costs no memory.
+    """
+    schema = {"block": pa.int64(), "sig": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # key, n, sig and block of the last row, and whether it is out already
+        for batch in batches:
+            k, n, s = (c.to_numpy() for c in batch.columns)
+            if held is not None:
+                k, n, s = (np.concatenate(([x], y)) for x, y in zip(held, (k, n, s), strict=False))
+            if not len(k):
+                continue
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
+            k, n, s = k[new], n[new], s[new]
+            begins = np.concatenate(([True], (k[1:] != k[:-1]) | (100 * n[:-1] < percent * n[1:])))
+            which = np.cumsum(begins) - 1
+            blocks, out = s[begins][which], np.bincount(which)[which] > 1
+            if held is not None:
+                blocks[which == 0] = held[3]
+                if held[4]:
+                    out[which == 0] = True
+            last = (k[-1], n[-1], s[-1], blocks[-1], out[-1])
+            if held is not None and held[4]:
+                out[0] = False
+            held = last
+            yield _batch({"block": blocks[out], "sig": s[out]}, schema)
+
+    return run
+
+
 def _sets(width: int) -> Callable:
     """(sig, text) to (sig, hashes), of the texts that have this sig."""
     schema = {"sig": pa.int64(), "hashes": pa.binary()}
@@ -390,9 +424,8 @@ def _tiles_for(size: Column, tokens: Column) -> Column:
 
 def set_links(texts: DataFrame, profiles: DataFrame, shingle: int, percent: int, count_links: bool) -> DataFrame:
     """(sig, other, links): pairs of sets that join all classes, and the weights of links."""
-    keys = profiles.select(F.explode("keys").alias("key"), "sig")
-    hubs = keys.groupBy("key").agg(F.min("sig").alias("block"), F.max("sig").alias("_last")).filter("block <> _last").select("key", "block")
-    stars = stored(keys.join(hubs, "key").select("block", "sig").distinct())
+    keys = profiles.select(F.explode("keys").alias("key"), "n", "sig").repartition("key").sortWithinPartitions("key", "n", "sig")
+    stars = stored(keys.mapInArrow(_meetings(percent), "block long, sig long").distinct())
     info = profiles.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("counts").alias("counts"))
     met = stored(info.join(stars.select("sig").distinct(), "sig"))
 

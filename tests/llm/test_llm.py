@@ -553,6 +553,26 @@ def test_vectors_of_all_lengths_miss_no_pair():
     assert len(links) > 30 and links <= {tuple(sorted(p)) for p in got.tolist()}
 
 
+def test_meetings_whatever_the_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    rows = sorted({(int(k), int(n), int(n) * 1000 + int(s)) for k, n, s in zip(r.integers(0, 60, 400), r.choice([10, 11, 12, 30, 33, 90], 400), r.integers(0, 6, 400), strict=True)})
+    rows = sorted(rows + rows[::7])
+    want = set()
+    for _, group in itertools.groupby(rows, key=lambda x: x[0]):
+        runs = []
+        for _, n, s in group:
+            if not runs or runs[-1][-1][0] * 100 < 85 * n:
+                runs.append([])
+            runs[-1].append((n, s))
+        want |= {(x[0][1], s) for x in runs for _, s in x if len(set(x)) > 1}
+    for size in (1, 2, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + size], strict=True)], names=["key", "n", "sig"]) for at in range(0, len(rows), size)]
+        got = [p for b in jaccard._meetings(85)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert set(got) == want
+
+
 def test_sets_that_link_share_a_key():
     r = np.random.default_rng(0)
     for percent in (80, 85, 95):
