@@ -32,15 +32,16 @@ def estimate_tokens(*texts: Column) -> Column:
 
 
 def _refs(value, out: dict) -> None:
-    if isinstance(value, str):
-        if m := FIRST_PATH.search(value):
-            out.setdefault(m.group())
-    elif isinstance(value, dict):
-        for x in value.values():
-            _refs(x, out)
-    elif isinstance(value, list):
-        for x in value:
-            _refs(x, out)
+    todo = [value]  # the next value comes last
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if m := FIRST_PATH.search(x):
+                out.setdefault(m.group())
+        elif isinstance(x, dict):
+            todo += reversed(x.values())
+        elif isinstance(x, list):
+            todo += reversed(x)
 
 
 def _tags(value, out: set, depth: int = 0) -> None:
@@ -60,7 +61,7 @@ def _tags(value, out: set, depth: int = 0) -> None:
 def _parsed(text: str | None):
     try:
         return json.loads(text) if text else None
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes
         return None
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from assetloom.config import STRUCTURAL_PREFIXES, STRUCTURAL_TYPES, VISUAL_TYPES
 from assetloom.sources.scratch import stored
 
-#: Seeds of one question table that may be broadcast.
-SMALL = 100_000
 #: Before the names of targets that aren't assets; a target may also be given with its own.
 NAMESPACES = ("script:", "class:", "material:", "")
 
@@ -49,8 +47,10 @@ def descendants(seeds: DataFrame, edges: DataFrame, docs: DataFrame, *, max_dept
     child = edges.filter("edge_type = 'inherits_from'").select(F.col("to_id").alias("node_id"), F.col("from_id").alias("child"))
     front, found = seeds.select("seed", "node_id").distinct(), []
     for depth in range(1, max_depth + 1):
-        front = front.join(child, "node_id").select("seed", F.col("child").alias("node_id")).distinct()
+        front = stored(front.join(child, "node_id").select("seed", F.col("child").alias("node_id")).distinct())
         found.append(front.withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
     every = reduce(DataFrame.union, found)
     return every.join(docs.select(F.col("doc_id").alias("node_id"), "path", "name"), "node_id").select("seed", F.col("node_id").alias("doc_id"), "path", "name", "depth")
 
@@ -63,7 +63,9 @@ def expand_refs(seeds: DataFrame, edges: DataFrame, *, direction: str = "forward
     seen = seeds.select("seed", "node_id").distinct().withColumn("depth", F.lit(0))
     front = seen.select("seed", "node_id")
     for d in range(1, depth + 1):
-        front = front.join(steps, front["node_id"] == steps["from_id"]).select("seed", F.col("to_id").alias("node_id")).distinct().join(seen, ["seed", "node_id"], "left_anti")
+        front = stored(front.join(steps, front["node_id"] == steps["from_id"]).select("seed", F.col("to_id").alias("node_id")).distinct().join(seen, ["seed", "node_id"], "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.union(front.withColumn("depth", F.lit(d)))
     if max_nodes is None:
         return seen
@@ -76,17 +78,20 @@ def ownership_chain(targets: DataFrame, edges: DataFrame, docs: DataFrame, *, ma
     kind = F.col("asset_type")
     weight = F.when(kind.isin(*STRUCTURAL_TYPES), 10).otherwise(0) + F.when(kind.contains("GameFeature"), 5).otherwise(0)
     owner = docs.select(F.col("doc_id").alias("from_id"), F.col("path").alias("owner"), F.col("name").alias("owner_name"), weight.alias("w"))
-    up = edges.select("from_id", F.regexp_replace("to_id", "^asset:", "").alias("below")).join(owner, "from_id").select("below", "owner", "owner_name", "w").distinct()
+    up = stored(edges.select("from_id", F.regexp_replace("to_id", "^asset:", "").alias("below")).join(owner, "from_id").select("below", "owner", "owner_name", "w").distinct())
     now = targets.select("path", "name").distinct().select("path", F.col("path").alias("top"), F.array("path").alias("seen"), F.array("name").alias("names"))
-    done = None
+    parts = []
     for _ in range(max_depth):
-        options = now.join(up, now["top"] == up["below"], "left").filter(F.col("owner").isNull() | ~F.array_contains("seen", F.col("owner")))
-        best = options.groupBy("path", "top", "seen", "names").agg(F.min_by(F.struct("owner", "owner_name"), F.struct(-F.col("w"), F.col("owner"))).alias("o"))
-        rest = now.join(best.select("path"), "path", "left_anti")
-        stepped = best.select("path", F.coalesce("o.owner", "top").alias("top"), F.when(F.col("o.owner").isNotNull(), F.array_append("seen", F.col("o.owner"))).otherwise(F.col("seen")).alias("seen"), F.when(F.col("o.owner").isNotNull(), F.array_append("names", F.col("o.owner_name"))).otherwise(F.col("names")).alias("names"))
-        now = stepped.union(rest)
-        done = now
-    return (done if done is not None else now).select("path", F.array_join(F.reverse("names"), " -> ").alias("chain"))
+        # of each path its owners' best that it hasn't met; none leaves it where it is
+        new = F.col("owner").isNotNull() & ~F.array_contains("seen", F.col("owner"))
+        best = F.min_by(F.when(new, F.struct("owner", "owner_name")), F.when(new, F.struct(-F.col("w"), F.col("owner")))).alias("o")
+        stepped = stored(now.join(up, now["top"] == up["below"], "left").groupBy("path", "top", "seen", "names").agg(best))
+        parts.append(stepped.filter("o is null").select("path", "names"))
+        now = stepped.filter("o is not null").select("path", F.col("o.owner").alias("top"), F.array_append("seen", F.col("o.owner")).alias("seen"), F.array_append("names", F.col("o.owner_name")).alias("names"))
+        if now.isEmpty():
+            break
+    done = reduce(DataFrame.union, [*parts, now.select("path", "names")])
+    return done.select("path", F.array_join(F.reverse("names"), " -> ").alias("chain"))
 
 
 def dependency_section(asset_type: Column, name: Column) -> Column:

@@ -12,19 +12,22 @@ from assetloom.functions.text import fingerprint
 def upsert_docs(existing: DataFrame, incoming: DataFrame, *, force: bool = False, order_col: str | None = None) -> DataFrame:
     """The union of both by doc_id, with a column ``action``: kept, unchanged, inserted or replaced.
 
-    A row of ``incoming`` takes the place of an existing one if its text's fingerprint differs, or
-    with ``force``. Of several incoming rows of one id the last by ``order_col`` counts (by text
-    where there is none).
+    A row of ``incoming`` takes the place of an existing one if its text's fingerprint differs, null
+    being a text of its own, or with ``force``. Of several incoming rows of one id the last by
+    ``order_col`` counts (the greatest text where there is none). A fingerprint that ``existing`` has
+    already isn't computed again, and what to do is settled on ids and fingerprints alone.
     """
-    order = F.desc(order_col or "text")
-    new = incoming.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(order))).filter("_k = 1").drop("_k")
-    old = existing.withColumn("fingerprint", fingerprint(F.col("text")))
-    columns = [c for c in existing.columns if c != "doc_id"] + ["fingerprint"] * ("fingerprint" not in existing.columns)
-    both = old.select("doc_id", F.struct(*columns).alias("old")).join(new.select("doc_id", F.struct(*columns).alias("new")), "doc_id", "full")
-    changed = F.lit(force) | (F.col("old.fingerprint") != F.col("new.fingerprint"))
-    action = F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "inserted").when(changed, "replaced").otherwise("unchanged")
-    both = both.withColumn("action", action).withColumn("row", F.when(F.col("action").isin("inserted", "replaced"), F.col("new")).otherwise(F.col("old")))
-    return both.select("doc_id", "row.*", "action")
+    order = [F.desc_nulls_last(c) for c in dict.fromkeys([order_col or "text", "text"])]
+    new = incoming.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_k = 1").drop("_k")
+    old = existing if "fingerprint" in existing.columns else existing.withColumn("fingerprint", fingerprint(F.col("text")))
+    columns = [c for c in old.columns if c != "doc_id"]
+    known = old.groupBy("doc_id").agg(F.first("fingerprint").alias("_old"), F.lit(True).alias("_known"))
+    changed = F.lit(force) | ~F.col("_old").eqNullSafe(F.col("fingerprint"))
+    action = F.when(F.col("_known").isNull(), "inserted").when(changed, "replaced").otherwise("unchanged")
+    decided = new.select("doc_id", "fingerprint").join(known, "doc_id", "left").select("doc_id", action.alias("action"))
+    stays = old.join(decided, "doc_id", "left").withColumn("action", F.coalesce("action", F.lit("kept"))).filter("action <> 'replaced'")
+    comes = new.join(decided.filter("action <> 'unchanged'"), new["doc_id"].eqNullSafe(decided["doc_id"])).drop(decided["doc_id"])
+    return stays.select("doc_id", *columns, "action").unionByName(comes.select("doc_id", *columns, "action"))
 
 
 def upsert_stats(upserted: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assetloom.sources.scratch import deleted
+
 #: Folders whose headers are generated.
 GENERATED = r"/(Intermediate|Binaries|\.vs|DerivedDataCache)/"
 
@@ -56,17 +59,38 @@ def read_headers(spark: SparkSession, root: str) -> DataFrame:
 PARTITIONS = {"docs": ["type"], "edges": ["edge_type"]}
 
 
-def write_index(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write a new version of the tables, then the pointer to it; readers see the old one until then."""
-    version = uuid.uuid4().hex
+#: One line for each version of an index. A version counts as soon as its line stands there.
+POINTER = "number long, version string, tables string"
+
+
+def _pointers(spark: SparkSession, folder: str) -> list:
+    """The lines of all versions, the newest first; none for a folder that has never held an index."""
+    try:
+        return spark.read.schema(POINTER).json(f"{folder}/pointers").orderBy(F.desc("number"), F.desc("version")).collect()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return []
+        raise
+
+
+def write_index(tables: dict[str, DataFrame], folder: str, *, keep: int = 2) -> str:
+    """Write a new version of the tables, then a line that points to it; readers see the version before
+    until then, and nothing that a reader needs is ever overwritten, so a crash at any point leaves
+    the last whole version. Versions before the last ``keep`` are removed."""
+    spark = next(iter(tables.values())).sparkSession
+    version, before = uuid.uuid4().hex, _pointers(spark, folder)
     for name, df in tables.items():
         df.write.partitionBy(*PARTITIONS.get(name, [])).parquet(f"{folder}/{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, ",".join(sorted(tables)))], "version string, tables string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    line = spark.createDataFrame([((before[0].number if before else 0) + 1, version, ",".join(sorted(tables)))], POINTER)
+    line.coalesce(1).write.mode("append").json(f"{folder}/pointers")
+    for old in before[max(0, keep - 1) :]:
+        deleted(spark, f"{folder}/{old.version}")
     return version
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of the current version."""
-    now = spark.read.schema("version string, tables string").json(f"{folder}/current").first()
-    return {name: spark.read.parquet(f"{folder}/{now.version}/{name}") for name in now.tables.split(",")}
+    """The tables of the newest version; FileNotFoundError where there has never been one."""
+    found = _pointers(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"no index in {folder}")
+    return {name: spark.read.parquet(f"{folder}/{found[0].version}/{name}") for name in found[0].tables.split(",")}

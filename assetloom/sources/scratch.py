@@ -32,6 +32,10 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         files = df.inputFiles()
         if files:
-            jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-            path = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+            deleted(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, in whatever store it is; nothing happens if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,9 +26,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, folder: str) -> None:
     incoming = batch.filter("doc_id is not null")
     try:
         index = read_index(spark, folder)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    except FileNotFoundError:  # the first batch of all
         index = {"docs": incoming.limit(0).withColumn("fingerprint", F.lit("")), "edges": spark.createDataFrame([], "from_id string, to_id string, edge_type string")}
     docs = upsert_docs(index["docs"].select(*COLUMNS, "fingerprint"), incoming)
     changed = docs.filter("action in ('inserted', 'replaced')").select("doc_id", "references_out", "typed_references_out")

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from assetloom.functions import paths as P
@@ -68,6 +69,49 @@ def test_upsert_twice_changes_nothing(spark):
     assert U.upsert_docs(old, new, force=True).filter("action = 'replaced'").count() == 1
 
 
+def test_upsert_with_null_texts(spark):
+    old = spark.createDataFrame([(1, None), (2, "x"), (3, None), (4, "y")], "doc_id int, text string")
+    new = spark.createDataFrame([(1, "new"), (2, None), (3, None), (5, None), (4, "Y "), (None, "n")], "doc_id int, text string")
+    got = {r.doc_id: (r.text, r.action) for r in U.upsert_docs(old, new).collect()}
+    assert got == {1: ("new", "replaced"), 2: (None, "replaced"), 3: (None, "unchanged"), 4: ("y", "unchanged"), 5: (None, "inserted"), None: ("n", "inserted")}
+
+
+def test_index_survives_a_crash_between_tables_and_pointer(spark, tmp_path, monkeypatch):
+    import os
+
+    folder = str(tmp_path / "i")
+    with pytest.raises(FileNotFoundError):
+        W.read_index(spark, folder)
+    edges = lambda n: {"edges": spark.createDataFrame([(str(n), "b", "uses_asset")], "from_id string, to_id string, edge_type string")}
+    for n in range(4):
+        W.write_index(edges(n), folder)
+    with monkeypatch.context() as m:
+        m.setattr(W, "POINTER", "number long, version string")
+        with pytest.raises(Exception):
+            W.write_index(edges(9), folder)
+    assert [r.from_id for r in W.read_index(spark, folder)["edges"].collect()] == ["3"]
+    assert len([x for x in os.listdir(folder) if x != "pointers"]) == 3  # the last two, and what the crash left
+
+
+def test_hostile_json(spark):
+    deep = '{"a":' * 3_000 + '"/Game/X/Y"' + "}" * 3_000
+    worse = "[" * 200_000 + "]" * 200_000
+    got = spark.createDataFrame([(deep,), (worse,), ("{",), (None,)], "j string").select(X.collect_refs(F.col("j")).alias("r"), X.collect_tags(F.col("j")).alias("t")).collect()
+    assert [r.r for r in got[1:]] == [[], [], []] and got[0].r in ([], ["/Game/X/Y"]) and all(r.t == [] for r in got)
+
+
+def test_ownership_plan_grows_by_a_constant(spark):
+    edges = spark.createDataFrame([(f"asset:/Game/{i + 1}", f"asset:/Game/{i}", "uses_asset") for i in range(9)] + [("asset:/Game/0", "asset:/Game/3", "uses_asset")], "from_id string, to_id string, edge_type string")
+    docs = spark.createDataFrame([(f"asset:/Game/{i}", f"/Game/{i}", f"N{i}", "Blueprint") for i in range(10)], "doc_id string, path string, name string, asset_type string")
+    targets = docs.filter("name in ('N0', 'N2', 'N9')").select("path", "name")
+    scans = []
+    for depth in (2, 3, 4):
+        df = G.ownership_chain(targets, edges, docs, max_depth=depth)
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    assert {r.path: r.chain for r in df.collect()} == {"/Game/0": "N4 -> N3 -> N2 -> N1 -> N0", "/Game/2": "N1 -> N0 -> N3 -> N2", "/Game/9": "N9"}
+    assert scans[2] - scans[1] == scans[1] - scans[0] <= 2
+
+
 def test_typed_reference_without_reference_gives_no_edge(spark):
     docs = spark.createDataFrame([("asset:/A", ["/B", "/Script/M.C", ""], {"/B": "inherits_from", "/D": "x"})], "doc_id string, references_out array<string>, typed_references_out map<string,string>")
     assert {tuple(r) for r in U.build_edges(docs).collect()} == {("asset:/A", "asset:/B", "inherits_from"), ("asset:/A", "script:/Script/M.C", "uses_asset")}
