@@ -9,17 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetloom.operators.search_text import allowed
+
 #: Query vectors that are sent to every task at once; larger tables are answered in several passes.
 QUERY_BLOCK = 2_000
 
 
-def search_vector(queries: DataFrame, embeddings: DataFrame, *, k: int = 10, min_score: float = 0.0) -> DataFrame:
+def search_vector(queries: DataFrame, embeddings: DataFrame, *, k: int = 10, min_score: float = 0.0, docs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest by cosine, 0 if a norm is 0; ties by doc_id.
 
     Each batch of ``embeddings`` (doc_id, embedding) is multiplied with a block of ``queries``
     (query_id, embedding) and gives its own k best; one exchange ranks those. More queries than a
-    block are answered block by block, each in a scan of its own.
+    block are answered block by block, each in a scan of its own. Queries with filters (see
+    ``allowed``) are ranked among the documents that pass, so their batches give all that reach
+    ``min_score``.
     """
+    filtered = docs is not None and any(c.startswith("filter_") for c in queries.columns)
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK) or 1
     numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
@@ -38,34 +43,49 @@ def search_vector(queries: DataFrame, embeddings: DataFrame, *, k: int = 10, min
                 e = np.array(f["embedding"].tolist(), np.float64)
                 norms = np.linalg.norm(e, axis=1, keepdims=True)
                 scores = np.round(q @ (e / np.where(norms == 0, 1, norms)).T, 6)
-                order = np.lexsort((np.broadcast_to(f["doc_id"].to_numpy(), scores.shape), -scores), axis=1)[:, :k]
-                for i, best in enumerate(order):
-                    yield pd.DataFrame({"query_id": ids[i], "doc_id": f["doc_id"].to_numpy()[best], "score": scores[i, best]})
+                own = f["doc_id"].to_numpy()
+                if filtered:
+                    i, j = np.nonzero(scores >= min_score)
+                else:
+                    best = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+                    i, j = np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
+                yield pd.DataFrame({"query_id": ids[i], "doc_id": own[j], "score": scores[i, j]})
 
         kinds = dict(embeddings.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
         part = embeddings.select("doc_id", "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
         out = part if out is None else out.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.filter(F.col("score") >= min_score).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return allowed(out.filter(F.col("score") >= min_score), queries, docs).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _mean(vectors: list, pieces: list[str]) -> list[float]:
+    """The mean of the vectors of a text's pieces, each weighing as much as it is long."""
+    if len(vectors) == 1:
+        return [float(x) for x in vectors[0]]
+    return np.average(np.array(vectors, np.float64), axis=0, weights=[len(p) for p in pieces]).tolist()
 
 
 def embed_docs(docs: DataFrame, make: Callable[[], Callable[[list[str]], list]], *, max_chars: int = 4000) -> DataFrame:
     """(doc_id, embedding, failed): ``make()`` runs once a task and gives a function from texts to
-    vectors; texts are cut to ``max_chars``. A text that fails alone is counted, without a vector."""
+    vectors. Texts longer than ``max_chars`` are embedded in pieces of that length, whose vectors are
+    averaged by length. A text that fails alone is counted, without a vector."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = make()
         for d in frames:
-            texts = [(t or "")[:max_chars] for t in d["text"]]
+            texts = [t or "" for t in d["text"]]
+            pieces = [[t[at : at + max_chars] for at in range(0, max(len(t), 1), max_chars)] for t in texts]
             try:
-                vectors = list(f(texts))
+                flat = list(f([p for own in pieces for p in own]))
+                ends = np.cumsum([len(own) for own in pieces])
+                vectors = [_mean(flat[end - len(own) : end], own) for own, end in zip(pieces, ends, strict=True)]
             except Exception:
                 vectors = []
-                for t in texts:
+                for own in pieces:
                     try:
-                        vectors.append(f([t])[0])
+                        vectors.append(_mean(list(f(own)), own))
                     except Exception:
                         vectors.append(None)
-            yield pd.DataFrame({"doc_id": d["doc_id"], "embedding": [None if v is None else [float(x) for x in v] for v in vectors], "failed": [v is None for v in vectors]})
+            yield pd.DataFrame({"doc_id": d["doc_id"], "embedding": vectors, "failed": [v is None for v in vectors]})
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, embedding array<float>, failed boolean")

@@ -12,6 +12,7 @@ from assetloom.operators import search_text as S
 from assetloom.operators import upsert as U
 from assetloom.operators import vector as V
 from assetloom.plans.views import view, with_views
+from assetloom.sources.scratch import stored
 
 QUERIES, SQL = {}, {}
 
@@ -194,21 +195,33 @@ def _control_flow_edges(spark, d):
 @query("build_postings", with_views("v_docs") + """, t AS (SELECT doc_id, 10.0 AS w, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS token FROM v_docs UNION ALL SELECT doc_id, 5.0, unnest(regexp_extract_all(lower(path), '[\\p{L}\\p{N}]+')) FROM v_docs UNION ALL SELECT doc_id, 1.0, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) FROM v_docs)
   SELECT token, doc_id, CAST(sum(w) AS DOUBLE) AS tf FROM t GROUP BY 1, 2""")
 def _build_postings(spark, d):
-    return S.build_postings(view(spark, d, "v_docs"))[0]
+    return S.build_postings(view(spark, d, "v_docs"))[0].select("token", "doc_id", "tf")
 
 
-SEARCH = SQL["build_postings"].replace("SELECT token, doc_id, CAST(sum(w) AS DOUBLE)", "p AS (SELECT token, doc_id, CAST(sum(w) AS DOUBLE)").replace("  p AS", ", p AS") + """),
-  dl AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1), tot AS (SELECT count(*) AS nd, avg(dl) AS av FROM dl),
-  q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS term FROM v_query),
-  h AS (SELECT q.query_id, q.term, p.doc_id, sum(p.tf) AS tf FROM q JOIN p ON starts_with(p.token, q.term) WHERE length(q.term) >= 2 GROUP BY 1, 2, 3),
-  f AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY 1, 2),
-  s AS (SELECT h.query_id, h.doc_id, round(sum(greatest(ln((nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / av))), 6) AS score FROM h JOIN f USING (query_id, term) JOIN dl USING (doc_id), tot GROUP BY 1, 2),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
-SEARCH = SEARCH.replace("WITH v_docs", with_views("v_query") + ", v_docs", 1)
+WORDS = "list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '')"
+SEARCH = with_views("v_docs", "v_query") + f""", c AS (SELECT doc_id, 10.0::DOUBLE AS w, regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+') AS t FROM v_docs UNION ALL SELECT doc_id, 5.0, regexp_extract_all(lower(path), '[\\p{{L}}\\p{{N}}]+') FROM v_docs
+    UNION ALL SELECT doc_id, 1.0, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') FROM v_docs),
+  s AS (SELECT doc_id, w, ' ' || array_to_string(t, ' ') || ' ' AS s FROM c), dl AS (SELECT doc_id, sum(len(t)) AS dl FROM c GROUP BY 1 HAVING sum(len(t)) > 0), tot AS (SELECT count(*) AS nd, avg(dl) AS av FROM dl),
+  qw AS (SELECT query_id, unnest({WORDS}) AS word FROM v_query),
+  q AS (SELECT DISTINCT query_id, ' ' || array_to_string(regexp_extract_all(lower(word), '[\\p{{L}}\\p{{N}}]+'), ' ') || CASE WHEN regexp_matches(word, '^/(Game|Script)/') THEN ' ' ELSE '' END AS unit FROM qw WHERE length(array_to_string(regexp_extract_all(lower(word), '[\\p{{L}}\\p{{N}}]+'), '')) >= 2),
+  u AS (SELECT DISTINCT unit FROM q),
+  h AS (SELECT unit, doc_id, sum(w * ((length(s) - length(replace(s, unit, ''))) // length(unit))) AS tf FROM u JOIN s ON contains(s, unit) GROUP BY 1, 2),
+  f AS (SELECT unit, count(*) AS df FROM h GROUP BY 1),
+  p AS (SELECT unit, h.doc_id, greatest(ln((nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / av)) AS part FROM h JOIN f USING (unit) JOIN dl USING (doc_id), tot),
+  b AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM q JOIN p USING (unit) GROUP BY 1, 2),
+  ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b JOIN v_query USING (query_id) JOIN v_docs USING (doc_id)
+    WHERE (filter_path_prefix IS NULL OR starts_with(lower(path), lower(filter_path_prefix))) AND (filter_asset_type IS NULL OR lower(asset_type) = lower(filter_asset_type)))"""
+
+
+def _postings(docs):
+    """Postings and lengths, stored as an index stores them."""
+    postings, lengths = S.build_postings(docs)
+    return stored(postings), lengths
 
 
 def _search(spark, d, k=10):
-    return S.search_text(view(spark, d, "v_query"), *S.build_postings(view(spark, d, "v_docs")), k=k)
+    docs = view(spark, d, "v_docs")
+    return S.search_text(view(spark, d, "v_query"), *_postings(docs), k=k, docs=docs)
 
 
 @query("search_text", SEARCH + " SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
@@ -216,13 +229,13 @@ def _search_text(spark, d):
     return _search(spark, d)
 
 
-NEAR = """n AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 50),
+NEAR = """n AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM n WHERE score >= 0)"""
 
 
 def _near(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return V.search_vector(e.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), k=10)
+    return V.search_vector(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), k=10)
 
 
 @query("search_vector", f"WITH {NEAR} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
@@ -230,13 +243,23 @@ def _search_vector(spark, d):
     return _near(spark, d)
 
 
-@query("search_hybrid", SEARCH + """, b AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 11 - rank FROM ranked WHERE rank <= 10 AND doc_id LIKE '%1'),
-  fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 6) AS score FROM b GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu)
-  SELECT query_id, doc_id, score, rank FROM fr WHERE rank <= 10""")
+# documents are asked for by their paths and by the vectors of the same number, each query by its own plan
+MODES = "CASE query_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'semantic' ELSE 'hybrid' END"
+
+
+@query("search_hybrid", SEARCH + f""", {NEAR}, x AS (SELECT query_id - 1000000 AS query_id, doc_id, score, rank FROM ranked WHERE query_id >= 1000000 AND rank <= 10),
+  v AS (SELECT query_id, d.doc_id, rank FROM r JOIN v_docs d ON d.n = r.doc_id WHERE rank <= 10), i AS (SELECT query_id FROM x UNION SELECT query_id FROM v),
+  m AS (SELECT i.query_id, {MODES.replace("query_id", "i.query_id")} AS mode, count(x.doc_id) AS hits FROM i LEFT JOIN x ON x.query_id = i.query_id GROUP BY 1, 2),
+  l AS (SELECT query_id, doc_id, rank FROM x JOIN m USING (query_id) WHERE (mode <> 'semantic' OR rank <= 5) AND NOT (mode = 'exact' AND hits >= 5)
+    UNION ALL SELECT query_id, doc_id, rank FROM v JOIN m USING (query_id) WHERE NOT (mode = 'exact' AND hits >= 5) AND rank <= CASE WHEN mode = 'exact' THEN 10 - hits ELSE 10 END),
+  fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 6) AS score FROM l GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu)
+  SELECT query_id, doc_id, score, rank FROM fr WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, score, rank FROM x JOIN m USING (query_id) WHERE mode = 'exact' AND hits >= 5""")
 def _search_hybrid(spark, d):
-    exact = _search(spark, d)
-    other = exact.filter("doc_id like '%1'").withColumn("rank", 11 - F.col("rank"))
-    return H.search_hybrid(exact, other, mode="hybrid")
+    exact = _search(spark, d).filter("query_id >= 1000000").withColumn("query_id", F.col("query_id") - 1000000)
+    ids = view(spark, d, "v_docs").select(F.col("n").alias("_n"), F.col("doc_id").alias("_id"))
+    near = _near(spark, d).join(ids, F.col("doc_id") == F.col("_n")).select("query_id", F.col("_id").alias("doc_id"), "rank")
+    modes = exact.select("query_id").union(near.select("query_id")).distinct().withColumn("mode", F.expr(MODES))
+    return H.search_hybrid(exact, near, modes=modes)
 
 
 QUESTIONS = """CASE id % 6 WHEN 0 THEN 'what inherits from the ' || name || '?' WHEN 1 THEN 'how does ' || name || ' work?' WHEN 2 THEN path WHEN 3 THEN 'Where is ' || lower(name) || ' used' WHEN 4 THEN 'InputTag.Ability.*' ELSE 'fire damage widget' END"""
@@ -316,8 +339,8 @@ def _enrich_results(spark, d):
     return out.select("query_id", "path", "text", F.concat_ws(",", F.col("metadata")["a"], F.col("metadata")["m"]).alias("meta"))
 
 
-@query("embed_docs", with_views("v_docs") + " SELECT doc_id, CAST(least(length(text), 4000) AS DOUBLE) AS first, false AS failed FROM v_docs")
+@query("embed_docs", with_views("v_docs") + " SELECT doc_id, round(CAST(CASE WHEN length(text) <= 4000 THEN length(text) ELSE (4000.0 * 4000 * (length(text) // 4000) + (length(text) % 4000) * (length(text) % 4000)) / length(text) END AS FLOAT), 1) AS first, false AS failed FROM v_docs")
 def _embed_docs(spark, d):
     from assetloom.plans.toys import length_embedding
 
-    return V.embed_docs(view(spark, d, "v_docs"), length_embedding).select("doc_id", F.col("embedding")[0].cast("double").alias("first"), "failed")
+    return V.embed_docs(view(spark, d, "v_docs"), length_embedding).select("doc_id", F.round(F.col("embedding")[0], 1).alias("first"), "failed")

@@ -32,7 +32,8 @@ VIEWS = {
     "v_headers": """SELECT 'Source/Game/M' || CAST(id % 5 AS STRING) || '/F_' || CAST(id AS STRING) || '.h' AS path,
   '// class UCommented' || CAST(id AS STRING) || chr(10) || 'UCLASS(Meta=(X))' || chr(10) || 'class GAME_API U' || name || ' : public AActor'
   || chr(10) || '{' || chr(10) || 'UPROPERTY(EditAnywhere)' || chr(10) || 'float Size = ' || CAST(size AS STRING) || ';' || chr(10) || '};' AS text, id, name FROM v_assets""",
-    "v_query": "SELECT item_id AS query_id, regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+', 0) AS query FROM benchmark",
+    "v_query": """SELECT item_id AS query_id, text AS query, CASE WHEN item_id % 3 = 0 THEN '/game/web' END AS filter_path_prefix, CASE WHEN item_id % 5 = 0 THEN 'EN' END AS filter_asset_type FROM benchmark
+  UNION ALL SELECT 1000000 + n, CASE n % 3 WHEN 0 THEN path WHEN 1 THEN name ELSE 'of ' || path || ' ' || lower(name) END, NULL, NULL FROM v_docs WHERE n % 20 = 0""",
     "v_targets": "SELECT id AS query_id, path, name FROM v_assets WHERE id % 20 = 0",
 }
 TABLES = ["part", "orders", "lineitem", "events", "documents", "benchmark", "embeddings", "pages"]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few short columns that may be broadcast: some tens of MB.
+SMALL_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """The table, stored; to be broadcast if its counted rows are few, else as it is."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in tables:
