@@ -184,6 +184,41 @@ def test_tags(spark):
     assert got == {1: {"/b", "/c"}, 2: {"/a"}, 3: {"/a", "/b", "/c", "/d"}}
 
 
+def test_phrases_prefixes_and_filters(spark):
+    rows = [("a", "BP_Door", "/Game/Doors/BP_Door", "opens the door to door", "m", "Blueprint"), ("b", "BP_Doorbell", "/Game/Doors/BP_Doorbell", "rings", "m", "blueprint"), ("c", "Door_BP", "/Game/BP/Door", "bp door game doors", "n", "Widget")]
+    docs = spark.createDataFrame(rows, "doc_id string, name string, path string, text string, module string, asset_type string")
+    index = S.build_postings(docs)
+    queries = [(1, "BP_Door", None, None, None), (2, "/Game/Doors/BP_Door", None, None, None), (3, "door x", None, None, None), (4, "door", "m", None, None), (5, "door", None, "WIDGET", None), (6, "door", None, None, "/GAME/doors"), (7, "x !", None, None, None), (8, None, None, None, None)]
+    q = spark.createDataFrame(queries, "query_id int, query string, filter_module string, filter_asset_type string, filter_path_prefix string")
+    got: dict = {}
+    for r in S.search_text(q, *index, docs=docs).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert {k: sorted(v) for k, v in got.items()} == {1: ["a", "b", "c"], 2: ["a"], 3: ["a", "b", "c"], 4: ["a", "b"], 5: ["c"], 6: ["a", "b"]}
+    one = S.search_text(q.filter("query_id = 3"), *index, docs=docs, k=1, offset=1).collect()
+    assert [r.rank for r in one] == [2]
+
+
+def test_hybrid_by_each_plan(spark):
+    exact = spark.createDataFrame([(q, f"e{i}", 9.0 - i, i + 1) for q, n in ((1, 6), (2, 2), (3, 6), (4, 3)) for i in range(n)], "query_id int, doc_id string, score double, rank int")
+    near = spark.createDataFrame([(q, f"v{i}", i + 1) for q in (1, 2, 3, 4, 5) for i in range(10)], "query_id int, doc_id string, rank int")
+    modes = spark.createDataFrame([(1, "exact"), (2, "exact"), (3, "semantic"), (4, "hybrid"), (5, "exact")], "query_id int, mode string")
+    got: dict = {}
+    for r in H.search_hybrid(exact, near, modes=modes, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got[1] == [f"e{i}" for i in range(6)] and sorted(got[2]) == ["e0", "e1"] + [f"v{i}" for i in range(8)]
+    assert [x for x in got[3] if x[0] == "e"] == [f"e{i}" for i in range(5)] and len(got[4]) == 10 and got[5] == [f"v{i}" for i in range(10)]
+
+
+def test_vector_search_with_filters_and_long_texts(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, module string")
+    e = spark.createDataFrame([("a", [0.5, 0.5]), ("b", [1.0, 0.0])], "doc_id string, embedding array<float>")
+    q = spark.createDataFrame([(1, [2.0, 0.0], "x"), (2, [2.0, 0.0], None)], "query_id int, embedding array<float>, filter_module string")
+    assert [(r.query_id, r.doc_id) for r in V.search_vector(q, e, k=1, docs=docs).orderBy("query_id").collect()] == [(1, "a"), (2, "b")]
+    model = lambda: lambda texts: [[float(t.count("a")), float(len(t))] for t in texts]
+    long = spark.createDataFrame([(1, "a" * 6 + "b" * 4), (2, None)], "doc_id int, text string")
+    assert {r.doc_id: r.embedding for r in V.embed_docs(long, model, max_chars=4).collect()} == {1: [pytest.approx(2.4), pytest.approx(3.6)], 2: [0.0, 0.0]}
+
+
 def test_search_empty(spark):
     docs = spark.createDataFrame([], "doc_id string, name string, path string, text string")
     q = spark.createDataFrame([(1, "x y")], "query_id int, query string")
