@@ -67,9 +67,10 @@ def extract_asset_path(value: Column) -> Column:
 
 
 def extract_class_name(value: Column) -> Column:
-    """The class named by a tuple or a script path, else the last segment of a path."""
+    """The class named by a tuple (``(/Script/Module, Class, )``) or a script path, else the last segment of a path."""
+    pair = F.regexp_extract(value, r"\([\s,]*/Script/\w+\s*,\s*(\w+)\s*,", 1)
     script = F.regexp_extract(value, r"/Script/[A-Za-z0-9_]+\.([A-Za-z0-9_]+)", 1)
-    return F.when(script != "", script).otherwise(F.nullif(F.regexp_replace(last_segment(F.regexp_extract(value, PATH, 0)), r"_C$", ""), F.lit("")))
+    return F.when(pair != "", pair).when(script != "", script).otherwise(F.nullif(F.regexp_replace(last_segment(F.regexp_extract(value, PATH, 0)), r"_C$", ""), F.lit("")))
 
 
 def extract_all_refs(text: Column, own: Column) -> Column:

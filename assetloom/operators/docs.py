@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.functions.paths import extract_asset_path, module_of, normalize_object_path
+from assetloom.functions.paths import module_of
 
 #: Names listed in a text, and in metadata.
 IN_TEXT, IN_METADATA = 10, 15
@@ -26,7 +26,8 @@ def sentence(*parts: Column) -> Column:
     return F.concat(F.concat_ws(". ", *parts), F.lit("."))
 
 
-def _document(df: DataFrame, doc_id: Column, type: str, name: Column, asset_type: Column, text: Column, metadata: Column, references: Column, typed: Column | None = None) -> DataFrame:
+def document(df: DataFrame, doc_id: Column, type: str, name: Column, asset_type: Column, text: Column, metadata: Column, references: Column, typed: Column | None = None) -> DataFrame:
+    """Documents of ``df``; ``metadata`` is JSON text."""
     no_types = F.map_from_arrays(F.array().cast(STRINGS), F.array().cast(STRINGS))
     return df.select(
         doc_id.alias("doc_id"),
@@ -36,7 +37,7 @@ def _document(df: DataFrame, doc_id: Column, type: str, name: Column, asset_type
         module_of(F.col("path")).alias("module"),
         asset_type.alias("asset_type"),
         text.alias("text"),
-        F.to_json(metadata).alias("metadata"),
+        metadata.alias("metadata"),
         references.alias("references_out"),
         (no_types if typed is None else typed).alias("typed_references_out"),
     )
@@ -63,7 +64,7 @@ def asset_summary_docs(records: DataFrame) -> DataFrame:
     up = F.col("parent_ref")
     refs = F.when(up.isNull(), _list("refs")).otherwise(F.array_union(_list("refs"), F.array(up)))
     typed = F.when(up.isNotNull(), F.create_map(up, F.lit("inherits_from"))).otherwise(F.map_from_arrays(F.array().cast(STRINGS), F.array().cast(STRINGS)))
-    return _document(records, F.concat(F.lit("asset:"), "path"), "asset_summary", F.col("name"), F.col("asset_type"), summary_text(F.col("name"), F.col("asset_type"), F.col("parent"), F.col("widget_count")), meta, refs, typed)
+    return document(records, F.concat(F.lit("asset:"), "path"), "asset_summary", F.col("name"), F.col("asset_type"), summary_text(F.col("name"), F.col("asset_type"), F.col("parent"), F.col("widget_count")), F.to_json(meta), refs, typed)
 
 
 def blueprint_docs(records: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def blueprint_docs(records: DataFrame) -> DataFrame:
         listed("Calls: ", F.coalesce("f.calls", F.array().cast(STRINGS))),
         F.when(F.col("f.control_flow.has_branches"), F.concat(F.lit("Contains conditional logic ("), F.coalesce("f.control_flow.complexity", F.lit("unknown")), F.lit(" complexity)"))),
     )
-    functions = _document(f, F.concat(F.lit("bp_func:"), "path", F.lit("::"), "f.name"), "bp_graph_summary", F.col("f.name"), F.lit("Blueprint"), text, F.struct("flags", "f.calls", is_event.alias("is_event"), "f.control_flow", "f.params"), _list("refs"))
+    functions = document(f, F.concat(F.lit("bp_func:"), "path", F.lit("::"), "f.name"), "bp_graph_summary", F.col("f.name"), F.lit("Blueprint"), text, F.to_json(F.struct("flags", "f.calls", is_event.alias("is_event"), "f.control_flow", "f.params")), _list("refs"))
     return asset_summary_docs(r).unionByName(functions)
 
 
@@ -93,7 +94,7 @@ def widget_docs(records: DataFrame) -> DataFrame:
     root = F.coalesce(F.get("widget_names", F.lit(0)), F.lit("Unknown"))
     text = F.concat(F.lit("Widget tree for "), "name", F.lit(". Root widget: "), root, F.lit(". Contains widgets: "), F.array_join(F.slice("widget_names", 1, IN_METADATA), ", "), F.lit(". Hierarchy: "), F.substring(F.array_join(shown, ", "), 1, 500))
     trees = records.filter(F.size("widget_names") > 0)
-    tree = _document(trees, F.concat(F.lit("widget:"), "path", F.lit("/WidgetTree")), "umg_widget_tree", F.concat("name", F.lit("/WidgetTree")), F.lit("WidgetBlueprint"), text, F.struct(root.alias("root_widget"), "widget_names", F.size("widget_names").alias("widget_count")), _list("refs"))
+    tree = document(trees, F.concat(F.lit("widget:"), "path", F.lit("/WidgetTree")), "umg_widget_tree", F.concat("name", F.lit("/WidgetTree")), F.lit("WidgetBlueprint"), text, F.to_json(F.struct(root.alias("root_widget"), "widget_names", F.size("widget_names").alias("widget_count"))), _list("refs"))
     return asset_summary_docs(records.withColumn("asset_type", F.lit("WidgetBlueprint"))).unionByName(tree)
 
 
@@ -122,7 +123,7 @@ def material_docs(records: DataFrame) -> DataFrame:
     textures = F.filter(F.coalesce(F.map_values("texture_params"), F.array().cast(STRINGS)), lambda t: t.startswith("/"))
     refs = F.array_union(F.array_union(F.when(has_parent, F.array("parent")).otherwise(F.array().cast(STRINGS)), _list("refs")), textures)
     meta = F.struct("is_instance", "parent", "domain", "blend_mode", "shading_model", "scalar_params", "vector_params", "texture_params", "static_switches")
-    return _document(records, F.concat(F.lit("material:"), "path"), "material_params", F.col("name"), kind, text, meta, refs)
+    return document(records, F.concat(F.lit("material:"), "path"), "material_params", F.col("name"), kind, text, F.to_json(meta), refs)
 
 
 def material_function_docs(records: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def material_function_docs(records: DataFrame) -> DataFrame:
         listed("Parameters: ", _list("params")),
     )
     meta = F.struct("inputs", "outputs", "params", F.size(_list("inputs")).alias("input_count"), F.size(_list("outputs")).alias("output_count"))
-    return _document(records, F.concat(F.lit("materialfunction:"), "path"), "material_function", F.col("name"), F.lit("MaterialFunction"), text, meta, _list("refs"))
+    return document(records, F.concat(F.lit("materialfunction:"), "path"), "material_function", F.col("name"), F.lit("MaterialFunction"), text, F.to_json(meta), _list("refs"))
 
 
 def datatable_docs(records: DataFrame) -> DataFrame:
@@ -147,77 +148,7 @@ def datatable_docs(records: DataFrame) -> DataFrame:
         listed("Sample keys: ", _list("sample_keys"), 5),
     )
     meta = F.struct("row_struct", "row_count", "columns", F.slice(_list("sample_keys"), 1, 5).alias("sample_keys"))
-    return _document(records, F.concat(F.lit("datatable:"), "path"), "datatable", F.col("name"), F.lit("DataTable"), text, meta, _list("refs"))
-
-
-# Edge types of references in an export of a class and property.
-TYPED_PROPERTIES = [
-    ("AddWidget", "Widgets", "registers_widget"), ("AddWidget", "Layout", "uses_layout"),
-    ("AddComponents", "ComponentList", "adds_component"), ("AddInput", "Input", "maps_input"),
-    ("Experience", "ActionSets", "includes_action_set"), ("Experience", "PawnData", "uses_pawn_data"),
-    ("InputMappingContext", "Mappings", "maps_input"),
-]
-
-
-def export_docs(records: DataFrame, *, asset_type: str, collect) -> DataFrame:
-    """Documents of feature data, input and data assets, one per file. ``records``: path, name,
-    exports (array of class, properties (array of name, value: JSON text)). ``collect`` finds the
-    references in a value. Every path in a property is a reference, typed by class and property;
-    the text lists classes, references and the properties that hold plain values."""
-    e = records.select("path", "name", F.posexplode("exports").alias("pos", "e")).select("path", "name", "pos", F.col("e.class").alias("cls"), F.posexplode_outer("e.properties").alias("k", "p"))
-    kind = F.lit("uses_asset")
-    for cls, prop, edge in reversed(TYPED_PROPERTIES):
-        kind = F.when(F.col("cls").contains(cls) & F.col("p.name").startswith(prop), edge).otherwise(kind)
-    found = e.withColumn("kind", kind).withColumn("refs", collect(F.col("p.value")))
-    plain = F.when((F.size("refs") <= 0) & F.col("p.value").rlike(r'^(?:-?[0-9.]+|true|false|"[^"]*")$'), F.concat("p.name", F.lit("="), F.btrim("p.value", F.lit('"'))))
-    order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("pos", "k", c.alias("v"))))), lambda x: x["v"])
-    per = found.withColumn("plain", plain).groupBy("path", "name").agg(F.array_distinct(order(F.col("cls"))).alias("classes"), F.array_distinct(order(F.col("plain"))).alias("values"), F.array_sort(F.collect_list(F.when(F.size("refs") > 0, F.struct("pos", "k", "kind", "refs")))).alias("found"))
-    flat = F.flatten(F.transform("found", lambda x: F.transform(x["refs"], lambda r: F.struct(normalize_object_path(r).alias("ref"), x["kind"].alias("kind")))))
-    per = per.withColumn("flat", flat).withColumn("refs", F.array_distinct(F.transform("flat", lambda x: x["ref"])))
-    first_kind = F.transform("refs", lambda r: F.get(F.filter("flat", lambda x: x["ref"] == r), 0)["kind"])
-    text = sentence(F.concat("name", F.lit(f" is a {asset_type}")), listed("Classes: ", F.col("classes")), listed("Uses: ", F.transform("refs", lambda r: F.element_at(F.split(r, "/"), -1))), listed("Values: ", F.col("values")))
-    return _document(per, F.concat(F.lit("asset:"), "path"), "asset_summary", F.col("name"), F.lit(asset_type), text, F.struct("classes", "values"), F.col("refs"), F.map_from_arrays("refs", first_kind))
-
-
-def input_docs(records: DataFrame, collect) -> DataFrame:
-    """Input actions and mapping contexts: documents of their exports, in which only input actions
-    (``IA_``) are references of a context. Names of hex digits alone are skipped."""
-    named = records.filter(~F.col("name").rlike("^[0-9A-Fa-f]+$"))
-    only = lambda c: F.filter(collect(c), lambda r: F.element_at(F.split(r, "/"), -1).startswith("IA_"))
-    context = F.exists("exports", lambda e: e["class"] == "InputMappingContext")
-    return export_docs(named.filter(context), asset_type="InputMappingContext", collect=only).unionByName(export_docs(named.filter(~context), asset_type="InputAction", collect=collect))
-
-
-def data_asset_docs(records: DataFrame, registry: dict, collect) -> DataFrame:
-    """Data assets by class: ``registry`` has a function from records to documents for some main
-    classes; all others get the documents of their exports."""
-    main = F.get(F.filter("exports", lambda e: ~e["class"].isin("MetaData", "Package")), 0)["class"]
-    typed = records.withColumn("_main", main)
-    out = export_docs(typed.filter(~F.coalesce(F.col("_main").isin(*registry), F.lit(False))) if registry else typed, asset_type="DataAsset", collect=collect)
-    for cls, make in registry.items():
-        out = out.unionByName(make(typed.filter(F.col("_main") == cls).drop("_main")))
-    return out
-
-
-def effect_docs(records: DataFrame) -> DataFrame:
-    """Gameplay effects. ``records``: path, name, parent, duration_policy, period, stacking,
-    modifiers (array of attribute, op, magnitude), asset_tags, granted_tags. Of enum text the part
-    after ``::`` counts."""
-    enum = lambda c: F.element_at(F.split(c, "::"), -1)
-    mods = F.transform("modifiers", lambda m: F.concat(m["attribute"], F.lit(" "), m["magnitude"], F.lit(" ("), enum(m["op"]), F.lit(")")))
-    text = sentence(
-        F.concat("name", F.lit(" is a GameplayEffect")),
-        F.when(F.col("duration_policy").isNotNull(), F.concat(F.lit("Duration: "), enum(F.col("duration_policy")))),
-        listed("Modifiers: ", F.coalesce(mods, F.array().cast(STRINGS))),
-        F.when(F.col("period") > 0, F.concat(F.lit("Period: "), F.col("period").cast("string"))),
-        F.when(F.col("stacking").isNotNull(), F.concat(F.lit("Stacking: "), enum(F.col("stacking")))),
-        listed("Asset tags: ", _list("asset_tags")),
-        listed("Granted tags: ", _list("granted_tags")),
-    )
-    parent = extract_asset_path(F.col("parent"))
-    refs = F.when(parent.isNotNull(), F.array(parent)).otherwise(F.array().cast(STRINGS))
-    typed = F.when(parent.isNotNull(), F.create_map(parent, F.lit("inherits_from"))).otherwise(F.map_from_arrays(F.array().cast(STRINGS), F.array().cast(STRINGS)))
-    return _document(records, F.concat(F.lit("asset:"), "path"), "asset_summary", F.col("name"), F.lit("GameplayEffect"), text, F.struct("duration_policy", "modifiers", "asset_tags", "granted_tags"), refs, typed)
+    return document(records, F.concat(F.lit("datatable:"), "path"), "datatable", F.col("name"), F.lit("DataTable"), text, F.to_json(meta), _list("refs"))
 
 
 def export_tags(records: DataFrame, collect) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assetloom.functions.text import collect_refs, collect_tags
+from assetloom.functions.text import collect_tags
+from assetloom.operators import data_assets as A
 from assetloom.operators import docs as D
 from assetloom.plans.views import view, with_views
 
@@ -91,36 +92,99 @@ def _datatable(spark, d):
     return D.datatable_docs(assets(spark, d).select("path", "name", "refs", F.lit("Row").alias("row_struct"), F.col("size").alias("row_count"), F.col("components").alias("columns"), F.col("widget_names").alias("sample_keys")))
 
 
-def exports(spark, d, cls: str, prop: str):
-    p = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    value = F.concat(F.lit('[{"Asset":"/Game/UI/IA_'), "name", F.lit('.IA_"}]'))
-    return view(spark, d, "v_assets").select("path", "name", F.array(F.struct(F.lit(cls).alias("class"), F.array(p(prop, value), p("Size", F.col("size").cast("string"))).alias("properties"))).alias("exports"))
+# one export: class, name, type and its properties, names and JSON values in turn
+def export(cls: str, name: str | None, type: str | None, *props: str) -> str:
+    text = lambda v: "CAST(NULL AS STRING)" if v is None else f"'{v}'"
+    pairs = ", ".join(f"named_struct('name', '{n}', 'value', {v})" for n, v in zip(props[::2], props[1::2], strict=True))
+    return f"named_struct('class', '{cls}', 'name', {text(name)}, 'type', {text(type)}, 'properties', filter(array({pairs}), p -> p.value IS NOT NULL))"
 
 
-def export_sql(kind: str, cls: str, edge: str) -> str:
-    return f" SELECT 'asset:' || path AS doc_id, name || ' is a {kind}. Classes: {cls}. Uses: IA_' || name || '. Values: Size=' || size || '.' AS text, '/Game/UI/IA_' || name || ' {edge}' AS refs FROM v_assets"
+def first(n: str, *items: str) -> str:
+    """The JSON list of the first n of these texts."""
+    return f"'[' || array_join(slice(array({', '.join(items)}), 1, CAST({n} AS INT)), ',') || ']'"
 
 
-@query("game_feature_docs", export_sql("GameFeatureData", "GameFeatureAction_AddWidgets", "registers_widget"))
-def _feature(spark, d):
-    return D.export_docs(exports(spark, d, "GameFeatureAction_AddWidgets", "Widgets"), asset_type="GameFeatureData", collect=collect_refs)
+def records_of(spark, d, asset_type: str, exports: str, refs: str = "array('/Game/R/1')"):
+    view(spark, d, "v_assets").createOrReplaceTempView("v_assets")
+    return spark.sql(f"SELECT path, name, {asset_type} AS asset_type, {exports} AS exports, {refs} AS refs FROM v_assets")
 
 
-@query("input_docs", export_sql("InputMappingContext", "InputMappingContext", "maps_input"))
-def _input(spark, d):
-    return D.input_docs(exports(spark, d, "InputMappingContext", "Mappings"), collect_refs)
+TAG = """'{"_type":"GameplayTag","TagName":"%s"}'"""
 
 
-@query("data_asset_docs", export_sql("DataAsset", "AbilitySet", "uses_asset"))
+@query("game_feature_docs", """, t AS (SELECT *, size % 3 AS w, id % 2 = 0 AS even FROM v_assets)
+  SELECT 'asset:' || path AS doc_id, name || ' is a GameFeatureData. Enables features: F1, F2' || CASE WHEN even THEN '. Layout: W_Top (tag UI.Top)' ELSE '' END
+    || CASE w WHEN 0 THEN '' WHEN 1 THEN '. Widgets: W_' || name || '→UI.Slot' ELSE '. Widgets: W_' || name || '→UI.Slot, W_Two' END || CASE WHEN id % 3 = 0 THEN '. Components: C_Aim→Pawn' ELSE '' END
+    || '. Input: IMC_' || name || '. Registries: DR_1. ActionSets: AS_1. DefaultPawnData: Hero' || CASE WHEN even OR w > 0 THEN '. Tags: ' || CASE WHEN w > 0 THEN 'UI.Slot' ELSE '' END || CASE WHEN even AND w > 0 THEN ', ' ELSE '' END || CASE WHEN even THEN 'UI.Top' ELSE '' END ELSE '' END || '.' AS text,
+    CASE WHEN even THEN '/Game/UI/W_Top uses_layout,' ELSE '' END || CASE WHEN w > 0 THEN '/Game/UI/W_' || name || ' registers_widget,' ELSE '' END || CASE WHEN w > 1 THEN '/Game/UI/W_Two registers_widget,' ELSE '' END
+    || CASE WHEN id % 3 = 0 THEN '/Game/C/C_Aim adds_component,/Script/Engine targets_actor,' ELSE '' END || '/Game/In/IMC_' || name || ' maps_input,/Game/D/DR_1 uses_asset,/Game/S/AS_1 includes_action_set,/Game/P/Hero uses_pawn_data,/Game/R/1' AS refs FROM t""")
+def _feature(spark, d):
+    layout = f"""'{{"LayoutClass":"(, /Game/UI/W_Top.W_Top_C, )","LayerID":' || {TAG % "UI.Top"} || '}}'"""
+    widgets = first("size % 3", f"""'{{"WidgetClass":"/Game/UI/W_' || name || '","SlotID":' || {TAG % "UI.Slot"} || '}}'""", """'{"WidgetClass":"/Game/UI/W_Two"}'""")
+    component = """CASE WHEN id % 3 = 0 THEN '[{"ActorClass":"(/Script/Engine, Pawn, )","ComponentClass":"/Game/C/C_Aim"},7]' END"""
+    every = ", ".join([
+        export("GameFeatureAction_AddWidgets", None, None, "Layout", f"CASE WHEN id % 2 = 0 THEN '[' || {layout} || ']' END", "Widgets", widgets),
+        export("GameFeatureAction_AddComponents", None, None, "ComponentList", component),
+        export("GameFeatureAction_AddInputContextMapping", None, None, "InputMappings", """'[{"InputMapping":"/Game/In/IMC_' || name || '","Priority":1}]'"""),
+        export("GameFeatureAction_DataRegistry", None, None, "RegistriesToAdd", "'[\"/Game/D/DR_1\",null]'"),
+        export("GameFeatureData", None, None, "GameFeaturesToEnable", "'[\"F1\"]'"),
+        export("Experience_C", "Default__E", "NormalExport", "ActionSets", "'[\"/Game/S/AS_1\"]'", "DefaultPawnData", "'\"/Game/P/Hero\"'", "GameFeaturesToEnable", "'[\"F1\",\"F2\"]'"),
+    ])
+    return A.game_feature_docs(records_of(spark, d, "'GameFeatureData'", f"array({every})"))
+
+
+@query("input_docs", """ SELECT 'asset:' || path AS doc_id, CASE WHEN id % 2 = 0 THEN name || ' is an InputAction' || CASE WHEN size % 2 = 0 THEN '. Display name: Jump' || size ELSE '' END || CASE WHEN size % 3 = 0 THEN '. Category: Moves' ELSE '' END || '. Triggers: Hold, Down. Modifiers: Negate.'
+    ELSE name || ' is an InputMappingContext' || CASE WHEN size % 3 > 0 THEN '. Maps ' || size % 3 || ' InputActions: IA_A' || CASE WHEN size % 3 = 2 THEN ', IA_' || lower(name) ELSE '' END ELSE '' END || '. Triggers: Down. Modifiers: InputModifierNegate.' END AS text,
+    CASE WHEN id % 2 = 0 THEN '/Script/InputTriggerDown,/Script/InputModifierNegate' ELSE CASE WHEN size % 3 = 2 THEN '/Game/I/IA_' || lower(name) || ' maps_input,' ELSE '' END || CASE WHEN size % 3 > 0 THEN '/Game/I/IA_A maps_input,' ELSE '' END || '/Game/I/Other,/Script/InputTriggerDown,/Script/InputModifierNegate' END AS refs FROM v_assets""")
+def _input(spark, d):
+    settings = export("PlayerMappableKeySettings", None, None, "Name", "CASE WHEN size % 2 = 0 THEN '\"Jump' || size || '\"' END", "DisplayName", "CASE WHEN size % 3 = 0 THEN '\"Moves\"' END", "DisplayCategory", "'\"00FFAB\"'")
+    every = f"array({settings}, {export('InputTriggerHold', None, None, 'X', 'CAST(NULL AS STRING)')}, {export('InputTriggerHold', None, None, 'X', 'CAST(NULL AS STRING)')})"
+    mapped = "concat(slice(array('/Game/I/IA_' || lower(name), '/Game/I/IA_A'), CAST(3 - size % 3 AS INT), 2), array('/Game/I/Other'))"
+    refs = f"concat(CASE WHEN id % 2 = 0 THEN array() ELSE {mapped} END, array('/Script/InputTriggerDown', '/Script/InputModifierNegate'))"
+    return A.input_docs(records_of(spark, d, "CASE WHEN id % 2 = 0 THEN 'InputAction' ELSE 'InputMappingContext' END", every, refs))
+
+
+@query("data_asset_docs", """, t AS (SELECT *, id % 7 AS n, size % 3 AS w, size % 2 = 0 AS even FROM v_assets)
+  SELECT 'asset:' || path AS doc_id, name || CASE n
+    WHEN 0 THEN ' is a LyraAbilitySet' || CASE w WHEN 0 THEN '' WHEN 1 THEN '. Grants abilities: A_' || name || ' (InputTag.K)' ELSE '. Grants abilities: A_' || name || ' (InputTag.K), A2' END || CASE WHEN w > 0 THEN '. Tags: InputTag.K.' ELSE '.' END
+    WHEN 1 THEN ' is a LyraPawnData. PawnClass: B_' || name || CASE w WHEN 0 THEN '' WHEN 1 THEN '. AbilitySets: S1' ELSE '. AbilitySets: S1, S2' END || CASE WHEN even THEN '. InputConfig: Cfg' ELSE '' END || '. DefaultCameraMode: Engine.'
+    WHEN 2 THEN ' is a LyraInputConfig. NativeInputActions: IA_' || name || '->InputTag.K' || CASE WHEN even THEN '. AbilityInputActions: IA_Jump' ELSE '' END || '. Tags: InputTag.K.'
+    WHEN 3 THEN ' is a LyraUserFacingExperienceDefinition. Map: L_' || name || '. Experience: B_Exp' || CASE WHEN w > 0 THEN '. MaxPlayers: ' || w ELSE '' END || CASE WHEN even THEN '. LoadingScreenWidget: W_Load' ELSE '' END || '.'
+    WHEN 4 THEN ' is a LyraContextEffectsLibrary. ContextEffects: FX.A (Wood, Stone)' || CASE WHEN even THEN '; FX.B' ELSE '' END || '. Tags: FX.A, ' || CASE WHEN even THEN 'FX.B, ' ELSE '' END || 'Surface.Wood.'
+    WHEN 5 THEN ' is a MyAsset. Properties: Size, Link. References: X_' || name || '.' ELSE ' is a MyRaw (raw data, properties not parseable).' END AS text,
+    CASE n WHEN 0 THEN CASE w WHEN 0 THEN '' WHEN 1 THEN '/Game/GA/A_' || name || ' uses_asset' ELSE '/Game/GA/A_' || name || ' uses_asset,/Game/GA/A2 uses_asset' END
+    WHEN 1 THEN '/Game/H/B_' || name || CASE w WHEN 0 THEN '' WHEN 1 THEN ',/Game/S/S1 uses_asset' ELSE ',/Game/S/S1 uses_asset,/Game/S/S2 uses_asset' END || CASE WHEN even THEN ',/Game/I/Cfg uses_asset' ELSE '' END || ',/Script/Engine'
+    WHEN 2 THEN '/Game/I/IA_' || name || ' uses_asset' || CASE WHEN even THEN ',/Game/I/IA_Jump uses_asset' ELSE '' END WHEN 3 THEN '/Game/M/L_' || name || CASE WHEN even THEN ',/Game/UI/W_Load uses_asset' ELSE '' END
+    WHEN 4 THEN '' WHEN 5 THEN '/Game/L/X_' || name ELSE '/Game/R/1' END AS refs FROM t""")
 def _data_asset(spark, d):
-    return D.data_asset_docs(exports(spark, d, "AbilitySet", "Granted"), {}, collect_refs)
-
-
-@query("effect_docs", " SELECT 'asset:' || path AS doc_id, name || ' is a GameplayEffect. Duration: Instant. Modifiers: Health -' || size || ' (Additive). Asset tags: A.B.' AS text, '/Game/GE/Base inherits_from' AS refs FROM v_assets")
+    key = TAG % "InputTag.K"
+    entry = lambda field, path, tag: f"""'{{"{field}":"' || {path} || '","InputTag":' || {tag} || '}}'"""
+    fx = lambda tag, context: f"""'{{"EffectTag":' || {TAG % tag} || '{context}}}'"""
+    by = [
+        export("LyraAbilitySet", None, "NormalExport", "GrantedGameplayAbilities", first("size % 3", entry("Ability", "'/Game/GA/A_' || name", key), entry("Ability", "'(, /Game/GA/A2.A2_C, )'", TAG % "None"))),
+        export("LyraPawnData", None, "NormalExport", "PawnClass", "'\"/Game/H/B_' || name || '\"'", "AbilitySets", first("size % 3", "'\"/Game/S/S1\"'", "'\"/Game/S/S2\"'"), "InputConfig", "CASE WHEN size % 2 = 0 THEN '/Game/I/Cfg' END", "DefaultCameraMode", "'\"(/Script/Engine, CameraMode, )\"'"),
+        export("LyraInputConfig", None, "NormalExport", "NativeInputActions", f"'[' || {entry('InputAction', "'/Game/I/IA_' || name", key)} || ']'", "AbilityInputActions", """CASE WHEN size % 2 = 0 THEN '[{"InputAction":"/Game/I/IA_Jump"},"x"]' END"""),
+        export("LyraUserFacingExperienceDefinition", None, "NormalExport", "MapID", """'{"PrimaryAssetName":"/Game/M/L_' || name || '"}'""", "ExperienceID", """'{"PrimaryAssetName":"B_Exp"}'""", "MaxPlayerCount", "CAST(size % 3 AS STRING)", "LoadingScreenWidget", "CASE WHEN size % 2 = 0 THEN '\"(, /Game/UI/W_Load.W_Load_C, )\"' END"),
+        export("LyraContextEffectsLibrary", None, "NormalExport", "ContextEffects", first("2 + (size + 1) % 2", fx("FX.A", ',"Context":{"_type":"GameplayTagContainer","tags":["Surface.Wood"]}'), fx("FX.A", ',"Context":"(Surface.Stone)"'), fx("FX.B", ""))),
+        export("MyAsset", None, "NormalExport", "Size", "CAST(size AS STRING)", "Link", """'{"Asset":["/Game/L/X_' || name || '.X"]}'"""),
+        export("MyRaw", None, "RawExport", "Size", "'1'"),
+    ]
+    main = "CASE id % 7 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(by)) + " END"
+    return A.data_asset_docs(records_of(spark, d, "'DataAsset'", f"array({export('MetaData', 'PackageMetaData', 'MetaDataExport', 'X', "'1'")}, {main})"))
+
+
+@query("effect_docs", """, t AS (SELECT *, id % 2 = 0 AS even, least(size % 7, 5) AS m FROM v_assets)
+  SELECT 'asset:' || path AS doc_id, name || ' is a GameplayEffect' || CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN ' (HasDuration)' ELSE ' (Instant)' END || CASE WHEN even THEN '. Parent: Base' ELSE '. Parent: GameplayEffect' END
+    || CASE WHEN m > 0 THEN '. Modifiers: ' || array_to_string(list_transform(range(1, CAST(m + 1 AS BIGINT)), lambda i: 'A' || i || CASE WHEN i % 2 = 1 THEN ' -' || i || ' (Additive)' ELSE ' +' || i || '.25 (Multiply)' END), ', ') ELSE '' END
+    || CASE WHEN id % 5 = 0 THEN '. Stacking: AggregateBySource (limit ' || size || ')' ELSE '' END || CASE id % 4 WHEN 0 THEN '. Period: 0.5s' WHEN 1 THEN '. Period: 2.0s' ELSE '' END || CASE WHEN even THEN '. Tags: State.Dead' ELSE '' END || '.' AS text,
+    CASE WHEN even THEN '/Game/GE/Base uses_asset,asset:/Game/GE/Base inherits_from' ELSE '/Script/GameplayAbilities uses_asset,class:GameplayEffect inherits_from' END AS refs FROM t""")
 def _effect(spark, d):
-    mod = F.struct(F.lit("Health").alias("attribute"), F.lit("EGameplayModOp::Additive").alias("op"), F.concat(F.lit("-"), F.col("size").cast("string")).alias("magnitude"))
-    r = assets(spark, d).select("path", "name", F.lit("(, /Game/GE/Base, )").alias("parent"), F.lit("EDuration::Instant").alias("duration_policy"), F.lit(0.0).alias("period"), F.lit(None).cast("string").alias("stacking"), F.array(mod).alias("modifiers"), F.array(F.lit("A.B")).alias("asset_tags"), F.array().cast("array<string>").alias("granted_tags"))
-    return D.effect_docs(r)
+    odd = lambda k: f"""'{{"Attribute":{{"AttributeName":"A{k}"}},"ModifierOp":"EOp::Additive","ModifierMagnitude":-{k}}}'"""
+    even = lambda k: f"""'{{"Attribute":"A{k}","ModifierOp":"Multiply","Magnitude":{{"MagnitudeCalculationType":"EM::ScalableFloat","ScalableFloatMagnitude":{{"Value":{k}.25}}}}}}'"""
+    mods = first("size % 7", *[odd(k) if k % 2 else even(k) for k in range(1, 7)])
+    parent = "CASE WHEN id % 2 = 0 THEN '\"(, /Game/GE/Base.Base_C, )\"' ELSE '\"(/Script/GameplayAbilities, GameplayEffect, )\"' END"
+    own = export("E_C", "Default__E_C", "NormalExport", "DurationPolicy", "CASE id % 3 WHEN 1 THEN '\"EDur::HasDuration\"' WHEN 2 THEN 'Instant' END", "Modifiers", mods, "StackingType", "CASE WHEN id % 5 = 0 THEN '\"EStack::AggregateBySource\"' END", "StackLimitCount", "CAST(size AS STRING)", "Period", """CASE id % 4 WHEN 0 THEN '{"Value":0.5}' WHEN 1 THEN '2.0' END""", "ApplicationTagRequirements", """CASE WHEN id % 2 = 0 THEN '{"_type":"GameplayTagContainer","tags":["State.Dead","None"]}' END""")
+    return A.effect_docs(records_of(spark, d, "'GameplayEffect'", f"array({export('Blueprint', 'E', 'NormalExport', 'ParentClass', parent)}, {own})"))
 
 
 def _tags(spark, d):

@@ -15,6 +15,7 @@ from assetloom.operators import lookup as L
 from assetloom.operators import search_text as S
 from assetloom.operators import upsert as U
 from assetloom.operators import vector as V
+from assetloom.operators.data_assets import data_asset_docs
 from assetloom.sources import files as W
 
 
@@ -254,3 +255,28 @@ def test_control_flow(spark):
     blocks, edges = K.control_flow_graph(i)
     assert sorted(tuple(r) for r in edges.collect()) == [(1, 0, 1), (1, 0, 2), (1, 1, 2), (1, 2, 2)]
     assert [r.block for r in blocks.filter("loop_target").collect()] == [2]
+
+
+def test_data_assets_of_odd_exports(spark):
+    exports = "array<struct<class:string,name:string,type:string,properties:array<struct<name:string,value:string>>>>"
+    rows = [
+        ("/Game/A/None", "None", None, None),
+        ("/Game/A/Meta", "Meta", None, [("MetaData", "PackageMetaData", "MetaDataExport", [])]),
+        ("/Game/A/Bad", "Bad", None, [("LyraAbilitySet", "Bad", "NormalExport", [("GrantedGameplayAbilities", "{no json"), ("Other", None)])]),
+        ("/Game/A/GE", "GE", "GameplayEffect", [("Blueprint", "GE", "NormalExport", [("ParentClass", "/Game/A/Up.Up_C")]), ("GE_C", "Default__GE_C", "NormalExport", [("Modifiers", '[{"Attribute":"Health","ModifierMagnitude":{"Value":1234567.0}},{},3]'), ("Period", '{"Value":0}')])]),
+    ]
+    df = spark.createDataFrame(rows, f"path string, name string, asset_type string, exports {exports}")
+    out = {r.name: r for r in data_asset_docs(df).collect()}
+    assert out["None"].text == "None is a DataAsset." and out["Meta"].text == "Meta is a DataAsset."
+    assert out["Bad"].text == "Bad is a LyraAbilitySet." and out["Bad"].references_out == []
+    assert out["GE"].text == "GE is a GameplayEffect. Parent: Up. Modifiers: Health +1.23457e+06 (Additive),  +0 (Additive)."
+    assert out["GE"].asset_type == "GameplayEffect" and out["GE"].typed_references_out == {"/Game/A/Up": "uses_asset", "asset:/Game/A/Up": "inherits_from"}
+    assert data_asset_docs(df.limit(0)).count() == 0
+
+
+def test_parents_of_data_assets_by_name(spark):
+    exports = "array<struct<class:string,name:string,type:string,properties:array<struct<name:string,value:string>>>>"
+    df = spark.createDataFrame([("/Game/A/GE", "GE", "GameplayEffect", [("GameplayEffect", "GE", "NormalExport", [("Parent", "(/Script/Mod, GE_Up_C, )")])])], f"path string, name string, asset_type string, exports {exports}")
+    known = spark.createDataFrame([("GE_Up", "/Game/B/GE_Up")], "name string, path string")
+    typed = data_asset_docs(df, parents=(known, known.limit(0), [])).first().typed_references_out
+    assert typed["asset:/Game/B/GE_Up"] == "inherits_from"
