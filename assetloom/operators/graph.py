@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.config import STRUCTURAL_PREFIXES, STRUCTURAL_TYPES, VISUAL_TYPES
+from assetloom.operators.substring import containing
 from assetloom.sources.scratch import stored
 
 #: Before the names of targets that aren't assets; a target may also be given with its own.
@@ -25,7 +26,8 @@ def where_used(targets: DataFrame, refs: DataFrame, edges: DataFrame, docs: Data
     asked, known = targets.filter(other).select("query_id", "path").distinct(), edges.select("to_id").distinct()
     answered = asked.select("query_id", "path", F.explode(names).alias("to_id")).join(known, "to_id", "left_semi")
     rest = asked.join(answered, ["query_id", "path"], "left_anti")
-    ids = ids.union(known.join(rest, F.col("to_id").contains(F.col("path"))).select("query_id", "to_id"))
+    part = rest.select("query_id", F.col("path").alias("part"))
+    ids = ids.union(part.join(containing(part, known.select(F.col("to_id").alias("word"))), "part").select("query_id", F.col("word").alias("to_id")))
     by_edge = ids.join(edges, "to_id").join(docs.select(F.col("doc_id").alias("from_id"), "path"), "from_id").select("query_id", F.col("path").alias("user_path"), F.lit(1).alias("source"))
     once = by_ref.union(by_edge).groupBy("query_id", "user_path").agg(F.min("source").alias("source"))
     total = once.groupBy("query_id").agg(F.count("*").alias("total"))
@@ -55,9 +57,11 @@ def descendants(seeds: DataFrame, edges: DataFrame, docs: DataFrame, *, max_dept
     return every.join(docs.select(F.col("doc_id").alias("node_id"), "path", "name"), "node_id").select("seed", F.col("node_id").alias("doc_id"), "path", "name", "depth")
 
 
-def expand_refs(seeds: DataFrame, edges: DataFrame, *, direction: str = "forward", depth: int = 2, max_nodes: int | None = None) -> DataFrame:
+def expand_refs(seeds: DataFrame, edges: DataFrame, *, direction: str = "forward", depth: int = 2, max_nodes: int | None = None, docs: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
     """(seed, node_id, depth): breadth first from each seed (seed, node_id); ``direction`` is forward,
-    reverse or both. With ``max_nodes`` the first nodes of a seed by (depth, id) stay."""
+    reverse or both. With ``docs`` (doc_id, type) only nodes that are documents stay, with ``types`` too
+    only seeds and those of these types; the search goes through all others. With ``max_nodes`` the
+    first nodes of a seed by (depth, id) stay."""
     forward, reverse = edges.select("from_id", "to_id"), edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
     steps = {"forward": forward, "reverse": reverse, "both": forward.union(reverse)}[direction].distinct()
     seen = seeds.select("seed", "node_id").distinct().withColumn("depth", F.lit(0))
@@ -67,18 +71,28 @@ def expand_refs(seeds: DataFrame, edges: DataFrame, *, direction: str = "forward
         if front.isEmpty():
             break
         seen = seen.union(front.withColumn("depth", F.lit(d)))
+    if docs is not None:
+        kind = docs.select(F.col("doc_id").alias("node_id"), F.col("type").alias("_type"))
+        wanted = F.lit(True) if types is None else F.col("_type").isin(*types) | (F.col("depth") == 0)
+        seen = seen.join(kind, "node_id").filter(wanted).select("seed", "node_id", "depth")
     if max_nodes is None:
         return seen
     return seen.withColumn("_k", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node_id"))).filter(F.col("_k") <= max_nodes).drop("_k")
 
 
-def ownership_chain(targets: DataFrame, edges: DataFrame, docs: DataFrame, *, max_depth: int = 4) -> DataFrame:
-    """(path, chain): from each path up to its best inbound owner, again and again; structural types
-    weigh 10, feature data 5, ties go to the lesser path; a path isn't entered twice."""
-    kind = F.col("asset_type")
-    weight = F.when(kind.isin(*STRUCTURAL_TYPES), 10).otherwise(0) + F.when(kind.contains("GameFeature"), 5).otherwise(0)
+def ownership_chain(targets: DataFrame, edges: DataFrame, docs: DataFrame, *, light: DataFrame | None = None, refs: DataFrame | None = None, max_depth: int = 4) -> DataFrame:
+    """(path, chain): from each path up to its best inbound owner, a document by an edge or a light asset
+    by a reference, again and again; structural types weigh 10, feature data 5 more, ties go to the
+    lesser path; a path isn't entered twice."""
+    kind = F.coalesce("asset_type", F.lit(""))
+    feature = kind.contains("GameFeature")
+    weight = F.when(kind.isin(*STRUCTURAL_TYPES) | feature, 10).otherwise(0) + F.when(feature | F.coalesce(F.col("name").contains("GameFeature"), F.lit(False)), 5).otherwise(0)
     owner = docs.select(F.col("doc_id").alias("from_id"), F.col("path").alias("owner"), F.col("name").alias("owner_name"), weight.alias("w"))
-    up = stored(edges.select("from_id", F.regexp_replace("to_id", "^asset:", "").alias("below")).join(owner, "from_id").select("below", "owner", "owner_name", "w").distinct())
+    up = edges.select("from_id", F.regexp_replace("to_id", "^asset:", "").alias("below")).join(owner, "from_id").select("below", "owner", "owner_name", "w").distinct()
+    if light is not None and refs is not None:
+        of_light = light.select(F.col("path").alias("asset_path"), F.col("name").alias("owner_name"), weight.alias("w"))
+        up = up.union(refs.join(of_light, "asset_path").select(F.col("ref_path").alias("below"), F.col("asset_path").alias("owner"), "owner_name", "w")).distinct()
+    up = stored(up)
     now = targets.select("path", "name").distinct().select("path", F.col("path").alias("top"), F.array("path").alias("seen"), F.array("name").alias("names"))
     parts = []
     for _ in range(max_depth):
@@ -102,23 +116,41 @@ def dependency_section(asset_type: Column, name: Column) -> Column:
     return F.when(asset_type.isin(*STRUCTURAL_TYPES) | asset_type.contains("GameFeature"), "structural").when(asset_type.isin(*VISUAL_TYPES), "visual").when(by_name, "structural").otherwise("visual")
 
 
-def system_trace(targets: DataFrame, edges: DataFrame, docs: DataFrame, refs: DataFrame, *, limit: int = 12) -> DataFrame:
-    """Long rows (query_id, section, path, score, rank) of what each target (query_id, path) depends
-    on (structural, visual, script) and what refers to it (documents, light assets). Each section
-    has the first max(4, min(limit, 12)) by score and path."""
-    own = targets.select("query_id", F.concat(F.lit("asset:"), F.col("path")).alias("id"), "path")
-    known = docs.select(F.col("doc_id").alias("to_id"), F.col("path").alias("dep"), "name", "asset_type")
+# Edge types that weigh more among the structural ones.
+STRONG_EDGES = ["registers_widget", "adds_component", "uses_layout", "maps_input", "targets_actor"]
+
+
+def system_trace(targets: DataFrame, edges: DataFrame, docs: DataFrame, refs: DataFrame, light: DataFrame | None = None, *, limit: int = 12) -> DataFrame:
+    """Long rows (query_id, section, path, relationship, score, rank) of each target (query_id, path): the
+    assets that it depends on (structural: by typed edges and structural types; visual), what refers to
+    it (inbound: documents, then light assets), script references that are no documents, and, where it
+    has owners, its ownership chain in place of a path. Each section has the first max(4, min(limit, 12))
+    by score and path, scripts the first 12; a path comes once a section."""
+    own = targets.select("query_id", F.concat(F.lit("asset:"), F.col("path")).alias("id"), F.col("path").alias("own"))
+    known = docs.select(F.col("doc_id").alias("to_id"), "name", "asset_type")
     out = own.join(edges, own["id"] == edges["from_id"]).join(known, "to_id", "left")
-    name = F.element_at(F.split("to_id", "/"), -1)
-    section = F.when(F.col("to_id").startswith("script:"), "script").otherwise(dependency_section(F.col("asset_type"), F.coalesce("name", name)))
-    deps = out.filter("to_id not like 'class:%'").select("query_id", section.alias("section"), F.coalesce("dep", F.regexp_replace("to_id", "^(asset|script):", "")).alias("path"))
-    inbound = own.select("query_id", F.col("id").alias("to_id")).join(edges, "to_id").join(docs.select(F.col("doc_id").alias("from_id"), "path"), "from_id").select("query_id", F.lit("referenced_by").alias("section"), "path")
-    placed = targets.join(refs, targets["path"] == refs["ref_path"]).select("query_id", F.lit("placed_in").alias("section"), F.col("asset_path").alias("path"))
-    scores = {"structural": 1.8, "visual": 1.5, "script": 1.0, "referenced_by": 1.7, "placed_in": 1.6}
-    score = F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])[F.col("section")]
-    rows = deps.union(inbound).union(placed).distinct().withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy("query_id", "section").orderBy("path"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= max(4, min(limit, 12)))
+    path = F.regexp_replace("to_id", "^(asset|script):", "")
+    typed = F.coalesce("edge_type", F.lit("uses_asset")) != "uses_asset"
+    section = F.when(typed, "structural").otherwise(dependency_section(F.col("asset_type"), F.coalesce("name", F.element_at(F.split("to_id", "/"), -1))))
+    strong = F.col("edge_type").isin(*STRONG_EDGES) | (~typed & (section == "structural"))
+    score = F.when(strong, 1.8).when(typed, 1.5).otherwise(1.0)
+    relationship = F.when(typed, F.col("edge_type")).otherwise(F.concat(section, F.lit("_dependency")))
+    deps = out.filter(F.col("to_id").startswith("asset:") & (path != F.col("own"))).select("query_id", section.alias("section"), path.alias("path"), relationship.alias("relationship"), score.alias("score"))
+    scripts = out.filter(F.col("to_id").startswith("script:/Script/")).select("query_id", F.lit("script").alias("section"), path.alias("path"), F.lit("unresolved").alias("relationship"), F.lit(0.0).alias("score"))
+    how = F.when(typed, F.col("edge_type")).otherwise("inbound_ref")
+    inbound = own.select("query_id", F.col("id").alias("to_id")).join(edges, "to_id").join(docs.select(F.col("doc_id").alias("from_id"), "path"), "from_id").select("query_id", F.lit("inbound").alias("section"), "path", how.alias("relationship"), F.lit(1.7).alias("score"))
+    placed = targets.join(refs, targets["path"] == refs["ref_path"]).select("query_id", F.lit("inbound").alias("section"), F.col("asset_path").alias("path"), F.lit("inbound_ref").alias("relationship"), F.lit(1.6).alias("score"))
+    # an asset is structural or visual by its best edge
+    every = deps.union(inbound).union(placed).union(scripts).withColumn("_list", F.when(F.col("section").isin("structural", "visual"), "deps").otherwise(F.col("section")))
+    best = every.groupBy("query_id", "_list", "path").agg(F.min(F.struct(-F.col("score"), "section", "relationship", "score")).alias("b"))
+    rows = best.select("query_id", "b.section", "path", "b.relationship", "b.score")
+    rank = F.row_number().over(Window.partitionBy("query_id", "section").orderBy(F.desc("score"), "path"))
+    top = rows.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("section") == "script", 12).otherwise(max(4, min(limit, 12))))
+    names = docs.groupBy("path").agg(F.min("name").alias("name"))
+    asked = targets.select("query_id", "path").join(names, "path", "left").withColumn("name", F.coalesce("name", F.element_at(F.split("path", "/"), -1)))
+    chains = ownership_chain(asked, edges, docs, light=light, refs=refs if light is not None else None).filter(F.col("chain").contains(" -> "))
+    chain = asked.join(chains, "path").select("query_id", F.lit("ownership_chain").alias("section"), F.col("chain").alias("path"), F.lit("owners").alias("relationship"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return top.union(chain)
 
 
 def build_tree(nodes: DataFrame) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetloom.operators.code import resolve_classes
+from assetloom.operators.substring import containing
+
+# Prefixes that stand for each other.
 ALIASES = {"BP_": ["B_"], "B_": ["BP_"], "WBP_": ["W_"], "W_": ["WBP_"]}
-PREFIX_ALIASES = {"BP_": ["BP_", "B_"], "B_": ["BP_", "B_"], "WBP_": ["WBP_", "W_"], "W_": ["WBP_", "W_"], "SM_": ["SM_", "SK_", "S_"]}
+PREFIX_ALIASES = {"BP_": ["BP_", "B_"], "B_": ["B_", "BP_"], "WBP_": ["WBP_", "W_"], "W_": ["W_", "WBP_"], "SM_": ["SM_", "S_"], "SK_": ["SK_", "S_"], "S_": ["S_", "SM_", "SK_"]}
 
 
 def enrich_results(results: DataFrame, docs: DataFrame) -> DataFrame:
     """Results (query_id, path) with the texts of all documents of the path, in the order of their
-    types, and their metadata merged, that of the later type winning; bad JSON is skipped."""
+    types, and their metadata merged, that of the later type winning; bad JSON is skipped. ``level`` is
+    full where a result of the query has either, else summary."""
     wanted = results.select("path").distinct()
     parsed = F.from_json("metadata", "map<string,string>")
     rows = docs.join(wanted, "path", "left_semi").select("path", F.struct("type", "doc_id", "text", parsed.alias("m")).alias("d"))
@@ -23,62 +28,116 @@ def enrich_results(results: DataFrame, docs: DataFrame) -> DataFrame:
         return F.concat(F.filter(acc, lambda e: ~F.exists(m, lambda x: x["key"] == e["key"])), m)
 
     out = by_type.select("path", F.array_join(F.transform("ds", lambda d: d["text"]), "\n\n").alias("text"), F.map_from_entries(F.aggregate("ds", empty, merge)).alias("metadata"))
-    return results.join(out, "path", "left")
+    found = F.max((F.coalesce("text", F.lit("")) != "") | (F.coalesce(F.size("metadata"), F.lit(0)) > 0)).over(Window.partitionBy("query_id"))
+    return results.join(out, "path", "left").withColumn("level", F.when(found, "full").otherwise("summary"))
+
 
+def search_name(queries: DataFrame, docs: DataFrame, light: DataFrame, *, hits: DataFrame | None = None, classes: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """Assets by name: (query_id, path, name, asset_type, score, rank).
 
-def search_name(queries: DataFrame, assets: DataFrame, *, limit: int = 20) -> DataFrame:
-    """Assets (path, name) by name: a query that ends in ``_`` is a prefix, with its aliases; any other
-    is contained in the name, in either case; (query_id, path, name, score, rank)."""
-    q = F.trim("query")
+    A query that ends in ``_`` is a prefix, with its aliases, of documents and light assets alike (score
+    1). Any other is contained in a name, in either case: in that of a full-text hit (``hits``: query_id,
+    path, name, score) where these are given, else of any document (1 for the whole name, else 0.9); and
+    of light assets (0.9). A query without a class among its results gets that which ``classes``
+    (class_name, source_path) has under its name or one of its prefixed forms."""
+    kind = lambda t: t.select("path", "name", F.coalesce("asset_type", F.lit("Unknown")).alias("asset_type"))
+    docs, light, q = kind(docs), kind(light), F.trim("query")
     table = F.create_map(*[x for k, v in PREFIX_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     prefixes = queries.filter(q.endswith("_")).select("query_id", F.explode(F.coalesce(table[F.upper(q)], F.array(q))).alias("p"))
-    # names are met by their own start up to the first underscore, so this is an equi-join
-    own = assets.withColumn("p", F.upper(F.concat(F.substring_index("name", "_", 1), F.lit("_"))))
-    by_prefix = prefixes.withColumn("p", F.upper("p")).join(own, "p").select("query_id", "path", "name", F.lit(1.0).alias("score"))
-    contained = queries.filter(~q.endswith("_") & (q != "")).select("query_id", F.lower(q).alias("_q"))
-    by_part = assets.join(F.broadcast(contained) if contained.count() <= 10_000 else contained, F.lower("name").contains(F.col("_q"))).select("query_id", "path", "name", F.when(F.lower("name") == F.col("_q"), 1.0).otherwise(0.9).alias("score"))
-    once = by_prefix.union(by_part).groupBy("query_id", "path", "name").agg(F.max("score").alias("score"))
+    # names are met by every start of theirs that ends in an underscore, so this is an equi-join
+    pieces = F.split("name", "_")
+    starts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.upper(F.concat(F.array_join(F.slice(pieces, 1, n), "_"), F.lit("_"))))
+    own = docs.union(light).filter(F.col("name").contains("_")).select("*", F.explode(F.slice(starts, 1, F.size(pieces) - 1)).alias("p"))
+    by_prefix = prefixes.withColumn("p", F.upper("p")).join(own, "p").select("query_id", "path", "name", "asset_type", F.lit(1.0).alias("score"))
+    asked = queries.filter(~q.endswith("_") & (q != "")).select("query_id", F.lower(q).alias("part"))
+
+    def within(t: DataFrame, score: Column) -> DataFrame:
+        named = t.withColumn("word", F.lower("name"))
+        return asked.join(containing(asked, named), "part").join(named, "word").select("query_id", "path", "name", "asset_type", score.alias("score"))
+
+    if hits is None:
+        of_docs = within(docs, F.when(F.col("word") == F.col("part"), 1.0).otherwise(0.9))
+    else:
+        of_docs = hits.join(asked, "query_id").filter(F.lower("name").contains(F.col("part"))).join(docs.groupBy("path").agg(F.min("asset_type").alias("asset_type")), "path").select("query_id", "path", "name", "asset_type", F.round("score", 3).alias("score"))
+    every = by_prefix.union(of_docs).union(within(light, F.lit(0.9)))
+    if classes is not None:
+        has = every.filter(F.lower("asset_type").isin("cppclass", "cpp_class")).select("query_id").distinct()
+        rest = queries.join(has, "query_id", "left_anti").select("query_id", q.alias("name"))
+        declared = rest.select("name").distinct()
+        every = every.union(rest.join(resolve_classes(declared, classes), "name").select("query_id", F.col("source_path").alias("path"), F.col("class_name").alias("name"), F.lit("CppClass").alias("asset_type"), F.lit(1.0).alias("score")))
+    once = every.groupBy("query_id", "path", "name").agg(F.max("score").alias("score"), F.min("asset_type").alias("asset_type"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "path"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return once.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "path", "name", "asset_type", "score", "rank")
 
 
-def search_tag(queries: DataFrame, tags: DataFrame, *, limit: int = 20) -> DataFrame:
-    """(query_id, path, tag, level, rank). ``X.*`` and patterns with ``%`` are matched as such; other
-    queries exactly, else below ``X.``, else anywhere: the first of these that has rows."""
+def search_tag(queries: DataFrame, tags: DataFrame, docs: DataFrame | None = None, *, limit: int = 20) -> DataFrame:
+    """(query_id, path, tag, level, rank, name, asset_type). ``X.*`` and patterns with ``%`` are matched as
+    such, in either case; other queries exactly, else below ``X.``, else anywhere: the first of these
+    that has rows (levels 1 to 3). All but ``%`` is taken literally. Name and type are those of the path
+    in ``docs``, else its last segment and Unknown."""
     q = F.regexp_replace(F.trim("query"), "^(?i)tag:", "")
-    asked = queries.select("query_id", q.alias("q"))
-    pattern = asked.filter(F.col("q").endswith(".*") | F.col("q").contains("%")).withColumn("like", F.regexp_replace("q", r"\*$", "%"))
-    vocabulary = tags.select("tag").distinct()
-    hit = pattern.join(vocabulary, F.expr("tag ilike like")).select("query_id", "tag", F.lit(1).alias("level"))
-    plain = asked.join(pattern.select("query_id"), "query_id", "left_anti")
+    asked = queries.select("query_id", q.alias("q")).filter("q <> ''")
+    vocabulary = tags.select("tag", F.lower("tag").alias("word")).filter("tag is not null").distinct()
+    is_pattern = F.col("q").endswith(".*") | F.col("q").contains("%")
+    # of a pattern the longest literal run is met first, the whole is verified
+    pattern = asked.filter(is_pattern).withColumn("like", F.lower(F.regexp_replace("q", r"\.\*$", ".%"))).withColumn("part", F.array_max(F.transform(F.split("like", "%"), lambda x: F.struct(F.length(x), x.alias("x"))))["x"])
+    literal = F.expr(r"word like replace(replace(like, '\\', '\\\\'), '_', '\\_')")
+    hit = pattern.join(containing(pattern, vocabulary), "part").filter(literal)
+    # patterns of % alone hold for every tag: the first rows are those of all tags
+    first = vocabulary.orderBy("tag").limit(limit).withColumn("part", F.lit(""))
+    hit = hit.join(vocabulary, "word").select("query_id", "tag").union(pattern.filter("part = ''").join(F.broadcast(first), "part").select("query_id", "tag")).withColumn("level", F.lit(1))
+    plain = asked.filter(~is_pattern)
     exact = plain.join(vocabulary, plain["q"] == vocabulary["tag"]).select("query_id", "tag", F.lit(1).alias("level"))
-    rest = plain.join(exact.select("query_id"), "query_id", "left_anti")
-    below = F.when(F.expr("tag ilike concat(q, '.%')"), 2).when(F.expr("tag ilike concat('%', q, '%')"), 3)
-    loose = rest.join(vocabulary, F.expr("tag ilike concat('%', q, '%')")).select("query_id", "tag", below.alias("level"))
+    rest = plain.join(exact.select("query_id"), "query_id", "left_anti").select("query_id", F.lower("q").alias("part"))
+    below = F.when(F.col("word").startswith(F.concat("part", F.lit("."))), 2).otherwise(3)
+    loose = rest.join(containing(rest, vocabulary), "part").join(vocabulary, "word").select("query_id", "tag", below.alias("level"))
     best = loose.groupBy("query_id").agg(F.min("level").alias("level"))
     every = hit.union(exact).union(loose.join(best, ["query_id", "level"]).select("query_id", "tag", "level"))
     rows = every.join(tags, "tag").select("query_id", "path", "tag", "level").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("tag", "path"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    top = rows.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    bare = F.element_at(F.split("path", "/"), -1)
+    if docs is None:
+        return top.withColumn("name", bare).withColumn("asset_type", F.lit("Unknown"))
+    own = docs.groupBy("path").agg(F.min(F.struct("type", "name", "asset_type")).alias("_d"))
+    return top.join(own, "path", "left").select(*top.columns, F.coalesce(F.nullif("_d.name", F.lit("")), bare).alias("name"), F.coalesce(F.nullif("_d.asset_type", F.lit("")), F.lit("Unknown")).alias("asset_type"))
 
 
-def token_aliases(token):
+def token_aliases(token: Column) -> Column:
     """A token and its aliases: either form of a blueprint or widget prefix; of a bare one, four prefixes."""
     upper = F.upper(token)
-    out = F.array(token, *[F.concat(F.lit(p), token) for p in ("BP_", "B_", "WBP_", "W_")])
+    bare = ~token.contains("_") & ~token.contains("/") & (F.length(token) > 2)
+    out = F.when(bare, F.array(token, *[F.concat(F.lit(p), token) for p in ("W_", "WBP_", "BP_", "B_")])).otherwise(F.array(token))
     for prefix, others in ALIASES.items():
         out = F.when(upper.startswith(prefix), F.array(token, *[F.concat(F.lit(o), F.substr(token, F.lit(len(prefix) + 1))) for o in others])).otherwise(out)
     return out
 
 
-def resolve_tokens(tokens: DataFrame, assets: DataFrame, *, limit: int = 5) -> DataFrame:
-    """(token_id, path, name, score, rank): assets of each token (token_id, token) by exact name of it
-    or an alias (100 and 45), else by names that contain it (20); ties by name, descending."""
-    aliases = tokens.select("token_id", F.posexplode(token_aliases(F.col("token"))).alias("pos", "alias"))
-    a = assets.select("path", "name", F.lower("name").alias("n"))
-    exact = aliases.withColumn("n", F.lower("alias")).join(a, "n").select("token_id", "path", "name", F.when(F.col("pos") == 0, 100).otherwise(45).alias("score"))
-    rest = tokens.join(exact.select("token_id"), "token_id", "left_anti")
-    loose = a.join(rest.filter("token <> ''"), F.col("n").contains(F.lower("token"))).select("token_id", "path", "name", F.lit(20).alias("score"))
-    once = exact.union(loose).groupBy("token_id", "path", "name").agg(F.max("score").alias("score"))
+def resolve_tokens(tokens: DataFrame, assets: DataFrame, *, prefer_types: tuple[str, ...] = (), prefer_prefixes: tuple[str, ...] = (), limit: int = 5) -> DataFrame:
+    """(token_id, path, name, score, rank): assets of each token (token_id, token) by exact name of it or
+    an alias, or, where none has it, by names that contain one; a ``/Game/`` path is its own asset. Ties go
+    by name, descending. ``assets``: path, name, asset_type."""
+    bare = F.trim("token")
+    asked = tokens.select("token_id", bare.alias("token")).filter("token <> ''")
+    own = asked.filter(F.col("token").startswith("/Game/")).select("token_id", F.col("token").alias("path"), F.element_at(F.split("token", "/"), -1).alias("name"), F.lit(0.0).alias("score"))
+    named = asked.filter(~F.col("token").startswith("/Game/")).select("token_id", "token", F.transform(token_aliases(F.col("token")), F.lower).alias("aliases"))
+    each = named.select("token_id", F.explode("aliases").alias("part"))
+    a = assets.filter(F.col("path").startswith("/")).select("path", "name", "asset_type", F.lower("name").alias("word"))
+    exact = each.join(a, each["part"] == a["word"]).select("token_id", "path", "name", "asset_type", "word")
+    rest = each.join(exact.select("token_id"), "token_id", "left_anti")
+    loose = rest.join(containing(rest, a), "part").join(a, "word").select("token_id", "path", "name", "asset_type", "word")
+    rows = exact.union(loose).distinct().join(named, "token_id")
+    compact = F.lower(F.replace("token", F.lit("_"), F.lit("")))
+    starts = F.lit(False)
+    for p in prefer_prefixes:
+        starts = starts | F.col("word").startswith(p.lower())
+    # What each sign of a match adds
+    signs = [
+        (F.array_contains("aliases", F.col("word")), 100), (F.replace("word", F.lit("_"), F.lit("")) == compact, 45),
+        (F.exists("aliases", lambda x: F.col("word").contains(x)), 20), (starts, 12), (F.coalesce(F.col("asset_type").isin(*prefer_types), F.lit(False)), 15),
+        (compact.contains("health") & F.col("path").contains("/UI/Hud/"), 8), (F.col("path").startswith("/Game/"), 2),
+    ]
+    score = sum((F.when(when, float(n)).otherwise(0.0) for when, n in signs), F.lit(0.0))
+    once = rows.select("token_id", "path", "name", score.alias("score")).groupBy("token_id", "path").agg(F.max(F.struct("score", "name")).alias("b")).select("token_id", "path", "b.name", "b.score").union(own.select("token_id", "path", "name", "score"))
     rank = F.row_number().over(Window.partitionBy("token_id").orderBy(F.desc("score"), F.desc(F.lower("name")), F.desc("path")))
     return once.withColumn("rank", rank).filter(F.col("rank") <= limit)

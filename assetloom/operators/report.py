@@ -12,13 +12,20 @@ SEMANTIC_RATE, LIGHT_RATE = 2.0, 50.0
 
 
 def index_status(docs: DataFrame, light: DataFrame, edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """(metric, key, value): documents by type, light assets by type, edges, classes."""
+    """(metric, key, value): documents and light assets, in all and by type, edges, classes, and, where
+    ``docs`` has indexed_at and embed_model, when it was last indexed and a model, as keys."""
 
     def counted(df: DataFrame, metric: str, key: str | None) -> DataFrame:
         by = df.groupBy(F.coalesce(F.col(key), F.lit("Unknown")).alias("key")) if key else df.groupBy(F.lit("").alias("key"))
         return by.agg(F.count("*").alias("value")).select(F.lit(metric).alias("metric"), "key", "value")
 
-    return counted(docs, "docs", "type").union(counted(light, "light", "asset_type")).union(counted(edges, "edges", None)).union(counted(classes, "classes", None))
+    out = counted(docs, "docs", "type").union(counted(light, "light", "asset_type"))
+    for df, metric in ((docs, "total_docs"), (light, "total_light"), (edges, "edges"), (classes, "classes")):
+        out = out.union(counted(df, metric, None))
+    for column, metric in (("indexed_at", "last_indexed"), ("embed_model", "embed_model")):
+        if column in docs.columns:
+            out = out.union(docs.agg(F.max(column).cast("string").alias("key")).filter("key is not null").select(F.lit(metric).alias("metric"), "key", F.lit(1).cast("long").alias("value")))
+    return out
 
 
 def type_distribution(df: DataFrame) -> DataFrame:
@@ -54,9 +61,11 @@ def folder_counts(df: DataFrame, folder: str) -> DataFrame:
 
 
 def list_assets(df: DataFrame, folder: str, kind: str | None = None) -> DataFrame:
-    """Assets below a folder, of a type if one is given; ``asset_type`` null where undecided."""
+    """Assets below a folder, of a type if one is given; ``asset_type`` null where undecided. ``undecided``
+    counts these in the whole folder."""
     out = df.filter(F.col("path").startswith(folder.rstrip("/") + "/"))
-    return out.filter(F.col("asset_type") == kind) if kind else out
+    unknown = out.agg(F.count_if(F.col("asset_type").isNull()).alias("undecided"))
+    return (out.filter(F.col("asset_type") == kind) if kind else out).join(F.broadcast(unknown))
 
 
 def paginate(df: DataFrame, order: list[str], *, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -68,7 +77,7 @@ def paginate(df: DataFrame, order: list[str], *, limit: int = 20, offset: int =
 
 
 def profile_data_table(rows: DataFrame) -> DataFrame:
-    """Per table (tbl, struct, row_key, columns): struct, row count, columns of the first row, first ten keys."""
+    """Per table (tbl, struct, row_key, columns): struct and columns of the first row, row count, first ten keys."""
     ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("tbl").orderBy("row_key")))
     first = ranked.filter("_k <= 10").groupBy("tbl").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "row_key"))), lambda x: x["row_key"]), ",").alias("sample_keys"))
-    return rows.groupBy("tbl").agg(F.min("struct").alias("struct"), F.count("*").alias("row_count"), F.min_by("columns", "row_key").alias("columns")).join(first, "tbl")
+    return rows.groupBy("tbl").agg(F.min_by("struct", "row_key").alias("struct"), F.count("*").alias("row_count"), F.min_by("columns", "row_key").alias("columns")).join(first, "tbl")

@@ -122,9 +122,11 @@ def delete_docs(docs: DataFrame, edges: DataFrame, tags: DataFrame, ids: DataFra
     return kept, edges.join(gone.select(F.col("doc_id").alias("from_id")), "from_id", "left_anti"), tags.join(orphan, "path", "left_anti")
 
 
-def promote_to_semantic(light: DataFrame, docs: DataFrame) -> DataFrame:
-    """Light assets that are no document yet."""
-    return light.join(docs.select("path").distinct(), "path", "left_anti")
+def promote_to_semantic(light: DataFrame, refs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Light assets that are no document yet, and the references (asset_path, ref_path) without those of
+    assets that are one."""
+    full = docs.select("path").distinct()
+    return light.join(full, "path", "left_anti"), refs.join(full.withColumnRenamed("path", "asset_path"), "asset_path", "left_anti")
 
 
 def detect_changes(snapshot: DataFrame, file_meta: DataFrame) -> DataFrame:

@@ -214,10 +214,12 @@ def _docs_needing_embedding(spark, d):
     return U.docs_needing_embedding(docs, emb, "m", "2")
 
 
-@query("promote_to_semantic", with_views("v_light") + " SELECT path FROM v_light WHERE o_orderkey % 5 <> 0")
+@query("promote_to_semantic", with_views("v_light") + " SELECT path, unnest(['light', 'ref']) AS what FROM v_light WHERE o_orderkey % 5 <> 0")
 def _promote(spark, d):
     light = view(spark, d, "v_light")
-    return U.promote_to_semantic(light, light.filter("o_orderkey % 5 = 0")).select("path")
+    refs = light.select(F.col("path").alias("asset_path"), "name")
+    stays, of = U.promote_to_semantic(light, refs, light.filter("o_orderkey % 5 = 0"))
+    return stays.select("path", F.lit("light").alias("what")).union(of.select("asset_path", F.lit("ref")))
 
 
 @query("get_docs", with_views("v_docs") + " SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM v_docs WHERE n % 20 = 0")
@@ -233,10 +235,12 @@ def _delete_docs(spark, d):
     return U.delete_docs(docs, view(spark, d, "v_inherits"), tags, docs.filter("id % 6 = 0"))[1].select("from_id", "to_id")
 
 
-@query("index_status", with_views("v_docs", "v_light", "v_inherits", "v_assets") + """ SELECT 'docs' AS metric, type AS key, count(*) AS value FROM v_docs GROUP BY type
-  UNION ALL SELECT 'light', asset_type, count(*) FROM v_light GROUP BY asset_type UNION ALL SELECT 'edges', '', count(*) FROM v_inherits UNION ALL SELECT 'classes', '', count(*) FROM v_assets""")
+@query("index_status", with_views("v_docs", "v_light", "v_inherits", "v_assets") + """ SELECT 'docs' AS metric, type AS key, count(*) AS value FROM v_docs GROUP BY type UNION ALL SELECT 'light', asset_type, count(*) FROM v_light GROUP BY asset_type UNION ALL SELECT 'total_docs', '', count(*) FROM v_docs UNION ALL SELECT 'total_light', '', count(*) FROM v_light
+  UNION ALL SELECT 'edges', '', count(*) FROM v_inherits UNION ALL SELECT 'classes', '', count(*) FROM v_assets UNION ALL SELECT 'last_indexed', max('2026-01-' || lpad(CAST(1 + n % 28 AS VARCHAR), 2, '0')), 1 FROM v_docs UNION ALL SELECT 'embed_model', 'm1', 1""")
 def _index_status(spark, d):
-    return R.index_status(*[view(spark, d, v) for v in ("v_docs", "v_light", "v_inherits", "v_assets")])
+    docs, *others = [view(spark, d, v) for v in ("v_docs", "v_light", "v_inherits", "v_assets")]
+    day = F.concat(F.lit("2026-01-"), F.lpad((1 + F.col("n") % 28).cast("string"), 2, "0"))
+    return R.index_status(docs.withColumn("indexed_at", day).withColumn("embed_model", F.when(F.col("n") % 2 == 0, "m1")), *others)
 
 
 @query("type_distribution", with_views("v_assets") + f""", t AS (SELECT {RECLASSIFIED} AS asset_type FROM v_assets)
@@ -262,11 +266,11 @@ def _folder_counts(spark, d):
     return R.folder_counts(view(spark, d, "v_assets"), "/Game")
 
 
-@query("list_assets", with_views("v_assets") + " SELECT path, name FROM v_assets WHERE starts_with(path, '/Game/Brand1') AND starts_with(name, 'M_')")
+@query("list_assets", with_views("v_assets", "v_light") + " SELECT path, name, (SELECT count(*) FROM v_light) AS undecided FROM v_assets WHERE starts_with(name, 'M_')")
 def _list_assets(spark, d):
-    brands = view(spark, d, "v_assets").withColumn("asset_type", C.guess_type(F.col("name"), F.col("path")))
-    brands = brands.filter(F.col("path").startswith("/Game/Brand1"))
-    return R.list_assets(brands, "/Game", "Material").select("path", "name")
+    every = view(spark, d, "v_assets").select("path", "name").union(view(spark, d, "v_light").select("path", "name"))
+    guess = C.guess_type(F.col("name"), F.col("path"))
+    return R.list_assets(every.withColumn("asset_type", F.nullif(guess, F.lit("Unknown"))), "/Game", "Material").select("path", "name", "undecided")
 
 
 @query("paginate", with_views("v_assets") + " SELECT path, (SELECT count(*) FROM v_assets) AS total, (SELECT count(*) FROM v_assets) > 60 AS has_more FROM v_assets ORDER BY path LIMIT 40 OFFSET 20")
@@ -275,7 +279,7 @@ def _paginate(spark, d):
 
 
 @query("profile_data_table", """WITH r AS (SELECT p_brand AS tbl, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_type FROM part)
-  SELECT tbl, min(p_type) AS struct, count(*) AS row_count, 'Size:' || CAST(min(p_partkey) AS VARCHAR) AS columns, string_agg(CASE WHEN k <= 10 THEN CAST(p_partkey AS VARCHAR) END, ',' ORDER BY p_partkey) AS sample_keys FROM r GROUP BY tbl""")
+  SELECT tbl, arg_min(p_type, p_partkey) AS struct, count(*) AS row_count, 'Size:' || CAST(min(p_partkey) AS VARCHAR) AS columns, string_agg(CASE WHEN k <= 10 THEN CAST(p_partkey AS VARCHAR) END, ',' ORDER BY p_partkey) AS sample_keys FROM r GROUP BY tbl""")
 def _profile_data_table(spark, d):
     rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("tbl"), F.col("p_type").alias("struct"), F.col("p_partkey").alias("row_key"), F.concat(F.lit("Size:"), F.col("p_partkey").cast("string")).alias("columns"))
     return R.profile_data_table(rows)

@@ -49,12 +49,16 @@ def _write_index(spark, d):
     return read_index(spark, out)["edges"].select("from_id", "to_id", "edge_type")
 
 
-@query("stream_upsert", with_views("v_docs") + " SELECT doc_id, substr(sha256(lower(trim(text || CASE WHEN n % 4 = 0 THEN ' more' ELSE '' END, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)))), 1, 16) AS fingerprint FROM v_docs")
+@query("stream_upsert", with_views("v_docs") + " SELECT doc_id, substr(sha256(lower(trim(text || CASE WHEN n % 4 = 0 THEN ' more' ELSE '' END, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)))), 1, 16) AS fingerprint, CASE WHEN n % 4 = 0 THEN 'New.' || module WHEN n % 3 = 0 THEN 'Old.A,Old.B' ELSE '' END AS tags FROM v_docs")
 def _stream_upsert(spark, d):
     typed = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    docs = view(spark, d, "v_docs").select("doc_id", "type", "path", "text", F.array(F.lit("/Game/X")).alias("references_out"), typed.alias("typed_references_out"), "n")
+    old = F.when(F.col("n") % 3 == 0, F.array(F.lit("Old.B"), F.lit(" Old.A"), F.lit(""))).otherwise(F.array(F.lit(None).cast("string")))
+    docs = view(spark, d, "v_docs").select("doc_id", "type", "path", "text", F.array(F.lit("/Game/X")).alias("references_out"), typed.alias("typed_references_out"), old.alias("tags"), "n", "module")
+    changed = docs.filter("n % 4 = 0").withColumn("text", F.concat("text", F.lit(" more"))).withColumn("tags", F.array(F.concat(F.lit("New."), "module")))
     records, index, checkpoint = folder(spark), folder(spark), folder(spark)
-    for batch in (docs, docs.filter("n % 4 = 0").withColumn("text", F.concat("text", F.lit(" more")))):
-        batch.drop("n").write.mode("append").json(records)
+    for batch in (docs, changed):
+        batch.drop("n", "module").write.mode("append").json(records)
         stream_upsert(spark, records, index, checkpoint).awaitTermination()
-    return read_index(spark, index)["docs"].select("doc_id", "fingerprint")
+    tables = read_index(spark, index)
+    tags = tables["tags"].groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
+    return tables["docs"].select("doc_id", "path", "fingerprint").join(tags, "path", "left").select("doc_id", "fingerprint", F.coalesce("tags", F.lit("")).alias("tags"))

@@ -11,7 +11,7 @@ from assetloom.operators import lookup as L
 from assetloom.operators import search_text as S
 from assetloom.operators import upsert as U
 from assetloom.operators import vector as V
-from assetloom.plans.views import view, with_views
+from assetloom.plans.views import VIEWS, view, with_views
 from assetloom.sources.scratch import stored
 
 QUERIES, SQL = {}, {}
@@ -83,10 +83,11 @@ def _where_used(spark, d):
 
 
 @query("level_contents", with_views("v_light", "v_light_refs") + """ SELECT split_part(l.path, '/', 4) AS level, l.path, l.name, min(r.ref_path) AS source FROM v_light l LEFT JOIN v_light_refs r ON r.asset_path = l.path
-  WHERE split_part(l.path, '/', 4) IN ('L_3', 'L_7') GROUP BY 1, 2, 3""")
+  WHERE split_part(l.path, '/', 4) <> 'L_3' GROUP BY 1, 2, 3""")
 def _level_contents(spark, d):
-    levels = spark.range(1).select(F.explode(F.array(F.lit("L_3"), F.lit("L_7"))).alias("level"))
-    return G.level_contents(*views(spark, d, "v_light", "v_light_refs"), levels)
+    light, refs = views(spark, d, "v_light", "v_light_refs")
+    levels = light.select(F.split("path", "/")[3].alias("level")).filter("level <> 'L_3'")
+    return G.level_contents(light, refs, levels)
 
 
 @query("descendants", "WITH RECURSIVE " + with_views("v_inherits", "v_asset_docs")[5:] + """, r AS (SELECT to_id AS seed, from_id AS doc_id, 1 AS depth FROM v_inherits UNION SELECT r.seed, e.from_id, r.depth + 1 FROM r JOIN v_inherits e ON e.to_id = r.doc_id WHERE r.depth < 4)
@@ -105,22 +106,52 @@ def _expand_refs(spark, d):
     return G.expand_refs(t.select(F.col("query_id").alias("seed"), F.concat(F.lit("asset:"), "path").alias("node_id")), edges, direction="both", depth=2, max_nodes=40)
 
 
-@query("ownership_chain", with_views("v_inherits", "v_assets", "v_targets") + """, w AS (SELECT p.path AS below, c.path AS owner, c.name AS owner_name, 0 - CASE WHEN c.raw_type IN ('Blueprint') THEN 10 ELSE 0 END AS w FROM v_inherits e JOIN v_assets c ON e.from_id = 'asset:' || c.path JOIN v_assets p ON e.to_id = 'asset:' || p.path),
-  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY below ORDER BY w, owner) AS k FROM w WHERE below <> owner) WHERE k = 1)
-  SELECT t.path, coalesce(b4.owner_name || ' -> ', '') || coalesce(b3.owner_name || ' -> ', '') || coalesce(b2.owner_name || ' -> ', '') || coalesce(b1.owner_name || ' -> ', '') || t.name AS chain
-  FROM v_targets t LEFT JOIN b b1 ON b1.below = t.path LEFT JOIN b b2 ON b2.below = b1.owner LEFT JOIN b b3 ON b3.below = b2.owner LEFT JOIN b b4 ON b4.below = b3.owner""")
-def _ownership_chain(spark, d):
-    return G.ownership_chain(*views(spark, d, "v_targets", "v_inherits", "v_asset_docs"))
+@query("expand_refs_of_type", "WITH RECURSIVE " + with_views("v_inherits", "v_targets", "v_asset_docs")[5:] + """, r AS (SELECT query_id AS seed, 'asset:' || path AS node_id, 0 AS depth FROM v_targets UNION SELECT r.seed, e.from_id, r.depth + 1 FROM r JOIN v_inherits e ON e.to_id = r.node_id WHERE r.depth < 2),
+  m AS (SELECT seed, node_id, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT seed, node_id, m.depth FROM m JOIN v_asset_docs d ON d.doc_id = m.node_id WHERE m.depth = 0 OR d.asset_type IN ('ECONOMY', 'PROMO')""")
+def _expand_refs_of_type(spark, d):
+    edges, t, docs = views(spark, d, "v_inherits", "v_targets", "v_asset_docs")
+    seeds = t.select(F.col("query_id").alias("seed"), F.concat(F.lit("asset:"), "path").alias("node_id"))
+    return G.expand_refs(seeds, edges, direction="reverse", depth=2, docs=docs.select("doc_id", F.col("asset_type").alias("type")), types=["ECONOMY", "PROMO"])
+
+
+# the types of assets as the catalog names them; every third asset maps or uses another, every seventh a script
+TYPED_DOCS = "SELECT doc_id, type, path, name, CASE asset_type WHEN 'ECONOMY' THEN 'Blueprint' WHEN 'PROMO' THEN 'Material' WHEN 'SMALL' THEN 'GameFeatureData' ELSE 'Other' END AS asset_type FROM v_asset_docs"
+MORE_EDGES = """SELECT from_id, to_id, edge_type FROM v_inherits UNION ALL SELECT 'asset:' || a.path, 'asset:' || b.path, CASE WHEN a.id % 2 = 0 THEN 'maps_input' ELSE 'uses_asset' END FROM v_assets a JOIN v_assets b ON b.id = a.id + 11 WHERE a.id % 3 = 0
+  UNION ALL SELECT 'asset:' || a.path, 'asset:' || b.path, 'uses_asset' FROM v_assets a JOIN v_assets b ON b.id = a.id + 5 UNION ALL SELECT 'asset:' || path, 'script:/Script/M.' || name, 'uses_asset' FROM v_assets WHERE id % 7 = 0"""
+OWNERS = """w AS (SELECT substr(e.to_id, 7) AS below, d.path AS owner, d.name AS owner_name, CASE WHEN d.asset_type IN ('Blueprint', 'GameFeatureData') THEN 10 ELSE 0 END + CASE WHEN d.asset_type = 'GameFeatureData' THEN 5 ELSE 0 END AS w FROM ed e JOIN dd d ON d.doc_id = e.from_id WHERE e.to_id LIKE 'asset:%'
+    UNION SELECT r.ref_path, r.asset_path, l.name, 0 FROM v_light_refs r JOIN v_light l ON l.path = r.asset_path),
+  o AS (SELECT t.path, 0 AS n, t.path AS top, [t.path] AS seen, t.name AS chain FROM v_targets t UNION ALL
+    SELECT path, n, top, seen, chain FROM (SELECT o.path, o.n + 1 AS n, w.owner AS top, list_append(o.seen, w.owner) AS seen, w.owner_name || ' -> ' || o.chain AS chain, row_number() OVER (PARTITION BY o.path ORDER BY w.w DESC, w.owner) AS k FROM o JOIN w ON w.below = o.top WHERE o.n < 4 AND NOT list_contains(o.seen, w.owner)) WHERE k = 1),
+  oc AS (SELECT path, arg_max(chain, n) AS chain, max(n) AS n FROM o GROUP BY path)"""
+OWNED = "WITH RECURSIVE " + with_views("v_inherits", "v_assets", "v_targets", "v_asset_docs", "v_light", "v_light_refs")[5:] + f", ed AS ({MORE_EDGES}), dd AS ({TYPED_DOCS}), {OWNERS}"
+
 
+def _graph(spark, d):
+    """Edges and documents of the above."""
+    for v in ("v_inherits", "v_assets", "v_asset_docs"):
+        view(spark, d, v).createOrReplaceTempView(v)
+    return spark.sql(MORE_EDGES), spark.sql(TYPED_DOCS)
 
-@query("system_trace", with_views("v_targets", "v_inherits", "v_asset_docs", "v_light_refs") + """, x AS (
-    SELECT t.query_id, CASE WHEN regexp_matches(upper(d.name), '^(B|BP|W|WBP|DA|DT|GE|GA|GCN)_') THEN 'structural' ELSE 'visual' END AS section, d.path FROM v_targets t JOIN v_inherits e ON e.from_id = 'asset:' || t.path JOIN v_asset_docs d ON d.doc_id = e.to_id
-    UNION SELECT t.query_id, 'referenced_by', d.path FROM v_targets t JOIN v_inherits e ON e.to_id = 'asset:' || t.path JOIN v_asset_docs d ON d.doc_id = e.from_id
-    UNION SELECT t.query_id, 'placed_in', r.asset_path FROM v_targets t JOIN v_light_refs r ON r.ref_path = t.path),
-  k AS (SELECT *, CAST(CASE section WHEN 'structural' THEN 1.8 WHEN 'visual' THEN 1.5 WHEN 'referenced_by' THEN 1.7 ELSE 1.6 END AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id, section ORDER BY path) AS rank FROM x)
-  SELECT query_id, section, path, score, rank FROM k WHERE rank <= 12""")
+
+@query("ownership_chain", OWNED + " SELECT path, chain FROM oc")
+def _ownership_chain(spark, d):
+    t, light, refs = views(spark, d, "v_targets", "v_light", "v_light_refs")
+    return G.ownership_chain(t, *_graph(spark, d), light=light, refs=refs)
+
+
+@query("system_trace", OWNED + """, x AS (
+    SELECT t.query_id, CASE WHEN e.edge_type <> 'uses_asset' OR d.asset_type IN ('Blueprint', 'GameFeatureData') OR (d.asset_type = 'Other' AND regexp_matches(upper(d.name), '^(B|BP|W|WBP|DA|DT|GE|GA|GCN)_')) THEN 'structural' ELSE 'visual' END AS section, d.path, e.edge_type, 'deps' AS l FROM v_targets t JOIN ed e ON e.from_id = 'asset:' || t.path JOIN dd d ON d.doc_id = e.to_id WHERE d.path <> t.path
+    UNION ALL SELECT t.query_id, 'inbound', d.path, e.edge_type, 'in' FROM v_targets t JOIN ed e ON e.to_id = 'asset:' || t.path JOIN dd d ON d.doc_id = e.from_id
+    UNION ALL SELECT t.query_id, 'inbound', r.asset_path, 'light', 'in' FROM v_targets t JOIN v_light_refs r ON r.ref_path = t.path
+    UNION ALL SELECT t.query_id, 'script', substr(e.to_id, 8), 'script', 'script' FROM v_targets t JOIN ed e ON e.from_id = 'asset:' || t.path WHERE e.to_id LIKE 'script:%'),
+  y AS (SELECT *, CAST(CASE WHEN section = 'script' THEN 0 WHEN edge_type = 'light' THEN 1.6 WHEN section = 'inbound' THEN 1.7 WHEN edge_type = 'maps_input' THEN 1.8 WHEN edge_type = 'inherits_from' THEN 1.5 WHEN section = 'structural' THEN 1.8 ELSE 1.0 END AS DOUBLE) AS score,
+    CASE WHEN section = 'script' THEN 'unresolved' WHEN edge_type NOT IN ('uses_asset', 'light') THEN edge_type WHEN section = 'inbound' THEN 'inbound_ref' ELSE section || '_dependency' END AS relationship FROM x),
+  z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, l, path ORDER BY score DESC, section, relationship) AS one FROM y) WHERE one = 1),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, path) AS rank FROM z)
+  SELECT query_id, section, path, relationship, score, rank FROM k WHERE rank <= 12 UNION ALL SELECT query_id, 'ownership_chain', chain, 'owners', 0.0::DOUBLE, 1 FROM oc JOIN v_targets USING (path) WHERE n > 0""")
 def _system_trace(spark, d):
-    return G.system_trace(*views(spark, d, "v_targets", "v_inherits", "v_asset_docs", "v_light_refs"))
+    t, light, refs = views(spark, d, "v_targets", "v_light", "v_light_refs")
+    return G.system_trace(t, *_graph(spark, d), refs, light)
 
 
 TREE = "SELECT CAST(0 AS BIGINT) AS tree, id AS node, CASE WHEN id < 8 THEN NULL ELSE CAST(floor((id - 1) / 8.0) AS BIGINT) END AS parent, name AS label FROM v_assets"
@@ -299,44 +330,85 @@ def _finalize_results(spark, d):
     return H.finalize_results(_results(spark, d))
 
 
-@query("select_confident", with_views("v_assets") + f""", r AS (SELECT query_id, path, name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM ({RESULTS}) WHERE type = 'Blueprint'),
-  x AS (SELECT *, lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS nx FROM r) SELECT query_id, path, name, 'gap' AS how FROM x WHERE rank = 1 AND (nx IS NULL OR score - nx > 0.15)""")
+# of each query's assets the name of the second, the first's within a longer text, a part of the first's, and none
+ASKED = """SELECT query_id, CASE query_id % 4 WHEN 0 THEN max(CASE WHEN rank = 2 THEN upper(name) END) WHEN 1 THEN 'the ' || max(CASE WHEN rank = 1 THEN name END) || ' asset' WHEN 2 THEN ' ' || max(CASE WHEN rank = 1 THEN substr(name, 4, 8) END) ELSE 'no such asset' END AS query FROM ranked GROUP BY query_id"""
+RANKED = f"SELECT query_id, path, name, score * score AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM ({RESULTS}) AS r WHERE type = 'Blueprint'"
+
+
+@query("select_confident", with_views("v_assets") + f""", ranked AS ({RANKED}), q AS ({ASKED}), x AS (SELECT ranked.*, lower(trim(query)) AS q, lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS nx, min(CASE WHEN lower(name) = lower(trim(query)) THEN rank END) OVER (PARTITION BY query_id) AS ex FROM ranked JOIN q USING (query_id)),
+  h AS (SELECT query_id, path, name, CASE WHEN ex = rank THEN 'exact' WHEN ex IS NULL AND rank = 1 AND (contains(lower(name), q) OR contains(q, lower(name))) THEN 'contains' WHEN ex IS NULL AND rank = 1 AND (nx IS NULL OR score - nx > 0.15) THEN 'gap' END AS how FROM x) SELECT query_id, path, name, how FROM h WHERE how IS NOT NULL""")
 def _select_confident(spark, d):
-    from pyspark.sql import Window
+    view(spark, d, "v_assets").createOrReplaceTempView("v_assets")
+    r = spark.sql(RANKED)
+    r.createOrReplaceTempView("ranked")
+    return H.select_confident(r, spark.sql(ASKED)).select("query_id", "path", "name", "how")
 
-    r = _results(spark, d).filter("type = 'Blueprint'").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path")))
-    return H.select_confident(r, r.select("query_id").distinct().withColumn("query", F.lit("no such asset"))).select("query_id", "path", "name", "how")
 
+# full-text hits by name, prefixes, parts of light assets' names, and classes
+NAMED = """SELECT query_id, query FROM v_query WHERE query_id >= 1000000 AND query_id % 3 = 2 UNION ALL SELECT 2000000 + id, CASE id % 4 WHEN 0 THEN substr(name, 1, instr(name, '_')) WHEN 1 THEN name ELSE lower(replace(name, '_' || CAST(id AS STRING), '')) END FROM v_assets WHERE id % 25 = 0 OR id % 20 = 1
+  UNION ALL SELECT 3000000 + o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN substr(name, 3) ELSE lower(name) END FROM v_light WHERE o_orderkey % 500 = 0"""
+TYPED_LIGHT = "SELECT path, name, asset_type FROM v_light UNION ALL SELECT path, name, CASE WHEN id % 9 = 0 THEN 'CppClass' ELSE raw_type END FROM v_assets"
 
-@query("search_name", with_views("v_assets", "v_light") + """, a AS (SELECT path, name FROM v_assets UNION SELECT path, name FROM v_light),
-  h AS (SELECT 1 AS query_id, path, name, 1.0 AS score FROM a WHERE upper(name) LIKE 'BP\\_%' ESCAPE '\\' OR upper(name) LIKE 'B\\_%' ESCAPE '\\' UNION SELECT 2, path, name, CASE WHEN lower(name) = 'obj_1' THEN 1.0 ELSE 0.9 END FROM a WHERE lower(name) LIKE '%obj\\_1%' ESCAPE '\\'),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, path) AS rank FROM h) SELECT CAST(query_id AS INTEGER) AS query_id, path, name, CAST(score AS DOUBLE) AS score, rank FROM r WHERE rank <= 20""")
+
+@query("search_name", SEARCH.replace("v_query AS (", "v_query AS MATERIALIZED (", 1) + f""", v_assets AS ({VIEWS["v_assets"]}), v_light AS ({VIEWS["v_light"]}), nq AS ({NAMED}), li AS ({TYPED_LIGHT}),
+  al AS (SELECT query_id, upper(unnest(CASE upper(query) WHEN 'BP_' THEN ['BP_', 'B_'] WHEN 'WBP_' THEN ['WBP_', 'W_'] ELSE [query] END)) AS p FROM nq WHERE ends_with(query, '_')),
+  lo AS (SELECT query_id, lower(query) AS q FROM nq WHERE NOT ends_with(query, '_')),
+  e AS (SELECT query_id, path, name, asset_type, 1.0::DOUBLE AS score FROM al JOIN (SELECT path, name, asset_type FROM v_docs UNION ALL SELECT path, name, asset_type FROM li) n ON starts_with(upper(name), p)
+    UNION ALL SELECT query_id, path, name, asset_type, round(score, 3) FROM ranked JOIN lo USING (query_id) JOIN v_docs USING (doc_id) WHERE rank <= 60 AND contains(lower(name), q) UNION ALL SELECT query_id, path, name, asset_type, 0.9 FROM lo JOIN li ON contains(lower(name), q)),
+  cc AS (SELECT query_id, 'Source/' || a.name AS path, 'U' || a.name AS name, 'CppClass' AS asset_type, 1.0::DOUBLE AS score FROM nq JOIN v_assets a ON a.name = nq.query WHERE nq.query_id NOT IN (SELECT query_id FROM e WHERE asset_type = 'CppClass')),
+  g AS (SELECT query_id, path, name, min(asset_type) AS asset_type, max(score) AS score FROM (SELECT * FROM e UNION ALL SELECT * FROM cc) GROUP BY 1, 2, 3), s2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, path) AS rank FROM g)
+  SELECT query_id, path, name, asset_type, score, rank FROM s2 WHERE rank <= 20""")
 def _search_name(spark, d):
-    assets = view(spark, d, "v_assets").select("path", "name").union(view(spark, d, "v_light").select("path", "name")).distinct()
-    return L.search_name(spark.createDataFrame([(1, "BP_"), (2, "OBJ_1")], "query_id int, query string"), assets)
+    for v in ("v_assets", "v_light", "v_query", "v_docs"):
+        view(spark, d, v).createOrReplaceTempView(v)
+    queries, docs = spark.sql(NAMED), spark.table("v_docs")
+    hits = S.search_text(queries, *_postings(docs), k=60).join(docs.select("doc_id", "path", "name"), "doc_id")
+    classes = spark.table("v_assets").select(F.concat(F.lit("U"), "name").alias("class_name"), F.concat(F.lit("Source/"), "name").alias("source_path"))
+    return L.search_name(queries, docs, spark.sql(TYPED_LIGHT), hits=hits, classes=classes)
+
 
+# every tag as it is, without its last part, cut, and as patterns
+TAGGED = """SELECT DISTINCT CASE length(tag) * 5 % 7 WHEN 0 THEN tag WHEN 1 THEN 'tag:' || head WHEN 2 THEN head || '.*' WHEN 3 THEN lower(k) WHEN 4 THEN '%.' || lower(k) WHEN 5 THEN 'ev%' || lower(substr(tag, 8)) ELSE lower(tag) END AS query
+  FROM (SELECT tag, 'Event.' || split_part(tag, '.', 2) AS head, split_part(tag, '.', 3) AS k FROM v_tags) AS t UNION SELECT DISTINCT split_part(tag, '.', 3) FROM v_tags UNION SELECT DISTINCT lower(split_part(tag, '.', 2)) || '.*' FROM v_tags"""
+TAG_DOCS = "SELECT DISTINCT path, 'asset_summary' AS type, 'User ' || substr(path, 15) AS name, CASE WHEN path LIKE '%1' THEN NULL ELSE 'Player' END AS asset_type FROM v_tags WHERE path LIKE '%1' OR path LIKE '%2'"
 
-@query("search_tag", with_views("v_tags") + """, h AS (SELECT 1 AS query_id, path, tag, 1 AS level FROM v_tags WHERE tag ILIKE 'Event.click.%' UNION SELECT 2, path, tag, 2 FROM v_tags WHERE tag ILIKE 'Event.%' UNION SELECT 3, path, tag, 3 FROM v_tags WHERE tag ILIKE '%K7%'),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tag, path) AS rank FROM h) SELECT query_id, path, tag, level, rank FROM r WHERE rank <= 20""")
+
+@query("search_tag", with_views("v_tags") + f""", tq AS ({TAGGED} UNION SELECT '%'), q AS (SELECT query AS query_id, regexp_replace(query, '^tag:', '') AS q FROM tq), v AS (SELECT DISTINCT tag FROM v_tags), td AS ({TAG_DOCS}),
+  h AS (SELECT query_id, tag, CASE WHEN q LIKE '%.*' OR contains(q, '%') THEN CASE WHEN tag ILIKE regexp_replace(q, '[*]$', '%') THEN 1 END WHEN tag = q THEN 1 WHEN starts_with(lower(tag), lower(q) || '.') THEN 2 WHEN contains(lower(tag), lower(q)) THEN 3 END AS level FROM q, v),
+  b AS (SELECT * FROM h WHERE level IS NOT NULL QUALIFY level = min(level) OVER (PARTITION BY query_id)),
+  r AS (SELECT query_id, t.path, t.tag, level, row_number() OVER (PARTITION BY query_id ORDER BY t.tag, t.path) AS rank FROM b JOIN v_tags t USING (tag))
+  SELECT query_id, r.path, tag, level, rank, coalesce(td.name, regexp_extract(r.path, '[^/]*$')) AS name, coalesce(td.asset_type, 'Unknown') AS asset_type FROM r LEFT JOIN td ON td.path = r.path WHERE rank <= 20""")
 def _search_tag(spark, d):
-    return L.search_tag(spark.createDataFrame([(1, "Event.click.*"), (2, "tag:Event"), (3, "K7")], "query_id int, query string"), view(spark, d, "v_tags"))
+    view(spark, d, "v_tags").createOrReplaceTempView("v_tags")
+    queries = spark.sql(f"{TAGGED} UNION SELECT '%'").select(F.col("query").alias("query_id"), "query")
+    return L.search_tag(queries, spark.table("v_tags"), spark.sql(TAG_DOCS))
+
+
+# names, their aliases, paths, and parts that several names have
+TOKENS = "SELECT query_id AS token_id, CASE (query_id / 20) % 5 WHEN 0 THEN name WHEN 1 THEN CASE WHEN name LIKE 'BP%' THEN 'B_' || substr(name, 4) ELSE lower(name) END WHEN 2 THEN path WHEN 3 THEN substr(name, 5, 6) ELSE split_part(name, '_', 2) END AS token FROM v_targets"
 
 
-@query("resolve_tokens", with_views("v_assets", "v_targets") + """, x AS (SELECT query_id AS token_id, CASE WHEN starts_with(name, 'BP_') THEN 'B_' || substr(name, 4) ELSE name END AS token, path, name, CASE WHEN starts_with(name, 'BP_') THEN 45 ELSE 100 END AS score FROM v_targets)
-  SELECT token_id, path, name, CAST(score AS INTEGER) AS score, 1 AS rank FROM x""")
+@query("resolve_tokens", with_views("v_assets", "v_targets") + f""", k AS ({TOKENS.replace("query_id / 20", "query_id // 20")}), al AS (SELECT token_id, token, list_transform(CASE WHEN starts_with(upper(token), 'BP_') THEN [token, 'B_' || substr(token, 4)] WHEN starts_with(upper(token), 'B_') THEN [token, 'BP_' || substr(token, 3)]
+    WHEN starts_with(upper(token), 'WBP_') THEN [token, 'W_' || substr(token, 5)] WHEN starts_with(upper(token), 'W_') THEN [token, 'WBP_' || substr(token, 3)] WHEN NOT contains(token, '_') AND length(token) > 2 THEN [token, 'W_' || token, 'WBP_' || token, 'BP_' || token, 'B_' || token] ELSE [token] END, lambda x: lower(x)) AS a FROM k WHERE NOT starts_with(token, '/Game/')),
+  m AS (SELECT token_id, token, a, path, name, raw_type, list_contains(a, lower(name)) AS ex, len(list_filter(a, lambda x: contains(lower(name), x))) > 0 AS part FROM al, v_assets),
+  f AS (SELECT *, bool_or(ex) OVER (PARTITION BY token_id) AS any_ex FROM m WHERE part),
+  s AS (SELECT token_id, path, name, CASE WHEN ex THEN 100 ELSE 0 END + CASE WHEN lower(replace(name, '_', '')) = lower(replace(token, '_', '')) THEN 45 ELSE 0 END + 20 + CASE WHEN starts_with(lower(name), 'mi_') THEN 12 ELSE 0 END + CASE WHEN raw_type = 'ECONOMY' THEN 15 ELSE 0 END + 2 AS score FROM f WHERE ex OR NOT any_ex
+    UNION ALL SELECT token_id, token, regexp_extract(token, '[^/]*$'), 0 FROM k WHERE starts_with(token, '/Game/')),
+  r AS (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY score DESC, lower(name) DESC, path DESC) AS rank FROM s) SELECT token_id, path, name, CAST(score AS DOUBLE) AS score, rank FROM r WHERE rank <= 5""")
 def _resolve_tokens(spark, d):
-    t = view(spark, d, "v_targets")
-    token = F.when(F.col("name").startswith("BP_"), F.concat(F.lit("B_"), F.substr("name", F.lit(4)))).otherwise(F.col("name"))
-    return L.resolve_tokens(t.select(F.col("query_id").alias("token_id"), token.alias("token")), view(spark, d, "v_assets"))
+    view(spark, d, "v_targets").createOrReplaceTempView("v_targets")
+    tokens = spark.sql(TOKENS.replace("query_id / 20", "query_id DIV 20"))
+    return L.resolve_tokens(tokens, view(spark, d, "v_assets").withColumnRenamed("raw_type", "asset_type"), prefer_types=("ECONOMY",), prefer_prefixes=("MI_",))
 
 
-@query("enrich_results", with_views("v_docs") + """ SELECT n AS query_id, path, text || chr(10) || chr(10) || 'tree ' || name AS text, 'b,' || module AS meta FROM v_docs WHERE n % 20 = 0""")
+@query("enrich_results", with_views("v_docs") + """ SELECT n AS query_id, CASE WHEN n % 40 = 0 THEN path ELSE path || '/None' END AS path, CASE WHEN n % 40 = 0 THEN text || chr(10) || chr(10) || 'tree ' || name END AS text, CASE WHEN n % 40 = 0 THEN 'b,' || module ELSE '' END AS meta, CASE WHEN n % 40 = 0 THEN 'full' ELSE 'summary' END AS level FROM v_docs WHERE n % 20 = 0""")
 def _enrich_results(spark, d):
     docs = view(spark, d, "v_docs")
     more = docs.select(F.concat(F.lit("widget:"), "path").alias("doc_id"), F.lit("widget_tree").alias("type"), "path", F.concat(F.lit("tree "), "name").alias("text"), F.lit('{"a":"b"}').alias("metadata"))
     own = docs.select("doc_id", "type", "path", "text", F.to_json(F.struct(F.lit("x").alias("a"), F.col("module").alias("m"))).alias("metadata"))
-    out = L.enrich_results(docs.filter("n % 20 = 0").select(F.col("n").alias("query_id"), "path"), own.union(more.select(*own.columns)))
-    return out.select("query_id", "path", "text", F.concat_ws(",", F.col("metadata")["a"], F.col("metadata")["m"]).alias("meta"))
+    asked = docs.filter("n % 20 = 0").select(F.col("n").alias("query_id"), F.when(F.col("n") % 40 == 0, F.col("path")).otherwise(F.concat("path", F.lit("/None"))).alias("path"))
+    out = L.enrich_results(asked, own.union(more.select(*own.columns)))
+    return out.select("query_id", "path", "text", F.concat_ws(",", F.col("metadata")["a"], F.col("metadata")["m"]).alias("meta"), "level")
 
 
 @query("embed_docs", with_views("v_docs") + " SELECT doc_id, round(CAST(CASE WHEN length(text) <= 4000 THEN length(text) ELSE (4000.0 * 4000 * (length(text) // 4000) + (length(text) % 4000) * (length(text) % 4000)) / length(text) END AS FLOAT), 1) AS first, false AS failed FROM v_docs")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from assetloom.operators.upsert import replace_edges, upsert_docs
+from assetloom.operators.upsert import replace_edges, replace_tags, upsert_docs
 from assetloom.sources.files import read_index, write_index
 
 #: Documents as records: what a parser's later steps hand over, one JSON line each.
@@ -16,22 +16,27 @@ RECORD = T.StructType(
         *[T.StructField(c, T.StringType()) for c in ("doc_id", "type", "path", "text")],
         T.StructField("references_out", T.ArrayType(T.StringType())),
         T.StructField("typed_references_out", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("tags", T.ArrayType(T.StringType())),
     ]
 )
 COLUMNS = RECORD.names
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, folder: str) -> None:
-    """Upsert one batch of documents and their edges; a batch that comes again changes nothing."""
+    """Upsert one batch of documents, their edges and the tags of their paths; a batch that comes again
+    changes nothing."""
     incoming = batch.filter("doc_id is not null")
     try:
         index = read_index(spark, folder)
     except FileNotFoundError:  # the first batch of all
-        index = {"docs": incoming.limit(0).withColumn("fingerprint", F.lit("")), "edges": spark.createDataFrame([], "from_id string, to_id string, edge_type string")}
+        index = {"docs": incoming.limit(0).withColumn("fingerprint", F.lit("")), "edges": spark.createDataFrame([], "from_id string, to_id string, edge_type string"), "tags": spark.createDataFrame([], "path string, tag string")}
     docs = upsert_docs(index["docs"].select(*COLUMNS, "fingerprint"), incoming)
-    changed = docs.filter("action in ('inserted', 'replaced')").select("doc_id", "references_out", "typed_references_out")
+    changed = docs.filter("action in ('inserted', 'replaced')").select("doc_id", "path", "references_out", "typed_references_out", "tags")
+    # the tags of a path are those of all its documents
+    paths = changed.select("path").distinct()
+    tags = replace_tags(index["tags"].select("path", "tag"), docs.join(paths, "path", "left_semi").select("path", F.explode("tags").alias("tag")), paths)
     edges = replace_edges(index["edges"].select("from_id", "to_id", "edge_type"), changed)
-    write_index({"docs": docs.select(*COLUMNS, "fingerprint"), "edges": edges}, folder)
+    write_index({"docs": docs.select(*COLUMNS, "fingerprint"), "edges": edges, "tags": tags}, folder)
 
 
 def stream_upsert(spark: SparkSession, records: str, folder: str, checkpoint: str) -> StreamingQuery:
