@@ -274,18 +274,18 @@ def data_asset_docs(records: DataFrame, registry: dict[str, Extractor] | None =
 
     stub = F.struct(F.concat("name", F.lit(" is a "), "_class", F.lit(" (raw data, properties not parseable).")).alias("text"), _merged(F.struct(F.col("_class").alias("class")), F.struct(F.lit(True).alias("raw_export"))).alias("meta"), nothing(LINKS).alias("links"))
     chosen = reduce(lambda w, kv: w.when(F.col("_class") == kv[0], of_class(kv[1])), registry.items(), F.when(F.col("_raw"), stub)).otherwise(of_class(any_class))
-    r = r.withColumn("_doc", chosen).withColumn("parent", F.get_json_object("_doc.meta", "$.parent_class"))
+    r = r.withColumn("_made", chosen).withColumn("parent", F.get_json_object("_made.meta", "$.parent_class"))
     if parents is None:
         to = F.when(F.col("parent").startswith("/"), F.concat(F.lit("asset:"), normalize_object_path(F.col("parent")))).otherwise(F.concat(F.lit("class:"), F.regexp_replace("parent", r"_C$", "")))
         r = r.withColumn("parent_ref", F.when(F.col("parent").isin("", "Unknown", "None", "Object"), None).otherwise(to))
     else:
         r = resolve_parents(r, *parents)
-    flat = F.concat("_doc.links", F.when(F.col("parent_ref").isNotNull(), F.array(link(F.col("parent_ref"), "inherits_from"))).otherwise(nothing(LINKS)))
+    flat = F.concat("_made.links", F.when(F.col("parent_ref").isNotNull(), F.array(link(F.col("parent_ref"), "inherits_from"))).otherwise(nothing(LINKS)))
     r = r.withColumn("_links", flat)
     first = F.when(F.col("_raw"), F.coalesce("refs", nothing())).otherwise(F.coalesce("_refs", nothing()))
     refs = F.array_distinct(F.concat(first, F.transform("_links", lambda x: x["ref"])))
     shown_type = F.when(F.col("_raw"), kind).when(F.col("_class").isin(*own_types), F.col("_class")).otherwise("DataAsset")
-    return document(r, F.concat(F.lit("asset:"), "path"), "asset_summary", F.col("name"), shown_type, F.col("_doc.text"), F.col("_doc.meta"), refs, typed(F.col("_links")))
+    return document(r, F.concat(F.lit("asset:"), "path"), "asset_summary", F.col("name"), shown_type, F.col("_made.text"), F.col("_made.meta"), refs, typed(F.col("_links")))
 
 
 def effect_docs(records: DataFrame) -> DataFrame:
