@@ -70,9 +70,10 @@ def asset_summary_docs(records: DataFrame) -> DataFrame:
 def blueprint_docs(records: DataFrame) -> DataFrame:
     """A summary of each blueprint, and a document of each function. ``records``: path, name, parent,
     interfaces, components, events, variables, functions (array of name, flags, calls, control_flow,
-    params), refs, parent_ref. References of functions are those of the record, without the parent."""
+    params), refs, parent_ref. Variables and references of functions are those of the record, without the
+    parent; functions without a name have no document."""
     r = records.withColumn("asset_type", F.lit("Blueprint")).withColumn("widget_count", F.lit(0)).withColumn("function_names", F.transform("functions", lambda f: f["name"]))
-    f = records.select("path", F.col("name").alias("asset"), "refs", F.explode("functions").alias("f")).withColumn("flags", F.filter(F.split(F.coalesce("f.flags", F.lit("")), r",\s*"), lambda x: x != "")).withColumn("variables", F.array().cast(STRINGS))
+    f = records.select("path", F.col("name").alias("asset"), "refs", _list("variables").alias("variables"), F.explode("functions").alias("f")).filter("f.name <> ''").withColumn("flags", F.filter(F.split(F.coalesce("f.flags", F.lit("")), r",\s*"), lambda x: x != ""))
     is_event = F.array_contains("flags", "BlueprintEvent") | F.array_contains("flags", "Event")
     way = lambda p: F.when(p["direction"] == "out", "out ").when(p["direction"] == "return", "returns ").otherwise("")
     params = F.transform(F.col("f.params"), lambda p: F.concat(way(p), p["name"], F.lit(": "), p["type"]))
@@ -81,9 +82,10 @@ def blueprint_docs(records: DataFrame) -> DataFrame:
         listed("Flags: ", F.col("flags"), 1 << 20),
         listed("Parameters: ", F.coalesce(params, F.array().cast(STRINGS)), 1 << 20),
         listed("Calls: ", F.coalesce("f.calls", F.array().cast(STRINGS))),
+        listed("Variables: ", F.col("variables")),
         F.when(F.col("f.control_flow.has_branches"), F.concat(F.lit("Contains conditional logic ("), F.coalesce("f.control_flow.complexity", F.lit("unknown")), F.lit(" complexity)"))),
     )
-    functions = document(f, F.concat(F.lit("bp_func:"), "path", F.lit("::"), "f.name"), "bp_graph_summary", F.col("f.name"), F.lit("Blueprint"), text, F.to_json(F.struct("flags", "f.calls", is_event.alias("is_event"), "f.control_flow", "f.params")), _list("refs"))
+    functions = document(f, F.concat(F.lit("bp_func:"), "path", F.lit("::"), "f.name"), "bp_graph_summary", F.col("f.name"), F.lit("Blueprint"), text, F.to_json(F.struct("flags", "f.calls", "variables", is_event.alias("is_event"), "f.control_flow", F.col("f.params").alias("parameters"))), _list("refs"))
     return asset_summary_docs(r).unionByName(functions)
 
 

@@ -153,6 +153,15 @@ def system_trace(targets: DataFrame, edges: DataFrame, docs: DataFrame, refs: Da
     return top.union(chain)
 
 
+def slot_nodes(widgets: DataFrame, slots: DataFrame) -> DataFrame:
+    """Nodes of ``build_tree`` of ``widgets`` (tree, node, name, type, slot) and ``slots`` (tree, slot, parent):
+    a widget hangs where its slot does (of equal slots the one of the least parent), and is a root if it
+    has no slot or its slot hangs nowhere; the label is ``type(name)``."""
+    hangs = slots.filter("parent is not null").groupBy("tree", "slot").agg(F.min("parent").alias("parent"))
+    label = F.concat(F.coalesce("type", F.lit("")), F.lit("("), F.coalesce("name", F.lit("")), F.lit(")"))
+    return widgets.join(hangs, ["tree", "slot"], "left").select("tree", "node", "parent", label.alias("label"))
+
+
 def build_tree(nodes: DataFrame) -> DataFrame:
     """(tree, node, depth, root, text) of ``nodes`` (tree, node, parent, label), to any depth; text is
     the label indented by depth; ``position`` sorts a tree as it is read. A node isn't entered again
@@ -183,6 +192,39 @@ def contract_graph(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return seen.join(via, "target", "left_anti").select("source", "target")
 
 
+def compact_graph(nodes: DataFrame, pins: DataFrame, links: DataFrame) -> DataFrame:
+    """What is worth reading of node graphs: (graph, short, node, kind, pin, direction, default, to), one row a
+    pin. ``nodes``: graph, node, kind, passes, inline; ``pins``: graph, node, pin, direction, default, hidden,
+    orphaned; ``links``: graph, source, source_pin, target, target_pin.
+
+    Links run through pass-through nodes. Nodes with an ``inline`` text are shown as this text where they
+    are linked to. Nodes without a link go, and so do hidden and orphaned pins and those with neither
+    a link nor a default (a blank one is none; ``self`` inputs need a link). A node left without pins has
+    one row of null pin. ``short`` numbers the nodes of a graph, N1 first; ``to`` are the other ends, sorted,
+    as ``short:pin``, inline texts, or ``node:pin`` of nodes that aren't known. The numbering sorts each
+    graph in one task, as a graph is one function of one asset."""
+    no = F.lit(False)
+    flags = nodes.select("graph", "node", F.coalesce("passes", no).alias("passes"), "inline")
+    end = lambda side: F.struct("graph", F.col(side).alias("node"), F.coalesce(f"{side}_passes", no).alias("passes"), F.when(F.coalesce(f"{side}_passes", no), "").otherwise(F.col(f"{side}_pin")).alias("pin"))
+    passing = flags.select("graph", "node", "passes")
+    known = links.join(passing.toDF("graph", "source", "source_passes"), ["graph", "source"], "left").join(passing.toDF("graph", "target", "target_passes"), ["graph", "target"], "left")
+    joined = stored(known.select(end("source").alias("source"), end("target").alias("target")))
+    places = joined.select(F.col("source").alias("node")).union(joined.select("target")).distinct()
+    linked = places.select("node.*").filter("not passes")
+    ends = contract_graph(places.select("node", "node.passes"), joined)
+    kept = flags.filter("not passes and inline is null").join(linked, ["graph", "node"], "left_semi").select("graph", "node")
+    kept = kept.withColumn("short", F.concat(F.lit("N"), F.row_number().over(Window.partitionBy("graph").orderBy("node")).cast("string")))
+    other = ends.select("source", "target").union(ends.select(F.col("target"), F.col("source"))).select("source.graph", F.col("source.node").alias("at"), F.col("source.pin").alias("at_pin"), "target.node", "target.pin")
+    texts = flags.select("graph", "node", "inline").join(kept, ["graph", "node"], "left")
+    text = F.coalesce("inline", F.concat(F.coalesce("short", F.col("node").cast("string")), F.lit(":"), "pin"))
+    to = other.join(texts, ["graph", "node"], "left").groupBy("graph", F.col("at").alias("node"), F.col("at_pin").alias("pin")).agg(F.sort_array(F.collect_list(text)).alias("to"))
+    alone = (F.length(F.btrim(F.coalesce("default", F.lit("")))) > 0) & ~((F.col("pin") == "self") & (F.col("direction") == "in"))
+    shown = pins.filter(~F.coalesce("hidden", no) & ~F.coalesce("orphaned", no)).select("graph", "node", "pin", "direction", "default")
+    shown = shown.join(linked.select("graph", "node", "pin", F.lit(True).alias("_linked")), ["graph", "node", "pin"], "left").filter(F.col("_linked") | alone)
+    rows = kept.join(nodes.select("graph", "node", "kind"), ["graph", "node"]).join(shown.join(to, ["graph", "node", "pin"], "left"), ["graph", "node"], "left")
+    return rows.select("graph", "short", "node", "kind", "pin", "direction", "default", F.coalesce("to", F.array().cast("array<string>")).alias("to"))
+
+
 def delegate_bindings(observations: DataFrame) -> DataFrame:
     """Bind, add, remove and clear observations, once each, with their confidence."""
     keys = ["owner", "op", "target", "function", "object"]

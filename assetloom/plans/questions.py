@@ -154,15 +154,39 @@ def _system_trace(spark, d):
     return G.system_trace(t, *_graph(spark, d), refs, light)
 
 
-TREE = "SELECT CAST(0 AS BIGINT) AS tree, id AS node, CASE WHEN id < 8 THEN NULL ELSE CAST(floor((id - 1) / 8.0) AS BIGINT) END AS parent, name AS label FROM v_assets"
+TREE = "SELECT CAST(floor(id / 100.0) AS BIGINT) AS tree, id AS node, CASE WHEN id % 100 < 3 THEN NULL ELSE CAST(floor(id / 100.0) * 100 + floor((id % 100 - 1) / 8.0) AS BIGINT) END AS parent, name, raw_type AS type FROM v_assets"
 
 
-@query("build_tree", "WITH RECURSIVE " + with_views("v_assets")[5:] + f""", n AS ({TREE}), r AS (SELECT tree, node, node AS root, label, 0 AS depth, lpad(CAST(node AS VARCHAR), 20, '0') AS position FROM n WHERE parent IS NULL
-  UNION ALL SELECT n.tree, n.node, r.root, n.label, r.depth + 1, r.position || '/' || lpad(CAST(n.node AS VARCHAR), 20, '0') FROM n JOIN r ON n.parent = r.node)
+@query("build_tree", "WITH RECURSIVE " + with_views("v_assets")[5:] + f""", n AS (SELECT tree, node, parent, type || '(' || name || ')' AS label FROM ({TREE})), r AS (SELECT tree, node, node AS root, label, 0 AS depth, lpad(CAST(node AS VARCHAR), 20, '0') AS position FROM n WHERE parent IS NULL
+  UNION ALL SELECT n.tree, n.node, r.root, n.label, r.depth + 1, r.position || '/' || lpad(CAST(n.node AS VARCHAR), 20, '0') FROM n JOIN r ON n.parent = r.node AND n.tree = r.tree)
   SELECT tree, node, root, label, depth, position, repeat('  ', depth) || label AS text FROM r""")
 def _build_tree(spark, d):
     view(spark, d, "v_assets").createOrReplaceTempView("v_assets")
-    return G.build_tree(spark.sql(TREE))
+    # every hundredth widget has no slot at all
+    t = spark.sql(TREE).withColumn("slot", F.when(F.col("node") % 100 != 0, F.col("node") + 10))
+    return G.build_tree(G.slot_nodes(t.select("tree", "node", "name", "type", "slot"), t.filter("slot is not null").select("tree", "slot", "parent")))
+
+
+@query("compact_graph", "WITH RECURSIVE " + with_views("v_assets")[5:] + """, n AS (SELECT CAST(floor(id / 100.0) AS BIGINT) AS graph, id, raw_type AS kind, '$' || name AS inline, CAST(floor(id / 100.0) * 100 + floor((id % 100 - 1) / 8.0) AS BIGINT) AS up FROM v_assets),
+  l AS (SELECT c.graph, c.up AS s, c.id AS t FROM n c JOIN n p ON c.up = p.id WHERE c.id % 100 > 0),
+  r AS (SELECT s, t FROM l WHERE s % 5 <> 2 UNION SELECT r.s, l.t FROM r JOIN l ON l.s = r.t WHERE r.t % 5 = 2),
+  x AS (SELECT s, t FROM r WHERE t % 5 <> 2),
+  kept AS (SELECT *, 'N' || row_number() OVER (PARTITION BY graph ORDER BY id) AS short FROM n WHERE id % 5 <> 2 AND id % 11 <> 3 AND (id IN (SELECT s FROM l) OR id IN (SELECT t FROM l))),
+  e AS (SELECT s AS node, 'out' AS pin, t AS other, ':in' AS tail FROM x UNION ALL SELECT t, 'in', s, ':out' FROM x),
+  o AS (SELECT e.node, e.pin, string_agg(CASE WHEN e.other % 11 = 3 THEN n.inline ELSE k.short || e.tail END, ',' ORDER BY CASE WHEN e.other % 11 = 3 THEN n.inline ELSE k.short || e.tail END) AS ends FROM e JOIN n ON n.id = e.other LEFT JOIN kept k ON k.id = e.other GROUP BY ALL),
+  p AS (SELECT t AS node, 'in' AS pin, 'in' AS direction, CAST(NULL AS VARCHAR) AS default_ FROM l UNION ALL SELECT DISTINCT s, 'out', 'out', CAST(NULL AS VARCHAR) FROM l WHERE s % 13 <> 0 UNION ALL SELECT id, 'value', 'in', '7' FROM n WHERE id % 3 = 0)
+  SELECT k.graph, k.short, k.id AS node, k.kind, p.pin, p.direction, p.default_ AS default_value, coalesce(o.ends, '') AS ends FROM kept k LEFT JOIN p ON p.node = k.id LEFT JOIN o ON o.node = p.node AND o.pin = p.pin""")
+def _compact_graph(spark, d):
+    a = view(spark, d, "v_assets")
+    n = a.select(F.floor(F.col("id") / 100).alias("graph"), F.col("id").alias("node"), F.col("raw_type").alias("kind"), (F.col("id") % 5 == 2).alias("passes"), F.when(F.col("id") % 11 == 3, F.concat(F.lit("$"), "name")).alias("inline"))
+    pin = lambda name, way, default, orphaned: F.struct(F.lit(name).alias("pin"), F.lit(way).alias("direction"), default.alias("default"), F.lit(name == "secret").alias("hidden"), orphaned.alias("orphaned"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    value = F.when(F.col("node") % 3 == 0, "7").when(F.col("node") % 3 == 1, " ")
+    p = n.select("graph", "node", F.inline(F.array(pin("in", "in", none, no), pin("out", "out", none, F.col("node") % 13 == 0), pin("self", "in", F.lit("x"), no), pin("value", "in", value, no), pin("secret", "in", F.lit("x"), no))))
+    up = (F.floor(F.col("node") / 100) * 100 + F.floor((F.col("node") % 100 - 1) / 8)).alias("source")
+    links = n.filter("node % 100 > 0").select("graph", up, F.lit("out").alias("source_pin"), F.col("node").alias("target"), F.lit("in").alias("target_pin"))
+    links = links.join(n.select("graph", F.col("node").alias("source")), ["graph", "source"], "left_semi")
+    return G.compact_graph(n, p, links).select("graph", "short", "node", "kind", "pin", "direction", F.col("default").alias("default_value"), F.array_join("to", ",").alias("ends"))
 
 
 @query("contract_graph", "WITH RECURSIVE " + with_views("v_inherits", "v_assets")[5:] + """, l AS (SELECT p.id AS source, c.id AS target FROM v_inherits e JOIN v_assets c ON e.from_id = 'asset:' || c.path JOIN v_assets p ON e.to_id = 'asset:' || p.path),

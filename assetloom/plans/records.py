@@ -46,10 +46,28 @@ def _summary(spark, d):
     return D.asset_summary_docs(assets(spark, d).withColumn("asset_type", F.lit("DataAsset")))
 
 
-@query("blueprint_docs", f""" SELECT 'asset:' || path AS doc_id, name || ' is a Blueprint. inheriting from Actor. Components: ' || {listed('C')} || '. Functions: Fire.' AS text, '/Game/X/A,class:Actor inherits_from' AS refs FROM v_assets
-  UNION ALL SELECT 'bp_func:' || path || '::Fire', 'Function Fire in ' || name || '. Flags: Public, Native. Parameters: out Hit: bool, Range: float. Calls: Trace. Contains conditional logic (low complexity).', '/Game/X/A' FROM v_assets""")
+def numbered(prefix: str, n: str) -> str:
+    return f"array_to_string(list_transform(range(1, CAST(least({n}, 10) + 1 AS BIGINT)), lambda i: '{prefix}' || i), ', ')"
+
+
+VARIABLES = f"CASE WHEN size % 12 > 0 THEN '. Variables: ' || {numbered('V', 'size % 12')} ELSE '' END"
+
+
+@query("blueprint_docs", f""" SELECT 'asset:' || path AS doc_id, name || ' is a Blueprint. inheriting from Actor. Components: ' || {listed('C')} || '. Functions: Fire' || CASE WHEN id % 3 = 0 THEN ', Tick' ELSE '' END || {VARIABLES} || '.' AS text, '/Game/X/A,class:Actor inherits_from' AS refs FROM v_assets
+  UNION ALL SELECT 'bp_func:' || path || '::Fire', 'Function Fire in ' || name || '. Flags: Public, Native. Parameters: out Hit: bool, Range: float' || CASE WHEN size % 13 > 0 THEN '. Calls: ' || {numbered('F', 'size % 13')} ELSE '' END || {VARIABLES}
+    || CASE WHEN id % 2 = 0 THEN '. Contains conditional logic (' || CASE WHEN id % 5 = 0 THEN 'unknown' ELSE 'low' END || ' complexity)' ELSE '' END || '.', '/Game/X/A' FROM v_assets
+  UNION ALL SELECT 'bp_func:' || path || '::Tick', 'Event Tick in ' || name || '. Flags: BlueprintEvent' || {VARIABLES} || '.', '/Game/X/A' FROM v_assets WHERE id % 3 = 0""")
 def _blueprint(spark, d):
-    return D.blueprint_docs(_records_of_blueprints(spark, d))
+    a = assets(spark, d)
+    many = lambda p, n: F.transform(F.slice(F.sequence(F.lit(1), F.lit(12)), F.lit(1), n), lambda i: F.concat(F.lit(p), i.cast("string")))
+    param = lambda n, t, w: F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(w).alias("direction"))
+    flow = F.struct((F.col("id") % 2 == 0).alias("has_branches"), F.when(F.col("id") % 5 != 0, "low").alias("complexity"))
+    params = F.array(param("Hit", "bool", "out"), param("Range", "float", "in"))
+    function = lambda n, flags, calls, f, p: F.struct(n.alias("name"), F.lit(flags).alias("flags"), calls.alias("calls"), f.alias("control_flow"), p.alias("params"))
+    fire = function(F.lit("Fire"), "Public, Native", many("F", F.col("size") % 13), flow, params)
+    null = lambda c: F.when(F.lit(False), c)
+    tick = function(F.when(F.col("id") % 3 == 0, "Tick"), "BlueprintEvent", null(many("F", F.col("size") % 13)), null(flow), null(params))
+    return D.blueprint_docs(a.withColumn("variables", many("V", F.col("size") % 12)).withColumn("functions", F.array(fire, tick)))
 
 
 def _records_of_blueprints(spark, d):

@@ -161,6 +161,25 @@ def test_build_tree_to_any_depth_and_past_a_cycle(spark):
     assert got == {i: i for i in range(36)}
 
 
+def test_slot_nodes(spark):
+    widgets = spark.createDataFrame([(1, 1, "Root", "Canvas", None), (1, 2, "Go", "Button", 9), (1, 3, "Lost", "Text", 8), (1, 4, None, None, 7), (2, 2, "Other", "Text", 9)], "tree int, node int, name string, type string, slot int")
+    slots = spark.createDataFrame([(1, 9, 1), (1, 9, 3), (1, 8, None)], "tree int, slot int, parent int")
+    got = sorted((r.tree, r.node, r.parent, r.label) for r in G.slot_nodes(widgets, slots).collect())
+    assert got == [(1, 1, None, "Canvas(Root)"), (1, 2, 1, "Button(Go)"), (1, 3, None, "Text(Lost)"), (1, 4, None, "()"), (2, 2, None, "Text(Other)")]
+
+
+def test_compact_graph(spark):
+    nodes = spark.createDataFrame([(1, 1, "Call", False, None), (1, 2, "Knot", True, None), (1, 3, "Set", None, None), (1, 4, "Get", False, "Health"), (1, 5, "Alone", False, None), (2, 3, "Set", False, None)], "graph int, node int, kind string, passes boolean, inline string")
+    pins = [(1, 1, "then", "out", None, False, False), (1, 1, "self", "in", "x", False, False), (1, 3, "exec", "in", None, None, None), (1, 3, "value", "in", None, False, False), (1, 3, "note", "in", " ", False, False), (1, 3, "size", "in", "2", False, False)]
+    pins += [(1, 3, "old", "in", "2", False, True), (1, 3, "hid", "in", "2", True, False), (1, 5, "value", "in", "2", False, False), (2, 3, "gone", "in", None, True, False)]
+    pins = spark.createDataFrame(pins, "graph int, node int, pin string, direction string, default string, hidden boolean, orphaned boolean")
+    links = [(1, 1, "then", 2, "in"), (1, 2, "out", 3, "exec"), (1, 4, "Health", 3, "value"), (2, 9, "then", 3, "gone")]
+    links = spark.createDataFrame(links, "graph int, source int, source_pin string, target int, target_pin string")
+    got = {(r.graph, r.short, r.node, r.pin, ",".join(r.to)) for r in G.compact_graph(nodes, pins, links).collect()}
+    assert got == {(1, "N1", 1, "then", "N2:exec"), (1, "N2", 3, "exec", "N1:then"), (1, "N2", 3, "value", "Health"), (1, "N2", 3, "size", ""), (2, "N1", 3, None, "")}
+    assert G.compact_graph(nodes.limit(0), pins.limit(0), links.limit(0)).count() == 0
+
+
 def test_routes(spark):
     asked = ["what inherits from the Base?", "how does Gun work?", "/Game/A/B", "WBP_", "where is X placed", "Input.Ability.*", "fire damage", "what system does Gun talk to", "BP_Hero"]
     q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
