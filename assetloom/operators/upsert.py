@@ -9,6 +9,20 @@ from assetloom.functions.paths import extract_all_refs, normalize_object_path, n
 from assetloom.functions.text import fingerprint
 
 
+def _decided(old: DataFrame, incoming: DataFrame, force: bool, order_col: str | None) -> tuple[DataFrame, DataFrame]:
+    """One incoming row of each id, and what becomes of it (doc_id, action): inserted, replaced, unchanged."""
+    order = [F.desc_nulls_last(c) for c in dict.fromkeys([order_col or "text", "text"])]
+    new = incoming.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_k = 1").drop("_k")
+    known = old.groupBy("doc_id").agg(F.first("fingerprint").alias("_old"), F.lit(True).alias("_known"))
+    changed = F.lit(force) | ~F.col("_old").eqNullSafe(F.col("fingerprint"))
+    action = F.when(F.col("_known").isNull(), "inserted").when(changed, "replaced").otherwise("unchanged")
+    return new, new.select("doc_id", "fingerprint").join(known, "doc_id", "left").select("doc_id", action.alias("action"))
+
+
+def _arriving(new: DataFrame, decided: DataFrame) -> DataFrame:
+    return new.join(decided.filter("action <> 'unchanged'"), new["doc_id"].eqNullSafe(decided["doc_id"])).drop(decided["doc_id"])
+
+
 def upsert_docs(existing: DataFrame, incoming: DataFrame, *, force: bool = False, order_col: str | None = None) -> DataFrame:
     """The union of both by doc_id, with a column ``action``: kept, unchanged, inserted or replaced.
 
@@ -17,17 +31,17 @@ def upsert_docs(existing: DataFrame, incoming: DataFrame, *, force: bool = False
     ``order_col`` counts (the greatest text where there is none). A fingerprint that ``existing`` has
     already isn't computed again, and what to do is settled on ids and fingerprints alone.
     """
-    order = [F.desc_nulls_last(c) for c in dict.fromkeys([order_col or "text", "text"])]
-    new = incoming.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_k = 1").drop("_k")
     old = existing if "fingerprint" in existing.columns else existing.withColumn("fingerprint", fingerprint(F.col("text")))
     columns = [c for c in old.columns if c != "doc_id"]
-    known = old.groupBy("doc_id").agg(F.first("fingerprint").alias("_old"), F.lit(True).alias("_known"))
-    changed = F.lit(force) | ~F.col("_old").eqNullSafe(F.col("fingerprint"))
-    action = F.when(F.col("_known").isNull(), "inserted").when(changed, "replaced").otherwise("unchanged")
-    decided = new.select("doc_id", "fingerprint").join(known, "doc_id", "left").select("doc_id", action.alias("action"))
+    new, decided = _decided(old, incoming, force, order_col)
     stays = old.join(decided, "doc_id", "left").withColumn("action", F.coalesce("action", F.lit("kept"))).filter("action <> 'replaced'")
-    comes = new.join(decided.filter("action <> 'unchanged'"), new["doc_id"].eqNullSafe(decided["doc_id"])).drop(decided["doc_id"])
-    return stays.select("doc_id", *columns, "action").unionByName(comes.select("doc_id", *columns, "action"))
+    return stays.select("doc_id", *columns, "action").unionByName(_arriving(new, decided).select("doc_id", *columns, "action"))
+
+
+def changed_docs(fingerprints: DataFrame, incoming: DataFrame, *, force: bool = False, order_col: str | None = None) -> DataFrame:
+    """The rows of ``incoming`` that ``upsert_docs`` inserts or puts in place of others, with fingerprint and
+    action; of what exists only ids and fingerprints are read (doc_id, fingerprint)."""
+    return _arriving(*_decided(fingerprints, incoming, force, order_col))
 
 
 def upsert_stats(upserted: DataFrame) -> DataFrame:

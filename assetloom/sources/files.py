@@ -59,8 +59,12 @@ def read_headers(spark: SparkSession, root: str) -> DataFrame:
 PARTITIONS = {"docs": ["type"], "edges": ["edge_type"]}
 
 
-#: One line for each version of an index. A version counts as soon as its line stands there.
-POINTER = "number long, version string, tables string"
+#: One line for each version of an index. A version counts as soon as its line stands there. It is a
+#: whole index, or what has changed since the versions ``onto``, the newest first.
+POINTER = "number long, version string, tables string, onto string"
+#: The column of documents that a table's rows go by, and that column's name in the table. A later version
+#: replaces all rows of the documents, or their paths, that it holds.
+OWNERS = {"docs": ("doc_id", "doc_id"), "edges": ("doc_id", "from_id"), "tags": ("path", "path")}
 
 
 def _pointers(spark: SparkSession, folder: str) -> list:
@@ -73,18 +77,40 @@ def _pointers(spark: SparkSession, folder: str) -> list:
         raise
 
 
-def write_index(tables: dict[str, DataFrame], folder: str, *, keep: int = 2) -> str:
+def _parts(line) -> list[str]:
+    """The versions that a line's index is read from, the newest first."""
+    return [line.version, *[v for v in (line.onto or "").split(",") if v]]
+
+
+def index_parts(spark: SparkSession, folder: str) -> list[str]:
+    """The versions that the index is read from, the newest first."""
+    found = _pointers(spark, folder)
+    return _parts(found[0]) if found else []
+
+
+def write_index(tables: dict[str, DataFrame], folder: str, *, keep: int = 2, onto: list[str] = ()) -> str:
     """Write a new version of the tables, then a line that points to it; readers see the version before
     until then, and nothing that a reader needs is ever overwritten, so a crash at any point leaves
-    the last whole version. Versions before the last ``keep`` are removed."""
+    the last whole version. With ``onto`` the tables (docs among them) hold changed documents and what is
+    theirs, to be read over these versions. Versions that the last ``keep`` don't need are removed."""
     spark = next(iter(tables.values())).sparkSession
     version, before = uuid.uuid4().hex, _pointers(spark, folder)
     for name, df in tables.items():
-        df.write.partitionBy(*PARTITIONS.get(name, [])).parquet(f"{folder}/{version}/{name}")
-    line = spark.createDataFrame([((before[0].number if before else 0) + 1, version, ",".join(sorted(tables)))], POINTER)
+        path = f"{folder}/{version}/{name}"
+        df.write.partitionBy(*([] if onto else PARTITIONS.get(name, []))).parquet(path)
+        try:
+            spark.read.parquet(path)
+        except AnalysisException as error:  # an empty table leaves no partition
+            if "UNABLE_TO_INFER_SCHEMA" not in str(error):
+                raise
+            df.limit(0).write.mode("append").parquet(path)
+    line = spark.createDataFrame([((before[0].number if before else 0) + 1, version, ",".join(sorted(tables)), ",".join(onto))], POINTER)
     line.coalesce(1).write.mode("append").json(f"{folder}/pointers")
-    for old in before[max(0, keep - 1) :]:
-        deleted(spark, f"{folder}/{old.version}")
+    old = max(0, keep - 1)
+    needed = {version, *onto}.union(*map(_parts, before[:old]))
+    for line in before[old:]:
+        if line.version not in needed:
+            deleted(spark, f"{folder}/{line.version}")
     return version
 
 
@@ -93,4 +119,18 @@ def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     found = _pointers(spark, folder)
     if not found:
         raise FileNotFoundError(f"no index in {folder}")
-    return {name: spark.read.parquet(f"{folder}/{found[0].version}/{name}") for name in found[0].tables.split(",")}
+    newest, *older = _parts(found[0])
+
+    def table(name: str) -> DataFrame:
+        out = spark.read.parquet(f"{folder}/{newest}/{name}")
+        if not older:
+            return out
+        owner, column = OWNERS[name]
+        owners = lambda version: spark.read.parquet(f"{folder}/{version}/docs").select(F.col(owner).alias(column))
+        newer = owners(newest)
+        for version in older:
+            out = out.unionByName(spark.read.parquet(f"{folder}/{version}/{name}").join(newer, column, "left_anti"))
+            newer = newer.union(owners(version))
+        return out
+
+    return {name: table(name) for name in found[0].tables.split(",")}

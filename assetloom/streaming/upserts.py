@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from assetloom.operators.upsert import replace_edges, replace_tags, upsert_docs
-from assetloom.sources.files import read_index, write_index
+from assetloom.operators.upsert import build_edges, changed_docs, clean_tags, replace_edges, replace_tags
+from assetloom.sources.files import index_parts, read_index, write_index
+from assetloom.sources.scratch import dropped, stored
 
 #: Documents as records: what a parser's later steps hand over, one JSON line each.
 RECORD = T.StructType(
@@ -22,21 +23,30 @@ RECORD = T.StructType(
 COLUMNS = RECORD.names
 
 
-def apply_batch(spark: SparkSession, batch: DataFrame, folder: str) -> None:
+def apply_batch(spark: SparkSession, batch: DataFrame, folder: str, *, most_parts: int = 16) -> None:
     """Upsert one batch of documents, their edges and the tags of their paths; a batch that comes again
-    changes nothing."""
-    incoming = batch.filter("doc_id is not null")
-    try:
+    changes nothing. What has changed is written by itself, over the versions before; the whole index is
+    written anew when it would be read from more than ``most_parts``. Of the index a batch reads ids,
+    fingerprints, paths and tags."""
+    parts = index_parts(spark, folder)
+    incoming = batch.filter("doc_id is not null").select(*COLUMNS)
+    if parts:
         index = read_index(spark, folder)
-    except FileNotFoundError:  # the first batch of all
+    else:  # the first batch of all
         index = {"docs": incoming.limit(0).withColumn("fingerprint", F.lit("")), "edges": spark.createDataFrame([], "from_id string, to_id string, edge_type string"), "tags": spark.createDataFrame([], "path string, tag string")}
-    docs = upsert_docs(index["docs"].select(*COLUMNS, "fingerprint"), incoming)
-    changed = docs.filter("action in ('inserted', 'replaced')").select("doc_id", "path", "references_out", "typed_references_out", "tags")
+    changed = stored(changed_docs(index["docs"].select("doc_id", "fingerprint"), incoming).select(*COLUMNS, "fingerprint"))
+    if parts and changed.isEmpty():
+        return dropped(changed)
+    ids, paths = changed.select("doc_id"), changed.select("path").distinct()
+    stays = index["docs"].select(*COLUMNS, "fingerprint").join(ids, "doc_id", "left_anti")
     # the tags of a path are those of all its documents
-    paths = changed.select("path").distinct()
-    tags = replace_tags(index["tags"].select("path", "tag"), docs.join(paths, "path", "left_semi").select("path", F.explode("tags").alias("tag")), paths)
-    edges = replace_edges(index["edges"].select("from_id", "to_id", "edge_type"), changed)
-    write_index({"docs": docs.select(*COLUMNS, "fingerprint"), "edges": edges, "tags": tags}, folder)
+    tagged = stays.select("path", "tags").join(paths, "path", "left_semi").union(changed.select("path", "tags")).select("path", F.explode("tags").alias("tag"))
+    if parts and len(parts) < most_parts:
+        write_index({"docs": changed, "edges": build_edges(changed), "tags": clean_tags(tagged)}, folder, onto=parts)
+    else:
+        edges, tags = index["edges"].select("from_id", "to_id", "edge_type"), index["tags"].select("path", "tag")
+        write_index({"docs": stays.unionByName(changed), "edges": replace_edges(edges, changed), "tags": replace_tags(tags, tagged, paths)}, folder)
+    dropped(changed)
 
 
 def stream_upsert(spark: SparkSession, records: str, folder: str, checkpoint: str) -> StreamingQuery:

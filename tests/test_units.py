@@ -161,6 +161,30 @@ def test_build_tree_to_any_depth_and_past_a_cycle(spark):
     assert got == {i: i for i in range(36)}
 
 
+def test_batches_are_written_over_each_other(spark, tmp_path):
+    from assetloom.streaming.upserts import RECORD, apply_batch
+
+    batches = [
+        [("a", "t", "/P", "one", ["/Game/X"], {}, ["A.B"]), ("b", "t", "/P", "two", [], {}, ["C"]), ("c", "t", "/Q", None, None, None, None)],
+        [("a", "t", "/P", "other", ["/Game/Y", "/Game/Z"], {"/Game/Z": "maps_input"}, ["D"]), ("d", "u", "/R", "new", [], {}, []), (None, "t", "/P", "none", [], {}, ["E"])],
+        [("a", "t", "/P", "other", [], {}, ["F"])],
+        [("a", "t", "/P", "last", [], {}, [])],
+        [("c", "t", "/Q", "text", ["/Game/X"], {}, ["G"])],
+    ]
+    folder, known, parts = str(tmp_path / "index"), {}, []
+    for rows in batches:
+        apply_batch(spark, spark.createDataFrame(rows, RECORD), folder, most_parts=3)
+        for r in rows:
+            if r[0] and (r[0] not in known or known[r[0]][3] != r[3]):
+                known[r[0]] = r
+        index = W.read_index(spark, folder)
+        parts.append(len(W.index_parts(spark, folder)))
+        assert sorted((r.doc_id, r.text) for r in index["docs"].collect()) == sorted((k, r[3]) for k, r in known.items())
+        assert sorted((r.path, r.tag) for r in index["tags"].collect()) == sorted({(r[2], t) for r in known.values() for t in r[6] or []})
+        assert sorted((r.from_id, r.to_id, r.edge_type) for r in index["edges"].collect()) == sorted((k, f"asset:{t}", (r[5] or {}).get(t, "uses_asset")) for k, r in known.items() for t in r[4] or [])
+    assert parts == [1, 2, 2, 3, 1]
+
+
 def test_slot_nodes(spark):
     widgets = spark.createDataFrame([(1, 1, "Root", "Canvas", None), (1, 2, "Go", "Button", 9), (1, 3, "Lost", "Text", 8), (1, 4, None, None, 7), (2, 2, "Other", "Text", 9)], "tree int, node int, name string, type string, slot int")
     slots = spark.createDataFrame([(1, 9, 1), (1, 9, 3), (1, 8, None)], "tree int, slot int, parent int")
