@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 from assetloom.llm.bpe import op2_byte_bpe
+from assetloom.llm.fim import op13_fill_in_middle
 from assetloom.llm.fingerprints import op5_document_fingerprints
 from assetloom.llm.jaccard import op8_jaccard_join
 from assetloom.llm.langid import op7_language_id
 from assetloom.llm.media import op4_media_columns
+from assetloom.llm.negatives import op12_hard_negatives
 from assetloom.llm.packing import op9_best_fit_packing
 from assetloom.llm.quality import op10_quality_classifier
+from assetloom.llm.repeats import op11_substring_dedup
 from assetloom.llm.secrets import op6_secret_scan
 from assetloom.llm.toolcalls import op1_tool_calls
 from assetloom.llm.urls import op3_url_filters
@@ -27,6 +30,9 @@ QUERIES = {
         op8_jaccard_join,
         op9_best_fit_packing,
         op10_quality_classifier,
+        op11_substring_dedup,
+        op12_hard_negatives,
+        op13_fill_in_middle,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -48,5 +54,17 @@ SQL: dict[str, str] = {
       p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
       l AS (SELECT p.x, p.y FROM p JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 100 * p.both >= 85 * (a.n + b.n - p.both)),
       r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
-      SELECT r.x AS doc_id, CAST(coalesce(min(n.n), 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY 1""",
+      SELECT r.x AS doc_id, CAST(coalesce(min(n.n), 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id, CAST((SELECT count(*) FROM l WHERE l.x = r.x) AS BIGINT) AS n_links FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY 1""",
+    "op11_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      g AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+      t AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s FROM g),
+      c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM t WHERE s IN (SELECT s FROM t GROUP BY s HAVING count(*) > 1)),
+      e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+      k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN c USING (doc_id, i) GROUP BY 1)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op12_hard_negatives": r"""WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= 5)
+  SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+    FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score) WHERE rank <= 5""",
 }

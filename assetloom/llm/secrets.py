@@ -18,7 +18,7 @@ import math
 import re
 from bisect import bisect_right
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,10 +43,11 @@ CLASSES = {
     "entropy_upper": (re.compile(r"[A-Z0-9]{20,}"), 20, 3.28, 5.0),
     "entropy_letters": (re.compile(r"[A-Za-z]{20,}"), 20, 3.14, 5.0),
 }
-#: Parts of a candidate that look random but are no secrets: identifiers in UUID form, and what
-#: stands between joiners and holds a placeholder.
-ALLOWED = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]*(?:example|placeholder|xxxx|0123456789|abcdefgh)[A-Za-z0-9]*", re.IGNORECASE | re.ASCII)
-#: Words that ALLOWED needs.
+#: What stands between the joiners of a candidate.
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Lengths of the parts of an identifier in UUID form, joined by dashes.
+UUID, HEXES = (8, 4, 4, 4, 12), re.compile(r"[0-9a-fA-F]+")
+#: Parts that hold one of these are no secrets.
 PLACEHOLDERS = ("example", "placeholder", "xxxx", "0123456789", "abcdefgh")
 LETTER, PAIR = re.compile(r"[A-Za-z]"), re.compile(r"(?=([A-Za-z]{2}))")
 #: Pairs of letters that are frequent in English, German, French or Spanish, by the first letter.
@@ -71,15 +72,27 @@ def no_secret(span: str, sure: bool) -> bool:
     return sum(pairs) > WORDLIKE * len(pairs)
 
 
+def is_uuid(run: str, parts: list[re.Match]) -> bool:
+    """Whether parts of a run make an identifier in UUID form."""
+    dashes = all(run[a.end() : b.start()] == "-" for a, b in pairwise(parts))
+    return dashes and all(len(p.group()) == n and HEXES.fullmatch(p.group()) for p, n in zip(parts, UUID, strict=True))
+
+
 def candidates(run: str) -> list[tuple[int, str]]:
-    """What the allow list leaves of a run, with the places."""
+    """What the allow list leaves of a run, with the places. Each part is looked at once, so a run costs as much
+    as it is long."""
     low = run.lower()
     if run.count("-") < 4 and not any(w in low for w in PLACEHOLDERS):
         return [(0, run)]
     out, at = [], 0
-    for m in ALLOWED.finditer(run):
-        out.append((at, run[at : m.start()]))
-        at = m.end()
+    parts, k = list(PART.finditer(run)), 0
+    while k < len(parts):
+        part = parts[k]
+        size = len(UUID) if part.end() - part.start() == UUID[0] and k + len(UUID) <= len(parts) and is_uuid(run, parts[k : k + len(UUID)]) else 1
+        if size > 1 or any(w in low[part.start() : part.end()] for w in PLACEHOLDERS):
+            out.append((at, run[at : part.start()]))
+            at = parts[k + size - 1].end()
+        k += size
     return [*out, (at, run[at:])]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.sources.scratch import stored
@@ -10,6 +10,8 @@ from assetloom.sources.scratch import stored
 
 #: Rows of a few numbers that may be broadcast: at most some 16 MB.
 SMALL_ROWS = 500_000
+#: Bytes of a column of any length in such rows.
+SMALL_BYTES = 32 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -17,6 +19,12 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def sized_side(df: DataFrame, length: Column) -> DataFrame:
+    """As ``small_side``, for a stored table with a column of any ``length``, whose sum is bounded too."""
+    n = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if n.rows <= SMALL_ROWS and n.bytes <= SMALL_BYTES else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (a, b) reaches.
 

@@ -38,6 +38,8 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame([(100 + i, int(i % 2), None) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     pages = [(1, None, None), (2, "no scheme", "<p>hi</p>"), (3, "http://", ""), (3, "http://", ""), (4, "HTTP://A.Example.ORG/es/x?y#z", "<p>casino bets</p>"), (5, "x://freebets.example.net/a", None)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    vectors = [(0, [1.0, 0.5], 1), (1, None, 1), (2, [1.0, None], 1), (3, [float("nan"), 0.0], 1), (4, [1.0, 0.25], None), (5, [], 2), (6, [0.9, 0.5], 1), (7, [0.9, 0.45], 1), (8, [0.85, 0.5], 2), (8, [0.85, 0.5], 2), (None, [1.0, 1.0], 1)]
+    spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<float>, label int, id int").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", None), (2, 0, "user", "hi there you"), (2, 0, "user", "hi there you"), (None, None, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return str(d)
 
@@ -46,13 +48,13 @@ def odd_dir(spark, tmp_path_factory):
 def test_odd_rows(spark, odd_dir, name):
     got = registry.QUERIES[name](spark, odd_dir).toPandas()
     assert len(got)
-    if name not in ("op1_tool_calls", "op3_url_filters", "op9_best_fit_packing", "pipeline"):
+    if name not in ("op1_tool_calls", "op3_url_filters", "op9_best_fit_packing", "op12_hard_negatives", "pipeline"):
         assert sorted(got.doc_id) == sorted(spark.read.parquet(f"{odd_dir}/documents.parquet").toPandas().doc_id)
 
 
-@pytest.mark.parametrize("name", ["op2_byte_bpe", "op4_media_columns", "op5_document_fingerprints", "op6_secret_scan", "op8_jaccard_join", "op9_best_fit_packing", "op1_tool_calls"])
+@pytest.mark.parametrize("name", ["op2_byte_bpe", "op4_media_columns", "op5_document_fingerprints", "op6_secret_scan", "op8_jaccard_join", "op9_best_fit_packing", "op1_tool_calls", "op11_substring_dedup", "op12_hard_negatives", "op13_fill_in_middle"])
 def test_empty_tables(spark, tmp_path, name):
-    for t, ddl in {"documents": "doc_id long, text string, lang string", "conversations": "conv_id long, turn long, role string, text string"}.items():
+    for t, ddl in {"documents": "doc_id long, text string, lang string", "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int"}.items():
         spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{t}.parquet")
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
 
@@ -72,12 +74,12 @@ def test_nothing_to_learn_from(spark):
     assert (quality.fit_quality(docs, labels, F.lit(True)).scores(np.array([quality.statistics("some text")])) == 0.5).all()
 
 
-@pytest.mark.parametrize("name", [n for n in registry.SQL if n != "op8_jaccard_join"])
+@pytest.mark.parametrize("name", list(registry.SQL))
 def test_same_as_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rows = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).values.tolist()))
     assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(c.execute(registry.SQL[name]).df())
