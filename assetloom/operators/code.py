@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetloom.functions.headers import Declarations
 from assetloom.functions.paths import class_name_candidates
+from assetloom.sources.scratch import stored
 
 NESTED = r"\((?:[^()]|\([^()]*\))*\)"
 CLASS_PATTERN = r"UCLASS\s*" + NESTED + r"\s*class\s+(?:[A-Z0-9_]+_API\s+)?(\w+)"
 STRUCT_PATTERN = r"USTRUCT\s*" + NESTED + r"\s*struct\s+(?:[A-Z0-9_]+_API\s+)?(\w+)"
-MEMBER = re.compile(r"(?P<kind>UFUNCTION|UPROPERTY)\s*\((?P<specifiers>(?:[^()]|\([^()]*\))*)\)\s*(?P<declaration>[^;{]*)")
-CLASS = re.compile(r"\b(?:class|struct)\s+(?:[A-Z0-9_]+_API\s+)?(\w+)[^;{]*\{")
+MEMBERS = "path string, line long, kind string, name string, type string, specifiers string, params string, default_value string, is_virtual boolean, is_const boolean, is_override boolean, owner string, specifier_list array<string>, param_list array<string>"
+FLAGS = ("is_virtual", "is_const", "is_override")
 
 
 def without_comments(text):
@@ -30,32 +31,22 @@ def scan_classes(headers: DataFrame) -> DataFrame:
 
 
 def scan_members(headers: DataFrame) -> DataFrame:
-    """Functions and properties with specifiers, type, name, parameters, default, flags and line, and
-    the class declared last before them. Lines are those of the text without comments."""
-    clean = headers.select("path", without_comments(F.col("text")).alias("t"))
+    """Functions and properties with specifiers, type, name, parameters, default, flags and line, and the class in
+    whose braces they stand. Lists are given as such (specifier_list, param_list) and joined by commas. Lines
+    are those of the text without comments; what looks like a comment in a string is none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in MEMBERS.split(", ")]
         for f in frames:
             rows = []
-            for path, t in zip(f["path"], f["t"], strict=True):
-                t = t or ""
-                rows += [(path, t.count("\n", 0, m.start()) + 1, m.start(), "class", m[1], *[None] * 4, False, False, False) for m in CLASS.finditer(t)]
-                for m in MEMBER.finditer(t):
-                    d = " ".join(m["declaration"].split())
-                    kind = "function" if m["kind"] == "UFUNCTION" else "property"
-                    head, _, default = d.partition("=") if kind == "property" else (d, "", "")
-                    params = None
-                    if kind == "function":
-                        head, _, tail = d.partition("(")
-                        params = tail.rpartition(")")[0].strip()
-                    words = [w for w in head.split() if w not in ("virtual", "static", "inline", "FORCEINLINE")]
-                    name = words[-1].lstrip("*&") if words else None
-                    rows.append((path, t.count("\n", 0, m.start()) + 1, m.start(), kind, name, " ".join(words[:-1]) or None, " ".join(m["specifiers"].split()), params, default.strip() or None, "virtual" in head.split(), d.endswith("const"), "override" in d.split()))
-            yield pd.DataFrame(rows, columns=["path", "line", "at", "kind", "name", "type", "specifiers", "params", "default_value", "is_virtual", "is_const", "is_override"])
-
-    found = clean.mapInPandas(run, "path string, line long, at long, kind string, name string, type string, specifiers string, params string, default_value string, is_virtual boolean, is_const boolean, is_override boolean")
-    owner = F.last(F.when(F.col("kind") == "class", F.col("name")), ignorenulls=True).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("owner", owner).filter("kind <> 'class'").drop("at")
+            for path, text in zip(f["path"], f["text"], strict=True):
+                for m in Declarations(text or "").members():
+                    params = m.get("param_list")
+                    joined = {"path": path, "specifiers": ", ".join(m["specifier_list"]), "params": None if params is None else ", ".join(params)}
+                    rows.append(dict.fromkeys(columns) | dict.fromkeys(FLAGS, False) | m | joined)
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return headers.select("path", "text").mapInPandas(run, MEMBERS)
 
 
 def resolve_classes(names: DataFrame, class_index: DataFrame) -> DataFrame:
@@ -74,20 +65,22 @@ def control_flow_metrics(instructions: DataFrame) -> DataFrame:
 def control_flow_graph(instructions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """blocks (fn, block, first, last, loop_target) and edges (fn, block, successor) of instructions
     (fn, pos, op, target). Blocks start at the first position, at jump targets and after jumps;
-    targets past the end are ignored; a block is numbered by the order of its start."""
+    targets without an instruction are ignored; a block is numbered by the order of its start.
+
+    Instructions and the places that jumps go to are dealt by function once; blocks and falls come from one
+    window over them, and only the first instructions of blocks are joined again, with the jumps."""
     jumps = F.col("op").isin("Jump", "JumpIfNot", "Switch")
-    ends = jumps | (F.col("op") == "Return")
-    size = instructions.groupBy("fn").agg(F.max("pos").alias("_end"))
-    i = instructions.join(size, "fn").withColumn("target", F.when(jumps & (F.col("target") <= F.col("_end")), F.col("target")))
-    targets = i.filter("target is not null").select("fn", F.col("target").alias("pos")).distinct().withColumn("_t", F.lit(True))
+    own = instructions.select("fn", "pos", "op", "target", F.lit(False).alias("_at"))
+    marks = instructions.filter(jumps & F.col("target").isNotNull()).select("fn", F.col("target").alias("pos"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("long").alias("target"), F.lit(True).alias("_at"))
+    once = own.union(marks).repartition("fn").groupBy("fn", "pos").agg(F.max("op").alias("op"), F.max("target").alias("target"), F.max("_at").alias("_at")).filter("op is not null")
     per = Window.partitionBy("fn").orderBy("pos")
-    starts = (F.col("pos") == 0) | F.col("_t").isNotNull() | F.coalesce(F.lag(ends).over(per), F.lit(False))
-    i = i.join(targets, ["fn", "pos"], "left").withColumn("_s", starts.cast("int")).withColumn("block", F.sum("_s").over(per) - 1)
-    of = i.select("fn", F.col("pos").alias("target"), F.col("block").alias("successor"))
-    jumped = i.filter("target is not null").select("fn", "block", "target").join(of, ["fn", "target"]).select("fn", "block", "successor")
-    blocks = i.groupBy("fn", "block").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.max_by("op", "pos").alias("_op"))
-    count = blocks.groupBy("fn").agg(F.max("block").alias("_b"))
-    falls = blocks.filter(~F.col("_op").isin("Jump", "Return")).join(count, "fn").filter("block < _b").select("fn", "block", (F.col("block") + 1).alias("successor"))
+    after = F.coalesce(F.lag(jumps | (F.col("op") == "Return")).over(per), F.lit(False))
+    i = once.withColumn("_s", ((F.col("pos") == 0) | F.col("_at") | after).cast("int"))
+    i = stored(i.withColumns({"block": F.sum("_s").over(per) - 1, "_next": F.lead("_s").over(per)}).drop("_at"))
+    starts = i.filter("_s = 1").select("fn", F.col("pos").alias("target"), F.col("block").alias("successor"))
+    jumped = i.filter(jumps & F.col("target").isNotNull()).select("fn", "block", "target").join(starts, ["fn", "target"]).select("fn", "block", "successor")
+    falls = i.filter((F.col("_next") == 1) & ~F.col("op").isin("Jump", "Return")).select("fn", "block", (F.col("block") + 1).alias("successor"))
     edges = jumped.union(falls).distinct()
     loops = edges.filter("successor <= block").select("fn", F.col("successor").alias("block")).distinct().withColumn("loop_target", F.lit(True))
-    return blocks.drop("_op").join(loops, ["fn", "block"], "left").withColumn("loop_target", F.coalesce("loop_target", F.lit(False))), edges
+    blocks = i.groupBy("fn", "block").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return blocks.join(loops, ["fn", "block"], "left").withColumn("loop_target", F.coalesce("loop_target", F.lit(False))), edges

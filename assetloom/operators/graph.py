@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assetloom.config import STRUCTURAL_PREFIXES, STRUCTURAL_TYPES, VISUAL_TYPES
 from assetloom.operators.substring import containing
-from assetloom.sources.scratch import stored
+from assetloom.sources.scratch import dropped, stored
 
 #: Before the names of targets that aren't assets; a target may also be given with its own.
 NAMESPACES = ("script:", "class:", "material:", "")
@@ -156,7 +156,7 @@ def system_trace(targets: DataFrame, edges: DataFrame, docs: DataFrame, refs: Da
 def slot_nodes(widgets: DataFrame, slots: DataFrame) -> DataFrame:
     """Nodes of ``build_tree`` of ``widgets`` (tree, node, name, type, slot) and ``slots`` (tree, slot, parent):
     a widget hangs where its slot does (of equal slots the one of the least parent), and is a root if it
-    has no slot or its slot hangs nowhere; the label is ``type(name)``."""
+    has no slot or its slot hangs nowhere or on what is no widget; the label is ``type(name)``."""
     hangs = slots.filter("parent is not null").groupBy("tree", "slot").agg(F.min("parent").alias("parent"))
     label = F.concat(F.coalesce("type", F.lit("")), F.lit("("), F.coalesce("name", F.lit("")), F.lit(")"))
     return widgets.join(hangs, ["tree", "slot"], "left").select("tree", "node", "parent", label.alias("label"))
@@ -164,18 +164,37 @@ def slot_nodes(widgets: DataFrame, slots: DataFrame) -> DataFrame:
 
 def build_tree(nodes: DataFrame) -> DataFrame:
     """(tree, node, depth, root, text) of ``nodes`` (tree, node, parent, label), to any depth; text is
-    the label indented by depth; ``position`` sorts a tree as it is read. A node isn't entered again
-    below itself."""
+    the label indented by depth; ``position`` sorts a tree as it is read.
+
+    No node is lost: one whose parent is none of its tree's is a root, and of nodes that hang on each other in
+    a ring the least of what is left of a tree is. A node isn't entered again below itself; rows of equal tree,
+    node and parent are one, of the least label."""
     sort_key = F.lpad(F.col("node").cast("string"), 20, "0")
-    level = stored(nodes.filter("parent is null").select("tree", "node", F.col("node").alias("root"), "label", F.lit(0).alias("depth"), sort_key.alias("position"), F.array("node").alias("_seen")))
-    out, d = level, 0
-    while not level.isEmpty():
-        d += 1
-        above = level.select("tree", F.col("node").alias("parent"), "root", F.col("position").alias("_p"), "_seen")
-        below = nodes.join(above, ["tree", "parent"]).filter(~F.array_contains("_seen", F.col("node")))
-        level = stored(below.select("tree", "node", "root", "label", F.lit(d).alias("depth"), F.concat("_p", F.lit("/"), sort_key).alias("position"), F.array_append("_seen", F.col("node")).alias("_seen")))
-        out = out.union(level)
-    return out.drop("_seen").withColumn("text", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("label")))
+    nodes = stored(nodes.groupBy("tree", "node", "parent").agg(F.min("label").alias("label")))
+    known = nodes.select("tree", F.col("node").alias("parent")).distinct()
+    hanging = nodes.join(known, ["tree", "parent"], "left_semi")
+
+    def walked(roots: DataFrame) -> DataFrame:
+        level = stored(roots.select("tree", "node", F.col("node").alias("root"), "label", F.lit(0).alias("depth"), sort_key.alias("position"), F.array("node").alias("_seen")))
+        levels, d = [level], 0
+        while not level.isEmpty():
+            d += 1
+            above = level.select("tree", F.col("node").alias("parent"), "root", F.col("position").alias("_p"), "_seen")
+            below = hanging.join(above, ["tree", "parent"]).filter(~F.array_contains("_seen", F.col("node")))
+            level = stored(below.select("tree", "node", "root", "label", F.lit(d).alias("depth"), F.concat("_p", F.lit("/"), sort_key).alias("position"), F.array_append("_seen", F.col("node")).alias("_seen")))
+            levels.append(level)
+        out = stored(reduce(DataFrame.union, levels).drop("_seen"))
+        dropped(*levels)
+        return out
+
+    out = walked(nodes.join(known, ["tree", "parent"], "left_anti"))
+    while True:  # rings, one of each tree a time
+        rest = nodes.join(out.select("tree", "node").distinct(), ["tree", "node"], "left_anti")
+        least = stored(rest.groupBy("tree").agg(F.min(F.struct("node", "label")).alias("n")).select("tree", "n.*"))
+        if least.isEmpty():
+            break
+        out = out.union(walked(least))
+    return out.withColumn("text", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("label")))
 
 
 def contract_graph(nodes: DataFrame, links: DataFrame) -> DataFrame:

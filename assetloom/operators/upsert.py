@@ -13,10 +13,10 @@ def _decided(old: DataFrame, incoming: DataFrame, force: bool, order_col: str |
     """One incoming row of each id, and what becomes of it (doc_id, action): inserted, replaced, unchanged."""
     order = [F.desc_nulls_last(c) for c in dict.fromkeys([order_col or "text", "text"])]
     new = incoming.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_k = 1").drop("_k")
-    known = old.groupBy("doc_id").agg(F.first("fingerprint").alias("_old"), F.lit(True).alias("_known"))
+    known = old.groupBy(F.col("doc_id").alias("_id")).agg(F.first("fingerprint").alias("_old"), F.lit(True).alias("_known"))
     changed = F.lit(force) | ~F.col("_old").eqNullSafe(F.col("fingerprint"))
     action = F.when(F.col("_known").isNull(), "inserted").when(changed, "replaced").otherwise("unchanged")
-    return new, new.select("doc_id", "fingerprint").join(known, "doc_id", "left").select("doc_id", action.alias("action"))
+    return new, new.select("doc_id", "fingerprint").join(known, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", action.alias("action"))
 
 
 def _arriving(new: DataFrame, decided: DataFrame) -> DataFrame:
@@ -27,14 +27,15 @@ def upsert_docs(existing: DataFrame, incoming: DataFrame, *, force: bool = False
     """The union of both by doc_id, with a column ``action``: kept, unchanged, inserted or replaced.
 
     A row of ``incoming`` takes the place of an existing one if its text's fingerprint differs, null
-    being a text of its own, or with ``force``. Of several incoming rows of one id the last by
+    being a text of its own, or with ``force``. A missing id is an id like any other. Of several incoming rows of one id the last by
     ``order_col`` counts (the greatest text where there is none). A fingerprint that ``existing`` has
     already isn't computed again, and what to do is settled on ids and fingerprints alone.
     """
     old = existing if "fingerprint" in existing.columns else existing.withColumn("fingerprint", fingerprint(F.col("text")))
     columns = [c for c in old.columns if c != "doc_id"]
     new, decided = _decided(old, incoming, force, order_col)
-    stays = old.join(decided, "doc_id", "left").withColumn("action", F.coalesce("action", F.lit("kept"))).filter("action <> 'replaced'")
+    settled = decided.withColumnRenamed("doc_id", "_id")
+    stays = old.join(settled, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("action", F.coalesce("action", F.lit("kept"))).filter("action <> 'replaced'")
     return stays.select("doc_id", *columns, "action").unionByName(_arriving(new, decided).select("doc_id", *columns, "action"))
 
 

@@ -211,9 +211,21 @@ def _scan_classes(spark, d):
     return K.scan_classes(view(spark, d, "v_headers"))
 
 
-@query("scan_members", with_views("v_headers") + " SELECT path, CAST(5 AS BIGINT) AS line, 'property' AS kind, 'Size' AS name, 'float' AS type, 'EditAnywhere' AS specifiers, NULL AS params, regexp_extract(text, 'Size = ([0-9]+)', 1) AS default_value, false AS is_virtual, false AS is_const, false AS is_override, 'U' || name AS owner FROM v_headers")
+# defaults and parameters with brackets, commas and ends of statements in strings; bodies with braces
+HEADERS = """SELECT id, name, 'Source/Game/F_' || CAST(id AS STRING) || '.h' AS path, '// class UCommented' || chr(10) || '#pragma once' || chr(10) || 'UCLASS(Meta=(X))' || chr(10) || 'class GAME_API U' || name || ' : public AActor' || chr(10) || '{' || chr(10)
+  || 'UPROPERTY(EditAnywhere, Meta=(ClampMin="0", Note="a;b"))' || chr(10) || CASE id % 5 WHEN 0 THEN 'float Size = ' || CAST(size AS STRING) || ';' WHEN 1 THEN 'TMap<FName, int32> Size = {};' WHEN 2 THEN 'int32 Size{' || CAST(size AS STRING) || '};' WHEN 3 THEN 'FString Size = TEXT("x;{//y");' ELSE 'uint8 Size : 1;' END || chr(10)
+  || 'UFUNCTION(BlueprintCallable' || CASE WHEN id % 2 = 0 THEN ', Category="A|(B"' ELSE '' END || ')' || chr(10) || CASE id % 4 WHEN 0 THEN 'virtual void Fire(int A, FString B = TEXT("x;y")) const override;' WHEN 1 THEN 'TArray<int> Fire(const TMap<FName, int>& M, int N = Max(1, 2)) const { return X; }' WHEN 2 THEN 'static void Fire();' ELSE 'virtual int* Fire(FName N) override' || chr(10) || '{ if (N) { return 0; } }' END || chr(10) || '};' AS text, size FROM v_assets"""
+
+
+@query("scan_members", with_views("v_assets") + f""", h AS ({HEADERS})
+  SELECT path, CAST(6 AS BIGINT) AS line, 'property' AS kind, 'Size' AS name, CASE id % 5 WHEN 0 THEN 'float' WHEN 1 THEN 'TMap<FName, int32>' WHEN 2 THEN 'int32' WHEN 3 THEN 'FString' ELSE 'uint8' END AS type, 'EditAnywhere, Meta=(ClampMin="0", Note="a;b")' AS specifiers, NULL AS params,
+    CASE id % 5 WHEN 0 THEN CAST(size AS VARCHAR) WHEN 1 THEN '{{}}' WHEN 2 THEN '{{' || CAST(size AS VARCHAR) || '}}' WHEN 3 THEN 'TEXT("x;{{//y")' END AS default_value, false AS is_virtual, false AS is_const, false AS is_override, 'U' || name AS owner, 2 AS n_specifiers, -1 AS n_params FROM h
+  UNION ALL SELECT path, 8, 'function', 'Fire', CASE id % 4 WHEN 1 THEN 'TArray<int>' WHEN 3 THEN 'int*' ELSE 'void' END, 'BlueprintCallable' || CASE WHEN id % 2 = 0 THEN ', Category="A|(B"' ELSE '' END, CASE id % 4 WHEN 0 THEN 'int A, FString B = TEXT("x;y")' WHEN 1 THEN 'const TMap<FName, int>& M, int N = Max(1, 2)' WHEN 2 THEN '' ELSE 'FName N' END,
+    NULL, id % 4 IN (0, 3), id % 4 < 2, id % 4 IN (0, 3), 'U' || name, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END, CASE id % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END FROM h""")
 def _scan_members(spark, d):
-    return K.scan_members(view(spark, d, "v_headers"))
+    view(spark, d, "v_assets").createOrReplaceTempView("v_assets")
+    out = K.scan_members(spark.sql(HEADERS))
+    return out.withColumns({"n_specifiers": F.size("specifier_list"), "n_params": F.coalesce(F.size("param_list"), F.lit(-1))}).drop("specifier_list", "param_list")
 
 
 @query("resolve_classes", with_views("v_assets") + " SELECT name, 'U' || name AS class_name, min(path) AS source_path FROM v_assets WHERE NOT regexp_matches(name, '^[UAFISET][A-Z]') GROUP BY 1, 2")
@@ -298,6 +310,31 @@ def _search_vector(spark, d):
     return _near(spark, d)
 
 
+# every third query asks for a module, every fourth for a path's beginning, in its own case
+FILTERED = "SELECT vec_id AS query_id, embedding, CASE WHEN vec_id % 3 = 0 THEN 'M' || CAST(label AS STRING) END AS filter_module, CASE WHEN vec_id % 80 = 20 THEN '/GAME/L' || CAST(label % 4 AS STRING) END AS filter_path_prefix FROM embeddings WHERE vec_id % 20 = 0"
+VECTOR_DOCS = "SELECT vec_id AS doc_id, 'M' || CAST(vec_id % 10 AS STRING) AS module, CASE WHEN vec_id % 11 <> 0 THEN '/Game/L' || CAST(vec_id % 4 AS STRING) || '/V' END AS path FROM embeddings WHERE vec_id % 13 <> 0"
+
+
+@query("search_vector_filtered", f"""WITH q AS ({FILTERED}), d AS ({VECTOR_DOCS}), n AS (SELECT query_id, doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM q, embeddings e JOIN d ON d.doc_id = e.vec_id
+    WHERE (filter_module IS NULL OR filter_module = module) AND (filter_path_prefix IS NULL OR starts_with(lower(path), lower(filter_path_prefix)))),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM n WHERE score >= 0.1) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 7""")
+def _search_vector_filtered(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    e.createOrReplaceTempView("embeddings")
+    return V.search_vector(spark.sql(FILTERED), e.select(F.col("vec_id").alias("doc_id"), "embedding"), k=7, min_score=0.1, docs=spark.sql(VECTOR_DOCS))
+
+
+@query("search_vector_index", "SELECT count(*) AS queries, 10 * count(*) AS found, true AS recalled FROM embeddings WHERE vec_id % 20 = 0")
+def _search_vector_index(spark, d):
+    """Whether the index finds at least nine in ten of the nearest that the exact search finds."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    asked, own = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    exact = V.search_vector(asked, own, min_score=-1.0)
+    found = V.search_vector_index(asked, V.build_vector_index(own), min_score=-1.0)
+    both = exact.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("found"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
+
+
 # documents are asked for by their paths and by the vectors of the same number, each query by its own plan
 MODES = "CASE query_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'semantic' ELSE 'hybrid' END"
 
