@@ -16,16 +16,19 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import Recent, per_text, table
+from assetloom.llm.common import Recent, per_text, release, table
 
 #: White space as the split pattern's engine defines it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -113,17 +116,20 @@ class ByteBpe:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            get = self.ranks.get
-            known = True
-            for a, a_until in self.right_spine[left]:
-                for b, b_until in self.left_spine[right]:
-                    if (rank := get(a + b)) is not None and rank < a_until and rank <= b_until:
-                        known = False
+            known = self._stay(self.right_spine[left], self.left_spine[right])
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
 
+    def _stay(self, lefts: list[tuple[bytes, int]], rights: list[tuple[bytes, int]]) -> bool:
+        get = self.ranks.get
+        for a, a_until in lefts:
+            for b, b_until in rights:
+                if (rank := get(a + b)) is not None and rank < a_until and rank <= b_until:
+                    return False
+        return True
+
     def piece(self, data: str) -> tuple[int, ...]:
         """Ids of one piece, given as Latin-1."""
         if (rank := self.whole.get(data)) is not None:
@@ -187,20 +193,23 @@ def codec(rank_path: str, pattern: str) -> ByteBpe:
 ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
 
-@lru_cache(maxsize=2)
-def _round_trip(rank_path: str, pattern: str):
-    c = codec(rank_path, pattern)
-
-    def run(text: str) -> dict:
-        ids = c.encode(text)
-        return {"ids": ids, "decoded": c.decode(ids)}
-
-    return run
-
-
 def bpe_round_trip(text: Column, rank_path: str, pattern: str) -> Column:
     """struct(ids array<int>, decoded binary): the ids of a text, and the bytes of these ids."""
-    return per_text(_round_trip, ROUND_TRIP, rank_path, pattern)(text)
+
+    def run(texts: pa.Array) -> pa.Array:
+        release(__name__)
+        c = codec(rank_path, pattern)
+        ids, ends, decoded = array("i"), [0], []
+        for text in texts.to_pylist():
+            own = c.encode(text or "")
+            ids.extend(own)
+            ends.append(len(ids))
+            decoded.append(c.decode(own))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.binary())], names=["ids", "decoded"])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, returnType=ROUND_TRIP)(text)
 
 
 @lru_cache(maxsize=2)
