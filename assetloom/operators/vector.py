@@ -17,13 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetloom.operators.filters import FILTERS, attributes, groups, passing, used_filters
 from assetloom.sources.scratch import stored
 
 #: Vectors of a block; bytes of all queries that are broadcast; query blocks whose best a task holds at once.
 BLOCK, BROADCAST_BYTES, HELD = 4096, 32 << 20, 32
-#: Columns of documents that queries may filter by, and the tests: equal, equal in either case, prefix in either case.
-FILTERS = {"filter_type": ("type", pc.equal), "filter_module": ("module", pc.equal), "filter_asset_type": ("asset_type", pc.equal), "filter_path_prefix": ("path", pc.starts_with)}
-FOLDED = ("asset_type", "path")
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -81,25 +79,6 @@ def packed(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(_pack, f"key {kinds['key']}, ids array<{kinds['id']}>, dims int, data binary{more}")
 
 
-def _masks(queries: dict, docs: dict, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Which queries of a block have the same filters, and which documents pass these."""
-    used = [f for f in FILTERS if f in queries]
-    wanted = list(zip(*(queries[f] for f in used), strict=True)) if used else []
-    groups: dict[tuple, list[int]] = {}
-    for i, w in enumerate(wanted):
-        groups.setdefault(w, []).append(i)
-    for w, own in groups.items():
-        mask = np.ones(n, bool)
-        for f, value in zip(used, w, strict=True):
-            if value is None:
-                continue
-            column, test = FILTERS[f]
-            value = value.lower() if column in FOLDED else value
-            hit = test(docs[column], value) if test is pc.equal else test(docs[column], pattern=value)
-            mask &= pc.fill_null(hit, False).to_numpy(zero_copy_only=False)
-        yield np.array(own), mask
-
-
 def _best_of_pairs(k: int, min_score: float) -> Callable:
     """Pairs of blocks (q_..., d_...) to (query_id, doc_id, score): the k best of each query in all pairs of a task."""
 
@@ -138,8 +117,8 @@ def _best_of_pairs(k: int, min_score: float) -> Callable:
                 dims = min(q.shape[1], d.shape[1])
                 scores = np.round(q[:, :dims] @ d[:, :dims].T, 6)
                 filters = {c.removeprefix("q_"): own[c].values.to_pylist() for c in names if c.startswith("q_filter_")}
-                attributes = {c.removeprefix("d_"): own[c].values for c in names if c.startswith("d_") and c[2:] in ("type", "module", "asset_type", "path")}
-                masks = list(_masks(filters, attributes, len(docs))) or [(np.arange(len(ids)), np.ones(len(docs), bool))]
+                values = {c.removeprefix("d_"): own[c].values for c in names if c.startswith("d_") and c[2:] in FILTERS.values()}
+                masks = [(np.array(of), passing(wanted, list(filters), values, len(docs))) for wanted, of in groups(filters)] or [(np.arange(len(ids)), np.ones(len(docs), bool))]
                 key = (own["q_key"].as_py(), own["q_part"].as_py())
                 parts = held.setdefault(key, (ids, []))[1]
                 for of, mask in masks:
@@ -172,21 +151,14 @@ def _dealt(df: DataFrame, column: str = "key") -> DataFrame:
     return df.repartition(column).sortWithinPartitions(column)
 
 
-def _with_filters(queries: DataFrame, embeddings: DataFrame, docs: DataFrame | None) -> tuple[list[str], DataFrame]:
-    """The filter columns of the queries, and embeddings with the columns of documents that these are held against."""
-    used = [c for c in FILTERS if c in queries.columns] if docs is not None else []
-    if used:
-        columns = [FILTERS[c][0] for c in used]
-        embeddings = embeddings.select("doc_id", "embedding").join(docs.select("doc_id", *[F.lower(c).alias(c) if c in FOLDED else F.col(c) for c in columns]), "doc_id")
-    return used, embeddings
-
-
 def search_vector(queries: DataFrame, embeddings: DataFrame, *, k: int = 10, min_score: float = 0.0, docs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest by cosine that reach ``min_score``, 0 if a norm is 0; ties
     by doc_id. Queries (query_id, embedding, filter_...) with filters are answered among the documents that pass
     them: ``docs`` has doc_id and what is filtered by (type, module: equal; asset_type: equal in either case;
     path: its prefix, in either case). The filters are settled before a block's best are chosen."""
-    used, embeddings = _with_filters(queries, embeddings, docs)
+    used = used_filters(queries) if docs is not None else []
+    if used:
+        embeddings = embeddings.select("doc_id", "embedding").join(docs.select("doc_id", *attributes(docs, used)), "doc_id")
     queries = stored(queries.select(F.col("query_id").alias("id"), "embedding", *used))
     n = -(-queries.count() // BLOCK) or 1
     key = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("key")
@@ -265,8 +237,7 @@ def build_vector_index(embeddings: DataFrame, *, k: int = 10, recall: float = 0.
     vectors = _matrix(chosen) if len(chosen) else np.zeros((1, 1))
     n = max(1, min(LISTS, int(len(vectors) ** 0.5)))
     centres = _centres(vectors, n)
-    more = [c for c in embeddings.columns if c not in ("doc_id", "embedding")]
-    rows = embeddings.select(F.col("doc_id").alias("id"), "embedding", *[F.lower(c).alias(c) if c in FOLDED else c for c in more])
+    rows = embeddings.select(F.col("doc_id").alias("id"), "embedding", *attributes(embeddings))
     # a long list is spread over partitions, so that none is one task
     keyed = _listed(rows, centres, 1).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
     return VectorIndex(stored(packed(keyed.repartition("key", "_part").sortWithinPartitions("key").drop("_part"))), centres, _probes(vectors, centres, k, recall))
@@ -274,7 +245,7 @@ def build_vector_index(embeddings: DataFrame, *, k: int = 10, recall: float = 0.
 
 def search_vector_index(queries: DataFrame, index: VectorIndex, *, k: int = 10, min_score: float = 0.0) -> DataFrame:
     """As ``search_vector``, of what the index's nearest lists hold for each query."""
-    used = [c for c in FILTERS if c in queries.columns and FILTERS[c][0] in index.blocks.columns]
+    used = [f for f in used_filters(queries) if FILTERS[f] in index.blocks.columns]
     rows = queries.select(F.col("query_id").alias("id"), "embedding", *used)
     asked = stored(packed(_dealt(_listed(rows, index.centres, min(index.probes, len(index.centres))))))
     return _met(index.blocks, asked, k, min_score)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assetloom.operators.search_text import search_text
 from assetloom.plans.views import view, with_views
 from assetloom.sources.files import read_index, read_records, read_reference_xml, write_index
 from assetloom.sources.scratch import shared_dir
@@ -62,3 +63,25 @@ def _stream_upsert(spark, d):
     tables = read_index(spark, index)
     tags = tables["tags"].groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
     return tables["docs"].select("doc_id", "path", "fingerprint").join(tags, "path", "left").select("doc_id", "fingerprint", F.coalesce("tags", F.lit("")).alias("tags"))
+
+
+# every third document is there, then every second comes with another text; each is asked for by its path and first words
+@query("stream_search", with_views("v_docs") + """, old AS (SELECT * FROM v_docs WHERE n % 3 <> 1), d AS (SELECT n, doc_id, path, CASE WHEN n % 2 = 0 THEN 'fresh w' || CAST(n AS VARCHAR) || ' words of ' || module ELSE text END AS text FROM v_docs WHERE n % 3 <> 1 OR n % 2 = 0),
+  t AS (SELECT n, doc_id, regexp_extract_all(lower(path), '[\\p{L}\\p{N}]+') AS p, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS x, regexp_extract_all(lower(regexp_extract(path, '[^/]*$')), '[\\p{L}\\p{N}]+') AS m FROM d),
+  w AS (SELECT doc_id, 10.0::DOUBLE AS w, unnest(m) AS tok FROM t UNION ALL SELECT doc_id, 5.0, unnest(p) FROM t UNION ALL SELECT doc_id, 1.0, unnest(x) FROM t),
+  dl AS (SELECT doc_id, len(m) + len(p) + len(x) AS dl FROM t), tot AS (SELECT count(*) AS nd, avg(dl) AS av FROM dl),
+  q AS (SELECT DISTINCT n AS query_id, unnest(['fresh', 'w' || CAST(n AS VARCHAR), 'src']) AS unit FROM v_docs WHERE n % 20 = 0),
+  h AS (SELECT unit, doc_id, sum(w) AS tf FROM (SELECT DISTINCT unit FROM q) JOIN w ON starts_with(tok, unit) GROUP BY 1, 2), f AS (SELECT unit, count(*) AS df FROM h GROUP BY 1),
+  s AS (SELECT query_id, h.doc_id, round(sum(greatest(ln((nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / av))), 6) AS score FROM q JOIN h USING (unit) JOIN f USING (unit) JOIN dl USING (doc_id), tot GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5""")
+def _stream_search(spark, d):
+    typed = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    docs = view(spark, d, "v_docs").select("doc_id", "type", "path", "text", none.alias("references_out"), typed.alias("typed_references_out"), none.alias("tags"), "n", "module")
+    fresh = F.concat(F.lit("fresh w"), F.col("n").cast("string"), F.lit(" words of "), "module")
+    records, index, checkpoint = folder(spark), folder(spark), folder(spark)
+    for batch in (docs.filter("n % 3 <> 1"), docs.filter("n % 2 = 0").withColumn("text", fresh)):
+        batch.drop("n", "module").write.mode("append").json(records)
+        stream_upsert(spark, records, index, checkpoint).awaitTermination()
+    words = F.concat(F.lit("fresh w"), F.col("n").cast("string"), F.lit(" src"))
+    return search_text(docs.filter("n % 20 = 0").select(F.col("n").alias("query_id"), words.alias("query")), read_index(spark, index)["blocks"], k=5)

@@ -259,10 +259,14 @@ def _control_flow_edges(spark, d):
     return K.control_flow_graph(view(spark, d, "v_instr").withColumn("pos", F.col("pos").cast("long")))[1]
 
 
-@query("build_postings", with_views("v_docs") + """, t AS (SELECT doc_id, 10.0 AS w, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS token FROM v_docs UNION ALL SELECT doc_id, 5.0, unnest(regexp_extract_all(lower(path), '[\\p{L}\\p{N}]+')) FROM v_docs UNION ALL SELECT doc_id, 1.0, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) FROM v_docs)
-  SELECT token, doc_id, CAST(sum(w) AS DOUBLE) AS tf FROM t GROUP BY 1, 2""")
+TOKENS_OF = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query("build_postings", with_views("v_docs") + ", c AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS k, {w} AS w, {TOKENS_OF.format(c)} AS l FROM v_docs" for k, (c, w) in enumerate(S.WEIGHTS.items())) + """), t AS (SELECT doc_id, w, unnest(l) AS token, k * 1099511627776 + generate_subscripts(l, 1) - 1 AS place FROM c),
+  n AS (SELECT doc_id, CAST(sum(len(l)) AS BIGINT) AS dl FROM c GROUP BY 1) SELECT token, doc_id, CAST(sum(w) AS DOUBLE) AS tf, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS places, max(dl) AS dl FROM t JOIN n USING (doc_id) GROUP BY 1, 2""")
 def _build_postings(spark, d):
-    return S.build_postings(view(spark, d, "v_docs"))[0].select("token", "doc_id", "tf")
+    postings = S.build_postings(view(spark, d, "v_docs"))[0]
+    return postings.select("token", "doc_id", "tf", F.array_join(F.col("at").cast("array<string>"), ",").alias("places"), "dl")
 
 
 WORDS = "list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '')"
@@ -280,15 +284,8 @@ SEARCH = with_views("v_docs", "v_query") + f""", c AS (SELECT doc_id, 10.0::DOUB
     WHERE (filter_path_prefix IS NULL OR starts_with(lower(path), lower(filter_path_prefix))) AND (filter_asset_type IS NULL OR lower(asset_type) = lower(filter_asset_type)))"""
 
 
-def _postings(docs):
-    """Postings and lengths, stored as an index stores them."""
-    postings, lengths = S.build_postings(docs)
-    return stored(postings), lengths
-
-
 def _search(spark, d, k=10):
-    docs = view(spark, d, "v_docs")
-    return S.search_text(view(spark, d, "v_query"), *_postings(docs), k=k, docs=docs)
+    return S.search_text(view(spark, d, "v_query"), stored(S.build_blocks(view(spark, d, "v_docs"))), k=k)
 
 
 @query("search_text", SEARCH + " SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
@@ -423,7 +420,7 @@ def _search_name(spark, d):
     for v in ("v_assets", "v_light", "v_query", "v_docs"):
         view(spark, d, v).createOrReplaceTempView(v)
     queries, docs = spark.sql(NAMED), spark.table("v_docs")
-    hits = S.search_text(queries, *_postings(docs), k=60).join(docs.select("doc_id", "path", "name"), "doc_id")
+    hits = S.search_text(queries, stored(S.build_blocks(docs)), k=60).join(docs.select("doc_id", "path", "name"), "doc_id")
     classes = spark.table("v_assets").select(F.concat(F.lit("U"), "name").alias("class_name"), F.concat(F.lit("Source/"), "name").alias("source_path"))
     return L.search_name(queries, docs, spark.sql(TYPED_LIGHT), hits=hits, classes=classes)
 

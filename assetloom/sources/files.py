@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,18 +62,24 @@ def read_headers(spark: SparkSession, root: str) -> DataFrame:
 PARTITIONS = {"docs": ["type"], "edges": ["edge_type"]}
 
 
-#: One line for each version of an index. A version counts as soon as its line stands there. It is a
-#: whole index, or what has changed since the versions ``onto``, the newest first.
+#: One line for each version of an index, in a file named by its number. A version counts as soon as its line
+#: stands there. It is a whole index, or what has changed since the versions ``onto``, the newest first.
 POINTER = "number long, version string, tables string, onto string"
-#: The column of documents that a table's rows go by, and that column's name in the table. A later version
-#: replaces all rows of the documents, or their paths, that it holds.
-OWNERS = {"docs": ("doc_id", "doc_id"), "edges": ("doc_id", "from_id"), "tags": ("path", "path")}
+#: The table and column that hold what a version's rows of a table replace, and that column's name in the table: a
+#: later version replaces all rows of its documents, or of the paths that it names.
+OWNERS = {"docs": ("docs", "doc_id", "doc_id"), "edges": ("docs", "doc_id", "from_id"), "tags": ("paths", "path", "path"), "paths": ("paths", "path", "path"), "blocks": ("docs", "doc_id", "doc_id")}
+#: Seconds after which a number without a line is taken for what a crashed writer left.
+PATIENCE = 10.0
+
+
+class VersionTaken(Exception):
+    """Another writer has written the version that was to follow the one read."""
 
 
 def _pointers(spark: SparkSession, folder: str) -> list:
     """The lines of all versions, the newest first; none for a folder that has never held an index."""
     try:
-        return spark.read.schema(POINTER).json(f"{folder}/pointers").orderBy(F.desc("number"), F.desc("version")).collect()
+        return spark.read.schema(POINTER).json(f"{folder}/pointers").filter("version is not null").orderBy(F.desc("number"), F.desc("version")).collect()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return []
@@ -88,11 +97,57 @@ def index_parts(spark: SparkSession, folder: str) -> list[str]:
     return _parts(found[0]) if found else []
 
 
-def write_index(tables: dict[str, DataFrame], folder: str, *, keep: int = 2, onto: list[str] = ()) -> str:
+def index_number(spark: SparkSession, folder: str) -> int:
+    """The number of the newest version, 0 where there is none."""
+    found = _pointers(spark, folder)
+    return found[0].number if found else 0
+
+
+def _claim(spark: SparkSession, folder: str, number: int, line: str) -> bool:
+    """Write the line of a version, unless the number is taken."""
+    name = f"{folder}/pointers/{number:012d}.json"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        local = path.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "x") as f:
+                f.write(line)
+        except FileExistsError:
+            return False
+        return True
+    if fs.exists(path):
+        return False
+    try:
+        out = fs.create(path, False)  # fails if another writer was faster
+    except Py4JJavaError:
+        if fs.exists(path):
+            return False
+        raise
+    out.write(bytearray(line.encode()))
+    out.close()
+    return True
+
+
+def _settled(spark: SparkSession, folder: str, number: int) -> bool:
+    """Whether the line of a taken number is there, or comes within PATIENCE."""
+    until = time.monotonic() + PATIENCE
+    while not any(p.number == number for p in _pointers(spark, folder)):
+        if time.monotonic() > until:
+            return False
+        time.sleep(0.2)
+    return True
+
+
+def write_index(tables: dict[str, DataFrame], folder: str, *, keep: int = 2, onto: list[str] = (), after: int | None = None) -> str:
     """Write a new version of the tables, then a line that points to it; readers see the version before
     until then, and nothing that a reader needs is ever overwritten, so a crash at any point leaves
     the last whole version. With ``onto`` the tables (docs among them) hold changed documents and what is
-    theirs, to be read over these versions. Versions that the last ``keep`` don't need are removed."""
+    theirs, to be read over these versions. Versions that the last ``keep`` don't need are removed.
+
+    Of writers at the same time one gets the next number. With ``after``, the number of the version that the
+    tables were made from, the others fail with VersionTaken, having changed nothing; without, they come next."""
     spark = next(iter(tables.values())).sparkSession
     version, before = uuid.uuid4().hex, _pointers(spark, folder)
     for name, df in tables.items():
@@ -104,8 +159,15 @@ def write_index(tables: dict[str, DataFrame], folder: str, *, keep: int = 2, ont
             if "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
             df.limit(0).write.mode("append").parquet(path)
-    line = spark.createDataFrame([((before[0].number if before else 0) + 1, version, ",".join(sorted(tables)), ",".join(onto))], POINTER)
-    line.coalesce(1).write.mode("append").json(f"{folder}/pointers")
+    number = (after if after is not None else before[0].number if before else 0) + 1
+    while True:
+        line = spark.createDataFrame([(number, version, ",".join(sorted(tables)), ",".join(onto))], POINTER).toJSON().first()
+        if _claim(spark, folder, number, line):
+            break
+        if _settled(spark, folder, number) and after is not None:
+            deleted(spark, f"{folder}/{version}")
+            raise VersionTaken(f"version {number} of {folder} is another writer's")
+        number += 1
     old = max(0, keep - 1)
     needed = {version, *onto}.union(*map(_parts, before[:old]))
     for line in before[old:]:
@@ -114,6 +176,12 @@ def write_index(tables: dict[str, DataFrame], folder: str, *, keep: int = 2, ont
     return version
 
 
+def _masked(blocks: DataFrame, newer: DataFrame) -> DataFrame:
+    """Posting blocks with the places of the documents that newer versions hold, as ``gone``."""
+    each = blocks.select("part", F.posexplode("ids").alias("at", "doc_id")).join(newer, "doc_id", "left_semi")
+    return blocks.drop("gone").join(each.groupBy("part").agg(F.sort_array(F.collect_list("at")).alias("gone")), "part", "left")
+
+
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of the newest version; FileNotFoundError where there has never been one."""
     found = _pointers(spark, folder)
@@ -125,11 +193,12 @@ def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         out = spark.read.parquet(f"{folder}/{newest}/{name}")
         if not older:
             return out
-        owner, column = OWNERS[name]
-        owners = lambda version: spark.read.parquet(f"{folder}/{version}/docs").select(F.col(owner).alias(column))
+        holder, owner, column = OWNERS[name]
+        owners = lambda version: spark.read.parquet(f"{folder}/{version}/{holder}").select(F.col(owner).alias(column))
         newer = owners(newest)
         for version in older:
-            out = out.unionByName(spark.read.parquet(f"{folder}/{version}/{name}").join(newer, column, "left_anti"))
+            rows = spark.read.parquet(f"{folder}/{version}/{name}")
+            out = out.unionByName(_masked(rows, newer) if name == "blocks" else rows.join(newer, column, "left_anti"), allowMissingColumns=True)
             newer = newer.union(owners(version))
         return out
 

@@ -38,6 +38,18 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+#: Bytes for each core up to which a table counts as small.
+CORE_BYTES = 64 << 20
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """The table, dealt to all cores if it is small: such a one may be a single piece of a file, and so one task.
+    A larger one is in many pieces and stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * CORE_BYTES else df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in tables:

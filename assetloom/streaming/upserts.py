@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from assetloom.operators.search_text import build_blocks
 from assetloom.operators.upsert import build_edges, changed_docs, clean_tags, replace_edges, replace_tags
-from assetloom.sources.files import index_parts, read_index, write_index
+from assetloom.sources.files import VersionTaken, index_number, index_parts, read_index, write_index
 from assetloom.sources.scratch import dropped, stored
 
 #: Documents as records: what a parser's later steps hand over, one JSON line each.
@@ -23,13 +24,29 @@ RECORD = T.StructType(
 COLUMNS = RECORD.names
 
 
-def apply_batch(spark: SparkSession, batch: DataFrame, folder: str, *, most_parts: int = 16) -> None:
-    """Upsert one batch of documents, their edges and the tags of their paths; a batch that comes again
-    changes nothing. What has changed is written by itself, over the versions before; the whole index is
-    written anew when it would be read from more than ``most_parts``. Of the index a batch reads ids,
-    fingerprints, paths and tags."""
-    parts = index_parts(spark, folder)
+def search_blocks(docs: DataFrame) -> DataFrame:
+    """Posting blocks of documents, each with a name of its own; a document is named by its path's last part."""
+    named = docs.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return build_blocks(named.select("doc_id", "name", "path", "text", "type")).withColumn("part", F.expr("uuid()"))
+
+
+def apply_batch(spark: SparkSession, batch: DataFrame, folder: str, *, most_parts: int = 16, tries: int = 8) -> None:
+    """Upsert one batch of documents, their edges, the tags of their paths and their postings; a batch that comes
+    again changes nothing. What has changed is written by itself, over the versions before, as a segment: of a
+    document the newest segment's rows and postings count. The whole index is written anew when it would be read
+    from more than ``most_parts``. Of the index a batch reads ids, fingerprints, paths and tags. If another writer
+    comes in between, the batch is applied to what that one has left."""
     incoming = batch.filter("doc_id is not null").select(*COLUMNS)
+    for left in reversed(range(tries)):
+        try:
+            return _apply(spark, incoming, folder, most_parts)
+        except VersionTaken:
+            if not left:
+                raise
+
+
+def _apply(spark: SparkSession, incoming: DataFrame, folder: str, most_parts: int) -> None:
+    number, parts = index_number(spark, folder), index_parts(spark, folder)
     if parts:
         index = read_index(spark, folder)
     else:  # the first batch of all
@@ -37,16 +54,19 @@ def apply_batch(spark: SparkSession, batch: DataFrame, folder: str, *, most_part
     changed = stored(changed_docs(index["docs"].select("doc_id", "fingerprint"), incoming).select(*COLUMNS, "fingerprint"))
     if parts and changed.isEmpty():
         return dropped(changed)
-    ids, paths = changed.select("doc_id"), changed.select("path").distinct()
+    ids = changed.select("doc_id")
+    # where documents are and where they were
+    paths = stored(changed.select("path").union(index["docs"].join(ids, "doc_id", "left_semi").select("path")).distinct())
     stays = index["docs"].select(*COLUMNS, "fingerprint").join(ids, "doc_id", "left_anti")
     # the tags of a path are those of all its documents
     tagged = stays.select("path", "tags").join(paths, "path", "left_semi").union(changed.select("path", "tags")).select("path", F.explode("tags").alias("tag"))
     if parts and len(parts) < most_parts:
-        write_index({"docs": changed, "edges": build_edges(changed), "tags": clean_tags(tagged)}, folder, onto=parts)
+        write_index({"docs": changed, "edges": build_edges(changed), "tags": clean_tags(tagged), "paths": paths, "blocks": search_blocks(changed)}, folder, onto=parts, after=number)
     else:
         edges, tags = index["edges"].select("from_id", "to_id", "edge_type"), index["tags"].select("path", "tag")
-        write_index({"docs": stays.unionByName(changed), "edges": replace_edges(edges, changed), "tags": replace_tags(tags, tagged, paths)}, folder)
-    dropped(changed)
+        every = stays.unionByName(changed)
+        write_index({"docs": every, "edges": replace_edges(edges, changed), "tags": replace_tags(tags, tagged, paths), "paths": paths, "blocks": search_blocks(every)}, folder, after=number)
+    dropped(changed, paths)
 
 
 def stream_upsert(spark: SparkSession, records: str, folder: str, checkpoint: str) -> StreamingQuery:

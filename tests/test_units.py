@@ -323,3 +323,154 @@ def test_parents_of_data_assets_by_name(spark):
     known = spark.createDataFrame([("GE_Up", "/Game/B/GE_Up")], "name string, path string")
     typed = data_asset_docs(df, parents=(known, known.limit(0), [])).first().typed_references_out
     assert typed["asset:/Game/B/GE_Up"] == "inherits_from"
+
+
+def test_questions_in_other_words(spark):
+    asked = {
+        "Show all subclasses of 'BP_Base'": ("inherits", "BP_Base"),
+        "which widgets are derived from a UserWidget": ("inherits", "UserWidget"),
+        "everything that extends the Gun": ("inherits", "Gun"),
+        "children play": ("semantic", "children play"),
+        "What systems does the Big Gun depend on?": ("trace", "Big Gun"),
+        "how do bullets behave": ("trace", "bullets"),
+        "Trace the damage flow": ("trace", "damage"),
+        "how does": ("semantic", "how does"),
+        "trace flow": ("semantic", "trace flow"),
+        "where was X placed?": ("refs", "where was X placed?"),
+        "/Script/Engine.Actor": ("semantic", "/Script/Engine.Actor"),
+        "explain the inventory system": ("semantic", "explain the inventory system"),
+    }
+    q = spark.createDataFrame([(k,) for k in [*asked, None, " "]], "query string")
+    got = {r.query: (r.mode, r.target) for r in H.route_queries(q).collect()}
+    assert {k: got[k] for k in asked} == asked and got[None] == ("semantic", None)
+
+
+def test_members_of_hard_headers(spark):
+    text = """UCLASS(Meta=(X))
+class GAME_API UYes : public X
+{
+UFUNCTION(meta=(A="(", B)) DEPRECATED(4.2, "x") void Fire(int A, FString B = TEXT("x;y")) const override;
+UPROPERTY() TMap<FName, TArray<int>> M = {};
+UPROPERTY() int X{3};
+UPROPERTY() FString U = TEXT("http://x/*");
+UPROPERTY() uint8 b : 1;
+UPROPERTY() TSubclassOf<class UBar> Sub = nullptr;
+UFUNCTION() TFunction<void(int)> Get(TFunction<void(int, int)> F, const TMap<A, B>& C = {}) ;
+struct FInner { UPROPERTY() int In; };
+UFUNCTION() virtual bool operator==(int B) const;
+UPROPERTY()
+};
+USTRUCT()
+struct FData { UPROPERTY() int32 Count = 3; };
+UPROPERTY( never closed"""
+    rows = K.scan_members(spark.createDataFrame([("a.h", text), ("b.h", None), ("c.h", "UFUNCTION")], "path string, text string")).collect()
+    got = {r.name: r for r in rows}
+    assert set(got) == {"Fire", "M", "X", "U", "b", "Sub", "Get", "In", "operator==", "Count"}
+    fire = got["Fire"]
+    assert (fire.is_const, fire.is_override, fire.is_virtual, fire.line, fire.owner) == (True, True, False, 4, "UYes")
+    assert fire.param_list == ["int A", 'FString B = TEXT("x;y")'] and fire.specifier_list == ['meta=(A="(", B)']
+    assert [got[n].default_value for n in ("M", "X", "U", "b", "Sub")] == ["{}", "{3}", 'TEXT("http://x/*")', None, "nullptr"]
+    assert got["Get"].param_list == ["TFunction<void(int, int)> F", "const TMap<A, B>& C = {}"] and got["Get"].type == "TFunction<void(int)>"
+    assert got["In"].owner == "FInner" and got["operator=="].owner == "UYes" and got["Count"].owner == "FData"
+
+
+def test_trees_lose_no_node(spark):
+    rows = [(1, 1, None, "a"), (1, 2, 9, "orphan"), (1, 3, 2, "below"), (1, 3, 2, "below"), (1, 4, 5, "ring"), (1, 5, 4, "ring"), (1, 6, 5, "tail"), (1, 7, 7, "self"), (2, 3, 1, "else")]
+    got = sorted((r.tree, r.node, r.root, r.depth) for r in G.build_tree(spark.createDataFrame(rows, "tree int, node int, parent int, label string")).collect())
+    assert got == [(1, 1, 1, 0), (1, 2, 2, 0), (1, 3, 2, 1), (1, 4, 4, 0), (1, 5, 4, 1), (1, 6, 4, 2), (1, 7, 7, 0), (2, 3, 3, 0)]
+
+
+def test_null_ids_come_in_once(spark):
+    old = spark.createDataFrame([(None, "x"), ("a", "y")], "doc_id string, text string")
+    got = U.upsert_docs(old, old)
+    assert sorted((str(r.doc_id), r.action) for r in got.collect()) == [("None", "unchanged"), ("a", "unchanged")]
+    other = spark.createDataFrame([(None, "z")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.text, r.action) for r in U.upsert_docs(old, other).collect()) == [("None", "z", "replaced"), ("a", "y", "kept")]
+
+
+def test_vector_search_over_many_blocks(spark, monkeypatch):
+    """With blocks of a few vectors, ties and filters, against a plain search."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(V, "BLOCK", 7)
+    e = [(f"d{i:03}", np.round(r.normal(size=4), 1).tolist(), ["x", "y", None][i % 3], f"/Game/{'AB'[i % 2]}/{i}") for i in range(120)] + [("zero", [0.0] * 4, "x", "/Game/A/z")]
+    q = [(i, np.round(r.normal(size=4), 1).tolist(), [None, "x"][i % 2], [None, None, "/GAME/b"][i % 3]) for i in range(20)]
+    df = spark.createDataFrame(e, "doc_id string, embedding array<double>, module string, path string")
+    asked = spark.createDataFrame(q, "query_id int, embedding array<double>, filter_module string, filter_path_prefix string")
+    got = [(x.query_id, x.doc_id, x.rank) for x in V.search_vector(asked, df.select("doc_id", "embedding"), k=5, min_score=-0.2, docs=df).orderBy("query_id", "rank").collect()]
+
+    def cosine(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / n), 6) if n else 0.0
+
+    want = []
+    for i, v, module, path in q:
+        hits = [(-cosine(v, x), d) for d, x, m, p in e if module in (None, m) and (path is None or p.lower().startswith(path.lower()))]
+        want += [(i, d, k + 1) for k, (s, d) in enumerate(sorted(h for h in hits if -h[0] >= -0.2)[:5])]
+    assert got == want
+    index = V.build_vector_index(df, sample=64)
+    near = V.search_vector_index(asked, index, k=5, min_score=-0.2)
+    found = {(x.query_id, x.doc_id) for x in near.collect()}
+    assert len(found & {(i, d) for i, d, _ in want}) >= 0.9 * len(want) and index.blocks.selectExpr("sum(size(ids))").first()[0] == 121
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_text_search_over_many_blocks(spark, monkeypatch, k):
+    """Blocks of a few documents against blocks of all, and postings against blocks; one word is in every document."""
+    import random
+
+    r = random.Random(k)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, f"N_{i}", f"/Game/P{i % 4}/N_{i}", "common " + " ".join(r.choices(words, weights=range(1, 41), k=r.randrange(0, 30))), f"m{i % 3}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id int, name string, path string, text string, module string").repartition(3)
+    asked = [(i, " ".join(["common", *r.choices(words, k=4), f"N_{i}"][r.randrange(0, 3) :]), [None, "m1"][i % 2]) for i in range(25)] + [(90, "/Game/P1/N_5", None), (91, "w1 w1", None), (92, "no such", None)]
+    q = spark.createDataFrame(asked, "query_id int, query string, filter_module string")
+    top = lambda df: sorted((x.query_id, x.rank, x.doc_id, round(x.score, 5)) for x in df.collect())
+    want = top(S.search_text(q, S.build_blocks(docs), k=k))
+    assert top(S.search_text(q, *S.build_postings(docs), k=k, docs=docs)) == want
+    monkeypatch.setattr(S, "QUERIES", 4)
+    monkeypatch.setattr(S, "UNITS", 5)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    small = S.build_blocks(docs.repartition(20).sortWithinPartitions("doc_id"))
+    assert top(S.search_text(q, small, k=k)) == want
+    assert {x[0] for x in want} == {x[0] for x in asked} - {92}
+
+
+def test_moved_documents_take_their_tags_along(spark, tmp_path):
+    from assetloom.streaming.upserts import RECORD, apply_batch
+
+    folder = str(tmp_path / "index")
+    rows = [[("a", "t", "/P/One", "alpha words", [], {}, ["A"]), ("b", "t", "/P/One", "beta words", [], {}, ["B"])], [("a", "t", "/P/Two", "gamma words", [], {}, ["A2"])], [("b", "t", "/P/One", "beta words", [], {}, ["B"])]]
+    for batch in rows:
+        apply_batch(spark, spark.createDataFrame(batch, RECORD), folder)
+        index = W.read_index(spark, folder)
+    assert sorted((r.path, r.tag) for r in index["tags"].collect()) == [("/P/One", "B"), ("/P/Two", "A2")]
+    q = spark.createDataFrame([(1, "alpha"), (2, "words"), (3, "two")], "query_id int, query string")
+    assert sorted((r.query_id, r.doc_id) for r in S.search_text(q, index["blocks"]).collect()) == [(2, "a"), (2, "b"), (3, "a")]
+
+
+def test_two_writers_from_the_same_version(spark, tmp_path, monkeypatch):
+    from assetloom.streaming import upserts
+    from assetloom.streaming.upserts import RECORD, apply_batch
+
+    folder, real, came = str(tmp_path / "index"), upserts.write_index, []
+    batch = lambda *ids: spark.createDataFrame([(i, "t", f"/P/{i}", f"text {i}", ["/Game/X"], {}, []) for i in ids], RECORD)
+    apply_batch(spark, batch("a"), folder)
+
+    def late(tables, where, **more):
+        if not came:  # another writer comes in between
+            came.append(1)
+            apply_batch(spark, batch("c"), folder)
+        return real(tables, where, **more)
+
+    monkeypatch.setattr(upserts, "write_index", late)
+    apply_batch(spark, batch("b"), folder)
+    index = W.read_index(spark, folder)
+    assert sorted(r.doc_id for r in index["docs"].collect()) == ["a", "b", "c"] and index["edges"].count() == 3
+    with pytest.raises(W.VersionTaken):
+        real({"docs": index["docs"]}, folder, after=1)
+    monkeypatch.setattr(W, "PATIENCE", 0.1)
+    (tmp_path / "index" / "pointers" / f"{4:012d}.json").write_text("")  # a writer that crashed
+    W.write_index({"docs": index["docs"]}, folder)
+    assert W.index_number(spark, folder) == 5
