@@ -26,6 +26,7 @@ are one shingle; a document without id has no component and no links; repeated r
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -516,20 +517,22 @@ def set_signature(text: Column, shingle: int) -> Column:
 def first_of_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay if of each class of near duplicates one document does: that of
     the least id, then of the least set. Of rows with this id and set one stays. Texts without words,
-    and rows without id, are in no class and all stay."""
+    and rows without id, are in no class and all stay. ``docs`` may have other columns of any name."""
+    mark = f"_{uuid.uuid4().hex}"  # begins names that no column of docs has
+    gone_id, set_of, first_set, alone = (f"{mark}{k}" for k in range(4))
     classes = stored(jaccard_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).filter("doc_id is not null"))
     first = (F.col("doc_id") == F.col("component_id")) & (F.col("sig") == F.col("first_sig"))
     ids = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(first).alias("stays"))
-    gone = stored(ids.filter("n = 1 and not stays").select(F.col("doc_id").alias("_id")))
-    again = stored(ids.filter("n > 1").select(F.col("doc_id").alias("_id")))
-    own = F.col(id_col).cast("long") == F.col("_id")
+    gone = stored(ids.filter("n = 1 and not stays").select(F.col("doc_id").alias(gone_id)))
+    again = stored(ids.filter("n > 1").select(F.col("doc_id").alias(gone_id)))
+    own = F.col(id_col).cast("long") == F.col(gone_id)
     plain = docs.join(small_side(gone), own, "left_anti").join(small_side(again), own, "left_anti")
-    repeated = docs.join(small_side(again), own, "left_semi").withColumn("_sig", set_signature(F.col(text_col), shingle))
-    firsts = classes.filter(first & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_first")).distinct()
-    empty = shingle_set("", shingle)
-    alone = F.row_number().over(Window.partitionBy(id_col, "_sig").orderBy(text_col)) == 1
-    kept = repeated.join(firsts, own & (F.col("_sig") == F.col("_first")), "left_semi").withColumn("_alone", alone).filter("_alone")
-    return plain.unionByName(kept.drop("_sig", "_alone")).unionByName(repeated.filter(F.col("_sig") == signature(empty)).drop("_sig"))
+    repeated = docs.join(small_side(again), own, "left_semi").withColumn(set_of, set_signature(F.col(text_col), shingle))
+    firsts = classes.filter(first & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias(gone_id), F.col("sig").alias(first_set)).distinct()
+    empty = signature(shingle_set("", shingle))
+    one = F.row_number().over(Window.partitionBy(id_col, set_of).orderBy(text_col)) == 1
+    kept = repeated.join(firsts, own & (F.col(set_of) == F.col(first_set)), "left_semi").withColumn(alone, one).filter(F.col(alone))
+    return plain.unionByName(kept.drop(set_of, alone)).unionByName(repeated.filter(F.col(set_of) == empty).drop(set_of))
 
 
 def op8_jaccard_join(spark, sf_dir):

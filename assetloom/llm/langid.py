@@ -19,6 +19,7 @@ row no language is known, and all texts are ``und`` with score 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,8 +110,9 @@ def fit_kernel(presences: np.ndarray, langs: list[str], per_class_landmarks: int
     return LanguageModel(languages, np.ascontiguousarray(landmarks), (root @ weights).astype(np.float32), 4.0)
 
 
-def fit_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learn from the rows where ``learn`` holds and language and text are known."""
+def _learned(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[np.ndarray, list[str]]:
+    """Presences and languages of at most ``per_language`` texts of each language, those of the least hashes of
+    their ids, of the rows where ``learn`` holds and language and text are known."""
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"))
     counts = known.groupBy("l").agg(F.count("*").alias("n"))
     # of hashes spread over 64 bits, this share holds some SPARE times as many as are wanted
@@ -127,7 +129,58 @@ def fit_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", tex
     cells_of = rows.select("l", "h", "t").mapInArrow(run, "l string, h long, c binary").groupBy("l", "h").agg(F.min("c").alias("c"))
     found = sorted(cells_of.collect(), key=lambda r: (r.l, r.h))
     bits = np.array([np.unpackbits(np.frombuffer(r.c, np.uint8)) for r in found], np.float32).reshape(len(found), CELLS)
-    return fit_kernel(bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1)), [r.l for r in found])
+    return bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1)), [r.l for r in found]
+
+
+def fit_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
+    """Learn from the rows where ``learn`` holds and language and text are known."""
+    return fit_kernel(*_learned(docs, learn, id_col, text_col, lang_col, per_language))
+
+
+#: Cells below which a text is too short to be told from others.
+FEW_CELLS = 8
+
+
+def nearness(presences: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """How much more texts have in common with their nearest landmark than chance would give, in units of what
+    chance varies by: some 10 and more for texts of a landmark's language, some 3 for other scripts. Infinite
+    for texts of fewer than FEW_CELLS cells."""
+    n, m = (presences > 0).sum(axis=1), (landmarks > 0).sum(axis=0)
+    common = (presences @ landmarks) * np.sqrt(n)[:, None] * np.sqrt(m)
+    chance = n[:, None] * m / CELLS
+    best = ((common - chance) / np.sqrt(chance + 1)).max(axis=1, initial=-math.inf)
+    return np.where(n < FEW_CELLS, math.inf, best)
+
+
+def fit_with_limit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[LanguageModel, float]:
+    """A model, and a limit of ``nearness`` below which a text is of none of its languages: half of what the least
+    of the texts that are learned from reaches, each half of them being held against landmarks of the other."""
+    presences, langs = _learned(docs, learn, id_col, text_col, lang_col, per_language)
+    place = np.array([langs[:i].count(x) for i, x in enumerate(langs)]) % 2
+    least = []
+    for half in (0, 1):
+        own, rest = np.flatnonzero(place == half), presences[place != half]
+        if len(own) and len(rest):
+            least.append(nearness(rest, fit_kernel(presences[own], [langs[i] for i in own]).landmarks).min())
+    limit = min(least, default=-math.inf) / 2
+    return fit_kernel(presences, langs), float(limit) if limit < math.inf else -math.inf
+
+
+def language_nearness(text: Column, model: LanguageModel) -> Column:
+    """The nearness of a text to the landmarks of a model; null if it is null or has no letter, or nothing was learned."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        release(__name__)
+        out: list[float | None] = []
+        for at in range(0, len(texts), BLOCK):
+            part = texts.slice(at, BLOCK).to_pylist()
+            known = [t for t in part if t is not None and any(map(str.isalpha, t))] if model.languages else []
+            scores = iter(nearness(presence(known), model.landmarks).tolist() if known else ())
+            out += [next(scores) if model.languages and t is not None and any(map(str.isalpha, t)) else None for t in part]
+        return pa.array(out, type=pa.float64())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, returnType="double")(text)
 
 
 PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
