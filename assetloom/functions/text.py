@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,17 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(F.lower(F.btrim(text, F.lit(OUTER))), 256), 1, 16)
 
 
+def wide_fingerprint(df: DataFrame, columns: list[str]) -> Column:
+    """A fingerprint of a text and of other columns of ``df``: that of the text where there are no others. Null, and
+    what is written alike in two columns, are told apart; the order of a map's entries doesn't count."""
+    if not columns:
+        return fingerprint(F.col("text"))
+    kinds = dict(df.dtypes)
+    plain = [(F.array_sort(F.map_entries(c)) if kinds[c].startswith("map") else F.col(c)).alias(c) for c in columns]
+    whole = F.concat_ws("\n", F.coalesce(F.lower(F.btrim("text", F.lit(OUTER))), F.lit("\0")), F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}))
+    return F.substring(F.sha2(whole, 256), 1, 16)
+
+
 def snippet(text: Column, n: int = 180) -> Column:
     """The text with white space collapsed, cut to n characters."""
     return F.substring(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\r\x0B\f]+", " ")), 1, n)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of queries that filter, the column of documents that each is held against, and how: equal, equal in
-#: either case, or by prefix in either case. Null lets all pass; a document without the value passes no other.
+#: either case, or by prefix in either case, in which ``_`` stands for any character and ``%`` for any. Null lets all pass; a document without the value passes no other.
 FILTERS = {"filter_type": "type", "filter_module": "module", "filter_asset_type": "asset_type", "filter_path_prefix": "path"}
 FOLDED = ("asset_type", "path")
 
@@ -34,7 +34,10 @@ def passing(values: tuple, filters: list[str], documents: dict[str, pa.Array], n
             continue
         column = FILTERS[f]
         value = value.lower() if column in FOLDED else value
-        hit = pc.starts_with(documents[column], pattern=value) if f == "filter_path_prefix" else pc.equal(documents[column], value)
+        if f == "filter_path_prefix":
+            hit = pc.match_like(documents[column], value.replace("\\", "\\\\") + "%")
+        else:
+            hit = pc.equal(documents[column], value)
         mask &= pc.fill_null(hit, False).to_numpy(zero_copy_only=False)
     return mask
 

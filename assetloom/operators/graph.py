@@ -23,11 +23,12 @@ def where_used(targets: DataFrame, refs: DataFrame, edges: DataFrame, docs: Data
     other = ~F.col("path").startswith("/Game/") & (F.col("path") != "")
     names = F.array(*[F.concat(F.lit(p), F.col("path")) for p in ("asset:", *NAMESPACES)])
     ids = targets.select("query_id", F.explode(F.when(other, names).otherwise(F.slice(names, 1, 1))).alias("to_id"))
-    asked, known = targets.filter(other).select("query_id", "path").distinct(), edges.select("to_id").distinct()
-    answered = asked.select("query_id", "path", F.explode(names).alias("to_id")).join(known, "to_id", "left_semi")
-    rest = asked.join(answered, ["query_id", "path"], "left_anti")
-    part = rest.select("query_id", F.col("path").alias("part"))
-    ids = ids.union(part.join(containing(part, known.select(F.col("to_id").alias("word"))), "part").select("query_id", F.col("word").alias("to_id")))
+    asked = stored(targets.filter(other).select("query_id", "path").distinct())
+    if not asked.isEmpty():
+        known = stored(edges.select(F.col("to_id").alias("word")).distinct())
+        answered = asked.select("query_id", "path", F.explode(names).alias("word")).join(known, "word", "left_semi")
+        part = stored(asked.join(answered, ["query_id", "path"], "left_anti").select("query_id", F.col("path").alias("part")))
+        ids = ids.union(part.join(containing(part, known), "part").select("query_id", F.col("word").alias("to_id")))
     by_edge = ids.join(edges, "to_id").join(docs.select(F.col("doc_id").alias("from_id"), "path"), "from_id").select("query_id", F.col("path").alias("user_path"), F.lit(1).alias("source"))
     once = by_ref.union(by_edge).groupBy("query_id", "user_path").agg(F.min("source").alias("source"))
     total = once.groupBy("query_id").agg(F.count("*").alias("total"))
@@ -126,6 +127,8 @@ def system_trace(targets: DataFrame, edges: DataFrame, docs: DataFrame, refs: Da
     it (inbound: documents, then light assets), script references that are no documents, and, where it
     has owners, its ownership chain in place of a path. Each section has the first max(4, min(limit, 12))
     by score and path, scripts the first 12; a path comes once a section."""
+    # what is read more than once: edges and documents, three and four times, and the targets
+    edges, docs, targets = (stored(df) for df in (edges.select("from_id", "to_id", "edge_type"), docs.select("doc_id", "path", "name", "asset_type"), targets.select("query_id", "path")))
     own = targets.select("query_id", F.concat(F.lit("asset:"), F.col("path")).alias("id"), F.col("path").alias("own"))
     known = docs.select(F.col("doc_id").alias("to_id"), "name", "asset_type")
     out = own.join(edges, own["id"] == edges["from_id"]).join(known, "to_id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetloom.operators.code import resolve_classes
 from assetloom.operators.substring import containing
+from assetloom.sources.scratch import stored
 
 # Prefixes that stand for each other.
 ALIASES = {"BP_": ["B_"], "B_": ["BP_"], "WBP_": ["W_"], "W_": ["WBP_"]}
@@ -14,20 +15,27 @@ PREFIX_ALIASES = {"BP_": ["BP_", "B_"], "B_": ["B_", "BP_"], "WBP_": ["WBP_", "W
 
 
 def enrich_results(results: DataFrame, docs: DataFrame) -> DataFrame:
-    """Results (query_id, path) with the texts of all documents of the path, in the order of their
-    types, and their metadata merged, that of the later type winning; bad JSON is skipped. ``level`` is
+    """Results (query_id, path) with the texts of all documents of the path, in the order of their types, and
+    their metadata merged, that of the later type winning; what is no JSON object is skipped. ``metadata`` has the
+    values as texts, ``typed`` is one VARIANT in which numbers, lists and objects are what they were. ``level`` is
     full where a result of the query has either, else summary."""
     wanted = results.select("path").distinct()
-    parsed = F.from_json("metadata", "map<string,string>")
-    rows = docs.join(wanted, "path", "left_semi").select("path", F.struct("type", "doc_id", "text", parsed.alias("m")).alias("d"))
-    by_type = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("d.type").alias("type"), F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"), F.map_entries("d.m").alias("m")))).alias("ds"))
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-
-    def merge(acc, d):
-        m = F.coalesce(d["m"], empty)
-        return F.concat(F.filter(acc, lambda e: ~F.exists(m, lambda x: x["key"] == e["key"])), m)
-
-    out = by_type.select("path", F.array_join(F.transform("ds", lambda d: d["text"]), "\n\n").alias("text"), F.map_from_entries(F.aggregate("ds", empty, merge)).alias("metadata"))
+    # a bad part of a row must not make the whole row bad, so objects are told from the rest first
+    parsed = F.try_parse_json(F.col("metadata"))
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    own = F.when(is_object, F.from_json("metadata", "map<string,string>"))
+    typed = F.when(is_object, F.from_json("metadata", "map<string,variant>"))
+    rows = docs.join(wanted, "path", "left_semi").select("path", "type", "doc_id", "text", F.map_entries(own).alias("m"), F.to_json(typed).alias("v"))
+    by_type = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("type", "doc_id", "text", "m", "v"))).alias("ds"))
+
+    def merged(name: str, kind: str):
+        empty = F.array().cast(f"array<struct<key:string,value:{kind}>>")
+        entries = (lambda d: F.coalesce(d[name], empty)) if kind == "string" else (lambda d: F.coalesce(F.map_entries(F.from_json(d[name], f"map<string,{kind}>")), empty))
+        join = lambda acc, d: F.concat(F.filter(acc, lambda e: ~F.exists(entries(d), lambda x: x["key"] == e["key"])), entries(d))
+        return F.map_from_entries(F.aggregate("ds", empty, join))
+
+    text = F.array_join(F.transform("ds", lambda d: d["text"]), "\n\n")
+    out = by_type.select("path", text.alias("text"), merged("m", "string").alias("metadata"), F.parse_json(F.to_json(merged("v", "variant"))).alias("typed"))
     found = F.max((F.coalesce("text", F.lit("")) != "") | (F.coalesce(F.size("metadata"), F.lit(0)) > 0)).over(Window.partitionBy("query_id"))
     return results.join(out, "path", "left").withColumn("level", F.when(found, "full").otherwise("summary"))
 
@@ -49,7 +57,7 @@ def search_name(queries: DataFrame, docs: DataFrame, light: DataFrame, *, hits:
     starts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.upper(F.concat(F.array_join(F.slice(pieces, 1, n), "_"), F.lit("_"))))
     own = docs.union(light).filter(F.col("name").contains("_")).select("*", F.explode(F.slice(starts, 1, F.size(pieces) - 1)).alias("p"))
     by_prefix = prefixes.withColumn("p", F.upper("p")).join(own, "p").select("query_id", "path", "name", "asset_type", F.lit(1.0).alias("score"))
-    asked = queries.filter(~q.endswith("_") & (q != "")).select("query_id", F.lower(q).alias("part"))
+    asked = stored(queries.filter(~q.endswith("_") & (q != "")).select("query_id", F.lower(q).alias("part")))
 
     def within(t: DataFrame, score: Column) -> DataFrame:
         named = t.withColumn("word", F.lower("name"))
@@ -59,7 +67,7 @@ def search_name(queries: DataFrame, docs: DataFrame, light: DataFrame, *, hits:
         of_docs = within(docs, F.when(F.col("word") == F.col("part"), 1.0).otherwise(0.9))
     else:
         of_docs = hits.join(asked, "query_id").filter(F.lower("name").contains(F.col("part"))).join(docs.groupBy("path").agg(F.min("asset_type").alias("asset_type")), "path").select("query_id", "path", "name", "asset_type", F.round("score", 3).alias("score"))
-    every = by_prefix.union(of_docs).union(within(light, F.lit(0.9)))
+    every = stored(by_prefix.union(of_docs).union(within(light, F.lit(0.9))))
     if classes is not None:
         has = every.filter(F.lower("asset_type").isin("cppclass", "cpp_class")).select("query_id").distinct()
         rest = queries.join(has, "query_id", "left_anti").select("query_id", q.alias("name"))
@@ -70,29 +78,42 @@ def search_name(queries: DataFrame, docs: DataFrame, light: DataFrame, *, hits:
     return once.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "path", "name", "asset_type", "score", "rank")
 
 
+def _longest_literal(pattern: Column) -> Column:
+    """The longest run of a pattern that holds no wildcard."""
+    return F.array_max(F.transform(F.split(pattern, "[%_]"), lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+
+
+def _like(words: DataFrame, patterns: DataFrame, limit: int) -> DataFrame:
+    """(pattern, word) of lower-cased words and patterns (``%`` any characters, ``_`` one), once each. A pattern is
+    met by its longest literal run; of one of wildcards only, the first ``limit`` words stand for all."""
+    asked = stored(patterns.select("pattern").distinct().withColumn("part", _longest_literal(F.col("pattern"))))
+    held = F.expr(r"word like replace(pattern, '\\', '\\\\')")
+    hit = asked.join(containing(asked, words), "part").filter(held).select("pattern", "word")
+    bare = words.join(F.broadcast(asked.filter("part = ''").select("pattern")), held)
+    first = F.row_number().over(Window.partitionBy("pattern").orderBy("word"))
+    return hit.union(bare.withColumn("_k", first).filter(F.col("_k") <= limit).select("pattern", "word"))
+
+
 def search_tag(queries: DataFrame, tags: DataFrame, docs: DataFrame | None = None, *, limit: int = 20) -> DataFrame:
     """(query_id, path, tag, level, rank, name, asset_type). ``X.*`` and patterns with ``%`` are matched as
     such, in either case; other queries exactly, else below ``X.``, else anywhere: the first of these
-    that has rows (levels 1 to 3). All but ``%`` is taken literally. Name and type are those of the path
-    in ``docs``, else its last segment and Unknown."""
+    that has rows (levels 1 to 3). In all but exact matches ``_`` stands for any character. Name and type are those
+    of the path in ``docs``, else its last segment and Unknown."""
     q = F.regexp_replace(F.trim("query"), "^(?i)tag:", "")
-    asked = queries.select("query_id", q.alias("q")).filter("q <> ''")
-    vocabulary = tags.select("tag", F.lower("tag").alias("word")).filter("tag is not null").distinct()
+    asked = stored(queries.select("query_id", q.alias("q")).filter("q <> ''"))
+    vocabulary = stored(tags.select("tag", F.lower("tag").alias("word")).filter("tag is not null").distinct())
+    words = vocabulary.select("word").distinct()
     is_pattern = F.col("q").endswith(".*") | F.col("q").contains("%")
-    # of a pattern the longest literal run is met first, the whole is verified
-    pattern = asked.filter(is_pattern).withColumn("like", F.lower(F.regexp_replace("q", r"\.\*$", ".%"))).withColumn("part", F.array_max(F.transform(F.split("like", "%"), lambda x: F.struct(F.length(x), x.alias("x"))))["x"])
-    literal = F.expr(r"word like replace(replace(like, '\\', '\\\\'), '_', '\\_')")
-    hit = pattern.join(containing(pattern, vocabulary), "part").filter(literal)
-    # patterns of % alone hold for every tag: the first rows are those of all tags
-    first = vocabulary.orderBy("tag").limit(limit).withColumn("part", F.lit(""))
-    hit = hit.join(vocabulary, "word").select("query_id", "tag").union(pattern.filter("part = ''").join(F.broadcast(first), "part").select("query_id", "tag")).withColumn("level", F.lit(1))
     plain = asked.filter(~is_pattern)
-    exact = plain.join(vocabulary, plain["q"] == vocabulary["tag"]).select("query_id", "tag", F.lit(1).alias("level"))
+    exact = stored(plain.join(vocabulary, plain["q"] == vocabulary["tag"]).select("query_id", "tag", F.lit(1).alias("level")))
     rest = plain.join(exact.select("query_id"), "query_id", "left_anti").select("query_id", F.lower("q").alias("part"))
-    below = F.when(F.col("word").startswith(F.concat("part", F.lit("."))), 2).otherwise(3)
-    loose = rest.join(containing(rest, vocabulary), "part").join(vocabulary, "word").select("query_id", "tag", below.alias("level"))
+    given = asked.filter(is_pattern).select("query_id", F.lower(F.regexp_replace("q", r"\.\*$", ".%")).alias("pattern"), F.lit(None).cast("string").alias("below"))
+    open_ = stored(given.union(rest.select("query_id", F.concat(F.lit("%"), "part", F.lit("%")), F.concat("part", F.lit(".%")))))
+    hit = open_.join(_like(words, open_, limit), "pattern")
+    level = F.when(F.col("below").isNull(), 1).when(F.expr(r"word like replace(below, '\\', '\\\\')"), 2).otherwise(3)
+    loose = stored(hit.select("query_id", "word", level.alias("level")))
     best = loose.groupBy("query_id").agg(F.min("level").alias("level"))
-    every = hit.union(exact).union(loose.join(best, ["query_id", "level"]).select("query_id", "tag", "level"))
+    every = exact.union(loose.join(best, ["query_id", "level"]).join(vocabulary, "word").select("query_id", "tag", "level"))
     rows = every.join(tags, "tag").select("query_id", "path", "tag", "level").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("tag", "path"))
     top = rows.withColumn("rank", rank).filter(F.col("rank") <= limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetloom.sources.scratch import stored
+
 #: Characters of a gram; shorter parts are grams themselves.
 GRAM = 3
 
@@ -21,10 +23,12 @@ def containing(parts: DataFrame, words: DataFrame) -> DataFrame:
 
     ``parts`` has a column part, ``words`` a column word. A part is met by the one of its grams that the
     fewest words have, and the pair is then verified, so no part is held against all words."""
-    asked = parts.select("part").filter("part <> ''").distinct()
+    asked = stored(parts.select("part").filter("part <> ''").distinct())
+    if asked.isEmpty():
+        return asked.select("part", F.col("part").alias("word"))
     wanted = asked.select("part", F.explode(_grams(F.col("part"), F.array(F.least(F.length("part"), F.lit(GRAM))))).alias("gram"))
     every = F.explode(_grams(F.col("word"), F.array(*map(F.lit, range(1, GRAM + 1))))).alias("gram")
-    postings = words.select("word").filter("word is not null").distinct().select("word", every).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    postings = stored(words.select("word").filter("word is not null").distinct().select("word", every).join(wanted.select("gram").distinct(), "gram", "left_semi"))
     frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no word has rules its part out
     rarest = wanted.join(frequency, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.paths import extract_all_refs, normalize_object_path, normalize_reference
-from assetloom.functions.text import fingerprint
+from assetloom.functions.text import wide_fingerprint
 
 
-def _decided(old: DataFrame, incoming: DataFrame, force: bool, order_col: str | None) -> tuple[DataFrame, DataFrame]:
+def _decided(old: DataFrame, incoming: DataFrame, force: bool, order_col: str | None, more: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """One incoming row of each id, and what becomes of it (doc_id, action): inserted, replaced, unchanged."""
     order = [F.desc_nulls_last(c) for c in dict.fromkeys([order_col or "text", "text"])]
-    new = incoming.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_k = 1").drop("_k")
+    new = incoming.withColumn("fingerprint", wide_fingerprint(incoming, list(more))).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_k = 1").drop("_k")
     known = old.groupBy(F.col("doc_id").alias("_id")).agg(F.first("fingerprint").alias("_old"), F.lit(True).alias("_known"))
     changed = F.lit(force) | ~F.col("_old").eqNullSafe(F.col("fingerprint"))
     action = F.when(F.col("_known").isNull(), "inserted").when(changed, "replaced").otherwise("unchanged")
@@ -23,26 +23,27 @@ def _arriving(new: DataFrame, decided: DataFrame) -> DataFrame:
     return new.join(decided.filter("action <> 'unchanged'"), new["doc_id"].eqNullSafe(decided["doc_id"])).drop(decided["doc_id"])
 
 
-def upsert_docs(existing: DataFrame, incoming: DataFrame, *, force: bool = False, order_col: str | None = None) -> DataFrame:
+def upsert_docs(existing: DataFrame, incoming: DataFrame, *, force: bool = False, order_col: str | None = None, fingerprint_cols: list[str] = ()) -> DataFrame:
     """The union of both by doc_id, with a column ``action``: kept, unchanged, inserted or replaced.
 
     A row of ``incoming`` takes the place of an existing one if its text's fingerprint differs, null
-    being a text of its own, or with ``force``. A missing id is an id like any other. Of several incoming rows of one id the last by
+    being a text of its own, or with ``force``. With ``fingerprint_cols`` these columns count like the text, so a
+    change of references alone is one; fingerprints that ``existing`` has must be of the same columns. A missing id is an id like any other. Of several incoming rows of one id the last by
     ``order_col`` counts (the greatest text where there is none). A fingerprint that ``existing`` has
     already isn't computed again, and what to do is settled on ids and fingerprints alone.
     """
-    old = existing if "fingerprint" in existing.columns else existing.withColumn("fingerprint", fingerprint(F.col("text")))
+    old = existing if "fingerprint" in existing.columns else existing.withColumn("fingerprint", wide_fingerprint(existing, list(fingerprint_cols)))
     columns = [c for c in old.columns if c != "doc_id"]
-    new, decided = _decided(old, incoming, force, order_col)
+    new, decided = _decided(old, incoming, force, order_col, fingerprint_cols)
     settled = decided.withColumnRenamed("doc_id", "_id")
     stays = old.join(settled, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").withColumn("action", F.coalesce("action", F.lit("kept"))).filter("action <> 'replaced'")
     return stays.select("doc_id", *columns, "action").unionByName(_arriving(new, decided).select("doc_id", *columns, "action"))
 
 
-def changed_docs(fingerprints: DataFrame, incoming: DataFrame, *, force: bool = False, order_col: str | None = None) -> DataFrame:
+def changed_docs(fingerprints: DataFrame, incoming: DataFrame, *, force: bool = False, order_col: str | None = None, fingerprint_cols: list[str] = ()) -> DataFrame:
     """The rows of ``incoming`` that ``upsert_docs`` inserts or puts in place of others, with fingerprint and
     action; of what exists only ids and fingerprints are read (doc_id, fingerprint)."""
-    return _arriving(*_decided(fingerprints, incoming, force, order_col))
+    return _arriving(*_decided(fingerprints, incoming, force, order_col, fingerprint_cols))
 
 
 def upsert_stats(upserted: DataFrame) -> DataFrame:
@@ -62,6 +63,15 @@ def replace_edges(existing: DataFrame, docs: DataFrame) -> DataFrame:
     return existing.join(docs.select(F.col("doc_id").alias("from_id")).distinct(), "from_id", "left_anti").unionByName(build_edges(docs)).distinct()
 
 
+def edge_changes(existing: DataFrame, docs: DataFrame) -> DataFrame:
+    """(from_id, to_id, edge_type, change): the edges that changed documents add and remove, for who follows a graph."""
+    ids = docs.select(F.col("doc_id").alias("from_id")).distinct()
+    was = existing.select("from_id", "to_id", "edge_type").join(ids, "from_id", "left_semi").withColumn("_n", F.lit(-1))
+    change = F.when(F.col("n") > 0, "added").otherwise("removed")
+    both = was.unionByName(build_edges(docs).withColumn("_n", F.lit(1))).groupBy("from_id", "to_id", "edge_type").agg(F.sum("_n").alias("n"))
+    return both.filter("n <> 0").select("from_id", "to_id", "edge_type", change.alias("change"))
+
+
 def resolve_parents(df: DataFrame, docs: DataFrame, light: DataFrame, engine_classes: list[str]) -> DataFrame:
     """``df`` (name, parent) with ``parent_ref``: script parents, and names that several assets or
     none have, as ``class:``; paths as ``asset:``; names of one document, else of one light asset, as

@@ -459,14 +459,16 @@ def _resolve_tokens(spark, d):
     return L.resolve_tokens(tokens, view(spark, d, "v_assets").withColumnRenamed("raw_type", "asset_type"), prefer_types=("ECONOMY",), prefer_prefixes=("MI_",))
 
 
-@query("enrich_results", with_views("v_docs") + """ SELECT n AS query_id, CASE WHEN n % 40 = 0 THEN path ELSE path || '/None' END AS path, CASE WHEN n % 40 = 0 THEN text || chr(10) || chr(10) || 'tree ' || name END AS text, CASE WHEN n % 40 = 0 THEN 'b,' || module ELSE '' END AS meta, CASE WHEN n % 40 = 0 THEN 'full' ELSE 'summary' END AS level FROM v_docs WHERE n % 20 = 0""")
+@query("enrich_results", with_views("v_docs") + """ SELECT n AS query_id, CASE WHEN n % 40 = 0 THEN path ELSE path || '/None' END AS path, CASE WHEN n % 40 = 0 THEN text || chr(10) || chr(10) || 'tree ' || name END AS text, CASE WHEN n % 40 = 0 THEN 'b,' || module ELSE '' END AS meta, CASE WHEN n % 40 = 0 THEN 'full' ELSE 'summary' END AS level,
+    CASE WHEN n % 40 = 0 THEN '{"a":"b","l":{"k":[1,' || CAST(n AS VARCHAR) || '.5,null]},"m":"' || module || '","n":' || CAST(n AS VARCHAR) || '}' END AS typed FROM v_docs WHERE n % 20 = 0""")
 def _enrich_results(spark, d):
     docs = view(spark, d, "v_docs")
     more = docs.select(F.concat(F.lit("widget:"), "path").alias("doc_id"), F.lit("widget_tree").alias("type"), "path", F.concat(F.lit("tree "), "name").alias("text"), F.lit('{"a":"b"}').alias("metadata"))
-    own = docs.select("doc_id", "type", "path", "text", F.to_json(F.struct(F.lit("x").alias("a"), F.col("module").alias("m"))).alias("metadata"))
+    own = docs.select("doc_id", "type", "path", "text", F.format_string('{"n":%d,"l":{"k":[1,%d.5,null]},"m":"%s","a":"x"}', "n", "n", "module").alias("metadata"))
+    broken = docs.select(F.concat(F.lit("broken:"), "path").alias("doc_id"), F.lit("zzz").alias("type"), "path", F.lit(None).cast("string").alias("text"), F.when(F.col("n") % 3 == 0, "{bad").otherwise("[1]").alias("metadata"))
     asked = docs.filter("n % 20 = 0").select(F.col("n").alias("query_id"), F.when(F.col("n") % 40 == 0, F.col("path")).otherwise(F.concat("path", F.lit("/None"))).alias("path"))
-    out = L.enrich_results(asked, own.union(more.select(*own.columns)))
-    return out.select("query_id", "path", "text", F.concat_ws(",", F.col("metadata")["a"], F.col("metadata")["m"]).alias("meta"), "level")
+    out = L.enrich_results(asked, own.union(more.select(*own.columns)).union(broken))
+    return out.select("query_id", "path", "text", F.concat_ws(",", F.col("metadata")["a"], F.col("metadata")["m"]).alias("meta"), "level", F.to_json("typed").alias("typed"))
 
 
 @query("embed_docs", with_views("v_docs") + " SELECT doc_id, round(CAST(CASE WHEN length(text) <= 4000 THEN length(text) ELSE (4000.0 * 4000 * (length(text) // 4000) + (length(text) % 4000) * (length(text) % 4000)) / length(text) END AS FLOAT), 1) AS first, false AS failed FROM v_docs")

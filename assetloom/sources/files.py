@@ -191,7 +191,7 @@ def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
     def table(name: str) -> DataFrame:
         out = spark.read.parquet(f"{folder}/{newest}/{name}")
-        if not older:
+        if not older or name not in OWNERS:  # what tells of the version itself
             return out
         holder, owner, column = OWNERS[name]
         owners = lambda version: spark.read.parquet(f"{folder}/{version}/{holder}").select(F.col(owner).alias(column))
