@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assetloom.operators.graph import where_used
 from assetloom.operators.search_text import search_text
+from assetloom.operators.upsert import detect_changes
+from assetloom.plans import catalog, questions
 from assetloom.plans.views import view, with_views
+from assetloom.sources.buckets import write_buckets
 from assetloom.sources.files import read_index, read_records, read_reference_xml, write_index
 from assetloom.sources.scratch import shared_dir
 from assetloom.streaming.upserts import stream_upsert
@@ -85,3 +89,17 @@ def _stream_search(spark, d):
         stream_upsert(spark, records, index, checkpoint).awaitTermination()
     words = F.concat(F.lit("fresh w"), F.col("n").cast("string"), F.lit(" src"))
     return search_text(docs.filter("n % 20 = 0").select(F.col("n").alias("query_id"), words.alias("query")), read_index(spark, index)["blocks"], k=5)
+
+
+@query("where_used_in_buckets", questions.SQL["where_used"])
+def _where_used_in_buckets(spark, d):
+    """References by target and edges by target stand in buckets; only the targets are dealt."""
+    targets, refs, edges, docs = (view(spark, d, v) for v in ("v_targets", "v_light_refs", "v_inherits", "v_asset_docs"))
+    return where_used(targets, write_buckets(refs, folder(spark), "ref_path"), write_buckets(edges, folder(spark), "to_id"), docs)
+
+
+@query("detect_changes_in_buckets", catalog.SQL["detect_changes"])
+def _detect_changes_in_buckets(spark, d):
+    """What was and what is stand in buckets by path, as the index keeps the one and a scan writes the other."""
+    now, was = (write_buckets(view(spark, d, v), folder(spark), "path") for v in ("v_snapshot", "v_file_meta"))
+    return detect_changes(now, was)

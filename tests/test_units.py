@@ -474,3 +474,65 @@ def test_two_writers_from_the_same_version(spark, tmp_path, monkeypatch):
     (tmp_path / "index" / "pointers" / f"{4:012d}.json").write_text("")  # a writer that crashed
     W.write_index({"docs": index["docs"]}, folder)
     assert W.index_number(spark, folder) == 5
+
+
+def test_bucketed_tables_are_not_exchanged(spark, tmp_path):
+    from assetloom.sources import buckets as B
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = spark.createDataFrame([(f"/Game/{i}", i, float(i)) for i in range(500)], "path string, size long, mtime double")
+        now, was = (B.write_buckets(df, str(tmp_path / n), "path") for n, df in (("now", files.filter("size % 3 > 0")), ("was", files.withColumn("size", F.col("size") + F.when(F.col("size") % 2 == 0, 1).otherwise(0)))))
+        df = U.detect_changes(now, was)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+        assert {r.status: r["count"] for r in df.groupBy("status").count().collect()} == {"changed": 166, "unchanged": 167}
+        refs = B.write_buckets(spark.createDataFrame([(f"u{i}", f"/Game/{i % 50}") for i in range(500)], "asset_path string, ref_path string"), str(tmp_path / "refs"), "ref_path", buckets=16)
+        edges = B.write_buckets(spark.createDataFrame([(f"d{i}", f"asset:/Game/{i % 40}") for i in range(500)], "from_id string, to_id string"), str(tmp_path / "edges"), "to_id")
+        docs = spark.createDataFrame([(f"d{i}", f"/Game/D{i}") for i in range(500)], "doc_id string, path string")
+        targets = spark.createDataFrame([(1, "/Game/3"), (2, "/Game/45")], "query_id int, path string")
+        used = G.where_used(targets, refs, edges, docs)
+        plan = used._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(ref_path" not in plan and "Exchange hashpartitioning(to_id" in plan.replace("ids", "to_id") and plan.count("Bucketed: true") >= 2
+        assert sorted((r.query_id, r.total) for r in used.select("query_id", "total").distinct().collect()) == [(1, 23), (2, 10)]
+        again = B.read_buckets(spark, str(tmp_path / "refs"), "ref_path", 16)
+        assert again.count() == 500 and B.bucket_sizes(again, "ref_path", 16).agg(F.sum("n")).first()[0] == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_patterns_with_underscores(spark):
+    tags = spark.createDataFrame([("/a", "In.Move"), ("/b", "In.Mave"), ("/c", "In.Mo_e"), ("/d", "Out")], "path string, tag string")
+    q = spark.createDataFrame([(1, "in.m_v%"), (2, "M_ve"), (3, "In.Mo_e"), (4, "___"), (5, "_%"), (6, "I_.*"), (7, "%"), (8, "a\\b")], "query_id int, query string")
+    got: dict = {}
+    for r in L.search_tag(q, tags).collect():
+        got.setdefault(r.query_id, set()).add(r.path)
+    assert got == {1: {"/a", "/b"}, 2: {"/a", "/b"}, 3: {"/c"}, 4: {"/a", "/b", "/c", "/d"}, 5: {"/a", "/b", "/c", "/d"}, 6: {"/a", "/b", "/c"}, 7: {"/a", "/b", "/c", "/d"}}
+
+
+def test_metadata_keeps_its_types(spark):
+    docs = [("d1", "a_type", "/p", "one", '{"n": 1, "s": "x", "o": {"k": [1, 2.5, null]}, "gone": true}'), ("d2", "b_type", "/p", "two", '{"n": 2.5, "s": null, "gone": {"deep": "y"}}'), ("d3", "c", "/p", None, "{bad"), ("d4", "d", "/p", None, "[1]"), ("d5", "e", "/p", None, None)]
+    docs = spark.createDataFrame(docs, "doc_id string, type string, path string, text string, metadata string")
+    results = spark.createDataFrame([(1, "/p"), (2, "/none")], "query_id int, path string")
+    got = {r.query_id: r for r in L.enrich_results(results, docs).withColumn("typed", F.to_json("typed")).collect()}
+    assert json.loads(got[1].typed) == {"n": 2.5, "s": None, "o": {"k": [1, 2.5, None]}, "gone": {"deep": "y"}}
+    assert got[1].text == "one\n\ntwo" and got[1].level == "full" and got[2].level == "summary" and got[2].typed is None
+
+
+def test_changes_of_references_alone(spark, tmp_path):
+    from assetloom.streaming.upserts import RECORD, apply_batch
+
+    one = [("a", "t", "/P/a", "text", ["/Game/X", "/Game/Y"], {"/Game/X": "uses", "/Game/Y": "maps"}, [])]
+    two = [("a", "t", "/P/a", "text", ["/Game/X", "/Game/Z"], {"/Game/X": "uses"}, [])]
+    swapped = [("a", "t", "/P/a", "text", ["/Game/X", "/Game/Y"], {"/Game/Y": "maps", "/Game/X": "uses"}, [])]
+    for columns, want in (((), {"/Game/X", "/Game/Y"}), (["references_out", "typed_references_out"], {"/Game/X", "/Game/Z"})):
+        folder = str(tmp_path / str(len(columns)))
+        for rows in (one, swapped):
+            apply_batch(spark, spark.createDataFrame(rows, RECORD), folder, fingerprint_cols=columns)
+        assert len(W.index_parts(spark, folder)) == 1
+        apply_batch(spark, spark.createDataFrame(two, RECORD), folder, fingerprint_cols=columns)
+        index = W.read_index(spark, folder)
+        assert {r.to_id.removeprefix("asset:") for r in index["edges"].collect()} == want
+    changes = {(r.to_id, r.change) for r in index["edge_changes"].collect()}
+    assert changes == {("asset:/Game/Y", "removed"), ("asset:/Game/Z", "added")}
