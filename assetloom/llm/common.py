@@ -53,18 +53,24 @@ def crc_mod_py(value: int, m: int) -> int:
 CACHES: list = []
 
 
+#: The operator that this worker served last.
+SERVED: list = [None]
+
+
 def release(owner: str) -> None:
-    """Empty the caches of all other operators, whose tasks this worker ran before, and give their
-    memory back to the machine."""
-    full = [cache for other, cache in CACHES if other != owner and (cache or cache.old)]
-    for cache in full:
-        cache.clear()
-        cache.old = {}
-    if full:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-            trim(0)
+    """When a worker comes to another operator, empty the caches of those before and give their memory back to the
+    machine."""
+    if SERVED[0] == owner:
+        return
+    SERVED[0] = owner
+    for other, cache in CACHES:
+        if other != owner:
+            cache.clear()
+            cache.old = {}
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 class Recent(dict):
