@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.sources.scratch import dropped, stored
+
 #: Bytes of a bucket, about, and the least and the greatest number of buckets.
 BUCKET_BYTES, LEAST, MOST = 256 << 20, 8, 65_536
 
@@ -16,7 +18,8 @@ def _name(folder: str) -> str:
 
 
 def buckets_for(df: DataFrame) -> int:
-    """A power of two, so that tables of unequal size still meet bucket by bucket."""
+    """For a stored table, whose size is that of its files: a power of two, so that tables of unequal size still meet
+    bucket by bucket."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     n = LEAST
     while n < MOST and n * BUCKET_BYTES < size:
@@ -26,9 +29,13 @@ def buckets_for(df: DataFrame) -> int:
 
 def write_buckets(df: DataFrame, folder: str, key: str, *, buckets: int | None = None) -> DataFrame:
     """The table, written below ``folder`` in buckets by the hash of ``key``, sorted within; read back so that joins and
-    groups on the key take the buckets as they are. The folder must not hold anything yet."""
-    n = buckets or buckets_for(df)
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", folder).saveAsTable(_name(folder))
+    groups on the key take the buckets as they are. The folder must not hold anything yet. Without ``buckets`` the
+    table is stored first, to count its bytes, as what a plan expects may be far off."""
+    rows = df if buckets else stored(df)
+    n = buckets or buckets_for(rows)
+    rows.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", folder).saveAsTable(_name(folder))
+    if not buckets:
+        dropped(rows)
     return df.sparkSession.table(_name(folder))
 
 
