@@ -63,8 +63,7 @@ STRUCTURE_MARKERS = {
     "MaterialGraph": "Material", "DataTableExport": "DataTable",
 }
 
-# Rules of the quick guess, first hit wins: (type, starts of the name, any of these
-# parts of the path, parts of the name).
+# Rules of the quick guess, first hit wins: (type, starts of the name in lower case).
 GUESSES = [
     ("Blueprint", ["bp_"]), ("WidgetBlueprint", ["wbp_", "wb_"]), ("DataTable", ["dt_"]), ("DataAsset", ["da_"]),
     ("MaterialInstance", ["mi_"]), ("MaterialFunction", ["mf_"]), ("Material", ["m_"]), ("Texture2D", ["t_"]),
@@ -86,6 +85,7 @@ NO_REFERENCE_TYPES = ["Texture", "StaticMesh", "SkeletalMesh", "Animation", "Sou
 class Profile:
     """A project's own names, on top of the fixed tables."""
 
+    # The defaults of a project.
     class_types: dict[str, str] = field(default_factory=lambda: {"GameFeatureData": "GameFeatureData", "GameplayEffect": "GameplayEffect", "DataAsset": "DataAsset", "PrimaryDataAsset": "DataAsset", "PrimaryAssetLabel": "DataAsset", "GameSettingVisualData": "DataAsset"})
     name_prefixes: dict[str, str] = field(default_factory=lambda: {"GE_": "GameplayEffect", "L_": "World"})
     semantic_types: tuple[str, ...] = ("GameplayEffect",)
