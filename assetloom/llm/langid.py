@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +67,14 @@ def presence(texts: list[str]) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """Languages in order; landmarks (cells x landmarks); weights (landmarks x languages)."""
+    """Languages in order; landmarks (cells x landmarks); weights (landmarks x languages); the claim (``beyond_chance``)
+    below which a text is of no language, where it was fitted."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
     scale: float
+    least_claim: float = -math.inf
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return (presence(texts) @ self.landmarks) @ self.weights
@@ -137,37 +139,63 @@ def fit_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", tex
     return fit_kernel(*_learned(docs, learn, id_col, text_col, lang_col, per_language))
 
 
-#: Cells below which a text is too short to be told from others.
-FEW_CELLS = 8
+#: Cells below which a text is too short to be told from others, and to be claimed by one language.
+FEW_CELLS, CLAIM_CELLS = 8, 24
+#: Share of held-out texts that limits leave out of account.
+ODD = 1 / 200
 
 
-def nearness(presences: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """How much more texts have in common with their nearest landmark than chance would give, in units of what
-    chance varies by: some 10 and more for texts of a landmark's language, some 3 for other scripts. Infinite
-    for texts of fewer than FEW_CELLS cells."""
-    n, m = (presences > 0).sum(axis=1), (landmarks > 0).sum(axis=0)
-    common = (presences @ landmarks) * np.sqrt(n)[:, None] * np.sqrt(m)
-    chance = n[:, None] * m / CELLS
-    best = ((common - chance) / np.sqrt(chance + 1)).max(axis=1, initial=-math.inf)
-    return np.where(n < FEW_CELLS, math.inf, best)
+def beyond_chance(presences: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """How far the ridge scores of texts lie from those of as many cells drawn by chance, in units of what chance varies
+    by: the distance over all languages together (some 20 and more for texts of learned languages or alike, up to some
+    5 for other scripts), and the score of the language that claims a text most (about 0 or less for a language that
+    was not learned)."""
+    by_cell = (model.landmarks @ model.weights).astype(np.float64)
+    n = (presences > 0).sum(axis=1)
+    off = (presences @ model.landmarks) @ model.weights - np.sqrt(n)[:, None] * by_cell.mean(axis=0)
+    spread = np.atleast_2d(np.cov(by_cell.T, bias=True))
+    # of two languages each has the other's scores with the sign changed, so the matrix may have no inverse
+    distance = np.sqrt(np.maximum(((off @ np.linalg.pinv(spread, rcond=1e-6, hermitian=True)) * off).sum(axis=1), 0))
+    return distance, (off / np.maximum(np.sqrt(np.diag(spread)), 1e-12)).max(axis=1)
+
+
+def nearness(presences: np.ndarray, model: LanguageModel) -> np.ndarray:
+    """The distance of ``beyond_chance``; less than any limit for texts that no language of the model claims; infinite
+    for texts of fewer than FEW_CELLS cells. Those of fewer than CLAIM_CELLS need no claim."""
+    n = (presences > 0).sum(axis=1)
+    distance, claim = beyond_chance(presences, model)
+    return np.where(n < FEW_CELLS, math.inf, np.where((n >= CLAIM_CELLS) & (claim < model.least_claim), -math.inf, distance))
+
+
+def _limit(reached: list[float], off: float) -> float:
+    """What all but a share of ODD reach, less a part ``off`` of its size."""
+    if not reached:
+        return -math.inf
+    least = float(np.quantile(reached, ODD))
+    return least - abs(least) * off
 
 
 def fit_with_limit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[LanguageModel, float]:
-    """A model, and a limit of ``nearness`` below which a text is of none of its languages: half of what the least
-    of the texts that are learned from reaches, each half of them being held against landmarks of the other."""
+    """A model with its least claim, and a limit of ``nearness`` below which a text is of none of its languages: half of
+    the claim and a quarter of the distance that all but 1 in 200 of the texts that are learned from reach, each half of
+    them being scored by a model of the other (texts of languages that the other half lacks say nothing)."""
     presences, langs = _learned(docs, learn, id_col, text_col, lang_col, per_language)
     place = np.array([langs[:i].count(x) for i, x in enumerate(langs)]) % 2
-    least = []
+    distances: list[float] = []
+    claims: list[float] = []
     for half in (0, 1):
-        own, rest = np.flatnonzero(place == half), presences[place != half]
-        if len(own) and len(rest):
-            least.append(nearness(rest, fit_kernel(presences[own], [langs[i] for i in own]).landmarks).min())
-    limit = min(least, default=-math.inf) / 2
-    return fit_kernel(presences, langs), float(limit) if limit < math.inf else -math.inf
+        part = fit_kernel(presences[place == half], [x for x, k in zip(langs, place, strict=True) if k == half])
+        rest = presences[[i for i, x in enumerate(langs) if place[i] != half and x in part.languages]]
+        if len(rest):
+            n = (rest > 0).sum(axis=1)
+            distance, claim = beyond_chance(rest, part)
+            distances += distance[n >= FEW_CELLS].tolist()
+            claims += claim[n >= CLAIM_CELLS].tolist()
+    return replace(fit_kernel(presences, langs), least_claim=_limit(claims, 0.5)), _limit(distances, 0.75)
 
 
 def language_nearness(text: Column, model: LanguageModel) -> Column:
-    """The nearness of a text to the landmarks of a model; null if it is null or has no letter, or nothing was learned."""
+    """The nearness of a text to the languages of a model; null if it is null or has no letter, or nothing was learned."""
 
     def run(texts: pa.Array) -> pa.Array:
         release(__name__)
@@ -175,7 +203,7 @@ def language_nearness(text: Column, model: LanguageModel) -> Column:
         for at in range(0, len(texts), BLOCK):
             part = texts.slice(at, BLOCK).to_pylist()
             known = [t for t in part if t is not None and any(map(str.isalpha, t))] if model.languages else []
-            scores = iter(nearness(presence(known), model.landmarks).tolist() if known else ())
+            scores = iter(nearness(presence(known), model).tolist() if known else ())
             out += [next(scores) if model.languages and t is not None and any(map(str.isalpha, t)) else None for t in part]
         return pa.array(out, type=pa.float64())
 

@@ -21,9 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no learned language go: texts that are null or have no letter, and those that have less in common
-    with all landmarks of the model than half of what its held-out texts have; all of them where no document has a
-    language to learn from."""
+    """Documents of no learned language go: texts that are null or have no letter, those whose ridge scores are about
+    what chance n-grams would get, and those that none of the one-versus-rest scores claims, by limits from held-out
+    texts; all of them where no document has a language to learn from."""
     docs = docs.select(*COLUMNS)
     model, limit = fit_with_limit(docs, F.lit(True))
     return docs.filter(language_nearness(F.col("text"), model) >= limit)

@@ -1,5 +1,9 @@
 """Stages of the pipeline by values, on documents with columns of all names and on odd ones."""
 
+import math
+from dataclasses import replace
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +44,38 @@ def test_limit_lies_below_what_is_learned_from(given):
     assert min(near) > limit > 0
 
 
+@pytest.mark.parametrize("strange", ["es", "fr", "de", "en"])
+def test_language_stage_rejects_a_language_that_no_score_claims(spark, given, strange):
+    docs = given.withColumn("lang", F.when(F.col("lang") != strange, F.col("lang")))
+    stay = {r.doc_id for r in p.language_stage(spark, docs, SF).collect()}
+    of = {r.doc_id: r.lang for r in given.collect()}
+    own, other = [i for i in of if of[i] != strange], [i for i in of if of[i] == strange]
+    assert sum(i in stay for i in own) >= 0.98 * len(own) and sum(i in stay for i in other) <= 0.15 * len(other)
+
+
+def test_nearness_goes_by_the_ridge_scores(given):
+    model, limit = langid.fit_with_limit(given, F.lit(True))
+    texts = [r.text for r in given.filter("length(text) > 200").limit(20).collect()]
+    rows = langid.presence(texts)
+    assert (langid.nearness(rows, model) > limit).all()
+    # texts that no language claims are below any limit, and without ridge weights nothing is near
+    assert (langid.nearness(rows, replace(model, least_claim=math.inf)) == -math.inf).all()
+    assert (langid.nearness(rows, replace(model, weights=0 * model.weights, least_claim=-math.inf)) == 0).all()
+    # cells drawn by chance: squared distances are as many as languages, on average
+    rng = np.random.default_rng(1)
+    drawn = np.zeros((2000, langid.CELLS), np.float32)
+    for row in drawn:
+        row[rng.choice(langid.CELLS, 100, replace=False)] = 0.1
+    distance, claim = langid.beyond_chance(drawn, model)
+    assert (distance**2).mean() == pytest.approx(len(model.languages), rel=0.1) and distance.max() < limit and abs(claim.mean()) < 2
+
+
+def test_limits_with_few_to_learn_from(spark):
+    for rows in ([("some words of one text", "en")], [("some words of one text", "en"), ("noch ein paar Worte", "de")], [("", "en"), ("", "en")], [("some words of one text", "en"), ("some more words of texts", "en"), ("noch ein paar Worte", "de")]):
+        docs = spark.createDataFrame([(i, t, x, "s", 1) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert p.language_stage(spark, docs, SF).count() == sum(t != "" for t, _ in rows)
+
+
 def test_near_duplicate_stage_keeps_the_first_of_each_class(spark):
     words = [f"w{i}" for i in range(100)]
     near = [*words[:99], "other"]
