@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assetloom.functions.headers import Declarations
 from assetloom.functions.paths import class_name_candidates
-from assetloom.sources.scratch import stored
+from assetloom.sources.scratch import stored, uncounted
 
 NESTED = r"\((?:[^()]|\([^()]*\))*\)"
 CLASS_PATTERN = r"UCLASS\s*" + NESTED + r"\s*class\s+(?:[A-Z0-9_]+_API\s+)?(\w+)"
@@ -52,7 +52,7 @@ def scan_members(headers: DataFrame) -> DataFrame:
 def resolve_classes(names: DataFrame, class_index: DataFrame) -> DataFrame:
     """(name, class_name, source_path): the first candidate of each name that is declared."""
     candidates = names.select("name", F.posexplode(class_name_candidates(F.col("name"))).alias("pos", "class_name"))
-    return candidates.join(class_index, "class_name").groupBy("name").agg(F.min_by(F.struct("class_name", "source_path"), "pos").alias("c")).select("name", "c.*")
+    return candidates.join(uncounted(class_index), "class_name").groupBy("name").agg(F.min_by(F.struct("class_name", "source_path"), "pos").alias("c")).select("name", "c.*")
 
 
 def control_flow_metrics(instructions: DataFrame) -> DataFrame:
