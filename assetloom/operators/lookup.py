@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetloom.operators.best import first_rows
 from assetloom.operators.code import resolve_classes
-from assetloom.operators.substring import containing
-from assetloom.sources.scratch import stored
+from assetloom.operators.substring import containing, matches
+from assetloom.sources.scratch import evenly, small_side, stored, uncounted
 
 # Prefixes that stand for each other.
 ALIASES = {"BP_": ["B_"], "B_": ["BP_"], "WBP_": ["W_"], "W_": ["WBP_"]}
@@ -47,33 +48,54 @@ def search_name(queries: DataFrame, docs: DataFrame, light: DataFrame, *, hits:
     1). Any other is contained in a name, in either case: in that of a full-text hit (``hits``: query_id,
     path, name, score) where these are given, else of any document (1 for the whole name, else 0.9); and
     of light assets (0.9). A query without a class among its results gets that which ``classes``
-    (class_name, source_path) has under its name or one of its prefixed forms."""
-    kind = lambda t: t.select("path", "name", F.coalesce("asset_type", F.lit("Unknown")).alias("asset_type"))
-    docs, light, q = kind(docs), kind(light), F.trim("query")
+    (class_name, source_path) has under its name or one of its prefixed forms.
+
+    Names are ranked once for all queries that ask for the same part or prefix, and each task keeps the first of
+    what it reads. Assets of one path and name are one, of the greatest score and the least type."""
+    kind = lambda t, is_doc: t.select("path", "name", F.coalesce("asset_type", F.lit("Unknown")).alias("asset_type"), F.lower("name").alias("word"), F.lit(is_doc).alias("is_doc"))
+    docs, light, q = kind(docs, True), kind(light, False), F.trim("query")
+    is_class = F.lower("asset_type").isin("cppclass", "cpp_class")
     table = F.create_map(*[x for k, v in PREFIX_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     prefixes = queries.filter(q.endswith("_")).select("query_id", F.explode(F.coalesce(table[F.upper(q)], F.array(q))).alias("p"))
+    asked = queries.filter(~q.endswith("_") & (q != "")).select("query_id", F.lower(q).alias("part"))
+    wanted = stored(prefixes.select("query_id", F.upper("p").alias("part"), F.lit(True).alias("is_prefix")).union(asked.withColumn("is_prefix", F.lit(False))))
+    kinds, found = ["part", "is_prefix"], ["query_id", "path", "name", "asset_type", "score"]
+    every = docs.union(light)
+    # names that contain a part are those of light assets and, without hits, of documents
+    held = every if hits is None else light
+    score = F.when(F.col("is_prefix") | (F.col("is_doc") & (F.col("word") == F.col("part"))), 1.0).otherwise(0.9)
     # names are met by every start of theirs that ends in an underscore, so this is an equi-join
     pieces = F.split("name", "_")
     starts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.upper(F.concat(F.array_join(F.slice(pieces, 1, n), "_"), F.lit("_"))))
-    own = docs.union(light).filter(F.col("name").contains("_")).select("*", F.explode(F.slice(starts, 1, F.size(pieces) - 1)).alias("p"))
-    by_prefix = prefixes.withColumn("p", F.upper("p")).join(own, "p").select("query_id", "path", "name", "asset_type", F.lit(1.0).alias("score"))
-    asked = stored(queries.filter(~q.endswith("_") & (q != "")).select("query_id", F.lower(q).alias("part")))
-
-    def within(t: DataFrame, score: Column) -> DataFrame:
-        named = t.withColumn("word", F.lower("name"))
-        return asked.join(containing(asked, named), "part").join(named, "word").select("query_id", "path", "name", "asset_type", score.alias("score"))
-
-    if hits is None:
-        of_docs = within(docs, F.when(F.col("word") == F.col("part"), 1.0).otherwise(0.9))
-    else:
-        of_docs = hits.join(asked, "query_id").filter(F.lower("name").contains(F.col("part"))).join(docs.groupBy("path").agg(F.min("asset_type").alias("asset_type")), "path").select("query_id", "path", "name", "asset_type", F.round("score", 3).alias("score"))
-    every = stored(by_prefix.union(of_docs).union(within(light, F.lit(0.9))))
+    begun = every.filter(F.col("name").contains("_")).select("*", F.explode(F.slice(starts, 1, F.size(pieces) - 1)).alias("part"))
+    begun = begun.join(small_side(wanted.filter("is_prefix").select("part").distinct()), "part").withColumn("is_prefix", F.lit(True))
+    within = matches(wanted.filter("not is_prefix"), evenly(held)).withColumn("is_prefix", F.lit(False))
+    # classes are also ranked by themselves, to tell whether there is one
+    ranked = F.explode(F.when(is_class, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("of_class")
+    by = [*kinds, "score", "of_class"]
+    up = lambda *of: [(c, "ascending") for c in of]
+    rows = begun.unionByName(within).select(*kinds, "path", "name", "asset_type", score.alias("score"), ranked)
+    best = first_rows(rows, limit, by=by, once=["name", "path"], within=up("asset_type"), order=up("name", "path"))
+    best = best.groupBy(*by, "path", "name").agg(F.min("asset_type").alias("asset_type"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("name", "path"))
+    best = stored(best.withColumn("_k", first).filter(F.col("_k") <= limit).drop("_k"))
+    of_part = stored(wanted.join(uncounted(best.filter("not of_class")), kinds).select(*found, "is_prefix"))
+    more = of_part.select(*found).limit(0)
+    if hits is not None:
+        types = docs.groupBy("path").agg(F.min("asset_type").alias("asset_type"))
+        hit = hits.select("query_id", "path", "name", "score").join(uncounted(asked), "query_id").filter(F.lower("name").contains(F.col("part")))
+        more = stored(hit.join(uncounted(types), "path").select("query_id", "path", "name", "asset_type", F.round("score", 3).alias("score")))
     if classes is not None:
-        has = every.filter(F.lower("asset_type").isin("cppclass", "cpp_class")).select("query_id").distinct()
-        rest = queries.join(has, "query_id", "left_anti").select("query_id", q.alias("name"))
-        declared = rest.select("name").distinct()
-        every = every.union(rest.join(resolve_classes(declared, classes), "name").select("query_id", F.col("source_path").alias("path"), F.col("class_name").alias("name"), F.lit("CppClass").alias("asset_type"), F.lit(1.0).alias("score")))
-    once = every.groupBy("query_id", "path", "name").agg(F.max("score").alias("score"), F.min("asset_type").alias("asset_type"))
+        has = wanted.join(uncounted(best.filter("of_class").select(*kinds).distinct()), kinds, "left_semi").select("query_id").union(more.filter(is_class).select("query_id")).distinct()
+        rest = stored(queries.join(uncounted(has), "query_id", "left_anti").select("query_id", q.alias("name")))
+        declared = resolve_classes(rest.select("name").distinct(), classes).select("name", F.col("source_path").alias("path"), "class_name")
+        more = stored(more.union(rest.join(uncounted(declared), "name").select("query_id", "path", F.col("class_name").alias("name"), F.lit("CppClass").alias("asset_type"), F.lit(1.0).alias("score"))))
+    # what is also found in another way may be an asset that comes after the first ones there: its rows are looked up
+    twice = more.union(of_part.filter("score = 1 and not is_prefix").select(*found)).select("query_id", "path", "name").distinct()
+    keyed = twice.join(uncounted(wanted.withColumnRenamed("query_id", "_id")), F.col("query_id").eqNullSafe(F.col("_id"))).select("query_id", "part", "is_prefix", F.col("path").alias("_path"), F.col("name").alias("_name"))
+    fits = F.when(F.col("is_prefix"), F.upper("name").startswith(F.col("part"))).otherwise((F.lit(hits is None) | ~F.col("is_doc")) & F.col("word").contains(F.col("part")))
+    again = every.join(small_side(keyed), F.col("path").eqNullSafe(F.col("_path")) & (F.col("name") == F.col("_name"))).filter(fits).select("query_id", "path", "name", "asset_type", score.alias("score"))
+    once = of_part.select(*found).union(more).union(again).groupBy("query_id", "path", "name").agg(F.max("score").alias("score"), F.min("asset_type").alias("asset_type"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "path"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "path", "name", "asset_type", "score", "rank")
 
@@ -137,28 +159,43 @@ def token_aliases(token: Column) -> Column:
 def resolve_tokens(tokens: DataFrame, assets: DataFrame, *, prefer_types: tuple[str, ...] = (), prefer_prefixes: tuple[str, ...] = (), limit: int = 5) -> DataFrame:
     """(token_id, path, name, score, rank): assets of each token (token_id, token) by exact name of it or
     an alias, or, where none has it, by names that contain one; a ``/Game/`` path is its own asset. Ties go
-    by name, descending. ``assets``: path, name, asset_type."""
+    by name, descending; of the names of a path the one that comes first counts. ``assets``: path, name, asset_type.
+
+    Assets are ranked once for all ids that ask for the same, and each task keeps the best of what it reads."""
     bare = F.trim("token")
     asked = tokens.select("token_id", bare.alias("token")).filter("token <> ''")
     own = asked.filter(F.col("token").startswith("/Game/")).select("token_id", F.col("token").alias("path"), F.element_at(F.split("token", "/"), -1).alias("name"), F.lit(0.0).alias("score"))
-    named = asked.filter(~F.col("token").startswith("/Game/")).select("token_id", "token", F.transform(token_aliases(F.col("token")), F.lower).alias("aliases"))
-    each = named.select("token_id", F.explode("aliases").alias("part"))
-    a = assets.filter(F.col("path").startswith("/")).select("path", "name", "asset_type", F.lower("name").alias("word"))
-    exact = each.join(a, each["part"] == a["word"]).select("token_id", "path", "name", "asset_type", "word")
-    rest = each.join(exact.select("token_id"), "token_id", "left_anti")
-    loose = rest.join(containing(rest, a), "part").join(a, "word").select("token_id", "path", "name", "asset_type", "word")
-    rows = exact.union(loose).distinct().join(named, "token_id")
+    # the tokens of an id are settled together, so what is asked is a list of them
+    listed = F.to_json(F.array_sort(F.collect_set("token"))).alias("asked")
+    ids = stored(asked.filter(~F.col("token").startswith("/Game/") & F.col("token_id").isNotNull()).groupBy("token_id").agg(listed))
+    named = ids.select("asked").distinct().select("asked", F.explode(F.from_json("asked", "array<string>")).alias("token"))
+    aliases = F.transform(token_aliases(F.col("token")), F.lower)
+    each = stored(named.select("asked", F.explode(aliases).alias("part")).distinct())
+    a = evenly(assets.filter(F.col("path").startswith("/")).select("path", "name", "asset_type", F.lower("name").alias("word")))
     compact = F.lower(F.replace("token", F.lit("_"), F.lit("")))
     starts = F.lit(False)
     for p in prefer_prefixes:
         starts = starts | F.col("word").startswith(p.lower())
     # What each sign of a match adds
     signs = [
-        (F.array_contains("aliases", F.col("word")), 100), (F.replace("word", F.lit("_"), F.lit("")) == compact, 45),
-        (F.exists("aliases", lambda x: F.col("word").contains(x)), 20), (starts, 12), (F.coalesce(F.col("asset_type").isin(*prefer_types), F.lit(False)), 15),
+        (F.array_contains(aliases, F.col("word")), 100), (F.replace("word", F.lit("_"), F.lit("")) == compact, 45),
+        (F.exists(aliases, lambda x: F.col("word").contains(x)), 20), (starts, 12), (F.coalesce(F.col("asset_type").isin(*prefer_types), F.lit(False)), 15),
         (compact.contains("health") & F.col("path").contains("/UI/Hud/"), 8), (F.col("path").startswith("/Game/"), 2),
     ]
     score = sum((F.when(when, float(n)).otherwise(0.0) for when, n in signs), F.lit(0.0))
-    once = rows.select("token_id", "path", "name", score.alias("score")).groupBy("token_id", "path").agg(F.max(F.struct("score", "name")).alias("b")).select("token_id", "path", "b.name", "b.score").union(own.select("token_id", "path", "name", "score"))
+
+    def best(found: DataFrame, of: DataFrame) -> DataFrame:
+        """The best assets of rows (part, word, path, name, asset_type), of each that asks for the part, in each task."""
+        scored = found.join(small_side(of.join(uncounted(named), "asked").select("part", "asked", "token")), "part").select("asked", "path", "name", F.lower("name").alias("low"), score.alias("score"))
+        down = lambda *columns: [(c, "descending") for c in columns]
+        return stored(first_rows(scored, limit, by=["asked"], once=["path"], within=down("score", "low", "name"), order=down("score", "low", "path")))
+
+    exact = best(a.withColumn("part", F.col("word")), each)
+    rest = stored(each.join(uncounted(exact.select("asked").distinct()), "asked", "left_anti"))
+    rows = exact.union(best(matches(rest, a), rest))
+    once = rows.groupBy("asked", "path").agg(F.max(F.struct("score", "low", "name")).alias("b"))
+    first = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("b.score"), F.desc("b.low"), F.desc("path")))
+    top = once.withColumn("_k", first).filter(F.col("_k") <= limit)
+    every = ids.join(uncounted(top), "asked").select("token_id", "path", "b.name", "b.score").union(own.select("token_id", "path", "name", "score"))
     rank = F.row_number().over(Window.partitionBy("token_id").orderBy(F.desc("score"), F.desc(F.lower("name")), F.desc("path")))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return every.withColumn("rank", rank).filter(F.col("rank") <= limit)

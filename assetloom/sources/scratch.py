@@ -32,18 +32,18 @@ def stored(df: DataFrame) -> DataFrame:
 SMALL_ROWS = 500_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """The table, stored; to be broadcast if its counted rows are few, else as it is."""
-    df = stored(df)
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
 def uncounted(df: DataFrame) -> DataFrame:
     """The table as a side of a join of equal keys that is never broadcast: Spark goes by the bytes of files and the number
     of columns, and takes a million computed names for a small table."""
     return df.hint("merge")
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """The table, stored; to be broadcast if its counted rows are few, else met by a shuffle."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else uncounted(df)
+
+
 #: Bytes for each core up to which a table counts as small.
 CORE_BYTES = 64 << 20
 
